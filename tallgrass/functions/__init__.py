@@ -1 +1 @@
-
+"""Scalar functions: text, quantities, dates and similarity."""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallgrass.queries import masterdata
+from tallgrass.queries import masterdata, quality
 
-FLAGSHIP = "p3_figures"
+FLAGSHIP = "scorecard_by_dimension"
 
-QUERIES = {**masterdata.QUERIES}
+QUERIES = {**masterdata.QUERIES, **quality.QUERIES}
