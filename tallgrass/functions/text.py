@@ -52,8 +52,12 @@ def material_signature(text: Column, words: Sequence[str] = MATERIAL_WORDS) -> C
     return F.array_sort(F.filter(F.array(*hits), lambda x: x.isNotNull()))
 
 
-def disagreement(left: Column, right: Column, words: Sequence[str] = MATERIAL_WORDS) -> Column:
-    """'digits' or 'material' if both texts have such a signature and they differ, digits first; else ''."""
-    dl, dr, ml, mr = digit_signature(left), digit_signature(right), material_signature(left, words), material_signature(right, words)
+def signatures_differ(dl: Column, dr: Column, ml: Column, mr: Column) -> Column:
+    """'digits' or 'material' if both sides have such a signature and they differ, digits first; else ''."""
     differ = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & (a != b)
     return F.when(differ(dl, dr), "digits").when(differ(ml, mr), "material").otherwise("")
+
+
+def disagreement(left: Column, right: Column, words: Sequence[str] = MATERIAL_WORDS) -> Column:
+    """:func:`signatures_differ` of two texts."""
+    return signatures_differ(digit_signature(left), digit_signature(right), material_signature(left, words), material_signature(right, words))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions.similarity import METRICS, cosine, metric
-from tallgrass.functions.text import MATERIAL_WORDS, disagreement, normalise
+from tallgrass.functions.text import MATERIAL_WORDS, digit_signature, disagreement, material_signature, normalise, signatures_differ
 from tallgrass.operators.compile import to_column
 from tallgrass.operators.ir import Predicate
 from tallgrass.plans.staging import release, stage
@@ -101,25 +101,33 @@ def block_sizes(found: DataFrame) -> DataFrame:
     return kept.groupBy("block").agg(F.count(F.lit(1)).alias("n_records")).withColumn("n_pairs", (F.col("n_records") * (F.col("n_records") - 1) / 2).cast("bigint"))
 
 
-def score_pairs(found: DataFrame, m: Matching, vector: str | None = None) -> DataFrame:
+def score_pairs(found: DataFrame, m: Matching, vector: str | None = None, count_vetoes: bool = False) -> DataFrame:
     """(block, left_id, right_id, raw, score, veto): pairs that may reach the review band.
 
-    Texts are scored once per distinct pair within a block. Where only texts count, pairs whose lengths
+    Texts are scored once per distinct pair within a block, their signatures taken once per text. A pair whose
+    signatures differ is capped; where the cap lies below the review band it is not scored at all, unless
+    ``count_vetoes`` asks for the pairs that the veto kept out. Where only texts count, pairs whose lengths
     alone keep them below both the review band and the veto cap are dropped before scoring, which changes
     no band and no veto: the similarity is at most twice the shorter length over the sum.
     """
     low = m.bands()[0]
     kept = found.where("reason is null")
-    texts = kept.groupBy("block", "norm").agg(F.count(F.lit(1)).alias("k")).withColumn("size", F.length("norm"))
-    a = texts.select("block", F.col("norm").alias("left_norm"), F.col("size").alias("ls"), F.col("k").alias("lk"))
-    b = texts.select("block", F.col("norm").alias("right_norm"), F.col("size").alias("rs"))
+    n = F.col("norm")
+    signs = {"size": F.length(n), "d": digit_signature(n), "m": material_signature(n, m.materials)}
+    # Written once: each side of the self-join would otherwise normalise and sign all texts again.
+    texts = stage(kept.groupBy("block", "norm").agg(F.count(F.lit(1)).alias("k")).withColumns(signs), "block-texts")
+    a = texts.select("block", n.alias("left_norm"), F.col("size").alias("ls"), F.col("k").alias("lk"), F.col("d").alias("ld"), F.col("m").alias("lm"))
+    b = texts.select("block", n.alias("right_norm"), F.col("size").alias("rs"), F.col("d").alias("rd"), F.col("m").alias("rm"))
     pairs = a.join(b, "block").where((F.col("left_norm") < F.col("right_norm")) | ((F.col("left_norm") == F.col("right_norm")) & (F.col("lk") > 1)))
     alone = m.shares[1] == 0 and m.metric in ("ratio", "token_sort_ratio")
     if alone:
         pairs = pairs.where(2 * F.least("ls", "rs") / (F.col("ls") + F.col("rs")) >= min(low, m.veto_cap))
+    pairs = pairs.withColumn("veto_by", signatures_differ(F.col("ld"), F.col("rd"), F.col("lm"), F.col("rm")))
+    if m.veto_cap < low and not count_vetoes:
+        pairs = pairs.where("veto_by = ''")
     # The reference's scores are single precision; bands compare them as doubles.
     fuzzy = metric(m.metric)(F.col("left_norm"), F.col("right_norm"))
-    scored = pairs.select("block", "left_norm", "right_norm", fuzzy.alias("fuzzy"), disagreement(F.col("left_norm"), F.col("right_norm"), m.materials).alias("veto_by"))
+    scored = pairs.select("block", "left_norm", "right_norm", fuzzy.alias("fuzzy"), "veto_by")
     if alone:
         scored = scored.where(F.col("fuzzy") >= min(low, m.veto_cap))
     l = kept.select("block", F.col("norm").alias("left_norm"), F.col("key").alias("lkey"), *([F.col("vector").alias("lv")] if vector else []))  # noqa: E741

@@ -155,8 +155,8 @@ p AS (SELECT a.key AS left_id, b.key AS right_id, jaro_winkler_similarity(a.norm
 s AS (SELECT left_id, right_id, CASE WHEN veto_by <> '' AND raw > 0.75 THEN 0.75 ELSE raw END AS score, CASE WHEN veto_by <> '' AND raw > 0.75 THEN veto_by END AS veto FROM p)"""
 
 
-def _pairs(spark: SparkSession, folder: str, m: matching.Matching = SETTINGS) -> DataFrame:
-    return matching.banded(matching.score_pairs(_candidates(spark, folder, m), m), m)
+def _pairs(spark: SparkSession, folder: str, m: matching.Matching = SETTINGS, count_vetoes: bool = False) -> DataFrame:
+    return matching.banded(matching.score_pairs(_candidates(spark, folder, m), m, count_vetoes=count_vetoes), m)
 
 
 def _clusters(spark: SparkSession, folder: str) -> DataFrame:
@@ -374,7 +374,7 @@ QUERIES = {
         lambda s, d: matching.held_back(_candidates(s, d, matching.Matching(block=BLOCK, most_block_pairs=300))),
         f"WITH {CANDIDATES_SQL}, b AS (SELECT block FROM c WHERE reason IS NULL GROUP BY 1 HAVING count(*) * (count(*) - 1) / 2 > 300) SELECT coalesce(reason, 'block_too_large') AS reason, count(*) AS n_records FROM c WHERE reason IS NOT NULL OR block IN (SELECT block FROM b) GROUP BY 1"),
     "dedup_pairs_jw": (lambda s, d: _pairs(s, d).where("band <> 'below'").select("left_id", "right_id", F.round("score", 4).alias("score"), "band"), f"WITH {PAIRS_SQL} SELECT left_id, right_id, round(score, 4) AS score, CASE WHEN score >= 0.93 THEN 'duplicate' ELSE 'review' END AS band FROM s WHERE score >= 0.80"),
-    "dedup_vetoes": (lambda s, d: _pairs(s, d).where("veto is not null").groupBy("veto").agg(F.count(F.lit(1)).alias("n_pairs")), f"WITH {PAIRS_SQL} SELECT veto, count(*) AS n_pairs FROM s WHERE veto IS NOT NULL GROUP BY 1"),
+    "dedup_vetoes": (lambda s, d: _pairs(s, d, count_vetoes=True).where("veto is not null").groupBy("veto").agg(F.count(F.lit(1)).alias("n_pairs")), f"WITH {PAIRS_SQL} SELECT veto, count(*) AS n_pairs FROM s WHERE veto IS NOT NULL GROUP BY 1"),
     "dedup_score_spread": (lambda s, d: matching.score_spread(_candidates(s, d), _pairs(s, d)), f"WITH {PAIRS_SQL} SELECT CASE WHEN score >= 0.93 THEN 'duplicate' WHEN score >= 0.80 THEN 'review' ELSE 'below' END AS band, count(*) AS n_pairs FROM s GROUP BY 1"),
     "dedup_pairs_token_sort": (lambda s, d: _pairs(s, d, SORTED).where("band <> 'below'").select("left_id", "right_id", F.round("score", 4).alias("score"), "band"), None),
     "dedup_semantic_pairs": (_semantic, "SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.3"),

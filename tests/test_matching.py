@@ -13,7 +13,7 @@ def frame(spark, *texts, block="EA"):
 
 def run(spark, m, *texts):
     found = matching.candidates(frame(spark, *texts), "k", "text", m)
-    return found, matching.banded(matching.score_pairs(found, m), m)
+    return found, matching.banded(matching.score_pairs(found, m, count_vetoes=True), m)
 
 
 def test_settings_are_checked():
@@ -79,7 +79,9 @@ def test_length_bound_loses_nothing_and_spread_adds_up(spark, small):
 
     m = quality.SORTED
     found = quality._candidates(spark, small, m)
-    bands = matching.banded(matching.score_pairs(found, m), m)
+    bands = matching.banded(matching.score_pairs(found, m, count_vetoes=True), m)
+    slim = matching.banded(matching.score_pairs(found, m), m).where("band <> 'below'")
+    assert slim.exceptAll(bands.where("band <> 'below'")).count() == 0 == bands.where("band <> 'below'").exceptAll(slim).count()
     rows = [(r["block"], r["norm"], r["key"]) for r in found.where("reason is null").collect()]
     want = set()
     for i, (b, x, k) in enumerate(rows):
