@@ -11,15 +11,15 @@ outweighed by real ones.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallgrass.plans.staging import release, stage
 
@@ -41,7 +41,7 @@ QUOTES_BEFORE, QUOTES_AFTER = "\"'“”„‘’‚`", "\"'“”‘’`"
 SLOT_SIGN = re.compile(r"[{}<>\[\]$%#@&~«‹]|__|[Xx]{2}|null_|\((?:enter|insert|fill|your)")
 
 # Unmistakable openings of error lines, and names of scripting in a browser.
-ERROR_LINE = re.compile(r"^\W*(?:(?:error|fehler|erreur|http status)\s*\d{3}\s*[:–-]|oops!|sorry, |\d{3}\s+[-–]\s+\w)", re.I)
+ERROR_LINE = re.compile(r"\W*(?:(?:error|fehler|erreur|http status)\s*\d{3}\s*[:–-]|oops!|sorry, |\d{3}\s+[-–]\s+\w)", re.I)
 SCRIPT = re.compile(r"\b(?:java ?script|noscript|(?:active |client-side )scripting|script support)\b", re.I)
 SPLIT = re.compile(r"(?<=[.!?…])\s+|\n+")
 WORD = re.compile(r"[^\W\d_]+|\d+")
@@ -83,60 +83,121 @@ def has_run(words: list[str]) -> bool:
     return False
 
 
+QUICK_SCRIPT = re.compile(r"script", re.I)
+
+
 @dataclass
 class Passage:
     words: list[str]
-    marks: list[str]
+    marks: int
     bare: int
     letters: int
     trusted: bool
 
 
 def read(text: str) -> list[Passage]:
-    """The passages of a text with their distinct words, marks, open places and whether they are trusted junk."""
+    """The passages of a text with their distinct words, marks (bits, as in MARKS), open places and whether they are trusted junk."""
     out: list[Passage] = []
     lines = passages(text)
+    thrice = {i + k for i in range(len(lines) - 2) if lines[i] == lines[i + 1] == lines[i + 2] for k in (0, 1, 2)}
     for i, line in enumerate(lines):
         bare, quoted, rest = slots_of(line)
-        found = ["§number" if w[0].isdigit() else w for w in WORD.findall(rest.lower())]
-        again = len(lines) > 2 and any(0 <= j < len(lines) - 2 and lines[j] == lines[j + 1] == lines[j + 2] for j in (i - 2, i - 1, i))
-        run = again or has_run(found)
-        trusted = run or (len(found) <= 16 and ERROR_LINE.search(line) is not None)
-        trusted = trusted or (len(found) <= 18 and "§number" not in found and SCRIPT.search(line) is not None)
-        words = set(found)
-        marks = [m for m, on in (("§slot", bare), ("§quoted", quoted), ("§number", "§number" in words), ("§run", run), ("§short", len(found) <= 3), ("§long", len(found) > 40)) if on]
-        words.discard("§number")
+        found = WORD.findall(rest.lower())
+        words = {w for w in found if not w[0].isdigit()}
+        digits = len(words) < len(set(found))
+        run = i in thrice or (len(found) > 2 and 3 * len(words) <= 2 * len(found) and has_run(["§number" if w[0].isdigit() else w for w in found]))
+        trusted = run or (len(found) <= 16 and ERROR_LINE.match(line) is not None)
+        trusted = trusted or (len(found) <= 18 and not digits and QUICK_SCRIPT.search(line) is not None and SCRIPT.search(line) is not None)
+        marks = (bare > 0) | (quoted > 0) << 1 | digits << 3 | run << 4 | (len(found) <= 3) << 5 | (len(found) > 40) << 6
         out.append(Passage(sorted(words), marks, bare, sum(map(len, words)), trusted))
     return out
 
 
-SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())),
-    T.StructField("fresh", T.ArrayType(T.StringType())), T.StructField("marks", T.ArrayType(T.StringType())),
-    T.StructField("bare", T.IntegerType()), T.StructField("letters", T.IntegerType()), T.StructField("label", T.IntegerType()),
-])
-
 #: Passages up to which a record with a trusted junk passage is trusted as a whole.
 SHORT_RECORD = 8
 #: Different words, and share of words that hardly any other record has, from which a passage is trusted to be noise.
 LEAST_NOISE, NOISE_SHARE = 5, 0.5
 #: Passages with open places from which a record is trusted to be an unfilled form.
 UNFILLED_PASSAGES = 3
+#: Log-odds below which a passage is left out of a round; its part in the positives would be under one in 10^13.
+RULED_OUT = -30.0
+
+TOKENS = "id bigint, n int, words array<bigint>, fresh array<bigint>, marks int, bare int, letters int, label int"
+ENCODED = "id bigint, bare int, letters int, label int, features array<int>"
+_HASHES: dict[str, int] = {}
+
 
+def hash_word(word: str) -> int:
+    """A 64-bit hash of a word, the same in every process."""
+    h = _HASHES.get(word)
+    if h is None:
+        if len(_HASHES) > 500_000:
+            _HASHES.clear()
+        h = _HASHES[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+    return h
 
-def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _lists(flat, sizes, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, kind))
+
+
+def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for doc, text in zip(batch["id"], batch["text"]):
+        ids, ns, words, sizes, fresh, fresh_sizes, marks, bare, letters, labels = ([] for _ in range(10))
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = read(text)
             open_ = sum(p.bare > 0 for p in found)
-            junk = any(p.trusted for p in found) and len(found) <= SHORT_RECORD
-            seen: set[str] = set()
+            junk = len(found) <= SHORT_RECORD and any(p.trusted for p in found)
+            seen: set[int] = set()
             for n, p in enumerate(found):
-                label = UNFILLED if open_ >= UNFILLED_PASSAGES and p.bare else JUNK if p.trusted or (junk and not p.bare) else -1
-                rows.append((doc, n, p.words, [w for w in p.words if w not in seen], p.marks, p.bare, p.letters, label))
-                seen.update(p.words)
-        yield pd.DataFrame(rows, columns=[f.name for f in SCHEMA.fields])
+                h = [hash_word(w) for w in p.words]
+                new = [x for x in h if x not in seen]
+                seen.update(new)
+                ids.append(doc)
+                ns.append(n)
+                words += h
+                sizes.append(len(h))
+                fresh += new
+                fresh_sizes.append(len(new))
+                marks.append(p.marks)
+                bare.append(p.bare)
+                letters.append(p.letters)
+                labels.append(UNFILLED if open_ >= UNFILLED_PASSAGES and p.bare else JUNK if p.trusted or (junk and not p.bare) else -1)
+        small = lambda x: pa.array(x, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), small(ns), _lists(words, sizes, pa.int64()), _lists(fresh, fresh_sizes, pa.int64()), small(marks), small(bare), small(letters), small(labels)],
+            names=[c.split()[0] for c in TOKENS.split(", ")],
+        )
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, row of each value) of a list column."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(), np.repeat(np.arange(len(column)), sizes)
+
+
+def _encoder(vocabulary: np.ndarray):
+    """Features of passages: the marks, then the words of the (sorted, hashed) vocabulary; all other words are one feature."""
+    size, rare = len(MARKS) + len(vocabulary), MARKS.index("§rare")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, row = _flat(b.column("words"))
+            at = np.minimum(np.searchsorted(vocabulary, flat), max(0, len(vocabulary) - 1))
+            known = vocabulary[at] == flat if len(vocabulary) else np.zeros(len(flat), bool)
+            marks = b.column("marks").to_numpy()
+            parts = [row * size + np.where(known, at + len(MARKS), rare)]
+            parts += [np.flatnonzero(marks >> k & 1) * size + k for k in range(len(MARKS))]
+            keys = np.unique(np.concatenate(parts).astype(np.int64))
+            n_words, unknown = np.bincount(row, minlength=len(b)), np.bincount(row, ~known, len(b))
+            bare, label = b.column("bare").to_numpy(), b.column("label").to_numpy()
+            noise = (n_words >= LEAST_NOISE) & (unknown >= NOISE_SHARE * n_words) & (bare == 0)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("bare"), b.column("letters"), pa.array(np.where(noise, JUNK, label), pa.int32()), _lists(keys % size, np.bincount(keys // size, minlength=len(b)), pa.int32())],
+                names=[c.split()[0] for c in ENCODED.split(", ")],
+            )
+
+    return encode
 
 
 @dataclass
@@ -146,82 +207,69 @@ class Model:
     weight: np.ndarray
     constant: float
 
-    def odds(self, features: pd.Series) -> np.ndarray:
-        sizes = np.array([len(x) for x in features], dtype=np.int64)
-        out = np.full(len(sizes), self.constant)
-        full = np.flatnonzero(sizes)
-        if len(full):
-            flat = np.concatenate([np.asarray(features.iloc[i], dtype=np.int64) for i in full])
-            at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-            out[full] += np.add.reduceat(self.weight[flat], at)
-        return out
+    def odds(self, features: pa.Array) -> np.ndarray:
+        flat, row = _flat(features)
+        return self.constant + np.bincount(row, self.weight[flat], len(features))
 
 
-def _expected(rows: DataFrame, size: int, model: Model | None, temper: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Expected numbers of passages with each feature, and of passages, per class. Summed in the tasks first."""
+@dataclass
+class Counts:
+    """Passages with each feature, and passages, per class (negative, positive)."""
+
+    table: np.ndarray
+    number: np.ndarray
+
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with_feature, number = np.zeros((2, size)), np.zeros(2)
+def _expected(rows: DataFrame, size: int, model: Model | None, temper: bool = False) -> Counts:
+    """Expected counts per class; trusted passages are positives. Summed in the tasks first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, number = np.zeros((2, size)), np.zeros(2)
         for b in batches:
-            trusted = b["label"].to_numpy() > 0
-            lengths = [len(x) for x in b["features"]]
+            flat, row = _flat(b.column("features"))
             p = np.zeros(len(b))
             if model is not None:
-                odds = model.odds(b["features"]) / (np.maximum(1, lengths) if temper else 1)
+                odds = model.odds(b.column("features")) / (np.maximum(1, np.bincount(row, minlength=len(b))) if temper else 1)
                 p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-            p[trusted] = 1.0
-            if sum(lengths):
-                flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in b["features"]])
-                each = np.repeat(p, lengths)
-                with_feature[1] += np.bincount(flat, each, size)
-                with_feature[0] += np.bincount(flat, 1 - each, size)
+            p[b.column("label").to_numpy() > 0] = 1.0
+            table[1] += np.bincount(flat, p[row], size)
+            table[0] += np.bincount(flat, 1 - p[row], size)
             number += [(1 - p).sum(), p.sum()]
-        f = np.flatnonzero(with_feature.sum(axis=0))
-        yield pd.DataFrame({"f": [-1, *f], "c0": [number[0], *with_feature[0, f]], "c1": [number[1], *with_feature[1, f]]})
+        f = np.flatnonzero(table.sum(axis=0))
+        columns = [pa.array(np.concatenate([[-1], f]), pa.int32()), *[pa.array(np.concatenate([[number[c]], table[c, f]])) for c in (0, 1)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["f", "c0", "c1"])
 
-    partial = rows.select("features", "label").mapInPandas(count, "f int, c0 double, c1 double")
-    table, number = np.zeros((2, size)), np.zeros(2)
+    partial = rows.select("features", "label").mapInArrow(count, "f int, c0 double, c1 double")
+    got = Counts(np.zeros((2, size)), np.zeros(2))
     for f, c0, c1 in partial.groupBy("f").agg(F.sum("c0"), F.sum("c1")).collect():  # a row per word of the bounded vocabulary
         if f < 0:
-            number[:] = c0, c1
+            got.number[:] = c0, c1
         else:
-            table[:, f] = c0, c1
-    return table, number
-
+            got.table[:, f] = c0, c1
+    return got
 
-def background(rows: DataFrame, size: int) -> np.ndarray:
-    """Share of all passages that have each feature."""
-    table, number = _expected(rows, size, None)
-    return table.sum(axis=0) / max(1.0, number.sum())
 
+def fit(counts: Counts, usual: np.ndarray, lend: float = 0.0, common: float = 1.0, prior: Model | None = None) -> Model | None:
+    """Naive Bayes weights from expected counts; None without positives.
 
-def learn(rows: DataFrame, usual: np.ndarray, rounds: int, lend: float = 0.0, common: float = 1.0, temper: bool = False, prior: Model | None = None) -> Model | None:
-    """Naive Bayes from trusted (label > 0) and unlabelled rows by expectation-maximisation; None without trusted rows.
-
-    All unlabelled rows start as negatives, or as ``prior`` has them; each round re-estimates which are not. The
-    weights of ``prior`` are added to those learned. Both classes are
-    smoothed with one passage of the ``usual`` shares, so a word unseen in the few positives counts for as
-    little as it is rare. ``lend`` adds as many usual passages to the positives as it is times their number:
-    for positives that are ordinary passages but for what marks them. Words of more than ``common`` of all
-    passages are left out; they tell the language rather than what is said. ``temper`` estimates with the mean
-    log-odds of a passage's features, which keeps the classes from settling on the first guess; it is for
-    inputs in which neither class is rare.
+    Both classes are smoothed with one passage of the ``usual`` shares, so a word unseen in the few positives
+    counts for as little as it is rare. ``lend`` adds as many usual passages to the positives as it is times
+    their number: for positives that are ordinary passages but for what marks them. Words of more than
+    ``common`` of all passages are left out; they tell the language rather than what is said. The weights of
+    ``prior`` are added to those learned.
     """
-    size, model = len(usual), prior
-    for _ in range(rounds + 1):
-        table, number = _expected(rows, size, model, temper)
-        if number[1] < 0.5:
-            return None
-        extra = np.array([1.0, 1.0 + lend * number[1]])
-        logp = np.log(table + extra[:, None] * np.maximum(usual, 1e-9)) - np.log(number + extra)[:, None]
-        weight = logp[1] - logp[0]
-        weight[table.sum(axis=0) == 0] = 0.0
-        weight[usual > common] = 0.0
-        weight[MARKS.index("§slot")] = 0.0
-        if prior is not None:
-            weight += prior.weight
-        model = Model(weight, float(np.log(number[1] + 0.5) - np.log(number[0] + 0.5)))
-    return model
+    table, number = counts.table, counts.number
+    if number[1] < 0.5:
+        return None
+    extra = np.array([1.0, 1.0 + lend * number[1]])
+    logp = np.log(table + extra[:, None] * np.maximum(usual, 1e-9)) - np.log(number + extra)[:, None]
+    weight = logp[1] - logp[0]
+    weight[table.sum(axis=0) == 0] = 0.0
+    weight[usual > common] = 0.0
+    weight[MARKS.index("§slot")] = 0.0
+    if prior is not None:
+        weight += prior.weight
+    return Model(weight, float(np.log(number[1] + 0.5) - np.log(number[0] + 0.5)))
 
 
 def familiar(usual: np.ndarray, common: float, level: float) -> Model:
@@ -236,13 +284,53 @@ def familiar(usual: np.ndarray, common: float, level: float) -> Model:
     return Model(weight, 0.0)
 
 
+def learn_unfilled(opened: DataFrame, usual: np.ndarray, rounds: int, common: float, level: float) -> Model | None:
+    """Which passages with open places are unfilled, and which are about such places.
+
+    The classes are of like size here. The rounds estimate with the mean log-odds of a passage's features,
+    which keeps them from settling on the first guess.
+    """
+    prior = model = familiar(usual, common, level)
+    for _ in range(rounds + 1):
+        model = fit(_expected(opened, len(usual), model, temper=True), usual, 1.0, common, prior)
+        if model is None:
+            return None
+    return model
+
+
+def _suspects(closed: DataFrame, model: Model) -> DataFrame:
+    """Passages that the model doesn't rule out, and trusted ones."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stays = (model.odds(b.column("features")) > RULED_OUT) | (b.column("label").to_numpy() > 0)
+            yield b.filter(pa.array(stays))
+
+    return closed.select("label", "features").mapInArrow(keep, "label int, features array<int>")
+
+
+def learn_junk(closed: DataFrame, everything: Counts, usual: np.ndarray, rounds: int, passes: int) -> Model | None:
+    """Which passages without open places are junk. All unlabelled ones start as real; each round re-estimates which are not."""
+    model = fit(everything, usual)
+    total, number = everything.table.sum(axis=0), everything.number.sum()
+    for _ in range(passes if model is not None else 0):
+        suspects = stage(_suspects(closed, model), "suspects")
+        for _ in range(rounds):
+            part = _expected(suspects, len(usual), model)
+            counts = Counts(np.stack([total - part.table[1], part.table[1]]), np.array([number - part.number[1], part.number[1]]))
+            model = fit(Counts(np.maximum(counts.table, 0), counts.number), usual)
+        release(suspects)
+    return model
+
+
 def find_residue(
     records: DataFrame,
     id: str = "doc_id",
     text: str = "text",
     least_share: float = 5e-4,
     max_words: int = 200_000,
-    rounds: int = 4,
+    rounds: int = 3,
+    passes: int = 2,
     open_rounds: int = 6,
     common: float = 0.02,
     level: float = 1e-3,
@@ -262,54 +350,44 @@ def find_residue(
     table gives none; columns not named are not read.
     """
     slim = records.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.trim("text") != "")).distinct()
-    tokens = stage(slim.mapInPandas(_read_batches, SCHEMA), "passages")
+    tokens = stage(slim.mapInArrow(_read_batches, TOKENS), "passages")
     least = max(2.0, least_share * tokens.where("n = 0").count())
     frequent = tokens.select(F.explode("fresh").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("w")
-    vocabulary = sorted(r[0] for r in frequent.limit(max_words + 1).collect())
-    if len(vocabulary) > max_words:
+    words = sorted(r[0] for r in frequent.limit(max_words + 1).collect())
+    if len(words) > max_words:
         raise ValueError(f"the vocabulary exceeds {max_words} words")
-    index = {w: i for i, w in enumerate([*MARKS, *vocabulary])}
-    rare, size = index["§rare"], len(index)
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            feats = [sorted({index.get(w, rare) for w in [*words, *marks]}) for words, marks in zip(b["words"], b["marks"])]
-            unknown = np.array([sum(w not in index for w in words) for words in b["words"]])
-            sizes = np.array([len(words) for words in b["words"]])
-            noise = (sizes >= LEAST_NOISE) & (unknown >= NOISE_SHARE * sizes) & (b["bare"] == 0)
-            yield pd.DataFrame({"id": b["id"], "n": b["n"], "bare": b["bare"], "letters": b["letters"], "label": b["label"].mask(noise, JUNK), "features": feats})
-
-    shape = "id bigint, n int, bare int, letters int, label int"
-    encoded = stage(tokens.select("id", "n", "words", "marks", "bare", "letters", "label").mapInPandas(encode, f"{shape}, features array<int>"), "features")
+    encoded = stage(tokens.select("id", "words", "marks", "bare", "letters", "label").mapInArrow(_encoder(np.array(words, dtype=np.int64)), ENCODED), "features")
     release(tokens)
-    closed = encoded.where("bare = 0")
-    usual = background(closed, size)
-    opened = stage(encoded.where("bare > 0"), "open-places")
-    unfilled, junk = learn(opened, usual, open_rounds, lend=1.0, common=common, temper=True, prior=familiar(usual, common, level)), learn(closed, usual, rounds)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    size = len(MARKS) + len(words)
+    closed, opened = encoded.where("bare = 0"), stage(encoded.where("bare > 0"), "open-places")
+    everything = _expected(closed, size, None)
+    usual = everything.table.sum(axis=0) / max(1.0, everything.number.sum())
+    unfilled = learn_unfilled(opened, usual, open_rounds, common, level)
+    junk = learn_junk(closed, everything, usual, rounds, passes)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums per record and batch; a record at a batch's edge gives two rows."""
         for b in batches:
-            odds = np.full(len(b), np.nan)
-            worded = b["letters"].to_numpy() > 0
-            for mask, model in ((b["bare"].to_numpy() > 0, unfilled), ((b["bare"].to_numpy() == 0) & worded, junk)):
-                if model is not None and mask.any():
-                    odds[mask] = model.odds(b["features"][mask])
-            yield pd.DataFrame({"id": b["id"], "n": b["n"], "bare": b["bare"], "letters": b["letters"], "odds": odds})
-
-    scored = stage(encoded.mapInPandas(score, "id bigint, n int, bare int, letters int, odds double"), "scored")
+            bare, letters = b.column("bare").to_numpy() > 0, b.column("letters").to_numpy()
+            of_open = unfilled.odds(b.column("features")) if unfilled is not None else np.full(len(b), -np.inf)
+            of_closed = junk.odds(b.column("features")) if junk is not None else np.full(len(b), -1.0)
+            ids, at = np.unique(b.column("id").to_numpy(), return_inverse=True)
+            most = np.full(len(ids), -np.inf)
+            np.maximum.at(most, at[bare], of_open[bare])
+            counted = ~bare & (letters > 0)
+            hit = np.where(bare, of_open, of_closed) > 0
+            total = lambda x: pa.array(np.bincount(at, x, len(ids)))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(most), total(np.where(counted, of_closed, 0.0)), total(np.where(hit, letters, 0)), total(letters)], names=["id", "most", "closed", "residue", "letters"]
+            )
+
+    scored = encoded.select("id", "bare", "letters", "features").mapInArrow(score, "id bigint, most double, closed double, residue double, letters double")
+    by_record = scored.groupBy("id").agg(F.max("most").alias("most"), F.sum("closed").alias("closed"), F.sum("residue").alias("residue"), F.sum("letters").alias("letters"))
+    is_junk = F.col("closed") > 0
+    found = by_record.where(is_junk | (F.col("most") > 0)).select(
+        F.col("id").alias(id), F.when(is_junk, "junk").otherwise("unfilled").alias("kind"), F.when(is_junk, F.col("closed")).otherwise(F.col("most")).alias("odds"),
+        (F.col("residue") / F.greatest("letters", F.lit(1.0))).alias("share"),
+    )
+    out = stage(found, "residue")
     release(encoded, opened)
-    odds = F.when(~F.isnan("odds"), F.col("odds"))
-    by_record = scored.groupBy("id").agg(
-        F.max(F.when(F.col("bare") > 0, odds)).alias("open"),
-        F.sum(F.when(F.col("bare") == 0, odds)).alias("closed"),
-        F.sum(F.when(((F.col("bare") == 0) & (odds > 0)) | ((F.col("bare") > 0) & (odds > 0)), F.col("letters"))).alias("residue"),
-        F.sum("letters").alias("letters"),
-    )
-    is_open, is_junk = F.coalesce(F.col("open") > 0, F.lit(False)), F.coalesce(F.col("closed") > 0, F.lit(False))
-    found = by_record.where(is_open | is_junk).select(
-        F.col("id").alias(id),
-        F.when(is_junk, "junk").otherwise("unfilled").alias("kind"),
-        F.when(is_junk, F.col("closed")).otherwise(F.col("open")).alias("odds"),
-        (F.coalesce("residue", F.lit(0)) / F.greatest("letters", F.lit(1))).alias("share"),
-    )
-    return stage(found, "residue")
+    return out
