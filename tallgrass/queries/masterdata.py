@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.operators import skewgroups, units, valuecounts
+from tallgrass.plans.staging import stage
 from tallgrass.queries.tables import table
 
 # The columns of the tables, as declared.
@@ -44,7 +45,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def _state(spark: SparkSession, folder: str) -> DataFrame:
     fields = valuecounts.fields_of(table(spark, folder, "field_spec"))
     store = valuecounts.build_store({t: table(spark, folder, t) for t in FIELDS}, fields)
-    return valuecounts.annotate(store.state(), fields)
+    # Written once: the departures read the state several times, each a few of its columns.
+    return stage(valuecounts.annotate(store.state(), fields), "value-counts")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
