@@ -44,7 +44,8 @@ SLOT_SIGN = re.compile(r"[{}<>\[\]$%#@&~«‹]|__|[Xx]{2}|null_|\((?:enter|inser
 ERROR_LINE = re.compile(r"\W*(?:(?:error|fehler|erreur|http status)\s*\d{3}\s*[:–-]|oops!|sorry, |\d{3}\s+[-–]\s+\w)", re.I)
 SCRIPT = re.compile(r"\b(?:java ?script|noscript|(?:active |client-side )scripting|script support)\b", re.I)
 SPLIT = re.compile(r"(?<=[.!?…])\s+|\n+")
-WORD = re.compile(r"[^\W\d_]+|\d+")
+WORD = re.compile(r"[^\W\d_]+")
+DIGIT = re.compile(r"\d")
 MARKS = ["§slot", "§quoted", "§rare", "§number", "§run", "§short", "§long"]
 LONGEST_PERIOD = 6
 
@@ -78,7 +79,7 @@ def has_run(words: list[str]) -> bool:
         streak = 0
         for x, y in zip(words, words[k:]):
             streak = streak + 1 if x == y else 0
-            if streak >= 2 * k and x != "§number":
+            if streak >= 2 * k:
                 return True
     return False
 
@@ -88,7 +89,7 @@ QUICK_SCRIPT = re.compile(r"script", re.I)
 
 @dataclass
 class Passage:
-    words: list[str]
+    words: set[str]
     marks: int
     bare: int
     letters: int
@@ -103,13 +104,13 @@ def read(text: str) -> list[Passage]:
     for i, line in enumerate(lines):
         bare, quoted, rest = slots_of(line)
         found = WORD.findall(rest.lower())
-        words = {w for w in found if not w[0].isdigit()}
-        digits = len(words) < len(set(found))
-        run = i in thrice or (len(found) > 2 and 3 * len(words) <= 2 * len(found) and has_run(["§number" if w[0].isdigit() else w for w in found]))
+        words = set(found)
+        digits = DIGIT.search(rest) is not None
+        run = i in thrice or (len(found) > 2 and 3 * len(words) <= 2 * len(found) and has_run(found))
         trusted = run or (len(found) <= 16 and ERROR_LINE.match(line) is not None)
         trusted = trusted or (len(found) <= 18 and not digits and QUICK_SCRIPT.search(line) is not None and SCRIPT.search(line) is not None)
         marks = (bare > 0) | (quoted > 0) << 1 | digits << 3 | run << 4 | (len(found) <= 3) << 5 | (len(found) > 40) << 6
-        out.append(Passage(sorted(words), marks, bare, sum(map(len, words)), trusted))
+        out.append(Passage(words, marks, bare, sum(map(len, words)), trusted))
     return out
 
 
@@ -142,6 +143,7 @@ def _lists(flat, sizes, kind) -> pa.Array:
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _HASHES
     for batch in batches:
         ids, ns, words, sizes, fresh, fresh_sizes, marks, bare, letters, labels = ([] for _ in range(10))
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -150,14 +152,14 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             junk = len(found) <= SHORT_RECORD and any(p.trusted for p in found)
             seen: set[int] = set()
             for n, p in enumerate(found):
-                h = [hash_word(w) for w in p.words]
-                new = [x for x in h if x not in seen]
-                seen.update(new)
+                h = [known.get(w) or hash_word(w) for w in p.words]
+                new = set(h) - seen
+                seen |= new
                 ids.append(doc)
                 ns.append(n)
                 words += h
                 sizes.append(len(h))
-                fresh += new
+                fresh.extend(new)
                 fresh_sizes.append(len(new))
                 marks.append(p.marks)
                 bare.append(p.bare)
@@ -349,7 +351,7 @@ def find_residue(
     Null and blank texts hold no residue; texts are read whole; repeated rows give one result row; an empty
     table gives none; columns not named are not read.
     """
-    slim = records.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.trim("text") != "")).distinct()
+    slim = records.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.trim("text") != ""))
     tokens = stage(slim.mapInArrow(_read_batches, TOKENS), "passages")
     least = max(2.0, least_share * tokens.where("n = 0").count())
     frequent = tokens.select(F.explode("fresh").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("w")
