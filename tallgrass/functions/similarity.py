@@ -1,13 +1,15 @@
 """Similarities of texts and vectors.
 
-The Arrow functions score distinct pairs of a batch once. ``ratio`` is the normalised indel similarity,
-2 * LCS / (length a + length b), with the longest common subsequence found bit-parallel.
+``ratio`` is the normalised indel similarity, 2 * LCS / (length a + length b), with the longest common
+subsequence found bit-parallel. The Arrow functions score a whole batch of pairs at a time where texts
+have up to 64 letters: one machine word of bits a pair, one step a letter. Longer texts are scored one by one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,24 +88,111 @@ def jaro_winkler(a: str, b: str) -> float:
 METRICS: dict[str, Callable[[str, str], float]] = {"ratio": indel_ratio, "token_sort_ratio": token_sort, "token_set_ratio": token_set, "jaro_winkler": jaro_winkler}
 
 
+WORD_BITS = 64
+CHUNK = 8_192
+
+
+class Batch:
+    """Pairs of texts as rows of letter codes; ``left`` and ``right`` say which text stands in each pair."""
+
+    def __init__(self, left: list[str], right: list[str]):
+        texts: dict[str, int] = {}
+        self.left = np.array([texts.setdefault(t, len(texts)) for t in left])
+        self.right = np.array([texts.setdefault(t, len(texts)) for t in right])
+        self.texts = list(texts)
+        self.sizes = np.array([len(t) for t in self.texts])
+        letters: dict[str, int] = {}
+        self.codes = np.full((len(self.texts), max(1, int(self.sizes.max(initial=0)))), -1, dtype=np.int32)
+        for i, t in enumerate(self.texts):
+            self.codes[i, : len(t)] = [letters.setdefault(c, len(letters)) for c in t]
+        self.n_letters = len(letters)
+
+    def lcs(self) -> np.ndarray:
+        """Lengths of the longest common subsequences; the left texts must fit a machine word."""
+        where = np.zeros((len(self.texts), self.n_letters + 1), dtype=np.uint64)
+        row, at = np.nonzero(self.codes >= 0)
+        fits = at < WORD_BITS
+        np.bitwise_or.at(where, (row[fits], self.codes[row[fits], at[fits]]), np.uint64(1) << at[fits].astype(np.uint64))
+        out = np.empty(len(self.left), dtype=np.int64)
+        for s in range(0, len(out), CHUNK):
+            l, r = self.left[s : s + CHUNK], self.right[s : s + CHUNK]  # noqa: E741
+            state = np.full(len(l), np.iinfo(np.uint64).max, dtype=np.uint64)
+            for k in range(int(self.sizes[r].max(initial=0))):
+                hit = state & where[l, self.codes[r, k]]  # the code of padding is the last, empty column
+                state = (state + hit) | (state - hit)
+            kept = np.where(self.sizes[l] >= WORD_BITS, np.iinfo(np.uint64).max, (np.uint64(1) << np.minimum(self.sizes[l], 63).astype(np.uint64)) - np.uint64(1))
+            out[s : s + CHUNK] = np.bitwise_count(~state & kept)
+        return out
+
+    def jaro_winkler(self) -> np.ndarray:
+        out = np.empty(len(self.left))
+        for s in range(0, len(out), CHUNK):
+            out[s : s + CHUNK] = self._jaro_winkler(self.left[s : s + CHUNK], self.right[s : s + CHUNK])
+        return out
+
+    def _jaro_winkler(self, l: np.ndarray, r: np.ndarray) -> np.ndarray:  # noqa: E741
+        la, lb = self.sizes[l], self.sizes[r]
+        a, b = self.codes[l, : max(1, la.max(initial=0))], self.codes[r, : max(1, lb.max(initial=0))]
+        b = np.where(b < 0, -2, b)
+        reach = np.maximum(0, np.maximum(la, lb) // 2 - 1)
+        free, met = np.ones(b.shape, dtype=bool), np.zeros(a.shape, dtype=bool)
+        rows = np.arange(len(l))
+        place = np.arange(b.shape[1])
+        for i in range(a.shape[1]):
+            near = (b == a[:, i : i + 1]) & free & (np.abs(place - i) <= reach[:, None])
+            first = near.argmax(axis=1)
+            hit = near[rows, first]
+            free[rows[hit], first[hit]] = False
+            met[:, i] = hit
+        taken = ~free
+        n = met.sum(axis=1)
+        # The met letters of either side in their order, side by side.
+        width = int(n.max(initial=0))
+        x = np.take_along_axis(a, np.argsort(~met, axis=1, kind="stable")[:, :width], axis=1)
+        y = np.take_along_axis(b, np.argsort(~taken, axis=1, kind="stable")[:, :width], axis=1)
+        moved = ((x != y) & (np.arange(width) < n[:, None])).sum(axis=1) // 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            jaro = np.where(n > 0, (n / la + n / lb + (n - moved) / n) / 3, 0.0)
+        head = min(4, a.shape[1], b.shape[1])
+        prefix = np.cumprod(a[:, :head] == b[:, :head], axis=1).sum(axis=1) if head else 0
+        score = np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro)
+        return np.where(l == r, 1.0, score)
+
+
+def scores(name: str, left: list[str], right: list[str]) -> np.ndarray:
+    """Similarities of pairs of texts; as METRICS[name] of each pair."""
+    out = np.empty(len(left))
+    if name == "token_sort_ratio":
+        sort = {t: sorted_words(t) for t in {*left, *right}}
+        left, right = [sort[t] for t in left], [sort[t] for t in right]
+    short = np.array([len(a) <= WORD_BITS and len(b) <= WORD_BITS for a, b in zip(left, right)], dtype=bool)
+    if name == "token_set_ratio":
+        short[:] = False
+    at = np.flatnonzero(short)
+    if len(at):
+        batch = Batch([left[i] for i in at], [right[i] for i in at])
+        if name == "jaro_winkler":
+            out[at] = batch.jaro_winkler()
+        else:
+            total = batch.sizes[batch.left] + batch.sizes[batch.right]
+            out[at] = np.where(total == 0, 1.0, 2.0 * batch.lcs() / np.maximum(total, 1))
+    for i in np.flatnonzero(~short):
+        out[i] = METRICS["ratio" if name == "token_sort_ratio" else name](left[i], right[i])
+    return out
+
+
 def metric(name: str) -> Callable[[Column, Column], Column]:
     """An Arrow function for one of :data:`METRICS`; other names raise ValueError. Null if either text is."""
     if name not in METRICS:
         raise ValueError(f"unknown metric {name!r}; known: {', '.join(METRICS)}")
-    score = METRICS[name]
 
     @F.pandas_udf(T.DoubleType())
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], float] = {}
-        out = []
-        for pair in zip(left, right):
-            if pair[0] is None or pair[1] is None:
-                out.append(None)
-                continue
-            if pair not in known:
-                known[pair] = score(*pair)
-            out.append(known[pair])
-        return pd.Series(out, dtype="float64")
+        known = (left.notna() & right.notna()).to_numpy()
+        out = pd.Series(np.nan, index=left.index, dtype="float64").astype(object).where(known, None)
+        if known.any():
+            out[known] = scores(name, left[known].tolist(), right[known].tolist())
+        return out.astype("Float64")
 
     return run
 

@@ -3,7 +3,7 @@
 Iterative operators write each step as Parquet below ``spark.checkpoint.dir``.
 Unlike a cached or locally checkpointed frame such a step survives the loss of
 any executor, is columnar, and carries row counts in its footers. Where the
-session names no folder (tests, notebooks) a private temporary one is used.
+session is local and names no folder (tests, notebooks) a private temporary one is used.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         folder = tempfile.TemporaryDirectory(prefix="tallgrass-")

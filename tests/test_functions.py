@@ -60,6 +60,15 @@ def test_lcs_against_the_table(a, b):
         assert 0 <= f(a, b) <= 1 and abs(f(a, b) - f(b, a)) < 0.2
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.text("abcä 1", max_size=20), st.text("abcä 1", max_size=70)), max_size=12))
+def test_batches_equal_single_scores(pairs):
+    left, right = [a for a, _ in pairs] + ["x" * 64, "x" * 65, "", "ab" * 32], [b for _, b in pairs] + ["x" * 64, "x" * 64, "", "ba" * 32]
+    for name, one in similarity.METRICS.items():
+        assert similarity.scores(name, left, right).tolist() == pytest.approx([one(a, b) for a, b in zip(left, right)], abs=1e-12)
+    assert similarity.scores("ratio", [], []).tolist() == []
+
+
 def test_arrow_metric_and_cosine(spark):
     df = spark.createDataFrame([("ab", "ab", [1.0, 0.0], [0.0, 2.0]), (None, "a", [0.0, 0.0], [1.0, 1.0]), ("ab", "ac", [1.0, 1.0], [2.0, 2.0])], "a string, b string, x array<float>, y array<float>")
     got = df.select(similarity.metric("ratio")("a", "b"), similarity.cosine(F.col("x"), F.col("y"))).collect()
