@@ -14,6 +14,7 @@ from tallgrass.functions.similarity import METRICS, cosine, metric
 from tallgrass.functions.text import MATERIAL_WORDS, digit_signature, disagreement, material_signature, normalise, signatures_differ
 from tallgrass.operators.compile import to_column
 from tallgrass.operators.ir import Predicate
+from tallgrass.plans.lookup import broadcast_if_small
 from tallgrass.plans.staging import release, stage
 
 MOST_BAND = 0.99
@@ -101,6 +102,36 @@ def block_sizes(found: DataFrame) -> DataFrame:
     return kept.groupBy("block").agg(F.count(F.lit(1)).alias("n_records")).withColumn("n_pairs", (F.col("n_records") * (F.col("n_records") - 1) / 2).cast("bigint"))
 
 
+#: Distinct texts of a block that meet in one task, on either side.
+CHUNK = 512
+#: Pairs that a task compares, and tasks at most.
+PAIRS_A_TASK, MOST_PARTS = 200_000, 20_000
+
+
+def _block_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs of texts within blocks, the smaller left, each once; a text that stands in several records also meets itself.
+
+    A block is cut into chunks of about CHUNK texts by hash, and pairs of chunks are the join key, so a block
+    that holds most texts is spread over as many tasks as its pairs ask for. Each text is sent once per chunk
+    of its block. The number of partitions follows the number of pairs, not the bytes sent, which say nothing here.
+    """
+    sizes = texts.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"), (F.count(F.lit(1)) * (F.count(F.lit(1)) + 1) / 2).alias("pairs"))
+    parts = max(1, min(MOST_PARTS, int((sizes.agg(F.sum("pairs")).first()[0] or 0) // PAIRS_A_TASK)))
+    sizes = sizes.select("block", "chunks")
+    cut = texts.join(broadcast_if_small(sizes), "block").withColumn("chunk", F.pmod(F.xxhash64("norm"), F.col("chunks")))
+    text = F.struct("norm", "size", "k", "d", "m")
+    a = cut.select("block", F.col("chunk").alias("i"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("j"), text.alias("a"))
+    b = cut.select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunk"))).alias("i"), F.col("chunk").alias("j"), text.alias("b"))
+    one = (F.col("i") != F.col("j")) | (F.col("a.norm") < F.col("b.norm")) | ((F.col("a.norm") == F.col("b.norm")) & (F.col("a.k") > 1))
+    swap = F.col("a.norm") > F.col("b.norm")
+    side = lambda x, y, f: F.when(swap, F.col(f"{y}.{f}")).otherwise(F.col(f"{x}.{f}"))
+    a, b = (x.repartition(parts, "block", "i", "j") for x in (a, b))
+    return a.join(b, ["block", "i", "j"]).where(one).select(
+        "block", side("a", "b", "norm").alias("left_norm"), side("b", "a", "norm").alias("right_norm"), side("a", "b", "size").alias("ls"), side("b", "a", "size").alias("rs"),
+        side("a", "b", "d").alias("ld"), side("b", "a", "d").alias("rd"), side("a", "b", "m").alias("lm"), side("b", "a", "m").alias("rm"),
+    )
+
+
 def score_pairs(found: DataFrame, m: Matching, vector: str | None = None, count_vetoes: bool = False) -> DataFrame:
     """(block, left_id, right_id, raw, score, veto): pairs that may reach the review band.
 
@@ -116,11 +147,9 @@ def score_pairs(found: DataFrame, m: Matching, vector: str | None = None, count_
     signs = {"size": F.length(n), "d": digit_signature(n), "m": material_signature(n, m.materials)}
     # Written once: each side of the self-join would otherwise normalise and sign all texts again.
     texts = stage(kept.groupBy("block", "norm").agg(F.count(F.lit(1)).alias("k")).withColumns(signs), "block-texts")
-    a = texts.select("block", n.alias("left_norm"), F.col("size").alias("ls"), F.col("k").alias("lk"), F.col("d").alias("ld"), F.col("m").alias("lm"))
-    b = texts.select("block", n.alias("right_norm"), F.col("size").alias("rs"), F.col("d").alias("rd"), F.col("m").alias("rm"))
-    pairs = a.join(b, "block").where((F.col("left_norm") < F.col("right_norm")) | ((F.col("left_norm") == F.col("right_norm")) & (F.col("lk") > 1)))
-    alone = m.shares[1] == 0 and m.metric in ("ratio", "token_sort_ratio")
-    if alone:
+    pairs = _block_pairs(texts)
+    text_only = m.shares[1] == 0
+    if text_only and m.metric in ("ratio", "token_sort_ratio"):
         pairs = pairs.where(2 * F.least("ls", "rs") / (F.col("ls") + F.col("rs")) >= min(low, m.veto_cap))
     pairs = pairs.withColumn("veto_by", signatures_differ(F.col("ld"), F.col("rd"), F.col("lm"), F.col("rm")))
     if m.veto_cap < low and not count_vetoes:
@@ -128,7 +157,7 @@ def score_pairs(found: DataFrame, m: Matching, vector: str | None = None, count_
     # The reference's scores are single precision; bands compare them as doubles.
     fuzzy = metric(m.metric)(F.col("left_norm"), F.col("right_norm"))
     scored = pairs.select("block", "left_norm", "right_norm", fuzzy.alias("fuzzy"), "veto_by")
-    if alone:
+    if text_only:
         scored = scored.where(F.col("fuzzy") >= min(low, m.veto_cap))
     l = kept.select("block", F.col("norm").alias("left_norm"), F.col("key").alias("lkey"), *([F.col("vector").alias("lv")] if vector else []))  # noqa: E741
     r = kept.select("block", F.col("norm").alias("right_norm"), F.col("key").alias("rkey"), *([F.col("vector").alias("rv")] if vector else []))

@@ -116,3 +116,15 @@ def test_components_of_a_long_chain(spark):
     got = matching.components(edges)
     assert got.count() == 61 and got.select("root").distinct().collect()[0][0] == 0
     assert matching.components(edges.limit(0)).count() == 0
+
+
+def test_a_block_cut_into_chunks_keeps_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(matching, "CHUNK", 3)
+    monkeypatch.setattr(matching, "PAIRS_A_TASK", 40)
+    rows = [(f"{i:03d}", "b", f"item {i % 25} x") for i in range(30)] + [("900", "c", "item 1 x"), ("901", "c", "item 2 x")]
+    df = spark.createDataFrame(rows, "k string, t string, text string")
+    m = Matching(block=("t",), metric="ratio", duplicate=0.99, review_low=0.5, veto_cap=1.0)
+    got = matching.score_pairs(matching.candidates(df, "k", "text", m), m)
+    want = {(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[1] == b[1] and similarity.indel_ratio(a[2], b[2]) >= 0.5}
+    pairs = [(r["left_id"], r["right_id"]) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
