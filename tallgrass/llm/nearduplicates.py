@@ -2,12 +2,9 @@
 
 The wording of each record is brought to a set of tokens: sizes are written one way, slips and short
 forms are replaced by the frequent word they stand for, words that say nothing are left out. Equal sets
-of one block are one class. The classes get signatures of universal hash minima, cut into bands; classes
-that share a band and hold a word the spelling model could not place are compared by signature and then
-token by token; what matches is joined by alternating large-star and small-star.
-
-Two classes whose words are all established and whose sets differ name different items by definition, so
-only classes with an unplaced word probe the buckets. This loses no pair and keeps full buckets linear.
+of one block are one class. All classes enter buckets, the bands of their signatures of universal hash
+minima. Classes that share a bucket are compared by signature and then token by token; what matches is
+joined by alternating large-star and small-star.
 """
 
 from __future__ import annotations
@@ -31,6 +28,9 @@ SIZE_UNITS = {"kg": ["kg", "kgs", "kilo", "kilos"], "g": ["g", "gr", "grm", "gra
 
 MARK = "~"
 
+#: Classes of one bucket that meet in one task, on either side.
+CHUNK = 512
+
 
 def code(column: Column) -> Column:
     """A trimmed code: no blanks at either end, upper case."""
@@ -84,7 +84,7 @@ def replacements(texts: DataFrame, empty_words: Sequence[str] = EMPTY_WORDS, lea
 
 
 def token_sets(records: DataFrame, **how) -> DataFrame:
-    """``records`` (id, block columns, text) with ``item``: the sorted set of its tokens, and ``unplaced``: whether a word is rare."""
+    """``records`` (id, block columns, text) with ``item``: the sorted set of its tokens, a word that is rare and stands for no other with MARK before it."""
     rows = stage(records.withColumn("tokens", tokens(F.col("text"))), "tokens")
     table = replacements(rows, **how)
     pairs = rows.select("id", F.explode(F.array_distinct(F.filter("tokens", _is_word))).alias("word"))
@@ -94,16 +94,16 @@ def token_sets(records: DataFrame, **how) -> DataFrame:
     joined = rows.join(maps, "id", "left")
     written = F.transform("tokens", lambda x: F.coalesce(F.when(F.col("swap").isNull(), x).otherwise(F.try_element_at("swap", x)), x))
     item = F.array_sort(F.array_distinct(F.filter(written, lambda x: x != "")))
-    out = stage(joined.withColumn("item", item).drop("tokens", "swap").withColumn("unplaced", F.exists("item", lambda x: x.startswith(MARK))), "token-sets")
+    out = stage(joined.withColumn("item", item).drop("tokens", "swap"), "token-sets")
     release(rows, table)
     return out
 
 
 def _same(a: Column, b: Column) -> Column:
-    """Whether two token sets, the first with an unplaced word, name the same item.
+    """Whether two different token sets name the same item.
 
-    They do if one has only an unplaced word more, or if they differ in one word each, not a size or
-    mark, of which one is unplaced and within two edits of the other.
+    They do if one has only unplaced words more, or if they differ in one word each, not a size or
+    mark, of which one is unplaced and within two edits of the other. Sets of established words don't.
     """
     only_a, only_b = F.array_except(a, b), F.array_except(b, a)
     rare = lambda x: x.startswith(MARK)
@@ -140,9 +140,9 @@ def group_items(
     one_text = slim.withColumn("rid", F.col("id")).withColumn("id", F.struct("rid", "text"))
     sets = token_sets(one_text.select("id", *names, "text"), empty_words=empty_words)
     named = (F.size(F.filter("item", lambda x: ~_is_word(x))) > 0) & (F.size(F.filter("item", _is_word)) >= least_words)
-    items = sets.where(named).select(F.col("id.rid").alias("id"), *names, "item", "unplaced")
-    classes = stage(items.groupBy(*names, "item").agg(F.min("id").alias("rep"), F.max("unplaced").alias("unplaced")), "classes")
-    links = stage(_links(classes, names, bands, rows, least_similarity), "links")
+    items = sets.where(named).select(F.col("id.rid").alias("id"), *names, "item")
+    classes = stage(items.groupBy(*names, "item").agg(F.min("id").alias("rep")), "classes")
+    links = _links(classes, names, bands, rows, least_similarity)
     members = items.join(classes.select(*names, "item", "rep"), [*names, "item"]).select("id", *names, F.col("rep").alias("member"))
     if links.isEmpty():
         out = members.select("id", *names, F.col("member").alias("item_id"))
@@ -155,20 +155,37 @@ def group_items(
     return result.select(F.col("id").alias(id), *[F.col(n).alias(c) for c, n in zip(block, names)], "item_id")
 
 
+def _met(keyed: DataFrame, names: list[str]) -> DataFrame:
+    """(*names, left_rep, right_rep): pairs of representatives that share a bucket, the smaller left, each once.
+
+    A bucket is cut into chunks of about CHUNK classes by hash, and pairs of chunks are the join key, so a full
+    bucket is spread over tasks.
+    """
+    by = [*names, "band", "key"]
+    sizes = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by, F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    cut = stage(keyed.join(sizes, by).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))), "buckets")
+    a = cut.select(*by, F.col("chunk").alias("i"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("j"), F.col("rep").alias("a"))
+    b = cut.select(*by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunk"))).alias("i"), F.col("chunk").alias("j"), F.col("rep").alias("b"))
+    pairs = a.join(b, [*by, "i", "j"]).where((F.col("a") < F.col("b")) | ((F.col("i") != F.col("j")) & (F.col("a") != F.col("b"))))
+    met = stage(pairs.select(*names, F.least("a", "b").alias("left_rep"), F.greatest("a", "b").alias("right_rep")).distinct(), "met")
+    release(cut)
+    return met
+
+
 def _links(classes: DataFrame, names: list[str], bands: int, rows: int, least_similarity: float) -> DataFrame:
     """Pairs of class representatives, as structs of block and representative, that name the same item."""
-    if classes.where("unplaced").isEmpty():
-        return classes.select(F.struct(*names, "rep").alias("left"), F.struct(*names, "rep").alias("right")).limit(0)
     sign = signer(bands, rows)
-    hashes = F.transform("item", lambda x: F.xxhash64(x))
-    signed = stage(classes.withColumn("s", sign(hashes)).select(*names, "rep", "item", "unplaced", "s.bands", "s.minima"), "signatures")
-    keyed = signed.select(*names, "rep", "unplaced", F.posexplode("bands").alias("band", "key"))
-    probe = keyed.where("unplaced").select(*names, "band", "key", F.col("rep").alias("left_rep"))
-    met = keyed.join(probe, [*names, "band", "key"]).where("rep <> left_rep").select(*names, "left_rep", F.col("rep").alias("right_rep")).distinct()
-    side = lambda p: signed.select(*names, F.col("rep").alias(f"{p}_rep"), F.col("item").alias(f"{p}_item"), F.col("minima").alias(f"{p}_minima"))
+    signature = lambda item: sign(F.transform(item, lambda x: F.xxhash64(x)))
+    banded = classes.select(*names, "rep", F.posexplode(signature(F.col("item"))["bands"]).alias("band", "key"))
+    met = _met(banded, names)
+    side = lambda p: classes.select(*names, F.col("rep").alias(f"{p}_rep"), F.col("item").alias(f"{p}_item"))
     full = met.join(side("left"), [*names, "left_rep"]).join(side("right"), [*names, "right_rep"])
-    alike = full.where(agreement("left_minima", "right_minima") >= least_similarity).where(_same(F.col("left_item"), F.col("right_item")))
-    return alike.select(F.struct(*names, F.col("left_rep").alias("rep")).alias("left"), F.struct(*names, F.col("right_rep").alias("rep")).alias("right"))
+    # Signed again here, as so few classes meet another that signatures cost less to make than to keep.
+    likeness = agreement(signature(F.col("left_item"))["minima"], signature(F.col("right_item"))["minima"])
+    alike = full.withColumn("likeness", likeness).where(F.col("likeness") >= least_similarity).where(_same(F.col("left_item"), F.col("right_item")))
+    links = stage(alike.select(F.struct(*names, F.col("left_rep").alias("rep")).alias("left"), F.struct(*names, F.col("right_rep").alias("rep")).alias("right")), "links")
+    release(met)
+    return links
 
 
 def material_items(mara: DataFrame, makt: DataFrame, language: str = "E") -> DataFrame:

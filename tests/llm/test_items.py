@@ -61,6 +61,27 @@ def test_an_unplaced_word_is_compared_by_signature(spark):
     assert sorted(map(sorted, groups(corpus(spark, extra)))) == [["a1", "a2"]]
 
 
+def test_classes_of_established_words_are_compared(spark, monkeypatch):
+    met, pairs = nd._met, set()
+
+    def watched(*how):
+        df = met(*how)
+        pairs.update((r["left_rep"], r["right_rep"]) for r in df.collect())
+        return df
+
+    monkeypatch.setattr(nd, "_met", watched)
+    assert groups(corpus(spark)) == []
+    assert pairs
+
+
+def test_a_full_bucket_is_cut_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CHUNK", 3)
+    keyed = spark.createDataFrame([("x", 0, 7, f"r{i:02d}") for i in range(25)] + [("y", 0, 7, "r00"), ("y", 0, 7, "r99"), ("z", 0, 7, "r00")], "b0 string, band int, key long, rep string")
+    got = [tuple(r) for r in nd._met(keyed, ["b0"]).collect()]
+    want = {("x", f"r{i:02d}", f"r{j:02d}") for i in range(25) for j in range(i + 1, 25)} | {("y", "r00", "r99")}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_pairs_of_a_class(spark):
     items = spark.createDataFrame([("c", "x", "y", "1"), ("a", "x", "y", "1"), ("b", "x", "y", "1"), ("a", "x", "z", "1")], "matnr string, mtart string, meins string, item_id string")
     got = sorted(map(tuple, nd.item_pairs(items).collect()))
