@@ -2,9 +2,13 @@
 
 The wording of each record is brought to a set of tokens: sizes are written one way, slips and short
 forms are replaced by the frequent word they stand for, words that say nothing are left out. Equal sets
-of one block are one class. All classes enter buckets, the bands of their signatures of universal hash
-minima. Classes that share a bucket are compared by signature and then token by token; what matches is
-joined by alternating large-star and small-star.
+of one block are one class. All classes enter buckets: the bands of their signatures of universal hash
+minima, and exact keys of the set without one word each and without its unplaced words. Classes that share
+a bucket are compared by signature and then token by token; what matches is joined by alternating
+large-star and small-star.
+
+What the token check accepts is a set with unplaced words more, or one word swapped; both share an exact
+key, so no accepted pair depends on the chance of sharing a band.
 """
 
 from __future__ import annotations
@@ -124,7 +128,7 @@ def group_items(
     block: Sequence[str],
     bands: int = 16,
     rows: int = 8,
-    least_similarity: float = 0.6,
+    least_similarity: float = 0.3,
     least_words: int = 2,
     empty_words: Sequence[str] = EMPTY_WORDS,
 ) -> DataFrame:
@@ -133,6 +137,8 @@ def group_items(
     Only records of equal, non-null ``block`` values can be the same. A text needs a size and
     ``least_words`` words to name an item; null, blank and useless texts are left out. Repeated rows
     count once; a record with several texts is in the item of each. Columns not named are not read.
+    Pairs whose signatures estimate that less than ``least_similarity`` of the smaller set is shared are
+    not compared token by token; accepted pairs share at least two thirds of it.
     """
     names = [f"b{i}" for i in range(len(block))]
     slim = records.select(F.col(id).alias("id"), *[F.col(c).alias(n) for c, n in zip(block, names)], F.col(text).alias("text"))
@@ -155,6 +161,12 @@ def group_items(
     return result.select(F.col("id").alias(id), *[F.col(n).alias(c) for c, n in zip(block, names)], "item_id")
 
 
+def _bucket_keys(item: Column) -> Column:
+    """Hashes of a token set as it is, without each one of its words, and without its unplaced words."""
+    less = F.transform(F.filter(item, _is_word), lambda w: F.xxhash64(F.array_remove(item, w)))
+    return F.array_distinct(F.concat(F.array(F.xxhash64(item)), less, F.array(F.xxhash64(F.filter(item, lambda x: ~x.startswith(MARK))))))
+
+
 def _met(keyed: DataFrame, names: list[str]) -> DataFrame:
     """(*names, left_rep, right_rep): pairs of representatives that share a bucket, the smaller left, each once.
 
@@ -177,12 +189,16 @@ def _links(classes: DataFrame, names: list[str], bands: int, rows: int, least_si
     sign = signer(bands, rows)
     signature = lambda item: sign(F.transform(item, lambda x: F.xxhash64(x)))
     banded = classes.select(*names, "rep", F.posexplode(signature(F.col("item"))["bands"]).alias("band", "key"))
-    met = _met(banded, names)
+    exact = classes.select(*names, "rep", F.lit(-1).alias("band"), F.explode(_bucket_keys(F.col("item"))).alias("key"))
+    met = _met(banded.unionByName(exact), names)
     side = lambda p: classes.select(*names, F.col("rep").alias(f"{p}_rep"), F.col("item").alias(f"{p}_item"))
     full = met.join(side("left"), [*names, "left_rep"]).join(side("right"), [*names, "right_rep"])
     # Signed again here, as so few classes meet another that signatures cost less to make than to keep.
     likeness = agreement(signature(F.col("left_item"))["minima"], signature(F.col("right_item"))["minima"])
-    alike = full.withColumn("likeness", likeness).where(F.col("likeness") >= least_similarity).where(_same(F.col("left_item"), F.col("right_item")))
+    # The part of the smaller set that is shared, by the estimate of the Jaccard similarity.
+    smaller, both = F.least(F.size("left_item"), F.size("right_item")), F.size("left_item") + F.size("right_item")
+    shared = F.col("likeness") * both / (1 + F.col("likeness")) / smaller
+    alike = full.withColumn("likeness", likeness).where(shared >= least_similarity).where(_same(F.col("left_item"), F.col("right_item")))
     links = stage(alike.select(F.struct(*names, F.col("left_rep").alias("rep")).alias("left"), F.struct(*names, F.col("right_rep").alias("rep")).alias("right")), "links")
     release(met)
     return links

@@ -61,6 +61,20 @@ def test_an_unplaced_word_is_compared_by_signature(spark):
     assert sorted(map(sorted, groups(corpus(spark, extra)))) == [["a1", "a2"]]
 
 
+def test_swapped_and_added_words_are_all_found(spark):
+    # 120 items of which each has a partner with one word two edits off, or with unplaced words more.
+    rng = np.random.default_rng(5)
+    slip = lambda i: "".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 9)) + str(i).translate(str.maketrans("0123456789", "abcdefghij"))
+    extra = []
+    for i in range(120):
+        word, other = slip(i), slip(i + 500)
+        base = ["Washer", f"10x{100 + i}", "Copper", "ET"][: 2 + i % 3]
+        extra += [(f"s{i:03d}a", "HALB", "ST", " ".join([*base, word])), (f"s{i:03d}b", "HALB", "ST", " ".join([*base, "qq" + word[2:]]))]
+        extra += [(f"t{i:03d}a", "HALB", "ST", " ".join(["Hollow", *base])), (f"t{i:03d}b", "HALB", "ST", " ".join(["Hollow", *base, word[::-1], other[: 5 + i % 3], other[::-1]]))]
+    got = sorted(map(sorted, groups(corpus(spark, extra))))
+    assert got == sorted([f"{k}{i:03d}a", f"{k}{i:03d}b"] for k in "st" for i in range(120))
+
+
 def test_classes_of_established_words_are_compared(spark, monkeypatch):
     met, pairs = nd._met, set()
 
@@ -71,7 +85,9 @@ def test_classes_of_established_words_are_compared(spark, monkeypatch):
 
     monkeypatch.setattr(nd, "_met", watched)
     assert groups(corpus(spark)) == []
-    assert pairs
+    # All pairs of records that differ in one word, by the exact keys alone.
+    want = {(f"m{i:04d}", f"m{j:04d}") for i, a in enumerate(itertools.product(FORMS, THINGS, STUFF)) for j, b in enumerate(itertools.product(FORMS, THINGS, STUFF)) if i < j and i % 3 == j % 3 and sum(x != y for x, y in zip(a, b)) == 1}
+    assert want and want <= pairs
 
 
 def test_a_full_bucket_is_cut_without_loss(spark, monkeypatch):
