@@ -23,7 +23,7 @@ REASONS = ["validity_failed", "no_description", "no_blocking_key", "block_too_la
 
 @dataclass(frozen=True)
 class Matching:
-    """Settings, checked on creation."""
+    """Settings, checked on creation. Blocks of more than ``most_block_pairs`` pairs are held back; None compares all."""
 
     block: tuple[str, ...] = ()
     compare: str = "text"
@@ -34,7 +34,7 @@ class Matching:
     review_low: float = 0.80
     veto_cap: float = 0.75
     materials: tuple[str, ...] = field(default=tuple(MATERIAL_WORDS))
-    most_block_pairs: int = 20_000_000
+    most_block_pairs: int | None = None
 
     def __post_init__(self):
         if self.metric not in METRICS:
@@ -84,10 +84,12 @@ def candidates(records: DataFrame, key: str, text: str, m: Matching, excluded: D
         rows = rows.withColumn("out", F.lit(None).cast("boolean"))
     early = F.when(F.col("out"), REASONS[0]).when(F.col("norm") == "", REASONS[1]).when(F.col("blank"), REASONS[2])
     rows = rows.withColumn("early", early)
-    sizes = rows.where("early is null").groupBy("block").agg(F.count(F.lit(1)).alias("k"))
-    large = sizes.where(F.col("k") * (F.col("k") - 1) / 2 > m.most_block_pairs).select("block", F.lit(True).alias("large"))
-    # A block that is too large has over sqrt(2 * most_block_pairs) records, so such blocks are few.
-    rows = rows.join(F.broadcast(large), "block", "left")
+    if m.most_block_pairs is None:
+        rows = rows.withColumn("large", F.lit(None).cast("boolean"))
+    else:
+        sizes = rows.where("early is null").groupBy("block").agg(F.count(F.lit(1)).alias("k"))
+        large = sizes.where(F.col("k") * (F.col("k") - 1) / 2 > m.most_block_pairs).select("block", F.lit(True).alias("large"))
+        rows = rows.join(broadcast_if_small(large), "block", "left")
     reason = F.coalesce("early", F.when(F.col("large"), REASONS[3]))
     return rows.select("key", "text", "norm", "block", *(["vector"] if vector else []), reason.alias("reason"))
 

@@ -74,6 +74,18 @@ def test_hold_backs_in_order(spark):
     assert [r["key"] for r in scoped.collect()] == ["E"]
 
 
+def test_a_block_of_over_20_million_pairs_is_compared(spark):
+    # 6,400 records with numbers of their own, which the veto keeps apart, and two pairs to be found.
+    texts = spark.range(6_400).select(F.format_string("k%05d", "id").alias("k"), F.lit("b").alias("t"), F.format_string("bolt %d", "id").alias("text"))
+    more = spark.createDataFrame([("x1", "b", "Housing Unit 77"), ("x2", "b", "Unit, Housing 77"), ("k99999", "b", "BOLT 5")], "k string, t string, text string")
+    m = Matching(block=("t",), metric="token_sort_ratio")
+    found = matching.candidates(texts.unionByName(more), "k", "text", m)
+    assert found.where("reason is not null").count() == 0
+    assert matching.block_sizes(found).first()["n_pairs"] == 6_403 * 6_402 // 2 > 20_000_000
+    bands = matching.banded(matching.score_pairs(found, m), m)
+    assert sorted((r["left_id"], r["right_id"], r["band"]) for r in bands.collect()) == [("k00005", "k99999", "duplicate"), ("x1", "x2", "duplicate")]
+
+
 def test_length_bound_loses_nothing_and_spread_adds_up(spark, small):
     from tallgrass.queries import quality
 
