@@ -18,8 +18,8 @@ def signer(bands: int = 16, rows: int = 8, seed: int = 20_24) -> Callable[[Colum
     """A column function from an array of token hashes to (bands, minima).
 
     Token hashes are reduced to the field of PRIME; each of the ``bands * rows`` functions is
-    a * x + b mod PRIME with a and b drawn once from ``seed``. ``minima`` packs the minima as 32-bit
-    integers; ``bands`` has one 64-bit key per band. An empty array gives null.
+    a * x + b mod PRIME with a and b drawn once from ``seed``. ``minima`` packs the lowest 16 bits of each
+    minimum; ``bands`` has one 64-bit key of whole minima per band. An empty array gives null.
     """
     rng = np.random.default_rng(seed)
     k = bands * rows
@@ -46,7 +46,7 @@ def signer(bands: int = 16, rows: int = 8, seed: int = 20_24) -> Callable[[Colum
             with np.errstate(over="ignore"):
                 keys = (minima * mix).reshape(len(full), bands, rows)
                 keys = np.bitwise_xor.reduce(keys ^ (keys >> np.uint64(29)), axis=2).view(np.int64)
-            packed = minima.astype(np.uint32)
+            packed = minima.astype(np.uint16)
             for r, i in enumerate(full):
                 out_bands[start + i] = keys[r]
                 out_minima[start + i] = packed[r].tobytes()
@@ -57,5 +57,5 @@ def signer(bands: int = 16, rows: int = 8, seed: int = 20_24) -> Callable[[Colum
 
 @F.pandas_udf(T.DoubleType())
 def agreement(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Share of equal minima of two signatures: the estimate of the sets' Jaccard similarity."""
-    return pd.Series([float(np.mean(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32))) for x, y in zip(left, right)], dtype=float)
+    """Share of equal packed minima of two signatures: the estimate of the sets' Jaccard similarity."""
+    return pd.Series([float(np.mean(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16))) for x, y in zip(left, right)], dtype=float)

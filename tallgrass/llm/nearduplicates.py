@@ -1,11 +1,11 @@
 """Records that name the same item, though written a little differently each time.
 
-Equal wordings are one record of the search. Each wording is brought to a set of tokens: sizes are written
-one way, slips and short forms are replaced by the frequent word they stand for, words that say nothing are
-left out. All wordings are signed by universal hash minima of their words; a different size is a different
-item, so sizes are part of every bucket. Wordings whose whole signature is the same meet in one bucket, at
-its first one; the first ones enter the buckets of their bands. What meets is verified by signature, then
-token by token, and joined by alternating large-star and small-star.
+Each wording is brought to a set of tokens: sizes are written one way, slips and short forms are replaced by
+the frequent word they stand for, words that say nothing are left out. All wordings are signed by universal
+hash minima of their words; a different size is a different item, so sizes are part of every bucket. Wordings
+whose whole signature is the same meet in one bucket, at its first one; the first ones enter the buckets of
+their bands. What meets is verified by signature, then token by token, and joined by alternating large-star
+and small-star.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tallgrass.llm.components import stars
 from tallgrass.llm.minhash import agreement, signer
 from tallgrass.llm.spelling import surplus_words, usual_number, writings
-from tallgrass.plans.lookup import BROADCAST_ROWS, HEAVY_SHARE, lookup
+from tallgrass.plans.lookup import BROADCAST_ROWS, HEAVY_SHARE, broadcast_if_small, lookup
 from tallgrass.plans.staging import release, stage
 
 # Words that say nothing about an item; more are learned from the texts.
@@ -102,10 +102,12 @@ def _placed(wordings: DataFrame, table: DataFrame) -> DataFrame:
             return raw.map(lambda xs: sorted({swap.get(x, x) for x in xs} - {""}))
 
         return wordings.withColumn("item", write("raw"))
-    pairs = wordings.select("w", F.explode(F.filter("raw", _is_word)).alias("word"))
+    key = F.struct("id", "raw").alias("w")
+    pairs = wordings.select(key, F.explode(F.filter("raw", _is_word)).alias("word"))
     maps = lookup(pairs, table, "word").groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("word", "target"))).alias("swap"))  # one text's words
     written = F.transform("raw", lambda x: F.coalesce(F.when(F.col("swap").isNull(), x).otherwise(F.try_element_at("swap", x)), x))
-    return wordings.join(maps, "w", "left").withColumn("item", F.array_sort(F.array_distinct(F.filter(written, lambda x: x != "")))).drop("swap")
+    joined = wordings.withColumn("w", key).join(maps, "w", "left")
+    return joined.withColumn("item", F.array_sort(F.array_distinct(F.filter(written, lambda x: x != "")))).drop("swap", "w")
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -152,70 +154,75 @@ def group_items(
     slim = records.select(F.col(id).alias("id"), *[F.col(c).alias(n) for c, n in zip(block, names)], F.col(text).alias("text"))
     slim = slim.dropna(subset=["id", "text", *names]).distinct()
     read = slim.select("id", *names, F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("raw")).where(F.size("raw") > 0)
-    texts = stage(read.withColumn("w", F.struct(*names, "raw")).select("id", "w", "raw"), "tokens")
+    texts = stage(read, "tokens")
     table = replacements(texts, empty_words=empty_words)
-    # Copies of a wording are searched for once, under the smallest of their records.
-    wordings = texts.groupBy("w").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("raw", F.col("w.raw"))
-    named = (F.size(F.filter("item", lambda x: ~_is_word(x))) > 0) & (F.size(F.filter("item", _is_word)) >= least_words)
-    vertex = F.struct("rep", F.xxhash64("w").alias("h")).alias("v")
-    classes = stage(_placed(wordings, table).where(named).select("w", vertex, "n", "item"), "wordings")
-    signed = _signed(classes, names, bands, rows)
-    links = _links(signed, bands, rows, least_similarity)
-    joined = stars(links, "left", "right")
-    items = stage(classes.join(joined.select(F.col("member").alias("v"), "component"), "v", "left").select("w", "n", F.coalesce("component", "v")["rep"].alias("item_id")), "class-items")
-    # A wording that many records have is known from its count and joined around the shuffle.
-    total = texts.count()
-    members = lookup(texts.select("id", "w"), items.select("w", "item_id"), "w", items.where(F.col("n") > total / HEAVY_SHARE).select("w"))
-    result = stage(members.select("id", *[F.col(f"w.{n}").alias(n) for n in names], "item_id").distinct(), "items")
-    release(texts, table, classes, signed, links, joined, items)
+    signed = _signed(_placed(texts, table), names, bands, rows, least_words)
+    links = _links(signed, names, least_similarity)
+    joined = stars(links, "left", "right").select(F.col("member").alias("v"), F.col("component.rep").alias("component"))
+    result = stage(signed.join(joined, "v", "left").select(F.col("v.rep").alias("id"), *names, F.coalesce("component", "v.rep").alias("item_id")).distinct(), "items")
+    release(texts, table, signed, links)
     return result.select(F.col("id").alias(id), *[F.col(n).alias(c) for c, n in zip(block, names)], "item_id")
 
 
-def _signed(classes: DataFrame, names: list[str], bands: int, rows: int) -> DataFrame:
-    """``classes`` (w, v, item) as (v, place, item, minima, bands); ``place`` is what must be equal: the block and the sizes."""
-    place = F.struct(*[F.col(f"w.{n}").alias(n) for n in names], F.filter("item", lambda x: ~_is_word(x)).alias("sizes"))
-    hashes = F.transform(F.filter("item", _is_word), lambda x: F.xxhash64(x))
-    rows_ = classes.select("v", place.alias("place"), "item", signer(bands, rows)(hashes).alias("s"))
-    return stage(rows_.select("v", "place", "item", "s.minima", "s.bands"), "signatures")
+def _signed(texts: DataFrame, names: list[str], bands: int, rows: int, least_words: int) -> DataFrame:
+    """(v, *names, item, whole, minima, bands): the texts (id, *names, raw, item) that name an item, with their signatures.
+
+    ``v`` tells texts apart, also those of one record; ``whole`` is a hash of what must be equal in every
+    bucket, block and sizes, and of the signature.
+    """
+    sizes, words = F.filter("item", lambda x: ~_is_word(x)), F.filter("item", _is_word)
+    named = texts.where((F.size(sizes) > 0) & (F.size(words) >= least_words))
+    made = named.select(F.struct(F.col("id").alias("rep"), F.xxhash64("raw").alias("h")).alias("v"), *names, "item", signer(bands, rows)(F.transform(words, lambda x: F.xxhash64(x))).alias("s"))
+    place = F.xxhash64(*names, sizes)
+    keys = F.transform("s.bands", lambda k, i: F.xxhash64(place, i, k))
+    return stage(made.select("v", *names, "item", F.xxhash64(place, "s.bands").alias("whole"), "s.minima", keys.alias("bands")), "signatures")
 
 
 def pairs_within(df: DataFrame, by: Sequence[str], id: str) -> DataFrame:
     """(*by, a, b): the pairs of different ids of each group, a < b; pairs of groups with repeated rows may repeat.
 
-    A group is cut into chunks of about CHUNK rows by hash, and pairs of chunks are the join key, so a group
-    that holds most rows is spread over tasks.
+    A group of more than CHUNK rows is cut into chunks by hash, and pairs of chunks are the join key, so a
+    group that holds most rows is spread over tasks.
     """
     by = list(by)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by, F.ceil(F.col("n") / CHUNK).alias("chunks"))
-    cut = stage(df.select(*by, id).join(sizes, by).withColumn("chunk", F.pmod(F.xxhash64(id), F.col("chunks"))), "chunks")
+    large = stage(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select(*by, F.ceil(F.col("n") / CHUNK).alias("chunks")), "large-groups")
+    a, b = df.select(*by, F.col(id).alias("a")), df.select(*by, F.col(id).alias("b"))
+    if large.isEmpty():
+        return a.join(b, by).where("a < b")
+    large = broadcast_if_small(large)
+    small = df.join(large, by, "left_anti")
+    pairs = small.select(*by, F.col(id).alias("a")).join(small.select(*by, F.col(id).alias("b")), by).where("a < b")
+    cut = stage(df.select(*by, id).join(large, by).withColumn("chunk", F.pmod(F.xxhash64(id), F.col("chunks"))), "chunks")
     a = cut.select(*by, F.col("chunk").alias("i"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("j"), F.col(id).alias("a"))
     b = cut.select(*by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunk"))).alias("i"), F.col("chunk").alias("j"), F.col(id).alias("b"))
-    pairs = a.join(b, [*by, "i", "j"]).where((F.col("a") < F.col("b")) | ((F.col("i") != F.col("j")) & (F.col("a") != F.col("b"))))
-    return pairs.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    across = a.join(b, [*by, "i", "j"]).where((F.col("a") < F.col("b")) | ((F.col("i") != F.col("j")) & (F.col("a") != F.col("b"))))
+    return pairs.unionByName(across.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
-def _links(signed: DataFrame, bands: int, rows: int, least_similarity: float) -> DataFrame:
-    """(left, right): vertices that name the same item, as found by signatures and bands."""
+def _links(signed: DataFrame, names: list[str], least_similarity: float) -> DataFrame:
+    """(left, right): texts that name the same item, as found by signatures and bands."""
     # Equal whole signatures and tokens: all of a bucket meet its first one, never each other.
-    first = ["place", "minima", "item"]
-    firsts = stage(signed.groupBy(*first).agg(F.min("v").alias("v"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "firsts")
-    key = F.struct(*first).alias("k")
-    total = signed.count()
-    heavy = firsts.where(F.col("n") > total / HEAVY_SHARE).select(key)
-    same = lookup(signed.select("v", key), firsts.where("n > 1").select(key, F.col("v").alias("right")), "k", heavy).where("v <> right").select(F.col("v").alias("left"), "right")
-    # The first ones enter the buckets of their bands, unless nothing else has their block and sizes.
-    crowd = firsts.groupBy("place").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("place")
-    banded = firsts.join(crowd, "place", "left_semi").select("v", F.posexplode("bands").alias("band", "key"), F.xxhash64("place").alias("p"))
-    met = stage(pairs_within(banded, ["p", "band", "key"], "v").select("a", "b").distinct(), "met")
-    side = lambda c: firsts.select(F.col("v").alias(c), F.struct("place", "item", "minima").alias(f"r{c}"))
-    full = met.join(side("a"), "a").join(side("b"), "b").where(F.col("ra.place") == F.col("rb.place"))
+    first = ["whole", *names, "item"]
+    firsts = stage(signed.groupBy(*first).agg(F.min("v").alias("v"), F.first("minima").alias("minima"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "firsts")
+    several, total = firsts.where("n > 1"), signed.count()
+    heavy = several.where(F.col("n") > total / HEAVY_SHARE).select("whole").distinct()
+    met_first = lookup(signed.select("whole", *names, "item", "v"), several.select("whole", F.struct(*names, "item").alias("r"), F.col("v").alias("right")), "whole", heavy)
+    same = met_first.where((F.struct(*names, "item") == F.col("r")) & (F.col("v") != F.col("right"))).select(F.col("v").alias("left"), "right")
+    # The first ones enter the buckets of their bands. A bucket's rows are two hashes; ids that collide are told apart below.
+    id = F.xxhash64("v", *names)
+    banded = stage(firsts.select(id.alias("id"), F.explode("bands").alias("key")), "banded")
+    met = stage(pairs_within(banded, ["key"], "id").select("a", "b").distinct(), "met")
+    side = lambda c: firsts.select(id.alias(c), F.struct("v", *names, "item", "minima").alias(f"r{c}"))
+    full = met.join(side("a"), "a").join(side("b"), "b")
+    for n in names:
+        full = full.where(F.col(f"ra.{n}") == F.col(f"rb.{n}"))
     # The part of the smaller set that is shared, by the estimate of the Jaccard similarity.
     words = lambda c: F.size(F.filter(F.col(c)["item"], _is_word))
     full = full.withColumn("likeness", agreement(F.col("ra.minima"), F.col("rb.minima")))
     shared = F.col("likeness") * (words("ra") + words("rb")) / (1 + F.col("likeness")) / F.least(words("ra"), words("rb"))
-    alike = full.where(shared >= least_similarity).where(_same(F.col("ra.item"), F.col("rb.item"))).select(F.col("a").alias("left"), F.col("b").alias("right"))
+    alike = full.where(shared >= least_similarity).where(_same(F.col("ra.item"), F.col("rb.item"))).select(F.col("ra.v").alias("left"), F.col("rb.v").alias("right"))
     links = stage(same.unionByName(alike), "links")
-    release(firsts, met)
+    release(firsts, banded, met)
     return links
 
 
