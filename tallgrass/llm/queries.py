@@ -35,8 +35,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_built(spark: SparkSession, folder: str) -> DataFrame:
-    """One record per group, each field from the best member that knows it."""
-    return survivors.built_records(_read(spark, folder, "dup_groups"), _read(spark, folder, "mara"))
+    """One record per group, each field from the best member that knows it; the stewards' scores are its trust."""
+    return survivors.built_records(_read(spark, folder, "dup_groups"), _read(spark, folder, "mara"), trust="member_score")
+
+
+def p6_trusted(spark: SparkSession, folder: str) -> DataFrame:
+    """The survivors where the stewards' scores rank after completeness and before dates."""
+    return survivors.survivors(_read(spark, folder, "dup_groups"), _read(spark, folder, "mara"), trust="member_score")
 
 
 def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,10 +56,30 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p7_packed(spark, folder))
 
 
+def p7_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """What every packing must keep, checked on the one made: nothing lost, cut or overfull, at most 1 % more containers than the tokens need, groups alike."""
+    return p7_fill(spark, folder).select(
+        "pieces", "tokens", "least_containers", (F.col("cut_texts") == 0).alias("whole"), (F.col("fullest") <= 1024).alias("none_overfull"),
+        (F.col("containers") <= 1.01 * F.col("least_containers") + 1).alias("full"), (F.col("most_group_tokens") - F.col("least_group_tokens") <= 2 * 1024).alias("balanced"),
+    )
+
+
+def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its tokens, pieces and the sum of their tokens, and the tier its longest piece was routed to."""
+    return p7_packed(spark, folder).groupBy("doc_id").agg(F.max("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.sum("piece_tokens").alias("placed"), F.coalesce(F.max("tier"), F.lit(0)).alias("tier"))
+
+
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_read(spark, folder, "documents"), _read(spark, folder, "mix_targets"))[1]
 
 
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The report with, for what was reached, whether it is within a thousandth (and 2048 tokens) of what the source must and can supply."""
+    wanted = F.least("need", F.col("max_repeat").cast("double")) * F.col("source_tokens")
+    near = F.abs(F.col("mixed_tokens") - F.coalesce(wanted, F.lit(0.0))) <= 0.001 * F.coalesce(wanted, F.lit(0.0)) + 2048
+    return p8_report(spark, folder).select("source", "n_texts", "source_tokens", F.round("target_share", 9).alias("target_share"), F.round("need", 6).alias("need"), "max_repeat", "passes", near.alias("reached"))
+
+
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_read(spark, folder, "documents"), _read(spark, folder, "mix_targets"))[0]
 
@@ -79,17 +104,41 @@ e AS (SELECT a, b FROM l WHERE r.verdict = 'duplicate' OR (r.verdict IS NULL AND
 arcs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(m, o) AS (SELECT a, b FROM arcs UNION SELECT reach.m, arcs.b FROM reach JOIN arcs ON reach.o = arcs.a)
 """
-_KNOWN = "(coalesce(trim({c}, ' ') <> '' AND lower(trim({c}, ' ')) NOT IN (" + ", ".join(f"'{x}'" for x in survivors.STAND_INS) + "), false))"
-_SHAPES = [(s, p) for (s, _), p in zip(survivors.DATE_NOTATIONS, ("%m/%d/%Y", "%d.%m.%Y", "%Y-%m-%d", "%Y%m%d", "%Y/%m/%d"))]
-_DAY = "CASE " + " ".join(f"WHEN regexp_matches(trim(COLUMN_, ' '), '{s}') THEN try_strptime(trim(COLUMN_, ' '), '{p}')::date" for s, p in _SHAPES) + " END"
-_N = " + ".join(_KNOWN.format(c=c) + "::int" for c in survivors.COMPLETENESS_FIELDS)
-P6_SQL = f"""
-WITH r AS (SELECT DISTINCT matnr, {_N} AS n, {_DAY.replace("COLUMN_", "laeda")} AS la, {_DAY.replace("COLUMN_", "ersda")} AS er, loaded_at::date AS arrived FROM mara WHERE matnr IS NOT NULL),
-q AS (SELECT matnr, n, CASE WHEN la <= arrived THEN la END AS la, CASE WHEN er <= arrived THEN er END AS er FROM r),
-o AS (SELECT *, row_number() OVER (PARTITION BY matnr ORDER BY n DESC, la DESC NULLS LAST, er ASC NULLS LAST) AS k FROM q),
-g AS (SELECT DISTINCT group_no, matnr FROM dup_groups WHERE group_no IS NOT NULL AND matnr IS NOT NULL)
-SELECT group_no, matnr FROM (SELECT group_no, matnr, row_number() OVER (PARTITION BY group_no ORDER BY coalesce(n, 0) DESC, la DESC NULLS LAST, er ASC NULLS LAST, matnr) AS k
-  FROM g LEFT JOIN (SELECT * FROM o WHERE k = 1) USING (matnr)) WHERE k = 1"""
+# Written from the problem's statement, apart from the operator's lists, so that either may find the other lacking.
+_NOTHING = "'?', '-', '--', '.', '#', 'n.a.', 'na', 'n/a', 'n.a', 'tbd', 'null', 'none', 'nil', 'unknown', 'k.a.', 'xxx'"
+_ENTRIES = ["matkl", "bismt", "raube", "tragr", "spart", "gewei", "voleh", "wrkst", "aenam"]
+
+
+def _known_sql(c: str) -> str:
+    return f"coalesce(trim({c}, ' ') <> '' AND lower(trim({c}, ' ')) NOT IN ({_NOTHING}), false)"
+
+
+def _day_sql(c: str) -> str:
+    t = f"trim({c}, ' ')"
+    return (
+        f"CASE WHEN regexp_full_match({t}, '\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}') THEN try_strptime({t}, '%m/%d/%Y')::date WHEN regexp_full_match({t}, '\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{4}}') THEN try_strptime({t}, '%d.%m.%Y')::date "
+        f"WHEN regexp_full_match({t}, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') THEN try_strptime({t}, '%Y-%m-%d')::date WHEN regexp_full_match({t}, '\\d{{8}}') THEN try_strptime({t}, '%Y%m%d')::date "
+        f"WHEN regexp_full_match({t}, '\\d{{4}}/\\d{{1,2}}/\\d{{1,2}}') THEN try_strptime({t}, '%Y/%m/%d')::date END"
+    )
+
+
+_FIELDS = ", ".join(_ENTRIES)
+_LATER = ", ".join(f"{c} DESC NULLS LAST" for c in _ENTRIES)
+
+
+def _ranked_sql(trust: bool) -> str:
+    """Members with their place k in their group, best first."""
+    return f"""
+WITH r AS (SELECT DISTINCT matnr, {_FIELDS}, {" + ".join(f"{_known_sql(c)}::int" for c in _ENTRIES)} AS n, {_day_sql("laeda")} AS la, {_day_sql("ersda")} AS er, loaded_at::date AS arrived FROM mara WHERE matnr IS NOT NULL),
+q AS (SELECT matnr, {_FIELDS}, n, CASE WHEN la <= arrived THEN la END AS la, CASE WHEN er <= arrived THEN er END AS er FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY matnr ORDER BY n DESC, la DESC NULLS LAST, er ASC NULLS LAST, {_LATER}) AS delivery FROM q),
+g AS (SELECT group_no, matnr, {"max(member_score)" if trust else "0"} AS trust FROM dup_groups WHERE group_no IS NOT NULL AND matnr IS NOT NULL GROUP BY group_no, matnr),
+k AS (SELECT group_no, g.matnr, {_FIELDS}, row_number() OVER (PARTITION BY group_no ORDER BY coalesce(n, 0) DESC, trust DESC NULLS LAST, la DESC NULLS LAST, er ASC NULLS LAST, g.matnr) AS k
+  FROM g LEFT JOIN (SELECT * FROM o WHERE delivery = 1) o ON o.matnr = g.matnr)
+"""
+
+
+_BUILT = ", ".join(f"arg_min({c}, k) FILTER ({_known_sql(c)}) AS {c}" for c in _ENTRIES)
 _TOKENS = r"len(regexp_extract_all(text, '[\pL\pN_]+|[^\pL\pN_\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]+'))"
 P8_SQL = f"""
 WITH d AS (SELECT lower(trim(source, ' ')) AS source, {_TOKENS} AS n FROM documents WHERE text IS NOT NULL),
@@ -97,18 +146,34 @@ s AS (SELECT source, sum(n) AS s FROM d WHERE source IN (SELECT lower(trim(sourc
 q AS (SELECT source, max_repeat, target_share * (SELECT sum(s) FROM s)::double / s AS need FROM s JOIN mix_targets USING (source))
 SELECT source, least(ceil(need), max_repeat)::int AS passes FROM q WHERE need > 1"""
 
+P8_SHARES_SQL = f"""
+WITH d AS (SELECT lower(trim(source, ' ')) AS source, {_TOKENS} AS n FROM documents WHERE text IS NOT NULL),
+s AS (SELECT source, sum(n) AS s, count(*) AS k FROM d WHERE n > 0 AND source IN (SELECT lower(trim(source, ' ')) FROM mix_targets) GROUP BY source),
+q AS (SELECT lower(trim(m.source, ' ')) AS source, target_share, max_repeat, s, k, target_share * (SELECT sum(s) FROM s)::double / s AS need FROM mix_targets m LEFT JOIN s ON s.source = lower(trim(m.source, ' ')))
+SELECT source, coalesce(k, 0) AS n_texts, coalesce(s, 0)::bigint AS source_tokens, round(target_share, 9) AS target_share, round(need, 6) AS need, max_repeat, coalesce(least(ceil(need), max_repeat), 0)::int AS passes, true AS reached FROM q"""
+P7_BOUNDS_SQL = f"""
+WITH d AS (SELECT {_TOKENS} AS n FROM documents WHERE text IS NOT NULL)
+SELECT sum(ceil(n / 1024.0))::bigint AS pieces, sum(n)::bigint AS tokens, ceil(sum(n) / 1024.0)::bigint AS least_containers, true AS whole, true AS none_overfull, true AS "full", true AS balanced FROM d WHERE n > 0"""
+P7_PIECES_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({_TOKENS}, 0) AS n FROM documents)
+SELECT doc_id, n::int AS tokens, greatest(1, ceil(n / 1024.0))::bigint AS pieces, n::bigint AS placed, CASE WHEN n > 0 THEN least(1024, (1 << ceil(log2(n))::int)) ELSE 0 END::int AS tier FROM d"""
+
 QUERIES = {
     "p1_found": (p1_found, None),
     "p1_items": (p1_items, None),
     "p2_found": (p2_found, P2_SQL + "SELECT m AS matnr, least(m, min(o)) AS group_matnr FROM reach GROUP BY m"),
     "p2_group_sizes": (p2_group_sizes, P2_SQL + "SELECT g AS group_matnr, count(*) AS n_materials FROM (SELECT m, least(m, min(o)) AS g FROM reach GROUP BY m) GROUP BY g"),
-    "p6_found": (p6_found, P6_SQL),
-    "p6_built": (p6_built, None),
+    "p6_found": (p6_found, _ranked_sql(False) + "SELECT group_no, matnr FROM k WHERE k = 1"),
+    "p6_trusted": (p6_trusted, _ranked_sql(True) + "SELECT group_no, matnr FROM k WHERE k = 1"),
+    "p6_built": (p6_built, _ranked_sql(True) + f"SELECT group_no, arg_min(matnr, k) AS matnr, {_BUILT} FROM k GROUP BY group_no"),
     "p7_found": (p7_found, f"SELECT doc_id FROM documents WHERE {_TOKENS} > 1024"),
     "p7_packed": (p7_packed, None),
     "p7_fill": (p7_fill, None),
+    "p7_bounds": (p7_bounds, P7_BOUNDS_SQL),
+    "p7_pieces": (p7_pieces, P7_PIECES_SQL),
     "p8_found": (p8_found, P8_SQL),
     "p8_report": (p8_report, None),
+    "p8_shares": (p8_shares, P8_SHARES_SQL),
     "p8_mixture": (p8_mixture, None),
     "p9_found": (p9_found, None),
     "p9_residue": (p9_residue, None),

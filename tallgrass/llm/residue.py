@@ -11,14 +11,14 @@ outweighed by real ones.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.plans.staging import release, stage
@@ -26,38 +26,33 @@ from tallgrass.plans.staging import release, stage
 UNFILLED, JUNK = 1, 2
 
 # The notations of a place to be filled in. INNER is what may stand between the marks.
-INNER = r"[^\W\d][\w .:…/-]{0,40}?"
+INNER = r"[^\W\d][\w .:…/-]*?"
 SLOTS = [
-    r"\{\{\s*[\w .]{1,40}\s*\}\}", r"\{%\s*[\w .]{1,40}\s*%\}", r"<%=?\s*[\w .]{1,40}\s*%>", r"<!--\s*[\w .]{1,40}\s*-->",
-    r"\[\[\s*[\w .]{1,40}\s*\]\]", r"<<\s*[\w .]{1,40}\s*>>", r"\$\{[\w .]{1,40}\}", r"\$\([\w .]{1,40}\)", r"\{\w{1,40}\}",
+    r"\{\{\s*[\w .]+\s*\}\}", r"\{%\s*[\w .]+\s*%\}", r"<%=?\s*[\w .]+\s*%>", r"<!--\s*[\w .]+\s*-->",
+    r"\[\[\s*[\w .]+\s*\]\]", r"<<\s*[\w .]+\s*>>", r"\$\{[\w .]+\}", r"\$\([\w .]+\)", r"\{\w+\}",
     rf"<{INNER}>", rf"&lt;{INNER}&gt;", rf"«{INNER}»", rf"‹{INNER}›", rf"\[{INNER}\]", r"\[…\]|\[\.\.\.\]|\[\s*\]",
-    r"%[A-Z][A-Z_]{1,40}%", r"(?<![\w%])%[sd]\b", r"#[A-Za-z][A-Za-z_]{1,40}#", r"@@?[A-Za-z][A-Za-z_]{1,40}@@?", r"&[A-Z][A-Z_]{1,40}&",
-    r"~[A-Za-z][A-Za-z_]{1,40}~", r"__[A-Za-z][A-Za-z_]{0,40}?__", r"_{3,}", r"\b[Xx]{2,4}[./-][Xx]{2,4}[./-][Xx]{2,4}\b", r"\bnull_\w+", r"\((?:enter|insert|fill in|your) [\w .]{1,40}\)",
+    r"%[A-Z][A-Z_]+%", r"(?<![\w%])%[sd]\b", r"#[A-Za-z][A-Za-z_]+#", r"@@?[A-Za-z][A-Za-z_]+@@?", r"&[A-Z][A-Z_]+&",
+    r"~[A-Za-z][A-Za-z_]+~", r"__[A-Za-z][A-Za-z_]*?__", r"_{3,}", r"\b[Xx]{2,4}[./-][Xx]{2,4}[./-][Xx]{2,4}\b", r"\bnull_\w+", r"\((?:enter|insert|fill in|your) [\w .]+\)",
 ]
 SLOT = re.compile("|".join(f"(?:{s})" for s in SLOTS))
 QUOTES_BEFORE, QUOTES_AFTER = "\"'“”„‘’‚`", "\"'“”‘’`"
 
 # A quick test that a passage may hold an open place at all.
-SLOT_SIGN = re.compile(r"[{}<>\[\]$%#@&~«‹]|__|[Xx]{2}|null_|\((?:enter|insert|fill|your)")
+SLOT_SIGN = r"[{}<>\[\]$%#@&~«‹]|__|[Xx]{2}|null_|\((?:enter|insert|fill|your)"
 
 # Unmistakable openings of error lines, and names of scripting in a browser.
-ERROR_LINE = re.compile(r"\W*(?:(?:error|fehler|erreur|http status)\s*\d{3}\s*[:–-]|oops!|sorry, |\d{3}\s+[-–]\s+\w)", re.I)
-SCRIPT = re.compile(r"\b(?:java ?script|noscript|(?:active |client-side )scripting|script support)\b", re.I)
-SPLIT = re.compile(r"(?<=[.!?…])\s+|\n+")
-WORD = re.compile(r"[^\W\d_]+")
-DIGIT = re.compile(r"\d")
+ERROR_LINE = r"(?iU)^\W*(?:(?:error|fehler|erreur|http status)\s*\d{3}\s*[:–-]|oops!|sorry, |\d{3}\s+[-–]\s+\w)"
+SCRIPT = r"(?i)\b(?:java ?script|noscript|(?:active |client-side )scripting|script support)\b"
+SPLIT = r"(?U)(?<=[.!?…])\s+|\n+"
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0  　"
+WORD = r"[\p{L}\p{Nl}\p{No}]+"
+PYTHON_WORD = re.compile(r"[^\W\d_]+")
 MARKS = ["§slot", "§quoted", "§rare", "§number", "§run", "§short", "§long"]
 LONGEST_PERIOD = 6
 
 
-def passages(text: str) -> list[str]:
-    return [p for p in (x.strip() for x in SPLIT.split(text)) if p]
-
-
 def slots_of(passage: str) -> tuple[int, int, str]:
     """Open places not in quotes, places in quotes, and the passage without both."""
-    if not SLOT_SIGN.search(passage):
-        return 0, 0, passage
     bare = quoted = 0
     rest, at = [], 0
     for m in SLOT.finditer(passage):
@@ -71,7 +66,7 @@ def slots_of(passage: str) -> tuple[int, int, str]:
     return bare, quoted, " ".join([*rest, passage[at:]])
 
 
-def has_run(words: list[str]) -> bool:
+def has_run(words: list) -> bool:
     """Whether a phrase of up to LONGEST_PERIOD words stands three times in a row."""
     if len(set(words)) * 3 > len(words) * 2:
         return False
@@ -84,92 +79,51 @@ def has_run(words: list[str]) -> bool:
     return False
 
 
-QUICK_SCRIPT = re.compile(r"script", re.I)
-
-
-@dataclass
-class Passage:
-    words: set[str]
-    marks: int
-    bare: int
-    letters: int
-    trusted: bool
-
-
-def read(text: str) -> list[Passage]:
-    """The passages of a text with their distinct words, marks (bits, as in MARKS), open places and whether they are trusted junk."""
-    out: list[Passage] = []
-    lines = passages(text)
-    thrice = {i + k for i in range(len(lines) - 2) if lines[i] == lines[i + 1] == lines[i + 2] for k in (0, 1, 2)}
-    for i, line in enumerate(lines):
-        bare, quoted, rest = slots_of(line)
-        found = WORD.findall(rest.lower())
-        words = set(found)
-        digits = DIGIT.search(rest) is not None
-        run = i in thrice or (len(found) > 2 and 3 * len(words) <= 2 * len(found) and has_run(found))
-        trusted = run or (len(found) <= 16 and ERROR_LINE.match(line) is not None)
-        trusted = trusted or (len(found) <= 18 and not digits and QUICK_SCRIPT.search(line) is not None and SCRIPT.search(line) is not None)
-        marks = (bare > 0) | (quoted > 0) << 1 | digits << 3 | run << 4 | (len(found) <= 3) << 5 | (len(found) > 40) << 6
-        out.append(Passage(words, marks, bare, sum(map(len, words)), trusted))
-    return out
+def hash_word(word: str) -> int:
+    """The hash that ``xxhash64`` gives a word on the JVM."""
+    h = xxhash.xxh64_intdigest(word.encode(), seed=42)
+    return h - (1 << 64) if h >= 1 << 63 else h
 
 
-#: Passages up to which a record with a trusted junk passage is trusted as a whole.
-SHORT_RECORD = 8
+#: Share of a record's passages that are trusted junk, from which all its passages without open places are.
+TRUSTED_SHARE = 0.125
 #: Different words, and share of words that hardly any other record has, from which a passage is trusted to be noise.
 LEAST_NOISE, NOISE_SHARE = 5, 0.5
 #: Passages with open places from which a record is trusted to be an unfilled form.
 UNFILLED_PASSAGES = 3
-#: Log-odds below which a passage is left out of a round; its part in the positives would be under one in 10^13.
-RULED_OUT = -30.0
 
-TOKENS = "id bigint, n int, words array<bigint>, fresh array<bigint>, marks int, bare int, letters int, label int"
+READ = "id bigint, line string, words array<bigint>, letters int, digits boolean, trusted boolean, thrice boolean, first boolean"
 ENCODED = "id bigint, bare int, letters int, label int, features array<int>"
-_HASHES: dict[str, int] = {}
 
 
-def hash_word(word: str) -> int:
-    """A 64-bit hash of a word, the same in every process."""
-    h = _HASHES.get(word)
-    if h is None:
-        if len(_HASHES) > 500_000:
-            _HASHES.clear()
-        h = _HASHES[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
-    return h
+def hashes(text: Column) -> Column:
+    """Hashes of the words of a text in lower case, in their order."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def _lists(flat, sizes, kind) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, kind))
+def passages(slim: DataFrame) -> DataFrame:
+    """A row per passage of ``slim`` (id, text), as in READ; a record's passages follow each other.
 
+    ``line`` is there only where an open place is possible: the rest of the work is done on hashed words.
+    """
+    lines = F.filter(F.transform(F.split("text", SPLIT), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
+    at = lambda i: F.get("lines", i)
+    same = lambda i: F.coalesce((at(i) == at(i + 1)) & (at(i) == at(i + 2)), F.lit(False))
+    # One of three equal passages in a row; looked into only next to an equal one.
+    thrice = lambda x, i: F.when((at(i - 1) == x) | (at(i + 1) == x), same(i) | same(i - 1) | same(i - 2)).otherwise(False)
+    told = F.transform("lines", lambda x, i: F.struct(x.alias("line"), thrice(x, i).alias("thrice")))
+    rows = slim.select("id", lines.alias("lines")).select("id", F.posexplode(told).alias("n", "p")).select("id", "n", "p.line", "p.thrice")
+    n, line = F.col("n"), F.col("line")
+    digits = line.rlike(r"\d")
+    script = F.contains(F.lower(line), F.lit("script")) & ~digits & line.rlike(SCRIPT)
+    return rows.select(
+        "id", F.when(line.rlike(SLOT_SIGN), line).alias("line"), hashes(line).alias("words"), F.length(F.regexp_replace(line, r"[^\p{L}\p{Nl}\p{No}]+", "")).alias("letters"),
+        digits.alias("digits"), (line.rlike(ERROR_LINE) | script).alias("trusted"), "thrice", (n == 0).alias("first"),
+    )
 
-def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _HASHES
-    for batch in batches:
-        ids, ns, words, sizes, fresh, fresh_sizes, marks, bare, letters, labels = ([] for _ in range(10))
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = read(text)
-            open_ = sum(p.bare > 0 for p in found)
-            junk = len(found) <= SHORT_RECORD and any(p.trusted for p in found)
-            seen: set[int] = set()
-            for n, p in enumerate(found):
-                h = [known.get(w) or hash_word(w) for w in p.words]
-                new = set(h) - seen
-                seen |= new
-                ids.append(doc)
-                ns.append(n)
-                words += h
-                sizes.append(len(h))
-                fresh.extend(new)
-                fresh_sizes.append(len(new))
-                marks.append(p.marks)
-                bare.append(p.bare)
-                letters.append(p.letters)
-                labels.append(UNFILLED if open_ >= UNFILLED_PASSAGES and p.bare else JUNK if p.trusted or (junk and not p.bare) else -1)
-        small = lambda x: pa.array(x, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), small(ns), _lists(words, sizes, pa.int64()), _lists(fresh, fresh_sizes, pa.int64()), small(marks), small(bare), small(letters), small(labels)],
-            names=[c.split()[0] for c in TOKENS.split(", ")],
-        )
+
+def _lists(flat, sizes, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, kind))
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -178,24 +132,74 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), np.repeat(np.arange(len(column)), sizes)
 
 
+def _whole_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that end with a record's last passage."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        starts = np.flatnonzero(batch.column("first").to_numpy(zero_copy_only=False))
+        if len(starts):
+            if ready := [*held, *([batch.slice(0, starts[-1])] if starts[-1] else [])]:
+                yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
+            held = [batch.slice(starts[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _encoder(vocabulary: np.ndarray):
     """Features of passages: the marks, then the words of the (sorted, hashed) vocabulary; all other words are one feature."""
     size, rare = len(MARKS) + len(vocabulary), MARKS.index("§rare")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _whole_records(batches):
+            n = len(b)
+            record = np.cumsum(b.column("first").to_numpy(zero_copy_only=False)) - 1
             flat, row = _flat(b.column("words"))
-            at = np.minimum(np.searchsorted(vocabulary, flat), max(0, len(vocabulary) - 1))
-            known = vocabulary[at] == flat if len(vocabulary) else np.zeros(len(flat), bool)
-            marks = b.column("marks").to_numpy()
-            parts = [row * size + np.where(known, at + len(MARKS), rare)]
-            parts += [np.flatnonzero(marks >> k & 1) * size + k for k in range(len(MARKS))]
+            letters, digits = b.column("letters").to_numpy().copy(), b.column("digits").to_numpy(zero_copy_only=False).copy()
+            trusted, run = b.column("trusted").to_numpy(zero_copy_only=False).copy(), b.column("thrice").to_numpy(zero_copy_only=False).copy()
+            bare, quoted = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+            # Passages that may hold open places are read again without them; these are few.
+            again: list[np.ndarray] = []
+            replaced = np.zeros(n, dtype=bool)
+            lines = b.column("line")
+            for i in np.flatnonzero(lines.is_valid().to_numpy(zero_copy_only=False)):
+                bare[i], quoted[i], rest = slots_of(lines[i].as_py())
+                if bare[i] or quoted[i]:
+                    found = PYTHON_WORD.findall(rest.lower())
+                    replaced[i], letters[i], digits[i] = True, sum(map(len, found)), re.search(r"\d", rest) is not None
+                    again.append(np.array([[i, hash_word(w)] for w in found], dtype=np.int64).reshape(-1, 2))
+            if again:
+                more = np.concatenate(again)
+                kept = ~replaced[row]
+                flat, row = np.concatenate([flat[kept], more[:, 1]]), np.concatenate([row[kept], more[:, 0]])
+                order = np.argsort(row, kind="stable")
+                flat, row = flat[order], row[order]
+            n_found = np.bincount(row, minlength=n)
+            # One row per different word of a passage.
+            order = np.lexsort((flat, row))
+            first = np.ones(len(flat), dtype=bool)
+            first[1:] = (np.diff(row[order]) != 0) | (np.diff(flat[order]) != 0)
+            word, at_row = flat[order][first], row[order][first]
+            n_words = np.bincount(at_row, minlength=n)
+            starts = np.concatenate([[0], np.cumsum(n_found)])
+            for i in np.flatnonzero((n_found > 2) & (3 * n_words <= 2 * n_found)):
+                run[i] |= has_run(flat[starts[i] : starts[i + 1]].tolist())
+            at = np.minimum(np.searchsorted(vocabulary, word), max(0, len(vocabulary) - 1))
+            known = vocabulary[at] == word if len(vocabulary) else np.zeros(len(word), bool)
+            marks = [bare > 0, quoted > 0, np.zeros(n, bool), digits, run, n_found <= 3, n_found > 40]
+            parts = [at_row * size + np.where(known, at + len(MARKS), rare), *[np.flatnonzero(m) * size + k for k, m in enumerate(marks)]]
             keys = np.unique(np.concatenate(parts).astype(np.int64))
-            n_words, unknown = np.bincount(row, minlength=len(b)), np.bincount(row, ~known, len(b))
-            bare, label = b.column("bare").to_numpy(), b.column("label").to_numpy()
-            noise = (n_words >= LEAST_NOISE) & (unknown >= NOISE_SHARE * n_words) & (bare == 0)
+            unknown = np.bincount(at_row, ~known, n)
+            # Labels of trusted passages and records.
+            trusted |= run
+            per = np.bincount(record)
+            form = (np.bincount(record, bare > 0) >= UNFILLED_PASSAGES)[record]
+            page = (np.bincount(record, trusted) >= np.maximum(TRUSTED_SHARE * per, 1e-9))[record]
+            noise = (n_words >= LEAST_NOISE) & (unknown >= NOISE_SHARE * n_words)
+            label = np.where(form & (bare > 0), UNFILLED, np.where(trusted | ((page | noise) & (bare == 0)), JUNK, -1))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("bare"), b.column("letters"), pa.array(np.where(noise, JUNK, label), pa.int32()), _lists(keys % size, np.bincount(keys // size, minlength=len(b)), pa.int32())],
+                [b.column("id"), pa.array(bare, pa.int32()), pa.array(letters, pa.int32()), pa.array(label, pa.int32()), _lists(keys % size, np.bincount(keys // size, minlength=n), pa.int32())],
                 names=[c.split()[0] for c in ENCODED.split(", ")],
             )
 
@@ -300,28 +304,11 @@ def learn_unfilled(opened: DataFrame, usual: np.ndarray, rounds: int, common: fl
     return model
 
 
-def _suspects(closed: DataFrame, model: Model) -> DataFrame:
-    """Passages that the model doesn't rule out, and trusted ones."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            stays = (model.odds(b.column("features")) > RULED_OUT) | (b.column("label").to_numpy() > 0)
-            yield b.filter(pa.array(stays))
-
-    return closed.select("label", "features").mapInArrow(keep, "label int, features array<int>")
-
-
-def learn_junk(closed: DataFrame, everything: Counts, usual: np.ndarray, rounds: int, passes: int) -> Model | None:
-    """Which passages without open places are junk. All unlabelled ones start as real; each round re-estimates which are not."""
+def learn_junk(closed: DataFrame, everything: Counts, usual: np.ndarray, rounds: int) -> Model | None:
+    """Which passages without open places are junk. All unlabelled ones start as real; each round re-estimates all of them."""
     model = fit(everything, usual)
-    total, number = everything.table.sum(axis=0), everything.number.sum()
-    for _ in range(passes if model is not None else 0):
-        suspects = stage(_suspects(closed, model), "suspects")
-        for _ in range(rounds):
-            part = _expected(suspects, len(usual), model)
-            counts = Counts(np.stack([total - part.table[1], part.table[1]]), np.array([number - part.number[1], part.number[1]]))
-            model = fit(Counts(np.maximum(counts.table, 0), counts.number), usual)
-        release(suspects)
+    for _ in range(rounds if model is not None else 0):
+        model = fit(_expected(closed, len(usual), model), usual)
     return model
 
 
@@ -331,8 +318,7 @@ def find_residue(
     text: str = "text",
     least_share: float = 5e-4,
     max_words: int = 200_000,
-    rounds: int = 3,
-    passes: int = 2,
+    rounds: int = 6,
     open_rounds: int = 6,
     common: float = 0.02,
     level: float = 1e-3,
@@ -346,26 +332,21 @@ def find_residue(
     share the part of the record's letters in passages found to be residue. A place in quotes is never open,
     and passages without words decide nothing.
 
-    ``id`` is a bigint. Words of fewer than ``least_share`` of all records count as one feature, so the
-    vocabulary has at most (words of a record / least_share) entries; more than ``max_words`` is an error.
-    Null and blank texts hold no residue; texts are read whole; repeated rows give one result row; an empty
-    table gives none; columns not named are not read.
+    ``id`` is a bigint. Words of fewer than ``least_share`` of all records count as one feature, as do those
+    beyond the ``max_words`` most frequent. Null and blank texts hold no residue; texts are read whole;
+    repeated rows give one result row; an empty table gives none; columns not named are not read.
     """
-    slim = records.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.trim("text") != ""))
-    tokens = stage(slim.mapInArrow(_read_batches, TOKENS), "passages")
-    least = max(2.0, least_share * tokens.where("n = 0").count())
-    frequent = tokens.select(F.explode("fresh").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("w")
-    words = sorted(r[0] for r in frequent.limit(max_words + 1).collect())
-    if len(words) > max_words:
-        raise ValueError(f"the vocabulary exceeds {max_words} words")
-    encoded = stage(tokens.select("id", "words", "marks", "bare", "letters", "label").mapInArrow(_encoder(np.array(words, dtype=np.int64)), ENCODED), "features")
-    release(tokens)
+    slim = records.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.btrim("text", F.lit(BLANKS)) != ""))
+    least = max(2.0, least_share * slim.count())
+    frequent = slim.select(F.explode(F.array_distinct(hashes(F.col("text")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least)
+    words = sorted(r[0] for r in frequent.orderBy(F.desc("k"), "w").limit(max_words).collect())
+    encoded = stage(passages(slim).mapInArrow(_encoder(np.array(words, dtype=np.int64)), ENCODED), "features")
     size = len(MARKS) + len(words)
     closed, opened = encoded.where("bare = 0"), stage(encoded.where("bare > 0"), "open-places")
     everything = _expected(closed, size, None)
     usual = everything.table.sum(axis=0) / max(1.0, everything.number.sum())
     unfilled = learn_unfilled(opened, usual, open_rounds, common, level)
-    junk = learn_junk(closed, everything, usual, rounds, passes)
+    junk = learn_junk(closed, everything, usual, rounds)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums per record and batch; a record at a batch's edge gives two rows."""

@@ -49,14 +49,18 @@ def rank_members(
     changed: str = "laeda",
     created: str = "ersda",
     arrived: str = "loaded_at",
+    trust: str | None = None,
 ) -> DataFrame:
-    """Members of each group with what ranks them: (group, key, n_known, changed_on, created_on, *fields).
+    """Members of each group with what ranks them: (group, key, n_known, trust, changed, created, *fields).
 
-    A member listed or delivered several times counts once. Of deliveries that differ the one with most
-    entries, the latest change, the earliest creation counts. A member without a record has no entries
-    and no dates. Null groups and null keys are no members.
+    ``trust`` names a number of ``members``, say the score of a steward or the rank of a source; the highest
+    of a member's rows counts, and null is less than any. Without it all members are trusted alike. A member
+    listed or delivered several times counts once. Of deliveries that differ the one with most entries, the
+    latest change, the earliest creation counts. A member without a record has no entries and no dates. Null
+    groups and null keys are no members.
     """
-    links = members.select(F.col(group).alias("__group"), F.col(key).alias("__key")).dropna().distinct()
+    worth = F.max(F.when(~F.isnan(trust), F.col(trust).cast("double"))) if trust else F.lit(0.0)
+    links = members.where(F.col(group).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(group).alias("__group"), F.col(key).alias("__key")).agg(F.coalesce(worth, F.lit(float("-inf"))).alias("__trust"))
     filled = sum((known(F.col(f)).cast("int") for f in fields), F.lit(0))
     best = F.struct(
         filled.alias("n_known"),
@@ -72,24 +76,24 @@ def rank_members(
     )
     return links.join(one, "__key", "left").select(
         F.col("__group").alias(group), F.col("__key").alias(key),
-        F.coalesce("b.n_known", F.lit(0)).alias("n_known"),
+        F.coalesce("b.n_known", F.lit(0)).alias("n_known"), "__trust",
         F.coalesce("b.c", F.lit(-1)).alias("__c"), F.coalesce("b.e", F.lit(-10_000_000)).alias("__e"),
         *[F.col(f"b.f_{f}").alias(f"__{f}") for f in fields],
     )
 
 
 def _order(key: str) -> list[Column]:
-    return [F.desc("n_known"), F.desc("__c"), F.desc("__e"), F.asc(key)]
+    return [F.desc("n_known"), F.desc("__trust"), F.desc("__c"), F.desc("__e"), F.asc(key)]
 
 
 def survivors(members: DataFrame, records: DataFrame, group: str = "group_no", key: str = "matnr", **named) -> DataFrame:
     """(group, key): the surviving member of each group.
 
-    Ranked by completeness, then the latest change, the earliest creation and the smallest key. Only the
+    Ranked by completeness, then trust (see :func:`rank_members`), the latest change, the earliest creation and the smallest key. Only the
     first rank is asked for, so Spark keeps one candidate per group and map task ahead of the shuffle:
     a group that holds a third of all rows costs its task no more than any other.
     """
-    ranked = rank_members(members, records, group, key, **named).select(group, key, "n_known", "__c", "__e")
+    ranked = rank_members(members, records, group, key, **named).select(group, key, "n_known", "__trust", "__c", "__e")
     first = F.row_number().over(Window.partitionBy(group).orderBy(*_order(key)))
     return ranked.withColumn("__rank", first).where("__rank = 1").select(group, key)
 
@@ -101,6 +105,6 @@ def built_records(members: DataFrame, records: DataFrame, group: str = "group_no
     """
     ranked = rank_members(members, records, group, key, fields=fields, **named)
     # The smallest struct ranks first: counts and days are negated, the key breaks ties.
-    rank = F.struct((-F.col("n_known")).alias("n"), (-F.col("__c")).alias("c"), (-F.col("__e")).alias("e"), F.col(key).alias("k"))
+    rank = F.struct((-F.col("n_known")).alias("n"), (-F.col("__trust")).alias("t"), (-F.col("__c")).alias("c"), (-F.col("__e")).alias("e"), F.col(key).alias("k"))
     picks = [F.min(F.when(known(F.col(f"__{f}")), F.struct(rank.alias("rank"), F.col(f"__{f}").alias("v"))))["v"].alias(f) for f in fields]
     return ranked.groupBy(group).agg(F.min(rank)["k"].alias(key), *picks)

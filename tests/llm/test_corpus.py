@@ -34,6 +34,39 @@ def test_plan_places_everything(histogram):
     assert p.containers <= max(least * 11 / 9 + 1, sum(c for n, c in histogram.items() if n > 16) + least)
 
 
+def test_tiers_are_packed_one_by_one():
+    # Long windows are filled from the next shorter tier first, although a length of a lower tier would do.
+    p = packing.plan({10: 2, 5: 1, 3: 2, 2: 9}, 16)
+    assert {q.tier for q in p.patterns} == {16, 2}
+    opened = {q.tier: q for q in p.patterns}
+    assert all(max(packing.tier_of(n, 16) for n, _ in q.slots) == t for t, q in opened.items())
+    first = next(q for q in p.patterns if (10, 1) in q.slots and (5, 1) in q.slots)
+    assert all(packing.tier_of(n, 16) in (16, 8) for n, _ in first.slots)
+    assert [q.filled for q in p.patterns] == sorted((q.filled for q in p.patterns), reverse=True) and [q.first for q in p.patterns] == [sum(x.count for x in p.patterns[:i]) for i in range(len(p.patterns))]
+
+
+def test_a_tier_is_packed_among_itself_before_gaps_are_filled():
+    # Three of the tier of 8 fit into 16 (5 + 5 + 6); packing them apart from it would leave room for none.
+    p = packing.plan({6: 1, 5: 2, 1: 40}, 16)
+    assert p.patterns[0].slots == [(6, 1), (5, 2)] and p.patterns[0].tier == 8
+
+
+def test_capacity_is_checked():
+    for c in (0, packing.MAX_CAPACITY + 1):
+        with pytest.raises(ValueError):
+            packing.plan({1: 1}, c)
+    assert packing.plan({n: 3 for n in range(1, 8_193)}, 8_192).containers < 3 * 8_192
+
+
+def test_step_groups_are_alike(spark):
+    rnd = random.Random(8)
+    got = packed(spark, [rnd.choice([16, 11, 9, 2, 1]) for _ in range(300)])
+    sums = [r[1] for r in got.groupBy("step_group").agg(F.sum("piece_tokens")).collect()]
+    assert len(sums) > 10 and max(sums) - min(sums) <= 2 * 16
+    opened = got.where("container is not null").groupBy("container").agg(F.max("tier").alias("t"), F.max("container_tier").alias("c"))
+    assert opened.where("t <> c").count() == 0
+
+
 def test_tiers():
     assert [packing.tier_of(n, 1024) for n in (1, 2, 3, 512, 513, 1024)] == [1, 2, 4, 512, 1024, 1024]
 
@@ -172,6 +205,36 @@ def test_residue_of_nothing(spark):
     assert residue.find_residue(real).count() == 0
 
 
+def test_hashes_agree_with_the_jvm(spark):
+    words = ["lot", "größe", "a", "", "日本語", "x" * 300]
+    got = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(F.xxhash64("w")).collect()]
+    assert got == [residue.hash_word(w) for w in words]
+
+
+def test_no_limits_of_length(spark):
+    # A long open place, a long error line, and an error page of many passages.
+    docs, bad = archive()
+    page = " ".join(["Error 503: service unavailable."] * 2 + ["Please try again later.", "Loading…"] * 4)
+    line = "Error 404: page not found while the catalogue of the warehouse in the northern plant was asked for the open items of the order book today"
+    extra = [(8001, "Order {{ " + "quantity of the goods that were ordered by the buyer in the northern plant" + " }} is blocked until the lot size has been checked."), (8002, line), (8003, page)]
+    got = {r["doc_id"]: r["kind"] for r in residue.find_residue(spark.createDataFrame(docs + extra, "doc_id long, text string")).collect()}
+    assert got.get(8001) == "unfilled" and got.get(8002) == "junk" and got.get(8003) == "junk"
+
+
+def test_a_small_vocabulary_is_no_error(spark):
+    docs, bad = archive()
+    got = {r["doc_id"] for r in residue.find_residue(spark.createDataFrame(docs, "doc_id long, text string"), max_words=150).collect()}
+    assert len(got & bad) / len(bad) > 0.9
+
+
+def test_passages_and_marks(spark):
+    text = "Same. Same. Same. Then 5 pcs!\n \u00a0 \nLast {{ x }} line"
+    rows = residue.passages(spark.createDataFrame([(1, text)], "id long, text string")).collect()
+    assert [r["thrice"] for r in rows] == [True, True, True, False, False] and [r["first"] for r in rows] == [True] + [False] * 4
+    assert [r["digits"] for r in rows] == [False] * 3 + [True, False] and [r["line"] is not None for r in rows] == [False] * 4 + [True]
+    assert [r["letters"] for r in rows] == [4, 4, 4, 7, 9]
+
+
 def test_open_places():
     for text in ("on {{ date }} we", "on <date> we", "on «date» we", "on [TBD: date] we", "on [à compléter : date] we", "on %DATE% we", "on __DATE__ we", "on ~date~ we", "on ____ we", "on XX.XX.XXXX we", "on null_date we", "on (enter date) we", "on <!-- date --> we", "on &lt;date&gt; we"):
         assert residue.slots_of(text)[0] == 1, text

@@ -109,3 +109,15 @@ def test_records_built_field_by_field(spark):
     got = {r["group_no"]: r for r in sv.built_records(m, spark.createDataFrame(records, SCHEMA)).collect()}
     assert (got[1]["matnr"], got[1]["matkl"], got[1]["bismt"], got[1]["spart"], got[1]["aenam"]) == ("b", "A1", "B1", "00", None)
     assert got[2]["matnr"] == "c" and got[2]["matkl"] is None
+
+
+def test_trust_ranks_after_completeness_and_before_dates(spark):
+    fields = "matnr string, matkl string, bismt string, laeda string, ersda string, loaded_at timestamp"
+    at = datetime.datetime(2024, 1, 1)
+    records = spark.createDataFrame([("a", "L1", None, "12/01/2023", None, at), ("b", "L2", None, "01/01/2020", None, at), ("c", "L3", "x", None, None, at), ("d", None, "y", "12/30/2023", None, at)], fields)
+    members = spark.createDataFrame([(1, "a", 0.2), (1, "b", 0.9), (1, "b", None), (2, "a", None), (2, "b", 0.1), (2, "c", None), (3, "a", None), (3, "b", float("nan")), (4, "b", 0.5), (4, "d", 0.4)], "g long, matnr string, score double")
+    how = {"group": "g", "fields": ["matkl", "bismt"]}
+    assert {tuple(r) for r in sv.survivors(members, records, trust="score", **how).collect()} == {(1, "b"), (2, "c"), (3, "a"), (4, "b")}
+    assert {tuple(r) for r in sv.survivors(members, records, **how).collect()} == {(1, "a"), (2, "c"), (3, "a"), (4, "d")}
+    built = {r["g"]: (r["matnr"], r["matkl"], r["bismt"]) for r in sv.built_records(members, records, trust="score", **how).collect()}
+    assert built == {1: ("b", "L2", None), 2: ("c", "L3", "x"), 3: ("a", "L1", None), 4: ("b", "L2", "y")}
