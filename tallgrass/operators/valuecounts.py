@@ -3,18 +3,21 @@
 A :class:`ValueCounts` store keeps, per table, field, load and value, how many rows hold that value.
 Each load is applied as signed deltas: what it adds, and with a minus what an earlier delivery of the
 same load had put there. Profiles, entropies and departures are exact functions of the maintained
-counts, so a new load costs one scan of its own rows and never a rescan of older loads.
+counts, so a new load costs one scan of its own rows and never a rescan of older loads. A store lives on
+in its folder; one that holds all loads of its tables is only read.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallgrass.plans.staging import new_path
+from tallgrass.plans.staging import fingerprint, new_path, release, shared_dir, stage
 
 KEY_FIELD = "primary_key"
 SCHEMA = "tab_name string, field_name string, load_no int, value string, n bigint"
@@ -52,39 +55,88 @@ def count_values(df: DataFrame, tab_name: str, fields: Sequence[str], key: Seque
 
 @dataclass
 class ValueCounts:
-    """A store of signed deltas below ``path`` (by default in the session's shared folder)."""
+    """A store of signed deltas below ``path``: a folder per delta, in it one per table and load.
+
+    A delta counts once it is written whole. Counts of a load that has one delta are read as they are; only
+    where a load was delivered again its deltas are summed.
+    """
 
     spark: SparkSession
     path: str
 
     @classmethod
     def create(cls, spark: SparkSession, path: str | None = None) -> ValueCounts:
-        store = cls(spark, path or new_path(spark, "value-counts"))
-        spark.createDataFrame([], SCHEMA).write.mode("ignore").parquet(store.path)
-        return store
+        """The store at ``path``, kept from earlier or new; without a path a new one in the session's shared folder."""
+        return cls(spark, path or new_path(spark, "value-counts"))
+
+    @classmethod
+    def kept(cls, spark: SparkSession, *sources: str) -> ValueCounts:
+        """The store of tables at the paths ``sources`` as they are now, kept in the shared folder from query to query."""
+        return cls(spark, f"{shared_dir(spark)}/tallgrass/kept-value-counts-{fingerprint(spark, *sources)}")
+
+    def _folders(self) -> list[tuple[str, str, int | None]]:
+        """(delta folder, table, load) of what was written whole."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        root = path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        whole = {str(x.getPath().getParent().toString()) for x in fs.globStatus(path(f"{self.path}/delta-*/_SUCCESS")) or []}
+        out = []
+        for x in fs.globStatus(path(f"{self.path}/delta-*/tab_name=*/load_no=*")) or []:
+            delta, tab, load = str(x.getPath().toString()).rsplit("/", 2)
+            if delta in whole:
+                load = load.removeprefix("load_no=")
+                out.append((delta, tab.removeprefix("tab_name="), int(load) if load.lstrip("-").isdigit() else None))
+        return out
+
+    def loads(self, tab_name: str) -> set[int | None]:
+        """The loads of a table that the store holds."""
+        return {load for _, tab, load in self._folders() if tab == tab_name}
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        columns = [c.split()[0] for c in SCHEMA.split(", ")]
+        parts = [self.spark.read.schema(SCHEMA).parquet(f).select(columns) for f in folders]  # a delta per call of `apply`
+        out = parts[0] if parts else self.spark.createDataFrame([], SCHEMA)
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
 
     def deltas(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        return self._read(sorted({f for f, _, _ in self._folders()}))
 
     def state(self) -> DataFrame:
         """The maintained counts: the sum of all deltas, without what was taken back."""
-        return self.deltas().groupBy("tab_name", "field_name", "load_no", "value").agg(F.sum("n").alias("n")).where("n <> 0")
-
-    def add(self, counts: DataFrame) -> None:
-        """Append counts of loads that the store doesn't hold yet."""
-        counts.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("append").parquet(self.path)
-
-    def replace(self, counts: DataFrame, tab_name: str, loads: Sequence[int]) -> None:
-        """Apply new deliveries of ``loads`` of a table: their counts, less what was held of those loads."""
-        held = self.state().where((F.col("tab_name") == tab_name) & F.col("load_no").isin(*loads))
-        signed = counts.where(F.col("load_no").isin(*loads)).unionByName(held.withColumn("n", -F.col("n")))
-        change = signed.groupBy("tab_name", "field_name", "load_no", "value").agg(F.sum("n").alias("n")).where("n <> 0")
-        self.add(change)
+        times = Counter((tab, load) for _, tab, load in self._folders())
+        again = sorted(f"{tab}|{load}" for (tab, load), n in times.items() if n > 1)
+        deltas = self.deltas()
+        if not again:
+            return deltas
+        # Few: one per table and load; the test needs their names alone, so only their folders are read.
+        name = F.concat_ws("|", "tab_name", F.coalesce(F.col("load_no").cast("string"), F.lit("None")))
+        summed = deltas.where(name.isin(*again)).groupBy("tab_name", "field_name", "load_no", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+        return deltas.where(~name.isin(*again)).unionByName(summed)
+
+    def apply(self, counts: DataFrame, tab_name: str, loads: Sequence[int | None] | None = None) -> None:
+        """Bring ``loads`` of a table (None: all) to ``counts``, as delivered now.
+
+        What the store doesn't hold is added; of loads it holds, the difference to the earlier delivery is
+        written, with a minus for what is gone. Nothing is written where nothing changed.
+        """
+        mine = counts.where(F.col("tab_name") == tab_name)
+        held = self.loads(tab_name)
+        if loads is not None:
+            wanted = F.coalesce(F.col("load_no").cast("string"), F.lit("None")).isin(*[str(x) for x in loads])
+            mine, held = mine.where(wanted), held & set(loads)
+        if held:
+            before = self.state().where(F.col("tab_name") == tab_name)
+            before = before if loads is None else before.where(wanted)
+            mine = mine.unionByName(before.withColumn("n", -F.col("n"))).groupBy("tab_name", "field_name", "load_no", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+        mine.select("tab_name", "load_no", "field_name", "value", "n").write.partitionBy("tab_name", "load_no").parquet(f"{self.path}/delta-{uuid.uuid4().hex}")
 
     def compact(self) -> ValueCounts:
-        """The same state in a new folder without deltas that cancel out."""
+        """The same state in a new folder, a single delta without counts that cancel out."""
         smaller = ValueCounts.create(self.spark)
-        smaller.add(self.state())
+        state = self.state()
+        state.select("tab_name", "load_no", "field_name", "value", "n").write.partitionBy("tab_name", "load_no").parquet(f"{smaller.path}/delta-{uuid.uuid4().hex}")
         return smaller
 
 
@@ -181,33 +233,35 @@ def profile(state: DataFrame, per_load: bool) -> DataFrame:
     )
 
 
-def _medians(values: DataFrame, by: list[str]) -> DataFrame:
-    """Weighted medians (mean of the middle two) of (by, number, n) without a task per group.
+def _medians(numbers: DataFrame, by: list[str], load: str = "load_no") -> DataFrame:
+    """(*by, load, total, median, others_total, others_median): weighted medians (mean of the middle two) of each load and of all other loads together.
 
-    Ranks are first placed among logarithmic buckets, of which a group has a few thousand at most; only
-    the buckets that hold the middle ranks are then ranked value by value.
+    ``numbers`` has a row (*by, load, number, n) per number above 0. Ranks are first placed among logarithmic
+    buckets, of which a field has a few thousand at most whatever the data; only the numbers of the buckets
+    that hold middle ranks are then ranked one by one.
     """
     # A monotone bucket of the positive double: 64 to a power of two.
-    bucketed = values.withColumn("__b", F.floor(F.log2("number") * 64))
-    sizes = bucketed.groupBy(*by, "__b").agg(F.sum("n").alias("__bn"))
-    up_to = Window.partitionBy(*by).orderBy("__b")
-    everything = Window.partitionBy(*by)
-    placed = sizes.select(
-        *by, "__b",
-        (F.sum("__bn").over(up_to) - F.col("__bn")).alias("__before"), "__bn",
-        F.sum("__bn").over(everything).alias("total"),
-    )
+    bucketed = numbers.withColumn("__b", F.floor(F.log2("number") * 64))
+    per = bucketed.groupBy(*by, load, "__b").agg(F.sum("n").alias("__own"))
+    everywhere = per.groupBy(*by, "__b").agg(F.sum("__own").alias("__all"))
+    grid = per.select(*by, load).distinct().join(everywhere, by).join(per, [*by, load, "__b"], "left")
+    grid = grid.withColumn("__own", F.coalesce("__own", F.lit(0))).withColumn("__rest", F.col("__all") - F.col("__own"))
+    up_to, whole = Window.partitionBy(*by, load).orderBy("__b"), Window.partitionBy(*by, load)
+    side = lambda kind, n: F.struct(F.lit(kind).alias("kind"), (F.sum(n).over(up_to) - F.col(n)).alias("before"), F.col(n).alias("n"), F.sum(n).over(whole).alias("total"))
+    both = grid.select(*by, load, "__b", F.array(side("own", "__own"), side("rest", "__rest")).alias("__s")).select(*by, load, "__b", F.inline("__s"))
     low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
-    holds = lambda r: (r > F.col("__before")) & (r <= F.col("__before") + F.col("__bn"))
-    middle = placed.where(holds(low) | holds(high))
-    inside = bucketed.join(middle, [*by, "__b"])
-    order = Window.partitionBy(*by, "__b").orderBy("number")
-    ranked = inside.withColumn("__to", F.col("__before") + F.sum("n").over(order))
-    at = lambda r: F.min(F.when(F.col("__to") >= r, F.col("number")))
-    # Of two middle buckets the lower one's rows may all lie below the upper rank; min over both is right.
-    return ranked.groupBy(*by).agg(F.max("total").alias("total"), at(low).alias("__lo"), at(high).alias("__hi")).select(
-        *by, "total", ((F.col("__lo") + F.col("__hi")) / 2).alias("median")
-    )
+    holds = lambda r: (r > F.col("before")) & (r <= F.col("before") + F.col("n"))
+    middle = both.where(holds(low) | holds(high)).select(*by, load, "__b", "kind", "before", "total")
+    inside = bucketed.withColumnRenamed(load, "__from").join(middle, [*by, "__b"]).where((F.col("kind") == "own") == (F.col("__from") == F.col(load)))
+    values = inside.groupBy(*by, load, "kind", "__b", "before", "total", "number").agg(F.sum("n").alias("n"))
+    ranked = values.withColumn("__to", F.col("before") + F.sum("n").over(Window.partitionBy(*by, load, "kind", "__b").orderBy("number")))
+    at = lambda kind, r: F.min(F.when((F.col("kind") == kind) & (F.col("__to") >= r), F.col("number")))
+    total = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("total")))
+    # Of two middle buckets the lower one's rows may all lie below the upper rank; the least over both is right.
+    return ranked.groupBy(*by, load).agg(
+        total("own").alias("total"), ((at("own", low) + at("own", high)) / 2).alias("median"),
+        total("rest").alias("others_total"), ((at("rest", low) + at("rest", high)) / 2).alias("others_median"),
+    )
 
 
 @dataclass(frozen=True)
@@ -234,59 +288,50 @@ def departures(state: DataFrame, limits: Limits = Limits()) -> DataFrame:
         F.coalesce(F.sum(F.when(pop & ~F.col("fits"), n)), F.lit(0)).alias("bad"),
     )
     overall = Window.partitionBy(*by)  # one row per load and field
-    shares = loads.withColumns({
+    shares = stage(loads.withColumns({
         "others": F.sum("rows").over(overall) - F.col("rows"),
         "others_full": F.sum("full").over(overall) - F.col("full"),
-    })
+    }), "load-shares")
     share = F.col("full") / F.col("rows")
-    null_rate = shares.where((F.col("others") > 0) & (F.abs(share - F.col("others_full") / F.col("others")) > limits.null_rate))
-    pattern = shares.where((F.col("full") >= limits.least) & (F.col("bad") / F.col("full") > limits.pattern))
+    null_rate = (F.col("others") > 0) & (F.abs(share - F.col("others_full") / F.col("others")) > limits.null_rate)
+    pattern = (F.col("full") >= limits.least) & (F.col("bad") / F.col("full") > limits.pattern)
+    issues = F.filter(F.array(F.when(null_rate, "null_rate"), F.when(pattern, "pattern")), lambda x: x.isNotNull())
+    told = shares.select(*by, "load_no", F.explode(issues).alias("issue"))
 
-    coded = plain.where(F.col("is_tracked") & pop).select(*by, "load_no", "value", "n")
-    totals = coded.groupBy(*by, "value").agg(F.sum("n").alias("all"))
+    coded = plain.where(F.col("is_tracked") & pop).select(*by, "load_no", "value", "n").withColumn("all", F.sum("n").over(Window.partitionBy(*by, "value")))
     enough = shares.where((F.col("full") >= limits.least) & (F.col("others_full") >= limits.least)).select(*by, "load_no", "full", "others_full")
     p, q = n / F.col("full"), (F.col("all") - n) / F.col("others_full")
     # Values that the load lacks add what is left of the others' shares.
     distance = (F.sum(F.abs(p - q)) + F.lit(1.0) - F.sum(q)) / 2
-    values = (
-        coded.join(totals, [*by, "value"]).join(F.broadcast(enough), [*by, "load_no"])  # a row per field and load
-        .groupBy(*by, "load_no").agg(distance.alias("distance")).where(F.col("distance") > limits.values)
-    )
+    values = coded.join(enough, [*by, "load_no"]).groupBy(*by, "load_no").agg(distance.alias("distance")).where(F.col("distance") > limits.values)
 
-    numbers = plain.where(F.col("number") > 0).groupBy(*by, "load_no", "number").agg(F.sum("n").alias("n"))
-    all_numbers = numbers.groupBy(*by, "number").agg(F.sum("n").alias("all"))
-    present = numbers.select(*by, "load_no").distinct()
-    elsewhere = (
-        all_numbers.join(F.broadcast(present), by)  # a row per field and load
-        .join(numbers, [*by, "load_no", "number"], "left")
-        .select(*by, "load_no", "number", (F.col("all") - F.coalesce(n, F.lit(0))).alias("n"))
-        .where("n > 0")
-    )
-    here = _medians(numbers, [*by, "load_no"])
-    there = _medians(elsewhere, [*by, "load_no"]).select(*by, "load_no", F.col("total").alias("others_total"), F.col("median").alias("others_median"))
+    numbers = stage(plain.where(F.col("number") > 0).groupBy(*by, "load_no", "number").agg(F.sum("n").alias("n")), "numbers")
     ratio = F.col("median") / F.col("others_median")
-    ranges = here.join(there, [*by, "load_no"]).where(
+    ranges = _medians(numbers, by).where(
         (F.col("total") >= limits.least) & (F.col("others_total") >= limits.least) & ((ratio > limits.range_factor) | (ratio < 1 / limits.range_factor))
     )
     dup_key = state.where((F.col("field_name") == KEY_FIELD) & (n > 1)).select(*by, "load_no").distinct()
 
-    out = None
-    for issue, df in (("null_rate", null_rate), ("pattern", pattern), ("values", values), ("range", ranges), ("dup_key", dup_key)):
-        part = df.select(*by, "load_no", F.lit(issue).alias("issue"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    out = told
+    for issue, df in (("values", values), ("range", ranges), ("dup_key", dup_key)):
+        out = out.unionByName(df.select(*by, "load_no", F.lit(issue).alias("issue")))
+    found = stage(out, "departures")
+    release(shares, numbers)
+    return found
 
 
 #: The keys of the project's tables.
 KEYS: Mapping[str, Sequence[str]] = {"mara": ("matnr",), "makt": ("matnr", "spras"), "marc": ("matnr", "werks")}
 
 
-def build_store(tables: Mapping[str, DataFrame], fields: Sequence[Field], keys: Mapping[str, Sequence[str]] = KEYS) -> ValueCounts:
-    """A store holding all loads of all ``tables`` that have declared fields; each table is scanned once."""
-    spark = next(iter(tables.values())).sparkSession
-    store = ValueCounts.create(spark)
+def bring_up_to_date(store: ValueCounts, tables: Mapping[str, DataFrame], fields: Sequence[Field], keys: Mapping[str, Sequence[str]] = KEYS, again: bool = False) -> ValueCounts:
+    """``store`` with all loads of ``tables`` that have declared fields; each table is scanned once, if at all.
+
+    A table of which the store holds loads is left alone, unless it is delivered ``again``: then its loads
+    get what has changed.
+    """
     for tab, df in tables.items():
         declared = [f.field_name for f in fields if f.tab_name == tab and f.field_name in df.columns]
-        if declared:
-            store.add(count_values(df, tab, declared, keys.get(tab, ())))
+        if declared and (again or not store.loads(tab)):
+            store.apply(count_values(df, tab, declared, keys.get(tab, ())), tab)
     return store

@@ -9,6 +9,7 @@ session is local and names no folder (tests, notebooks) a private temporary one
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -37,6 +38,18 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tallgrass/{label}-{uuid.uuid4().hex}"
 
 
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A name for what lies at ``paths`` now: it changes with their names, sizes, numbers of files and times of change."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    facts = []
+    for p in sorted(paths):
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        size = fs.getContentSummary(path)
+        facts.append((p, size.getLength(), size.getFileCount(), fs.getFileStatus(path).getModificationTime()))
+    return hashlib.sha256(repr(facts).encode()).hexdigest()[:24]
+
+
 def stage(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads it."""
     spark = df.sparkSession

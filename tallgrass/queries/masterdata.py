@@ -42,23 +42,42 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_net_grams(spark, folder).where("gewei is distinct from 'KG' and net_g > 0").select("matnr", "net_g")
 
 
-def _state(spark: SparkSession, folder: str) -> DataFrame:
-    fields = valuecounts.fields_of(table(spark, folder, "field_spec"))
-    store = valuecounts.build_store({t: table(spark, folder, t) for t in FIELDS}, fields)
+def _annotated(store: valuecounts.ValueCounts, fields: list) -> DataFrame:
     # Written once: the departures read the state several times, each a few of its columns.
     return stage(valuecounts.annotate(store.state(), fields), "value-counts")
 
 
+def _state(spark: SparkSession, folder: str) -> DataFrame:
+    fields = valuecounts.fields_of(table(spark, folder, "field_spec"))
+    store = valuecounts.ValueCounts.kept(spark, *[f"{folder}/{t}.parquet" for t in [*FIELDS, "field_spec"]])
+    return _annotated(valuecounts.bring_up_to_date(store, {t: table(spark, folder, t) for t in FIELDS}, fields), fields)
+
+
+def p5_redelivered(spark: SparkSession, folder: str) -> DataFrame:
+    """The profile after each load was delivered twice: what arrived within a day of its first row, then all of it."""
+    fields = valuecounts.fields_of(table(spark, folder, "field_spec"))
+    whole = {t: table(spark, folder, t) for t in FIELDS}
+    prompt = {}
+    for t, df in whole.items():
+        began = df.groupBy("load_no").agg(F.min("loaded_at").alias("began"))  # a row per load
+        prompt[t] = df.join(began, "load_no").where(F.col("loaded_at") <= F.col("began") + F.expr("interval 1 day")).select(df.columns)
+    store = valuecounts.bring_up_to_date(valuecounts.ValueCounts.create(spark), prompt, fields)
+    store = valuecounts.bring_up_to_date(store, whole, fields, again=True)
+    return _rounded(valuecounts.profile(_annotated(store, fields), False), ["tab_name", "field_name"])
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return valuecounts.departures(_state(spark, folder))
 
 
-def _profile(spark: SparkSession, folder: str, per_load: bool) -> DataFrame:
-    got = valuecounts.profile(_state(spark, folder), per_load)
-    by = ["tab_name", "field_name"] + (["load_no"] if per_load else [])
+def _rounded(got: DataFrame, by: list[str]) -> DataFrame:
     return got.select(*by, "n_rows", "populated_pct", "distinct_count", F.round("entropy", 6).alias("entropy"), "min_length", "max_length", "min_value", "max_value", "violations", "repeated_rows")
 
 
+def _profile(spark: SparkSession, folder: str, per_load: bool) -> DataFrame:
+    return _rounded(valuecounts.profile(_state(spark, folder), per_load), ["tab_name", "field_name"] + (["load_no"] if per_load else []))
+
+
 def p5_profile(spark: SparkSession, folder: str) -> DataFrame:
     return _profile(spark, folder, False)
 
@@ -167,5 +186,6 @@ QUERIES = {
     "p4_net_grams": (lambda s, d: p4_net_grams(s, d).withColumns({"grams": F.round("grams", 9), "net_g": F.col("net_g").cast("double")}), _p4_sql(False)),
     "p5_found": (p5_found, P5_SQL),
     "p5_profile": (p5_profile, _profile_sql(False)),
+    "p5_redelivered": (p5_redelivered, _profile_sql(False)),
     "p5_profile_by_load": (p5_profile_by_load, _profile_sql(True)),
 }

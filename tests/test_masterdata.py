@@ -93,17 +93,52 @@ def counted(spark, data):
     return vc.count_values(df, "t", ["c", "q"], ["k"])
 
 
+def equal(a, b):
+    return a.exceptAll(b.select(a.columns)).count() == 0 and b.exceptAll(a.select(b.columns)).count() == 0
+
+
 def test_signed_deltas_equal_a_fresh_count(spark):
-    first = [(str(i), "A", "1,000", 1) for i in range(5)] + [("x", None, " ", 2), ("x", "B", "***", 2)]
+    first = [(str(i), "A", "1,000", 1) for i in range(5)] + [("x", None, " ", 2), ("x", "B", "***", 2), ("y", "B", "***", None)]
     again = [(str(i), "B", "1,000", 1) for i in range(3)]
     store = vc.ValueCounts.create(spark)
-    store.add(counted(spark, first))
-    store.replace(counted(spark, again), "t", [1])
+    assert store.state().count() == 0 and store.loads("t") == set()
+    store.apply(counted(spark, first), "t")
+    assert store.loads("t") == {1, 2, None} and store.deltas().where("n < 0").count() == 0
+    store.apply(counted(spark, again), "t", [1])
     want = counted(spark, again + first[5:])
-    state = store.state()
-    assert state.exceptAll(want).count() == 0 and want.exceptAll(state).count() == 0
+    assert equal(store.state(), want)
     assert store.deltas().where("n < 0").count() > 0
-    assert store.compact().deltas().exceptAll(want).count() == 0
+    assert equal(store.compact().deltas(), want)
+    # The whole table again: load 2 is gone, load 3 is new; the store is found by its path.
+    last = [*again, ("z", "A", "2,000", 3)]
+    kept = vc.ValueCounts.create(spark, store.path)
+    kept.apply(counted(spark, last), "t")
+    assert equal(store.state(), counted(spark, last))
+
+
+def test_an_unfinished_delta_does_not_count(spark):
+    import os
+
+    store = vc.ValueCounts.create(spark)
+    store.apply(counted(spark, [("1", "A", "1,000", 1)]), "t")
+    store.apply(counted(spark, [("2", "A", "1,000", 2)]), "t", [2])
+    assert store.loads("t") == {1, 2}
+    folder = next(f for f, _, load in store._folders() if load == 2)
+    os.remove(f"{folder.removeprefix('file:')}/_SUCCESS")
+    assert store.loads("t") == {1} and equal(store.state(), counted(spark, [("1", "A", "1,000", 1)]))
+
+
+def test_a_kept_store_is_only_read(spark, tmp_path, monkeypatch):
+    fields = [vc.Field("t", "c", "code", "[AB]", True)]
+    df = spark.createDataFrame([("1", "A", 1), ("2", "B", 2)], "k string, c string, load_no int")
+    df.write.parquet(f"{tmp_path}/t.parquet")
+    read = lambda: {"t": spark.read.parquet(f"{tmp_path}/t.parquet")}
+    store = vc.bring_up_to_date(vc.ValueCounts.kept(spark, f"{tmp_path}/t.parquet"), read(), fields, {"t": ["k"]})
+    monkeypatch.setattr(vc, "count_values", None)  # a second scan would fail
+    again = vc.bring_up_to_date(vc.ValueCounts.kept(spark, f"{tmp_path}/t.parquet"), read(), fields, {"t": ["k"]})
+    assert again.path == store.path and again.state().count() == 4
+    df.limit(1).write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    assert vc.ValueCounts.kept(spark, f"{tmp_path}/t.parquet").path != store.path
 
 
 def test_profile_from_counts(spark):
