@@ -45,6 +45,7 @@ def _fold(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
         starts = np.flatnonzero(change)
         order = batch["__order"].to_numpy(dtype=object)
         counts = batch["__n"].to_numpy(dtype=np.int64)
+        times = batch["__times"].to_numpy(dtype=np.int64)
         value = batch["__value"].to_numpy(dtype=np.float64)
         latest = batch["__when"].to_numpy(dtype="datetime64[us]")
         new_run = change.copy()
@@ -54,8 +55,8 @@ def _fold(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
             key = tuple(None if pd.isna(x) else x for x in (batch[k].iloc[start] for k in keys))
             span = slice(start, end)
             known = ~np.isnan(value[span])
-            times = latest[span]
-            times = times[~np.isnat(times)]
+            when = latest[span]
+            when = when[~np.isnat(when)]
             named = order[span][~pd.isna(order[span])]
             first, last = (named[0], named[-1]) if len(named) else (None, None)
             runs = int(new_run[span].sum())
@@ -64,11 +65,11 @@ def _fold(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
                 "__runs": runs,
                 "__first": first,
                 "__last": last,
-                "__sum": float((value[span][known] * counts[span][known]).sum()),
-                "__valued": int(counts[span][known].sum()),
+                "__sum": float((value[span][known] * times[span][known]).sum()),
+                "__valued": int(times[span][known].sum()),
                 "__min": float(value[span][known].min()) if known.any() else None,
                 "__max": float(value[span][known].max()) if known.any() else None,
-                "__latest": pd.Timestamp(times.max()) if len(times) else None,
+                "__latest": pd.Timestamp(when.max()) if len(when) else None,
             }
             if key == open_key:
                 if first is not None and first == state["__last"]:
@@ -105,9 +106,13 @@ def figures_by_key(
     value: str,
     when: str,
     partitions: int | None = None,
+    rows: str | None = None,
 ) -> DataFrame:
     """One row per combination of ``keys`` (string columns), whatever its size.
 
+    ``rows`` names a number of rows that an input row stands for in ``n_rows`` and ``row_share``, where copies
+    were combined before; its value counts once all the same.
+
     Columns: the keys, ``n_rows``, ``n_items`` (distinct non-null ``order``), ``value_sum``,
     ``n_valued``, ``value_min``, ``value_max``, ``latest`` (largest ``when``), ``row_share``
     (of all rows) and ``n_parts`` (range partitions the key was spread over).
@@ -122,9 +127,10 @@ def figures_by_key(
         F.col(order).cast("string").alias("__order"),
         F.col(value).cast("double").alias("__value"),
         F.col(when).cast("timestamp_ntz").alias("__when"),
+        (F.col(rows).cast("bigint") if rows else F.lit(1).cast("bigint")).alias("__n"),
     )
     inner = [f"__k{i}" for i in range(len(keys))]
-    distinct = slim.groupBy(*inner, "__order", "__value", "__when").agg(F.count(F.lit(1)).alias("__n"))
+    distinct = slim.groupBy(*inner, "__order", "__value", "__when").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__n"), F.count(F.lit(1)).alias("__times"))
     by = [*inner, "__order", "__value", "__when"]
     ranged = distinct.repartitionByRange(partitions, *by) if partitions else distinct.repartitionByRange(*by)
     sorted_rows = ranged.withColumn("__part", F.spark_partition_id()).sortWithinPartitions(*by)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -70,32 +70,46 @@ class UnitGraph:
 
     def conflicts(self) -> list[tuple[str, str]]:
         """Edges that disagree with the shortest compositions, that is, cycles that don't return to the start."""
-        bad, seen = [], set()
+        to_root: dict[str, tuple[Fraction, Fraction, int]] = {}
         for root in sorted(self.out):
-            if root in seen:
-                continue
-            found = self.to(root)
-            seen |= set(found)
-            for e in self.edges:
-                if e.source in found:
-                    (fs, os, _), (ft, ot, _) = found[e.source], found[e.target]
-                    for x in (Fraction(0), Fraction(1)):
-                        direct, around = fs * x + os, ft * (e.factor * x + e.offset) + ot
-                        if abs(direct - around) > self.tolerance * max(1, abs(direct)):
-                            bad.append((e.source, e.target))
-                            break
+            if root not in to_root:
+                to_root |= self.to(root)
+        bad = []
+        for e in self.edges:
+            (fs, os, _), (ft, ot, _) = to_root[e.source], to_root[e.target]
+            for x in (Fraction(0), Fraction(1)):
+                direct, around = fs * x + os, ft * (e.factor * x + e.offset) + ot
+                if abs(direct - around) > self.tolerance * max(1, abs(direct)):
+                    bad.append((e.source, e.target))
+                    break
         return bad
 
-    def table(self, spark: SparkSession, target: str) -> DataFrame:
-        """(source_unit, canonical_unit, factor, shift, steps): one row per unit that reaches ``target``."""
-        rows = [
-            (unit, target, f"{float(f):.15f}", f"{float(o):.15f}", n) for unit, (f, o, n) in sorted(self.to(target).items())
-        ]
-        df = spark.createDataFrame(rows or [("", target, "0", "0", 0)], "source_unit string, canonical_unit string, factor string, shift string, steps int")
+    def table(self, spark: SparkSession, targets: Sequence[str]) -> DataFrame:
+        """(source_unit, canonical_unit, factor, shift, steps): a row per unit and target it reaches, at most MAX_UNITS of them."""
+        rows = [(unit, t, f"{float(f):.15f}", f"{float(o):.15f}", n) for t in dict.fromkeys(targets) for unit, (f, o, n) in sorted(self.to(t).items())]
+        if len(rows) > MAX_UNITS:
+            raise ValueError(f"{len(rows)} compositions exceed the bound of {MAX_UNITS}")
+        df = spark.createDataFrame(rows or [("", "", "0", "0", 0)], "source_unit string, canonical_unit string, factor string, shift string, steps int")
         df = df.withColumns({c: F.col(c).cast("decimal(20,12)") for c in ("factor", "shift")})
         return df if rows else df.limit(0)
 
 
+def convert(df: DataFrame, graph: UnitGraph, amount: str, unit: str, target: str, into: str = "converted") -> DataFrame:
+    """``df`` with ``into``: the number ``amount`` in the unit named by ``unit``, brought to the unit named by ``target``.
+
+    Both units may differ from row to row; conversions are looked up in one equi-join on the two. A unit that
+    is unknown or of another dimension than the target gives null, as does a null number.
+    """
+    wanted = [r[0] for r in df.select(unit_name(F.col(target))).distinct().limit(MAX_UNITS + 1).collect()]  # units, whose number is checked
+    if len(wanted) > MAX_UNITS:
+        raise ValueError(f"more than {MAX_UNITS} target units")
+    table = graph.table(df.sparkSession, [t for t in wanted if t is not None]).select(F.col("source_unit").alias("__su"), F.col("canonical_unit").alias("__cu"), "factor", "shift")
+    renamed = table.withColumnsRenamed({"factor": "__factor", "shift": "__shift"})
+    keyed = df.withColumns({"__su": unit_name(F.col(unit)), "__cu": unit_name(F.col(target))})
+    joined = keyed.join(F.broadcast(renamed), ["__su", "__cu"], "left")  # at most MAX_UNITS rows
+    return joined.withColumn(into, F.col(amount) * F.col("__factor") + F.col("__shift")).drop("__su", "__cu", "__factor", "__shift")
+
+
 def edges_from_units(units: DataFrame, spellings: dict[str, list[str]] | None = None) -> list[Edge]:
     """Edges of a table of official units (msehi, factor, base_unit) and of the spellings of each.
 
@@ -172,9 +186,11 @@ def net_grams(
     graph = UnitGraph(edges_from_units(units, spellings))
     if bad := graph.conflicts():
         raise ValueError(f"conversions disagree: {bad[:5]}")
-    table = graph.table(spark, "g")
     mass = sorted(graph.to("g"))
-    known = sorted(graph.out)
+    conversions = graph.table(spark, ["g"])
+    names = spark.createDataFrame([(u,) for u in sorted(graph.out)] or [("",)], "source_unit string").join(conversions, "source_unit", "left")
+    # A row per unit, at most MAX_UNITS: whether a text names a unit, and if of mass, its grams.
+    named_by = lambda df, text, p: df.join(F.broadcast(names.select(F.col("source_unit").alias(text), F.lit(True).alias(f"{p}unit"), F.col("factor").alias(f"{p}factor"), F.col("shift").alias(f"{p}shift"))), text, "left")
     m = (
         materials.select("matnr", "gewei", "ntgew", "meins")
         .where(F.col("matnr").isNotNull())
@@ -183,12 +199,13 @@ def net_grams(
         .select("matnr", "r.*")
         .withColumns({"__g": unit_name(F.col("gewei")), "__n": amount(F.col("ntgew")), "__u": amount_unit(F.col("ntgew")), "__m": unit_name(F.col("meins"))})
     )
-    named = F.col("__g").isin(known)
-    written = F.col("__u").isin(known)
-    told = m.where(F.coalesce(named | written, F.lit(False))).select(
+    m = named_by(named_by(m, "__g", "__g_"), "__u", "__u_")
+    named, written = F.col("__g_unit").isNotNull(), F.col("__u_unit").isNotNull()
+    pick = lambda c: F.when(named, F.col(f"__g_{c}")).otherwise(F.col(f"__u_{c}")).alias(c)
+    told = m.where(named | written).select(
         "matnr", "gewei", F.col("__n").alias("__amount"),
         F.when(named, F.col("__g")).otherwise(F.col("__u")).alias("source_unit"),
-        F.when(named, "gewei").otherwise("ntgew").alias("told_by"),
+        F.when(named, "gewei").otherwise("ntgew").alias("told_by"), pick("factor"), pick("shift"),
     )
     # Only the materials whose codes say nothing are joined to their wording.
     said, said_unit = stated_weight(F.col("maktx"), mass)
@@ -200,21 +217,16 @@ def net_grams(
         .agg(F.min(F.struct("maktx", "__said", "__said_unit")).alias("t"))
         .select("matnr", "t.__said", "t.__said_unit")
     )
-    in_meins = F.col("__m").isin(mass)
-    rest = (
-        m.where(~F.coalesce(named | written, F.lit(False)))
-        .join(wording, "matnr", "left")
-        .select(
-            "matnr", "gewei",
-            F.when(F.col("__said").isNotNull(), F.col("__said")).when(in_meins, F.col("__n")).alias("__amount"),
-            F.when(F.col("__said").isNotNull(), F.col("__said_unit")).when(in_meins, F.col("__m")).alias("source_unit"),
-            F.when(F.col("__said").isNotNull(), "text").when(in_meins, "meins").alias("told_by"),
-        )
+    rest = named_by(named_by(m.where(~(named | written)).join(wording, "matnr", "left"), "__said_unit", "__s_"), "__m", "__m_")
+    stated, in_meins = F.col("__said").isNotNull(), F.col("__m_factor").isNotNull()
+    either = lambda a, b: F.when(stated, a).when(in_meins, b)
+    rest = rest.select(
+        "matnr", "gewei", either(F.col("__said"), F.col("__n")).alias("__amount"), either(F.col("__said_unit"), F.col("__m")).alias("source_unit"),
+        either(F.lit("text"), F.lit("meins")).alias("told_by"), either(F.col("__s_factor"), F.col("__m_factor")).alias("factor"), either(F.col("__s_shift"), F.col("__m_shift")).alias("shift"),
     )
     grams = F.col("__amount") * F.col("factor") + F.col("shift")
     return (
         told.unionByName(rest)
-        .join(F.broadcast(table), "source_unit", "left")  # at most MAX_UNITS rows
         .select(
             "matnr", "gewei", "source_unit", "told_by",
             grams.cast("double").alias("grams"),

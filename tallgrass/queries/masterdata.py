@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallgrass.functions import values
 from tallgrass.operators import skewgroups, units, valuecounts
 from tallgrass.plans.staging import stage
 from tallgrass.queries.tables import table
@@ -17,21 +18,26 @@ FIELDS = {
 }
 
 
+def _code(column: str) -> Column:
+    return F.upper(F.trim(column)).alias(column)
+
+
 def p3_figures(spark: SparkSession, folder: str) -> DataFrame:
-    """Per combination: rows, materials, net weights as recorded, latest arrival, share."""
-    code = lambda c: F.upper(F.trim(c))
-    mara = table(spark, folder, "mara").select(
-        code(F.col("mtart")).alias("mtart"), code(F.col("meins")).alias("meins"), "matnr", "loaded_at", units.amount(F.col("ntgew")).cast("double").alias("weight")
-    )
-    found = skewgroups.figures_by_key(mara, ["mtart", "meins"], "matnr", "weight", "loaded_at")
+    """Per combination: rows, materials, their net weights in grams, the latest day on which one was changed, share of all rows."""
+    grams = p4_net_grams(spark, folder).select("matnr", F.col("grams").cast("double").alias("grams"))
+    changed = values.calendar_day(F.col("laeda"), F.col("loaded_at"))
+    # A material counts once in each combination it was delivered in, however often it was.
+    once = table(spark, folder, "mara").select(_code("mtart"), _code("meins"), "matnr", changed.alias("changed")).groupBy("mtart", "meins", "matnr").agg(F.count(F.lit(1)).alias("n"), F.max("changed").alias("changed"))
+    found = skewgroups.figures_by_key(once.join(grams, "matnr", "left"), ["mtart", "meins"], "matnr", "grams", "changed", rows="n")
     return found.select(
-        "mtart", "meins", "n_rows", F.col("n_items").alias("n_materials"), F.round("value_sum", 3).alias("weight_sum"),
-        "n_valued", F.col("value_max").alias("weight_max"), "latest", F.round("row_share", 9).alias("row_share"),
+        "mtart", "meins", "n_rows", F.col("n_items").alias("n_materials"), F.round("value_sum", 1).alias("grams_sum"), F.col("n_valued").alias("n_weighed"),
+        F.round("value_max", 6).alias("grams_max"), F.col("latest").cast("date").cast("string").alias("latest_change"), F.round("row_share", 9).alias("row_share"),
     )
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p3_figures(spark, folder).where("row_share > 0.05").select("mtart", "meins")
+    mara = table(spark, folder, "mara").select(_code("mtart"), _code("meins"), "matnr", F.lit(None).alias("value"), F.lit(None).alias("day"))
+    return skewgroups.figures_by_key(mara, ["mtart", "meins"], "matnr", "value", "day").where("row_share > 0.05").select("mtart", "meins")
 
 
 def p4_net_grams(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,6 +48,17 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_net_grams(spark, folder).where("gewei is distinct from 'KG' and net_g > 0").select("matnr", "net_g")
 
 
+def p4_converted(spark: SparkSession, folder: str) -> DataFrame:
+    """Gross weights in kilograms and volumes in litres, each number with its own unit and target."""
+    graph = units.UnitGraph(units.edges_from_units(table(spark, folder, "t006")))
+    cell = lambda field, number, unit, target: F.struct(F.lit(field).alias("field"), units.amount(F.col(number)).alias("amount"), F.col(unit).alias("unit"), F.lit(target).alias("target"))
+    cells = F.inline(F.array(cell("brgew", "brgew", "gewei", "KG"), cell("volum", "volum", "voleh", "L")))
+    # Copies of a material agree in what is converted.
+    once = table(spark, folder, "mara").select("matnr", "brgew", "gewei", "volum", "voleh").distinct().select("matnr", cells)
+    got = units.convert(once, graph, "amount", "unit", "target")
+    return got.select("matnr", "field", "unit", F.round(F.col("converted").cast("double"), 9).alias("converted"))
+
+
 def _annotated(store: valuecounts.ValueCounts, fields: list) -> DataFrame:
     # Written once: the departures read the state several times, each a few of its columns.
     return stage(valuecounts.annotate(store.state(), fields), "value-counts")
@@ -88,15 +105,16 @@ def p5_profile_by_load(spark: SparkSession, folder: str) -> DataFrame:
 
 AMOUNT_SQL = r"""try_cast(replace(replace(nullif(regexp_extract({c}, '^\s*(\d{{1,3}}(?:\.\d{{3}})+(?:,\d+)?|\d+(?:,\d+)?)\s*([^\d\s].*?)?\s*$', 1), ''), '.', ''), ',', '.') AS decimal(15,6))"""
 
-P3_SQL = f"""
-WITH m AS (SELECT upper(trim(mtart)) AS mtart, upper(trim(meins)) AS meins, matnr, loaded_at, {AMOUNT_SQL.format(c="ntgew")}::double AS w FROM mara)
-SELECT mtart, meins, count(*) AS n_rows, count(DISTINCT matnr) AS n_materials, round(sum(w), 3) AS weight_sum, count(w) AS n_valued,
-       max(w) AS weight_max, max(loaded_at) AS latest, round(count(*) / (SELECT count(*) FROM m), 9) AS row_share
-FROM m GROUP BY ALL"""
+# Written apart from the operator's list, so that the comparison would show a spelling that it lacks.
+SPELLINGS_SQL = {
+    "MG": ["mg", "mgm", "milligram", "milligrams", "milligramm"], "G": ["g", "gr", "grm", "gm", "gms", "gram", "grams", "gramm", "gramme", "grammes"],
+    "KG": ["kg", "kgm", "kgs", "kilo", "kilos", "kilogram", "kilograms", "kilogramm", "kilogramme"], "TO": ["to", "t", "ton", "tons", "tonne", "tonnes", "tonnen"],
+    "LB": ["lb", "lbs", "lbm", "pound", "pounds"], "OZ": ["oz", "ozs", "ounce", "ounces", "unze", "unzen"],
+}
 
 
 def _p4_sql(found: bool) -> str:
-    names = sorted(((n, c) for c, ns in units.MASS_SPELLINGS.items() for n in ns))
+    names = sorted((n, c) for c, ns in SPELLINGS_SQL.items() for n in ns)
     alias = ", ".join(f"('{n}', '{c}')" for n, c in names)
     alternatives = "|".join(n for n, _ in sorted(names, key=lambda x: (-len(x[0]), x[0])))
     text = rf"(?i)(?:^|[^\pL\d.,])(?:(\d+)\s*[x×*]\s*)?(\d+(?:[.,]\d+)?)[\s ]*({alternatives})(?:[^\pL\d]|$)"
@@ -124,6 +142,30 @@ out AS (SELECT matnr, gewei, source_unit, told_by, CASE WHEN base_unit = 'KG' TH
 {last}"""
 
 
+def _day_sql(c: str) -> str:
+    t, d = f"trim({c}, ' ')", "\\d{1,2}"
+    return (
+        f"CASE WHEN regexp_full_match({t}, '{d}/{d}/\\d{{4}}') THEN try_strptime({t}, '%m/%d/%Y')::date WHEN regexp_full_match({t}, '{d}\\.{d}\\.\\d{{4}}') THEN try_strptime({t}, '%d.%m.%Y')::date "
+        f"WHEN regexp_full_match({t}, '\\d{{4}}-{d}-{d}') THEN try_strptime({t}, '%Y-%m-%d')::date WHEN regexp_full_match({t}, '\\d{{8}}') THEN try_strptime({t}, '%Y%m%d')::date "
+        f"WHEN regexp_full_match({t}, '\\d{{4}}/{d}/{d}') THEN try_strptime({t}, '%Y/%m/%d')::date END"
+    )
+
+
+P3_SQL = f"""
+WITH m AS (SELECT upper(trim(mtart, ' ')) AS mtart, upper(trim(meins, ' ')) AS meins, matnr, {_day_sql("laeda")} AS day, loaded_at::date AS arrived FROM mara),
+g AS ({_p4_sql(False)}),
+o AS (SELECT mtart, meins, matnr, count(*) AS n, max(day) FILTER (day <= arrived) AS day FROM m GROUP BY ALL)
+SELECT mtart, meins, sum(n)::bigint AS n_rows, count(o.matnr) AS n_materials, round(coalesce(sum(grams), 0), 1) AS grams_sum, count(grams) AS n_weighed, round(max(grams), 6) AS grams_max,
+  max(day)::varchar AS latest_change, round(sum(n) / (SELECT count(*) FROM m), 9) AS row_share FROM o LEFT JOIN g ON g.matnr = o.matnr GROUP BY mtart, meins"""
+P3_FOUND_SQL = "SELECT upper(trim(mtart, ' ')) AS mtart, upper(trim(meins, ' ')) AS meins FROM mara GROUP BY ALL HAVING count(*) > 0.05 * (SELECT count(*) FROM mara)"
+P4_CONVERTED_SQL = f"""
+WITH alias(name, code) AS (VALUES {", ".join(f"('{n}', '{c}')" for c, ns in SPELLINGS_SQL.items() for n in ns)}),
+unit AS (SELECT lower(msehi) AS name, factor, base_unit FROM t006 UNION SELECT a.name, t.factor, t.base_unit FROM alias a JOIN t006 t ON t.msehi = a.code),
+one AS (SELECT DISTINCT matnr, brgew, gewei, volum, voleh FROM mara),
+c AS (SELECT matnr, 'brgew' AS field, {AMOUNT_SQL.format(c="brgew")} AS amount, gewei AS unit, 'KG' AS target FROM one UNION ALL SELECT matnr, 'volum', {AMOUNT_SQL.format(c="volum")}, voleh, 'L' FROM one)
+SELECT matnr, field, c.unit AS unit, round(CASE WHEN base_unit = target THEN amount::double * factor END, 9) AS converted FROM c LEFT JOIN unit u ON u.name = lower(regexp_replace(c.unit, '^[\\s. ]+|[\\s. ]+$', '', 'g'))"""
+
+
 def _cells_sql() -> str:
     """All cells of all tables as (tab_name, field_name, load_no, value)."""
     parts = []
@@ -180,10 +222,11 @@ UNION ALL SELECT tab_name, field_name, load_no, 'range' FROM med WHERE k >= 20 A
 UNION ALL SELECT DISTINCT tab_name, field_name, load_no, 'dup_key' FROM counts WHERE field_name = 'primary_key' AND n > 1"""
 
 QUERIES = {
-    "p3_found": (p3_found, f"SELECT mtart, meins FROM ({P3_SQL}) WHERE row_share > 0.05"),
+    "p3_found": (p3_found, P3_FOUND_SQL),
     "p3_figures": (p3_figures, P3_SQL),
     "p4_found": (p4_found, _p4_sql(True)),
     "p4_net_grams": (lambda s, d: p4_net_grams(s, d).withColumns({"grams": F.round("grams", 9), "net_g": F.col("net_g").cast("double")}), _p4_sql(False)),
+    "p4_converted": (p4_converted, P4_CONVERTED_SQL),
     "p5_found": (p5_found, P5_SQL),
     "p5_profile": (p5_profile, _profile_sql(False)),
     "p5_redelivered": (p5_redelivered, _profile_sql(False)),
