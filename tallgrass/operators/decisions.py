@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.operators.ir import SEVERITIES
+from tallgrass.plans.numbering import numbered
 
 SPARSE_BELOW, SPARSE_SHIFT = 90.0, 0.05
 MANDATORY_LIFT = 1.5
@@ -66,8 +67,8 @@ def judge(pairs: DataFrame, judged: DataFrame, program: Callable[[dict], tuple[s
 
 
 def apply_verdicts(pairs: DataFrame, verdicts: DataFrame, fingerprint: str) -> DataFrame:
-    """``pairs`` with decision and confidence; verdicts made under other settings are not applied."""
-    valid = verdicts.where(F.col("fingerprint") == fingerprint).select("pair_key", "decision", "confidence").dropDuplicates(["pair_key"])
+    """``pairs`` with decision, confidence and rationale; verdicts made under other settings are not applied, of several of a pair the most confident is."""
+    valid = verdicts.where(F.col("fingerprint") == fingerprint).groupBy("pair_key").agg(F.max(F.struct("confidence", "decision", "rationale")).alias("v")).select("pair_key", "v.decision", "v.confidence", "v.rationale")
     return pairs.join(valid, "pair_key", "left").withColumn("is_open", F.coalesce(F.col("decision") == "uncertain", F.col("decision").isNull()))
 
 
@@ -92,3 +93,105 @@ def attach_narrative(plan: DataFrame, narrative: DataFrame) -> DataFrame:
     """``plan`` with the text written for each group; a text written for another number of records is stale and left off."""
     texts = narrative.select("group_id", F.col("affected").alias("written_for"), "text")
     return plan.join(texts, "group_id", "left").withColumn("text", F.when(F.col("affected") == F.col("written_for"), F.col("text"))).drop("written_for")
+
+
+# What to do about records that took no part in the search for duplicates.
+HELD_BACK = {
+    "validity_failed": "Correct the descriptions that failed a validity check; they were held out of the search for duplicates too.",
+    "no_description": "Describe the records that have no description, so that they can be compared.",
+    "no_blocking_key": "Fill the blocking fields of the records that lack them.",
+    "block_too_large": "Add a blocking key or raise the limit of pairs: these records were never compared.",
+}
+
+
+def describe(advisory: Advisory) -> str:
+    """An advisory in a sentence."""
+    what = f"raise the bands by {advisory.shift:g}" if advisory.action == "raise_threshold" else "hold back the records that failed"
+    return f"{advisory.target}: {what}" + (f" ({advisory.why})" if advisory.why else "")
+
+
+def merge(*lists: Iterable[Advisory]) -> dict[str, list[Advisory]]:
+    """The advisories of several branches by target, each once, in the order they came."""
+    out: dict[str, list[Advisory]] = {}
+    for a in (a for one in lists for a in one):
+        if a not in out.setdefault(a.target, []):
+            out[a.target].append(a)
+    return out
+
+
+def uniqueness_actions(held: DataFrame, table: str, mode: str, assessed: int) -> DataFrame:
+    """Entries of the plan that no finding tells: (dimension, table_name, field, rule_id, affected, severity, priority, action).
+
+    Records that were held back weigh as High each, by reason; a run that compared letters only weighs as
+    Medium for every record it assessed.
+    """
+    action = F.coalesce(*[F.when(F.col("reason") == r, t) for r, t in HELD_BACK.items()], F.concat(F.lit("Review the records held back: "), F.col("reason")))
+    fixed = [F.lit("Uniqueness").alias("dimension"), F.lit(table).alias("table_name"), F.lit("").alias("field")]
+    out = held.where("n_records > 0").select(
+        *fixed, F.col("reason").alias("rule_id"), F.col("n_records").alias("affected"), F.lit("High").alias("severity"), (F.col("n_records") * float(SEVERITIES["High"])).alias("priority"), action.alias("action")
+    )
+    if mode != "fuzzy_only":
+        return out
+    row = [(float(SEVERITIES["Medium"] * max(1, assessed)), assessed)]
+    only = held.sparkSession.createDataFrame(row, "priority double, affected long")
+    return out.unionByName(only.select(*fixed, F.lit("fuzzy_only").alias("rule_id"), "affected", F.lit("Medium").alias("severity"), "priority", F.lit("Make the vectors and run again: only letters were compared.").alias("action")))
+
+
+def plan(findings: DataFrame, held: DataFrame, table: str, mode: str, assessed: int, mandatory: Sequence[str] = ()) -> DataFrame:
+    """:func:`actions` and :func:`uniqueness_actions` ranked together; a list of groups, not of records."""
+    group = ["dimension", "table_name", "field", "rule_id"]
+    rows = actions(findings, mandatory).select(*group, "affected", "severity", "priority").unionByName(uniqueness_actions(held, table, mode, assessed).select(*group, "affected", "severity", "priority"))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), *group)))
+
+
+def load_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """Verdicts of a JSON lines file or folder; no rows where it is absent or can't be read as such."""
+    schema = "pair_key string, decision string, confidence double, rationale string, fingerprint string"
+    try:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where("pair_key is not null and decision is not null")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def load_plan(path: str) -> dict:
+    """A stored plan; empty where the file is absent or no JSON object. A plan is a short list."""
+    import json
+    from pathlib import Path
+
+    try:
+        got = json.loads(Path(path).read_text())
+    except (OSError, ValueError):
+        return {}
+    return got if isinstance(got, dict) else {}
+
+
+def verdict_clusters(judged: DataFrame, filled: DataFrame) -> DataFrame:
+    """(cluster_id, left_id, right_id, survivor, other, reason, score, confidence, rationale): the confirmed pairs of :func:`apply_verdicts`.
+
+    Each is a cluster of its own that a steward decides; the more complete record is to survive, the left one
+    of equals.
+    """
+    rows = judged.where("decision = 'duplicate'")
+    side = lambda p: filled.select(F.col("member").alias(f"{p}_id"), F.struct(F.col("n_mandatory").alias("a"), F.col("n_total").alias("b")).alias(f"{p}_full"))
+    none = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
+    both = rows.join(side("left"), "left_id", "left").join(side("right"), "right_id", "left")
+    l, r = F.coalesce("left_full", none), F.coalesce("right_full", none)  # noqa: E741
+    both = numbered(both.withColumns({"__l": l, "__r": r}), "left_id", "right_id")
+    right = F.col("__r") > F.col("__l")
+    number = F.col("number").cast("string")
+    return both.select(
+        F.concat(F.lit("CL-LLM-"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0"))).alias("cluster_id"), "left_id", "right_id", F.when(right, F.col("right_id")).otherwise(F.col("left_id")).alias("survivor"),
+        F.when(right, F.col("left_id")).otherwise(F.col("right_id")).alias("other"), F.when(F.col("__l") == F.col("__r"), "none").otherwise("completeness").alias("reason"), "score", "confidence", "rationale",
+    )
+
+
+def verdict_findings(confirmed: DataFrame, table: str, key: str) -> DataFrame:
+    """A medium finding per confirmed pair, on the record that doesn't survive, with the judge's confidence."""
+    none = F.lit(None).cast("string")
+    return confirmed.select(
+        F.lit("Uniqueness").alias("dimension"), F.lit(table).alias("table_name"), F.concat(F.lit(f"{key}="), F.col("other")).alias("record_id"), none.alias("field"), none.alias("rule_id"),
+        F.concat(F.lit("judged a duplicate of "), F.col("survivor"), F.lit(": "), F.coalesce("rationale", F.lit(""))).alias("issue"), F.lit("Medium").alias("severity"), "confidence", none.alias("observed_value"),
+        F.lit(None).cast("array<string>").alias("expected"), F.create_map(F.lit("cluster_id"), F.col("cluster_id"), F.lit("survivor"), F.col("survivor"), F.lit("source"), F.lit("adjudicator")).alias("metadata"),
+    )

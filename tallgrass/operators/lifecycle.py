@@ -22,11 +22,23 @@ class Candidate:
 
 
 class Repository:
-    """Candidates by id. With a folder, every step is appended to ``ledger.jsonl`` there."""
+    """Candidates by id. With a folder, every step is appended to ``ledger.jsonl`` there, with what the candidate is after it.
+
+    A repository opened on a folder goes on from its ledger; a line that was cut short by a crash is passed over.
+    """
 
     def __init__(self, folder: str | Path | None = None):
         self.folder = Path(folder) if folder else None
         self.items: dict[str, Candidate] = {}
+        if self.folder and (self.folder / "ledger.jsonl").exists():
+            for line in (self.folder / "ledger.jsonl").read_text().splitlines():
+                try:
+                    entry = json.loads(line)
+                except ValueError:
+                    continue
+                after = entry.pop("after")
+                earlier = self.items.get(entry["rule_id"])
+                self.items[entry["rule_id"]] = Candidate(entry["rule_id"], **after, history=(*(earlier.history if earlier else ()), entry))
 
     def _note(self, c: Candidate, step: str, by: str, **more) -> Candidate:
         entry = {"rule_id": c.rule_id, "step": step, "by": by, "at": datetime.now(UTC).isoformat(), **more}
@@ -35,7 +47,7 @@ class Repository:
         if self.folder:
             self.folder.mkdir(parents=True, exist_ok=True)
             with (self.folder / "ledger.jsonl").open("a") as f:
-                f.write(json.dumps(entry) + "\n")
+                f.write(json.dumps(entry | {"after": {"spec": done.spec, "state": done.state, "strength": done.strength, "origin": done.origin}}) + "\n")
         return done
 
     def _move(self, rule_id: str, state: str) -> Candidate:

@@ -7,14 +7,15 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.functions.similarity import METRICS, cosine, metric
 from tallgrass.functions.text import MATERIAL_WORDS, digit_signature, disagreement, material_signature, normalise, signatures_differ
 from tallgrass.operators.compile import to_column
 from tallgrass.operators.ir import Predicate
-from tallgrass.plans.lookup import broadcast_if_small
+from tallgrass.plans.lookup import broadcast_if_small, heavy_keys, lookup
+from tallgrass.plans.numbering import numbered
 from tallgrass.plans.staging import release, stage
 
 MOST_BAND = 0.99
@@ -61,6 +62,14 @@ class Matching:
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()[:12]
 
 
+def latest_delivery(records: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row per key: the latest delivery by the columns ``order``, ties by all others; with no null key."""
+    order = [c for c in order if c in records.columns]
+    rest = [c for c in records.columns if c not in order and c != key]
+    best = records.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("__r"))
+    return best.select(*[F.col(key) if c == key else F.col(f"__r.{c}").alias(c) for c in records.columns])
+
+
 def one_text(texts: DataFrame, key: str, text: str, language: Column | None = None) -> DataFrame:
     """(key, text): one text per key, the greatest if there are several, as row order means nothing here."""
     kept = texts.where(language) if language is not None else texts
@@ -134,33 +143,79 @@ def _block_pairs(texts: DataFrame) -> DataFrame:
     )
 
 
-def score_pairs(found: DataFrame, m: Matching, vector: str | None = None, count_vetoes: bool = False) -> DataFrame:
-    """(block, left_id, right_id, raw, score, veto): pairs that may reach the review band.
+def _signed(texts: DataFrame, m: Matching) -> DataFrame:
+    n = F.col("norm")
+    return texts.withColumns({"size": F.length(n), "d": digit_signature(n), "m": material_signature(n, m.materials)})
+
 
-    Texts are scored once per distinct pair within a block, their signatures taken once per text. A pair whose
-    signatures differ is capped; where the cap lies below the review band it is not scored at all, unless
-    ``count_vetoes`` asks for the pairs that the veto kept out. Where only texts count, pairs whose lengths
-    alone keep them below both the review band and the veto cap are dropped before scoring, which changes
-    no band and no veto: the similarity is at most twice the shorter length over the sum.
+def _scored(kept: DataFrame, m: Matching, count_vetoes: bool, bound: bool) -> DataFrame:
+    """(block, left_norm, right_norm, fuzzy, veto_by): pairs of different texts of a block, and of a text of several records with itself.
+
+    Texts are scored once per distinct pair, their signatures taken once per text. A pair whose signatures
+    differ is capped; where the cap lies below the review band it is not scored at all, unless
+    ``count_vetoes`` asks for the pairs that the veto kept out. With ``bound`` (only texts count) pairs whose
+    lengths alone keep them below both the review band and the veto cap are dropped before scoring, which
+    changes no band and no veto: the similarity is at most twice the shorter length over the sum.
     """
     low = m.bands()[0]
-    kept = found.where("reason is null")
-    n = F.col("norm")
-    signs = {"size": F.length(n), "d": digit_signature(n), "m": material_signature(n, m.materials)}
     # Written once: each side of the self-join would otherwise normalise and sign all texts again.
-    texts = stage(kept.groupBy("block", "norm").agg(F.count(F.lit(1)).alias("k")).withColumns(signs), "block-texts")
+    texts = stage(_signed(kept.groupBy("block", "norm").agg(F.count(F.lit(1)).alias("k")), m), "block-texts")
     pairs = _block_pairs(texts)
-    text_only = m.shares[1] == 0
-    if text_only and m.metric in ("ratio", "token_sort_ratio"):
+    if bound and m.metric in ("ratio", "token_sort_ratio"):
         pairs = pairs.where(2 * F.least("ls", "rs") / (F.col("ls") + F.col("rs")) >= min(low, m.veto_cap))
     pairs = pairs.withColumn("veto_by", signatures_differ(F.col("ld"), F.col("rd"), F.col("lm"), F.col("rm")))
     if m.veto_cap < low and not count_vetoes:
         pairs = pairs.where("veto_by = ''")
-    # The reference's scores are single precision; bands compare them as doubles.
     fuzzy = metric(m.metric)(F.col("left_norm"), F.col("right_norm"))
     scored = pairs.select("block", "left_norm", "right_norm", fuzzy.alias("fuzzy"), "veto_by")
-    if text_only:
-        scored = scored.where(F.col("fuzzy") >= min(low, m.veto_cap))
+    return scored.where(F.col("fuzzy") >= min(low, m.veto_cap)) if bound else scored
+
+
+def _capped(rows: DataFrame, raw: Column, m: Matching, *columns: str) -> DataFrame:
+    # The reference's scores are single precision; bands compare them as doubles.
+    veto = F.when((F.col("veto_by") != "") & (F.col("raw") > m.veto_cap), F.col("veto_by"))
+    single = rows.withColumn("raw", raw.cast("float").cast("double"))
+    return single.select(*columns, "raw", F.when(veto.isNotNull(), m.veto_cap).otherwise(F.col("raw")).alias("score"), veto.alias("veto"))
+
+
+def classes(found: DataFrame) -> DataFrame:
+    """(block, norm, rep, last, n_records): the compared records of one text in a block, as one class under its smallest key."""
+    return found.where("reason is null").groupBy("block", "norm").agg(F.min("key").alias("rep"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n_records"))
+
+
+def class_members(found: DataFrame) -> DataFrame:
+    """(key, rep): the class of each compared record; a class of most records is joined around the shuffle."""
+    slim = found.where("reason is null").select("key", F.struct("block", "norm").alias("class"))
+    return lookup(slim, classes(found).select(F.struct("block", "norm").alias("class"), "rep"), "class").select("key", "rep")
+
+
+def class_pairs(found: DataFrame, m: Matching, count_vetoes: bool = False) -> DataFrame:
+    """(block, left_id, right_id, n_pairs, raw, score, veto): pairs of classes (see :func:`classes`) that may reach the review band.
+
+    Each row stands for the ``n_pairs`` pairs of records of the two classes, named by their smallest keys;
+    a class of several records also meets itself, named by its smallest and its largest key. Copies are
+    never written out as pairs. Only texts count.
+    """
+    kept = found.where("reason is null")
+    side = lambda p: classes(found).select("block", F.col("norm").alias(f"{p}_norm"), F.struct("rep", "last", "n_records").alias(p))
+    full = _scored(kept, m, count_vetoes, True).join(side("left"), ["block", "left_norm"]).join(side("right"), ["block", "right_norm"])
+    itself = F.col("left_norm") == F.col("right_norm")
+    k, n = F.col("left.n_records"), F.col("right.n_records")
+    named = full.select(
+        "block", F.least("left.rep", "right.rep").alias("left_id"), F.when(itself, F.col("left.last")).otherwise(F.greatest("left.rep", "right.rep")).alias("right_id"),
+        F.when(itself, k * (k - 1) / 2).otherwise(k * n).cast("bigint").alias("n_pairs"), "fuzzy", "veto_by",
+    )
+    return _capped(named, F.col("fuzzy"), m, "block", "left_id", "right_id", "n_pairs")
+
+
+def score_pairs(found: DataFrame, m: Matching, vector: str | None = None, count_vetoes: bool = False) -> DataFrame:
+    """(block, left_id, right_id, raw, score, veto): pairs of records that may reach the review band.
+
+    Every pair is written out, for small blocks and where vectors tell records of one text apart; else
+    :func:`class_pairs` says the same in fewer rows.
+    """
+    kept = found.where("reason is null")
+    scored = _scored(kept, m, count_vetoes, m.shares[1] == 0)
     l = kept.select("block", F.col("norm").alias("left_norm"), F.col("key").alias("lkey"), *([F.col("vector").alias("lv")] if vector else []))  # noqa: E741
     r = kept.select("block", F.col("norm").alias("right_norm"), F.col("key").alias("rkey"), *([F.col("vector").alias("rv")] if vector else []))
     full = scored.join(l, ["block", "left_norm"]).join(r, ["block", "right_norm"]).where((F.col("left_norm") != F.col("right_norm")) | (F.col("lkey") < F.col("rkey")))
@@ -170,11 +225,7 @@ def score_pairs(found: DataFrame, m: Matching, vector: str | None = None, count_
         able = kept.groupBy("block").agg(F.bool_and(F.col("vector").isNotNull()).alias("able"))
         full = full.join(able, "block")
         raw = F.when(F.col("able"), m.shares[0] * F.col("fuzzy") + m.shares[1] * cosine(F.col("lv"), F.col("rv"))).otherwise(F.col("fuzzy"))
-    single = raw.cast("float").cast("double")
-    veto = F.when((F.col("veto_by") != "") & (F.col("raw") > m.veto_cap), F.col("veto_by"))
-    return full.select("block", F.least("lkey", "rkey").alias("left_id"), F.greatest("lkey", "rkey").alias("right_id"), single.alias("raw"), "veto_by").select(
-        "block", "left_id", "right_id", "raw", F.when(veto.isNotNull(), m.veto_cap).otherwise(F.col("raw")).alias("score"), veto.alias("veto")
-    )
+    return _capped(full.withColumns({"left_id": F.least("lkey", "rkey"), "right_id": F.greatest("lkey", "rkey")}), raw, m, "block", "left_id", "right_id")
 
 
 def banded(scores: DataFrame, m: Matching, shift: float = 0.0) -> DataFrame:
@@ -185,38 +236,48 @@ def banded(scores: DataFrame, m: Matching, shift: float = 0.0) -> DataFrame:
 def score_spread(found: DataFrame, bands: DataFrame) -> DataFrame:
     """(band, n_pairs): duplicate and review as counted, below as what is left of all pairs in the blocks."""
     total = block_sizes(found.where("reason is null")).agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs")).withColumn("band", F.lit("below"))
-    counted = bands.where("band <> 'below'").groupBy("band").agg(F.count(F.lit(1)).alias("n_pairs"))
+    n = F.sum("n_pairs") if "n_pairs" in bands.columns else F.count(F.lit(1))
+    counted = bands.where("band <> 'below'").groupBy("band").agg(n.alias("n_pairs"))
     less = counted.select(F.lit("below").alias("band"), (-F.col("n_pairs")).alias("n_pairs"))
     return total.select("band", "n_pairs").unionByName(less).groupBy("band").agg(F.sum("n_pairs").alias("n_pairs")).unionByName(counted)
 
 
 def components(edges: DataFrame, left: str = "left_id", right: str = "right_id", most_rounds: int = 60) -> DataFrame:
-    """(member, root): connected components by repeatedly taking the least root among neighbours, with pointer jumping."""
+    """(member, root): connected components by repeatedly taking the least root among neighbours, with pointer jumping.
+
+    Vertices with many neighbours and roots with many members are joined around the shuffle.
+    """
     arcs = stage(edges.select(F.inline(F.array(F.struct(F.col(left).alias("u"), F.col(right).alias("v")), F.struct(F.col(right).alias("u"), F.col(left).alias("v"))))).where("u <> v").distinct(), "arcs")
     roots = stage(arcs.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("member"), F.least("u", "v").alias("root")), "roots")
+    hubs = stage(heavy_keys(arcs, "v"), "hubs")
     for _ in range(most_rounds):
-        near = arcs.join(roots.select(F.col("member").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("r"))
+        near = lookup(arcs, roots.select(F.col("member").alias("v"), "root"), "v", hubs).groupBy("u").agg(F.min("root").alias("r"))
         lower = roots.join(near, roots["member"] == near["u"]).select("member", F.least("root", "r").alias("root"), F.col("root").alias("was"))
         jump = roots.select(F.col("member").alias("root"), F.col("root").alias("over"))
-        moved = stage(lower.join(jump, "root", "left").select("member", F.least("root", F.coalesce("over", "root")).alias("root"), "was"), "roots")
+        moved = stage(lookup(lower, jump, "root", how="left").select("member", F.least("root", F.coalesce("over", "root")).alias("root"), "was"), "roots")
         still = moved.where("root <> was").isEmpty()
         release(roots)
         roots = moved.select("member", "root")
         roots._tallgrass_path = moved._tallgrass_path
         if still:
+            release(arcs, hubs)
             return roots
     raise RuntimeError(f"not stable after {most_rounds} rounds")
 
 
-def clusters(found: DataFrame, bands: DataFrame) -> DataFrame:
-    """(cluster_id, block, member, root): clusters of duplicate pairs, numbered by block and smallest member."""
-    roots = components(bands.where("band = 'duplicate'"))
+def clusters(found: DataFrame, bands: DataFrame, copies: bool = False) -> DataFrame:
+    """(cluster_id, block, member, root): clusters of duplicate pairs, numbered by block and smallest member.
+
+    With ``copies`` the pairs are those of classes (see :func:`class_pairs`), and all records of a class are in one cluster.
+    """
+    edges = bands.where("band = 'duplicate'").select("left_id", "right_id")
+    if copies:
+        edges = edges.unionByName(class_members(found).where("key <> rep").select(F.col("rep").alias("left_id"), F.col("key").alias("right_id")))
+    roots = components(edges)
     keyed = roots.join(found.select(F.col("key").alias("member"), "block"), "member")
-    heads = keyed.select("block", "root").distinct()
-    # One row per cluster.
-    number = F.row_number().over(Window.orderBy("block", "root"))
-    named = heads.withColumn("cluster_id", F.concat(F.lit("CL-"), F.lpad(number.cast("string"), 4, "0")))
-    return keyed.join(named, ["block", "root"]).select("cluster_id", "block", "member", "root")
+    heads = keyed.where("member = root").select("block", "root")
+    named = numbered(heads, "block", "root").select("root", F.concat(F.lit("CL-"), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(4), F.length(F.col("number").cast("string"))), F.lit("0"))).alias("cluster_id"))
+    return lookup(keyed, named, "root").select("cluster_id", "block", "member", "root")
 
 
 def completeness(records: DataFrame, key: str, fields: Sequence[str], mandatory: Sequence[str]) -> DataFrame:
@@ -227,28 +288,44 @@ def completeness(records: DataFrame, key: str, fields: Sequence[str], mandatory:
 
 
 def survivors(members: DataFrame, filled: DataFrame, found: DataFrame) -> DataFrame:
-    """(cluster_id, survivor, reason, needs_steward): equal texts keep the smallest key; else the most complete record; a tie is left to a steward."""
+    """(cluster_id, survivor, reason, needs_steward): equal texts keep the smallest key; else the most complete record; a tie is left to a steward.
+
+    Two aggregates that are combined before they are shuffled; no cluster is gathered.
+    """
     m = members.join(filled, "member", "left").join(found.select(F.col("key").alias("member"), "norm"), "member")
-    full = F.struct(F.coalesce("n_mandatory", F.lit(0)).alias("a"), F.coalesce("n_total", F.lit(0)).alias("b"))
-    top = m.groupBy("cluster_id").agg(F.max(full).alias("best"), F.countDistinct("norm").alias("texts"), F.min("member").alias("smallest"))
-    at_top = m.join(top, "cluster_id").where(full == F.col("best")).groupBy("cluster_id").agg(F.min("member").alias("first"), F.count(F.lit(1)).alias("k"))
-    reason = F.when(F.col("texts") == 1, "identical").when(F.col("k") > 1, "none").otherwise("completeness")
-    return top.join(at_top, "cluster_id").select("cluster_id", F.when(F.col("texts") == 1, F.col("smallest")).otherwise(F.col("first")).alias("survivor"), reason.alias("reason"), (reason == "none").alias("needs_steward"))
+    level = m.groupBy("cluster_id", F.coalesce("n_mandatory", F.lit(0)).alias("a"), F.coalesce("n_total", F.lit(0)).alias("b"))
+    level = level.agg(F.min("member").alias("first"), F.count(F.lit(1)).alias("k"), F.min("norm").alias("x"), F.max("norm").alias("y"))
+    top = level.groupBy("cluster_id").agg(F.max(F.struct("a", "b", "first", "k")).alias("best"), (F.min("x") == F.max("y")).alias("alike"), F.min("first").alias("smallest"))
+    reason = F.when(F.col("alike"), "identical").when(F.col("best.k") > 1, "none").otherwise("completeness")
+    return top.select("cluster_id", F.when(F.col("alike"), F.col("smallest")).otherwise(F.col("best.first")).alias("survivor"), reason.alias("reason"), (reason == "none").alias("needs_steward"))
 
 
 def weakest_links(members: DataFrame, found: DataFrame, m: Matching) -> DataFrame:
-    """(cluster_id, weakest_link): the least score among all pairs within a cluster, edges or not."""
-    texts = members.join(found.select(F.col("key").alias("member"), "norm"), "member").groupBy("cluster_id", "norm").agg(F.count(F.lit(1)).alias("k"))
-    a, b = texts.select("cluster_id", F.col("norm").alias("x"), "k"), texts.select("cluster_id", F.col("norm").alias("y"))
-    pairs = a.join(b, "cluster_id").where((F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("k") > 1)))
-    raw = metric(m.metric)(F.col("x"), F.col("y")).cast("float").cast("double")
-    score = F.when((disagreement(F.col("x"), F.col("y"), m.materials) != "") & (F.col("raw") > m.veto_cap), m.veto_cap).otherwise(F.col("raw"))
-    return pairs.select("cluster_id", "x", "y", raw.alias("raw")).groupBy("cluster_id").agg(F.min(score).alias("weakest_link"))
+    """(cluster_id, weakest_link): the least score among all pairs within a cluster, edges or not; a large cluster is cut into chunks as blocks are."""
+    texts = members.join(found.select(F.col("key").alias("member"), "norm"), "member").groupBy(F.col("cluster_id").alias("block"), "norm").agg(F.count(F.lit(1)).alias("k"))
+    pairs = _block_pairs(stage(_signed(texts, m), "cluster-texts"))
+    rows = pairs.select(F.col("block").alias("cluster_id"), metric(m.metric)(F.col("left_norm"), F.col("right_norm")).alias("fuzzy"), signatures_differ(F.col("ld"), F.col("rd"), F.col("lm"), F.col("rm")).alias("veto_by"))
+    return _capped(rows, F.col("fuzzy"), m, "cluster_id").groupBy("cluster_id").agg(F.min("score").alias("weakest_link"))
+
+
+def member_scores(members: DataFrame, kept: DataFrame, found: DataFrame, m: Matching, shift: float = 0.0) -> DataFrame:
+    """(cluster_id, member, is_survivor, score, below_band): each member's score against its survivor.
+
+    ``below_band`` marks a member that joined by a chain: alone with the survivor it would not reach the band.
+    The survivor scores 1.
+    """
+    texts = found.select(F.col("key").alias("member"), "norm")
+    heads = kept.select("cluster_id", F.col("survivor").alias("member")).join(texts, "member").select("cluster_id", F.col("member").alias("survivor"), F.col("norm").alias("head"))
+    both = lookup(members.join(texts, "member").select("cluster_id", "member", "norm"), heads, "cluster_id")
+    rows = both.select("cluster_id", "member", "survivor", metric(m.metric)(F.col("norm"), F.col("head")).alias("fuzzy"), disagreement(F.col("norm"), F.col("head"), m.materials).alias("veto_by"))
+    scored, own = _capped(rows, F.col("fuzzy"), m, "cluster_id", "member", "survivor"), F.col("member") == F.col("survivor")
+    score = F.when(own, 1.0).otherwise(F.col("score"))
+    return scored.select("cluster_id", "member", own.alias("is_survivor"), score.alias("score"), (~own & (score < m.bands(shift)[1])).alias("below_band"))
 
 
 def duplicate_findings(members: DataFrame, kept: DataFrame, table: str, key: str) -> DataFrame:
     """A high finding per member that doesn't survive."""
-    rows = members.join(kept, "cluster_id").where("member <> survivor")
+    rows = lookup(members, kept, "cluster_id").where("member <> survivor")
     none = F.lit(None).cast("string")
     return rows.select(
         F.lit("Uniqueness").alias("dimension"), F.lit(table).alias("table_name"), F.concat(F.lit(f"{key}="), F.col("member")).alias("record_id"), none.alias("field"),

@@ -80,21 +80,25 @@ def key_uniqueness(df: DataFrame, keys: Sequence[str], n_examples: int = 5) -> D
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("distinct_keys"),
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows_sharing_a_key"),
     )
-    return facts.join(F.broadcast(firsts)).select("n_rows", "distinct_keys", "rows_sharing_a_key", (F.col("rows_sharing_a_key") == 0).alias("is_unique"), F.lit(True).alias("assessable"), "examples")
+    return facts.withColumn("__one", F.lit(1)).join(F.broadcast(firsts.withColumn("__one", F.lit(1))), "__one").select("n_rows", "distinct_keys", "rows_sharing_a_key", (F.col("rows_sharing_a_key") == 0).alias("is_unique"), F.lit(True).alias("assessable"), "examples")
 
 
-def key_candidates(df: DataFrame, fields: Sequence[str] | None = None, arity: int = 3, most_fields: int = 8) -> list[tuple[str, ...]]:
+def key_candidates(df: DataFrame, fields: Sequence[str] | None = None, arity: int = 3, most_fields: int = 8, error: float = 0.02) -> list[tuple[str, ...]]:
     """Minimal sets of up to ``arity`` of the first ``most_fields`` fully populated, varying fields that tell all rows apart.
 
-    All sets of one arity are tested in one pass; sets that contain a found key are not tested.
+    All sets of one arity are estimated by sketches in one pass, without a row more than the table has; only
+    those whose estimate comes near the number of rows (within six times the sketch's ``error``) are counted
+    exactly, one by one. Sets that contain a found key are not tested.
     """
     facts = {r["field_name"]: r for r in profile(df, fields).collect()}  # a row per field
     usable = [f for f in (fields or df.columns) if facts[f]["populated_count"] == facts[f]["n_rows"] > 0 and facts[f]["distinct_count"] > 1][:most_fields]
-    found: list[tuple[str, ...]] = []
-    for k in range(1, arity + 1):
+    found: list[tuple[str, ...]] = [(f,) for f in usable if facts[f]["distinct_count"] == facts[f]["n_rows"]]
+    for k in range(2, arity + 1):
         trial = [c for c in combinations(usable, k) if not any(set(f) <= set(c) for f in found)]
         if not trial:
             continue
-        row = df.agg(F.count(F.lit(1)).alias("n"), *[F.countDistinct(F.struct(*c)).alias(f"k{i}") for i, c in enumerate(trial)]).first()
-        found += [c for i, c in enumerate(trial) if row[f"k{i}"] == row["n"]]
+        n = facts[usable[0]]["n_rows"]
+        about = df.agg(*[F.approx_count_distinct(F.xxhash64(*c), error).alias(f"k{i}") for i, c in enumerate(trial)]).first()
+        near = [c for i, c in enumerate(trial) if about[f"k{i}"] >= (1 - 6 * error) * n]
+        found += [c for c in near if df.groupBy(*c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()]
     return found

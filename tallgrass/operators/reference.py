@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterable, Mapping
+from pathlib import Path
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.plans.lookup import broadcast_if_small
@@ -43,6 +47,37 @@ def permitted(listed: DataFrame, scoped: bool = False) -> DataFrame:
     return listed.groupBy(*by).agg(F.array_sort(F.collect_set("value")).alias("permitted"), F.countDistinct("value").alias("n_permitted"))
 
 
+def load_manifest(path: str | Path) -> list[dict[str, Any]]:
+    """The lists that a YAML manifest names (name, file, value_field, scope_field, status, as_of); a list of lists, not data."""
+    import yaml
+
+    got = yaml.safe_load(Path(path).read_text()) or {}
+    return list(got.get("tables", [])) if isinstance(got, dict) else []
+
+
+def load_store(spark: SparkSession, lists: Iterable[Mapping[str, Any]], read: Callable[[str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(entries, manifest): the values of all lists that are loaded, and a row per list.
+
+    ``read`` gives the frame of a list's file. A list that is not extracted yet, or whose file isn't there,
+    is pending: it is named in the manifest and has no entries, so membership in it is unknown.
+    """
+    found, rows = None, []
+    for one in lists:
+        status, df = one.get("status", "pending_extract"), None
+        if status == "loaded" and one.get("file"):
+            try:
+                df = read(one["file"])
+            except Exception as e:  # an absent file makes a list pending
+                if not isinstance(e, FileNotFoundError) and "PATH_NOT_FOUND" not in str(e):
+                    raise
+        if df is not None:
+            part = entries(df, one["name"], one["value_field"], one.get("scope_field"))
+            found = part if found is None else found.unionByName(part)
+        rows.append((one["name"], "loaded" if df is not None else "pending_extract", one.get("as_of"), one.get("scope_field")))
+    none = spark.createDataFrame([], "table_name string, scope_key string, value string")
+    return none if found is None else found, spark.createDataFrame(rows, "table_name string, status string, as_of string, scope_field string")
+
+
 def pending(manifest: DataFrame) -> DataFrame:
     """Lists that the manifest names but that aren't extracted yet, or that state no date."""
     return manifest.where((F.col("status") == "pending_extract") | F.col("as_of").isNull()).select("table_name", "status", F.col("as_of").isNull().alias("lacks_date"))

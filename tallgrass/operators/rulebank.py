@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallgrass.operators.ir import Comparison, Rule
+from tallgrass.operators.reference import plain
+
 TEMPLATE = (
     "template_id string, target_table string, target_field string, field_role string, strength string, population_min double, reference_match_min double, "
     "distinct_min long, distinct_max long, type_hint string, max_value_length int"
 )
 OBSERVATION = "table_name string, field_name string, role_candidates array<string>, population double, reference_match_rate double, distinct_count long, type_hint string, max_value_length int, populated_count long"
+
+# The rate below which a template is excluded, and the weights of prior, support and coverage.
 RATE_FLOOR = 0.80
 WEIGHTS = (0.4, 0.4, 0.2)
 
@@ -66,6 +72,7 @@ def retrieve(observations: DataFrame, templates: DataFrame, floor: float = RATE_
     fits = (c("t.target_table") == "ANY") | (c("t.target_table") == c("o.table_name"))
     gates = passes(c("t.population_min"), c("o.population")) & passes(c("t.reference_match_min"), c("o.reference_match_rate"))
     joined = o.join(t, fits & bound.isNotNull() & gates)
+    # The points of each sign.
     add = lambda when, points: F.when(F.coalesce(when, F.lit(False)), points).otherwise(0.0)
     d, low, high = c("o.distinct_count"), c("t.distinct_min"), c("t.distinct_max")
     inside = (low.isNull() | (d >= low)) & (high.isNull() | (d <= high))
@@ -101,6 +108,48 @@ def observe(profile: DataFrame, table: str, roles: DataFrame) -> DataFrame:
     )
 
 
+def reference_evidence(df: DataFrame, listed: DataFrame, fields: Mapping[str, str]) -> DataFrame:
+    """(field_name, list_name, n_values, n_matched, reference_match_rate): how well each field fits its reference list.
+
+    ``fields`` names the list of each field. One scan for all fields; a list that isn't loaded gives no rate.
+    """
+    cells = F.array(*[F.struct(F.lit(f).alias("field_name"), F.lit(t).alias("list_name"), plain(F.col(f)).alias("value")) for f, t in fields.items()])
+    counts = df.select(F.inline(cells)).where("value <> ''").groupBy("field_name", "list_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    known = listed.select(F.col("table_name").alias("list_name"), "value", F.lit(True).alias("hit")).distinct()
+    loaded = listed.select(F.col("table_name").alias("list_name"), F.lit(True).alias("loaded")).distinct()
+    got = counts.join(known, ["list_name", "value"], "left").groupBy("field_name", "list_name").agg(F.sum("n").alias("n_values"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("n_matched"))
+    rate = F.when(F.col("loaded"), F.col("n_matched") / F.col("n_values"))
+    return got.join(F.broadcast(loaded), "list_name", "left").select("field_name", "list_name", "n_values", "n_matched", rate.alias("reference_match_rate"))  # a row per list
+
+
+def with_evidence(observations: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Observations with the reference rates that were measured; a list of fields."""
+    rates = evidence.select("field_name", F.col("reference_match_rate").alias("__rate"))
+    return observations.join(F.broadcast(rates), "field_name", "left").withColumn("reference_match_rate", F.coalesce("__rate", "reference_match_rate")).select(observations.columns)
+
+
+def interpret(observations: DataFrame, program: Callable[[dict], Sequence[str]], known: Sequence[str], most_fields: int = 10_000) -> DataFrame:
+    """Observations whose role candidates ``program`` names, field by field; a role that isn't ``known`` is dropped, none is unknown."""
+    rows = [r.asDict() for r in observations.limit(most_fields).collect()]  # a list of fields
+    for r in rows:
+        r["role_candidates"] = [x for x in program(r) if x in known] or ["unknown"]
+    return observations.sparkSession.createDataFrame([tuple(r[c] for c in observations.columns) for r in rows], observations.schema)
+
+
+def assemble_rule(template: Mapping[str, Any], table: str, field: str, domain: Sequence[str] = ()) -> Rule:
+    """The rule that a bank's template, or an inferred suggestion, makes of a field: executable if it has all it needs."""
+    kind = template.get("archetype", "not_null")
+    if kind == "not_null":
+        test, ready = Comparison(field, "is_not_null"), True
+    elif kind in ("domain_in", "reference_exists"):
+        test, ready = Comparison(field, "in", tuple(domain)), bool(domain)
+    elif kind == "format_regex":
+        test, ready = Comparison(field, "matches", template.get("pattern", "")), bool(template.get("pattern"))
+    else:
+        raise ValueError(f"a {kind} rule can't be made of one field")
+    return Rule(f"{template['template_id']}_{table}_{field}".upper(), table, kind, test, name=template.get("name", ""), severity=template.get("severity", "Medium"), domain=tuple(domain), executable=ready)
+
+
 def derive_templates(catalogue: DataFrame) -> DataFrame:
     """Templates from a rule list (rule_id, table_name, field_name, archetype, n_domain): what each rule asks of a field."""
     n, kind = F.col("n_domain"), F.col("archetype")
@@ -113,17 +162,21 @@ def derive_templates(catalogue: DataFrame) -> DataFrame:
     )
 
 
-def classify_expression(text: Column) -> Column:
-    """The archetype of a rule written as an expression."""
+def classify_expression(text: Column, lookup: Column | None = None) -> Column:
+    """The archetype of a rule written as an expression, with the reference table it names, if any.
+
+    Fixed values: the marks of each kind, in the order in which they decide.
+    """
+    text = F.coalesce(text, F.lit(""))
     params = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\$P_I_\w+)"), F.lit(1))))
-    upper = F.upper(text)
+    listed = F.coalesce(~F.trim(lookup).isin("", "."), F.lit(False)) if lookup is not None else F.lit(False)
     return (
-        F.when(params > 1, "cross_field").when(upper.rlike(r"EXISTS\s*\("), "reference_exists").when(upper.rlike(r"\bIN\s*\("), "domain_in")
-        .when(upper.rlike(r"IS\s+NOT\s+NULL"), "not_null").when(upper.rlike(r"\b(LIKE_REGEXPR|MATCH_PATTERN|REGEXP)\b"), "format_regex")
-        .when(params == 1, "other").otherwise("cross_field")
+        F.when(params > 1, "cross_field").when(F.contains(text, F.lit("exists(")) | listed, "reference_exists").when(text.rlike(r"(?i)\bIN\b\s*\([^)]*\)"), "domain_in")
+        .when(F.contains(F.upper(text), F.lit("IS NOT NULL")), "not_null").when(F.contains(text, F.lit("match_regex")) | F.contains(text, F.lit("match_pattern")), "format_regex")
+        .when(F.trim(text) != "", "cross_field").otherwise("other")
     )
 
 
 def listed_values(text: Column) -> Column:
     """The quoted values of the first IN list of an expression."""
-    return F.regexp_extract_all(F.regexp_extract(text, r"(?i)\bIN\s*\(([^)]*)\)", 1), F.lit(r"'([^']*)'"), F.lit(1))
+    return F.regexp_extract_all(F.regexp_extract(text, r"(?i)\bIN\b\s*\(([^)]*)\)", 1), F.lit(r"'([^']*)'"), F.lit(1))

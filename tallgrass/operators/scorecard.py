@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = ["Completeness", "Validity", "Consistency", "Uniqueness"]
@@ -88,13 +88,23 @@ def unlabelled_joins(clusters: DataFrame, known_pairs: DataFrame) -> DataFrame:
     return sizes.join(known, "cluster_id", "left").select("cluster_id", n.alias("pairs"), F.coalesce("known", F.lit(0).cast("bigint")).alias("known"), (n - F.coalesce("known", F.lit(0))).alias("unlabelled"))
 
 
+def verdict_quality(verdicts: DataFrame, twins: DataFrame, decoys: DataFrame) -> DataFrame:
+    """One row (judged, twins_judged, twins_confirmed, decoys_judged, decoys_rejected, unlabelled_judged) of verdicts (left_id, right_id, decision).
+
+    A labelled twin judged ``duplicate`` and a decoy judged ``not_duplicate`` are right; other pairs can't be told.
+    """
+    ordered = lambda df, a, b, kind: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.lit(True).alias(kind)).distinct()
+    v = verdicts.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), "decision")
+    j = v.join(ordered(twins, "twin", "source", "is_twin"), ["a", "b"], "left").join(ordered(decoys, "left_id", "right_id", "is_decoy"), ["a", "b"], "left")
+    twin, decoy = F.col("is_twin").isNotNull(), F.col("is_twin").isNull() & F.col("is_decoy").isNotNull()
+    return j.agg(
+        F.count(F.lit(1)).alias("judged"), F.count_if(twin).alias("twins_judged"), F.count_if(twin & (F.col("decision") == "duplicate")).alias("twins_confirmed"),
+        F.count_if(decoy).alias("decoys_judged"), F.count_if(decoy & (F.col("decision") == "not_duplicate")).alias("decoys_rejected"), F.count_if(~twin & ~decoy).alias("unlabelled_judged"),
+    )
+
+
 def score_by_strategy(twins: DataFrame, scores: DataFrame) -> DataFrame:
     """(strategy, n, mean_score) of scored twin pairs."""
     s = scores.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), "score")
     t = twins.select(F.least("twin", "source").alias("a"), F.greatest("twin", "source").alias("b"), "strategy")
     return t.join(s, ["a", "b"]).groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
-
-
-def ranked(df: DataFrame, *order: Column, into: str = "place") -> DataFrame:
-    """``df`` with a running number; for reports of a few rows."""
-    return df.withColumn(into, F.row_number().over(Window.orderBy(*order)))

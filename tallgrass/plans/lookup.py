@@ -23,8 +23,8 @@ def heavy_keys(df: DataFrame, key: str, total: int | None = None) -> DataFrame:
     return counts.where(F.col("__n") > total / HEAVY_SHARE).select(key)
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str, heavy: DataFrame | None = None) -> DataFrame:
-    """Inner join ``big`` to ``small`` (unique on ``key``) without a task per hot key.
+def lookup(big: DataFrame, small: DataFrame, key: str, heavy: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """Join ``big`` to ``small`` (unique on ``key``), inner or left, without a task per hot key.
 
     Rows of heavy keys meet a broadcast copy of the few rows of ``small`` they need (under
     ``HEAVY_SHARE``, by construction); all other keys hold at most 1/HEAVY_SHARE of the rows each
@@ -33,4 +33,5 @@ def lookup(big: DataFrame, small: DataFrame, key: str, heavy: DataFrame | None =
     heavy = heavy_keys(big, key) if heavy is None else heavy
     hot = F.broadcast(small.join(F.broadcast(heavy), key, "left_semi"))
     cold = big.join(F.broadcast(heavy), key, "left_anti")
-    return cold.join(small, key).unionByName(big.join(hot, key))
+    warm = big if how == "inner" else big.join(F.broadcast(heavy), key, "left_semi")
+    return cold.join(small, key, how).unionByName(warm.join(hot, key, how))
