@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgrass.plans.staging import release, stage
+
 CATEGORIES = 50
 
 
@@ -83,22 +85,33 @@ def key_uniqueness(df: DataFrame, keys: Sequence[str], n_examples: int = 5) -> D
     return facts.withColumn("__one", F.lit(1)).join(F.broadcast(firsts.withColumn("__one", F.lit(1))), "__one").select("n_rows", "distinct_keys", "rows_sharing_a_key", (F.col("rows_sharing_a_key") == 0).alias("is_unique"), F.lit(True).alias("assessable"), "examples")
 
 
-def key_candidates(df: DataFrame, fields: Sequence[str] | None = None, arity: int = 3, most_fields: int = 8, error: float = 0.02) -> list[tuple[str, ...]]:
+def key_candidates(df: DataFrame, fields: Sequence[str] | None = None, arity: int = 3, most_fields: int = 8, lg_k: int = 12) -> list[tuple[str, ...]]:
     """Minimal sets of up to ``arity`` of the first ``most_fields`` fully populated, varying fields that tell all rows apart.
 
     All sets of one arity are estimated by sketches in one pass, without a row more than the table has; only
-    those whose estimate comes near the number of rows (within six times the sketch's ``error``) are counted
-    exactly, one by one. Sets that contain a found key are not tested.
+    those whose estimate comes near the number of rows (within six times the error of a sketch of 2^``lg_k`` registers) are tested
+    exactly, on the rows that repeat a value of their most varied field. Sets that contain a found key are not tested.
     """
     facts = {r["field_name"]: r for r in profile(df, fields).collect()}  # a row per field
     usable = [f for f in (fields or df.columns) if facts[f]["populated_count"] == facts[f]["n_rows"] > 0 and facts[f]["distinct_count"] > 1][:most_fields]
     found: list[tuple[str, ...]] = [(f,) for f in usable if facts[f]["distinct_count"] == facts[f]["n_rows"]]
+    repeats: dict[str, DataFrame] = {}
+
+    def rows_that_matter(c: tuple[str, ...]) -> DataFrame:
+        """The rows whose value of the set's most varied field occurs again: only they can agree in all fields."""
+        f = max(c, key=lambda x: facts[x]["distinct_count"])
+        if f not in repeats:
+            again = df.groupBy(f).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(f)
+            repeats[f] = stage(df.select(*usable).join(again, f, "left_semi"), "repeated-values")
+        return repeats[f]
+
     for k in range(2, arity + 1):
         trial = [c for c in combinations(usable, k) if not any(set(f) <= set(c) for f in found)]
         if not trial:
             continue
         n = facts[usable[0]]["n_rows"]
-        about = df.agg(*[F.approx_count_distinct(F.xxhash64(*c), error).alias(f"k{i}") for i, c in enumerate(trial)]).first()
-        near = [c for i, c in enumerate(trial) if about[f"k{i}"] >= (1 - 6 * error) * n]
-        found += [c for c in near if df.groupBy(*c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()]
+        about = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*c), lg_k)).alias(f"k{i}") for i, c in enumerate(trial)]).first()
+        near = [c for i, c in enumerate(trial) if about[f"k{i}"] >= (1 - 6 * 1.04 / 2 ** (lg_k / 2)) * n]
+        found += [c for c in near if rows_that_matter(c).groupBy(*c).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").isEmpty()]
+    release(*repeats.values())
     return found

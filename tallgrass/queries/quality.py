@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.functions import similarity, text, values
-from tallgrass.operators import decisions, matching, profile, reference, rulebank, rules, scorecard, synthetic
+from tallgrass.operators import clusterview, decisions, matching, profile, reference, rulebank, ruleimport, rules, schema, scorecard, synthetic
 from tallgrass.operators.ir import Bool, Comparison, Rule
 from tallgrass.plans.engine import Subject, assess
+from tallgrass.plans.staging import stage
+from tallgrass.queries.masterdata import FIELDS
 from tallgrass.queries.tables import table
 
 UNITS = ["BAG", "BOT", "CCM", "EA", "H", "KG", "KM", "L", "LE", "M2", "M3", "ST", "STD", "WCH"]
@@ -101,7 +105,7 @@ def _profile_sql(t: str, fields: list[str]) -> str:
     return " UNION ALL ".join(one(f) for f in fields)
 
 
-PROFILED = {"mara": ["matnr", "mtart", "matkl", "meins", "raube", "tragr", "spart", "gewei", "lvorm", "wrkst"], "marc": ["matnr", "werks", "dismm", "dispo", "disls", "plifz", "stawn"], "makt": ["matnr", "spras", "maktx"]}
+PROFILED = FIELDS
 
 
 def _top_sql(t: str, fields: list[str], n: int) -> str:
@@ -113,36 +117,51 @@ def _domain_sql(t: str, fields: list[str]) -> str:
     return " UNION ALL ".join(f"SELECT '{f}' AS field_name, array_to_string(list_sort(list(DISTINCT {f})), ',') AS domain FROM {t} WHERE {f} IS NOT NULL HAVING count(DISTINCT {f}) BETWEEN 1 AND 50" for f in fields)
 
 
-def _candidate_keys(spark: SparkSession, folder: str) -> DataFrame:
-    found = profile.key_candidates(table(spark, folder, "mix_targets").withColumn("max_repeat", F.col("max_repeat").cast("string")), ["source", "target_share", "max_repeat"], arity=2)
-    return spark.createDataFrame([(",".join(k),) for k in found], "key_fields string")
+def _candidate_keys(name: str):
+    """Keys of a table by all of its columns: the declared ones, the load and the arrival."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        df = table(spark, folder, name)
+        found = profile.key_candidates(df)
+        return spark.createDataFrame([(",".join(k),) for k in schema.rank_keys(found, df.columns)], "key_fields string")
+
+    return run
+
+
+def _keys_sql(t: str, columns: list[str], arity: int = 3) -> str:
+    """Minimal keys by counting every combination."""
+    sets = [c for k in range(1, arity + 1) for c in combinations(columns, k)]
+    full = lambda c: " AND ".join(f"count({x}) = count(*) AND count(DISTINCT {x}) > 1" for x in c)
+    one = lambda c: f"SELECT '{','.join(c)}' AS k FROM {t} HAVING {full(c)} AND count(DISTINCT ({', '.join(c)},)) = count(*)"
+    return f"WITH f AS ({' UNION ALL '.join(map(one, sets))}) SELECT k AS key_fields FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.k <> f.k AND list_has_all(string_split(f.k, ','), string_split(g.k, ',')))"
 
 
 def _normal(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "makt").select("matnr", "spras", "load_no", text.normalise_plain(F.col("maktx")).alias("norm"))
+    return table(spark, folder, "makt").select("matnr", "spras", "load_no", text.normalise(F.col("maktx")).alias("norm"))
 
 
-NORM_SQL = r"CASE WHEN maktx IS NULL OR lower(trim(maktx, ' ')) IN ('', 'nan', 'none') THEN '' ELSE trim(regexp_replace(regexp_replace(lower(maktx), '[^\pL\pM\pN_\s\pZ]', ' ', 'g'), '[\s\pZ]+', ' ', 'g'), ' ') END"
+NORM_SQL = r"CASE WHEN maktx IS NULL OR lower(trim(maktx, ' ')) IN ('', 'nan', 'none') THEN '' ELSE trim(regexp_replace(regexp_replace(lower(strip_accents(maktx)), '[^\pL\pM\pN_\s\pZ]', ' ', 'g'), '[\s\pZ]+', ' ', 'g'), ' ') END"
 
-BLOCK = ("mtart", "meins", "matkl")
+BLOCK = ("mtart", "meins")
 SETTINGS = matching.Matching(block=BLOCK, metric="jaro_winkler", duplicate=0.93, review_low=0.80)
 SORTED = matching.Matching(block=BLOCK, metric="token_sort_ratio", duplicate=0.92, review_low=0.80)
 
 
 def _subjects(spark: SparkSession, folder: str) -> DataFrame:
     texts = matching.one_text(table(spark, folder, "makt"), "matnr", "maktx", F.col("spras") == "E")
-    return table(spark, folder, "mara").dropDuplicates(["matnr"]).join(texts, "matnr", "left")
+    return matching.latest_delivery(table(spark, folder, "mara"), "matnr", "load_no", "loaded_at").join(texts, "matnr", "left")
 
 
 def _candidates(spark: SparkSession, folder: str, m: matching.Matching = SETTINGS) -> DataFrame:
-    return matching.candidates(_subjects(spark, folder), "matnr", "text", m)
+    # Written once: clusters, survivors and reports all read it.
+    return stage(matching.candidates(_subjects(spark, folder), "matnr", "text", m), "candidates")
 
 
 CANDIDATES_SQL = f"""
-m AS (SELECT DISTINCT matnr, trim(mtart, ' ') AS mtart, trim(meins, ' ') AS meins, trim(matkl, ' ') AS matkl FROM mara),
+m AS (SELECT DISTINCT matnr, trim(mtart, ' ') AS mtart, trim(meins, ' ') AS meins, matkl FROM mara),
 t AS (SELECT matnr, max(maktx) AS maktx FROM makt WHERE spras = 'E' GROUP BY matnr),
-c AS (SELECT m.matnr AS key, {NORM_SQL} AS norm, concat_ws('/', mtart, meins, matkl) AS block,
-      CASE WHEN {NORM_SQL} = '' THEN 'no_description' WHEN coalesce(mtart, '') IN ('', 'nan') OR coalesce(meins, '') IN ('', 'nan') OR coalesce(matkl, '') IN ('', 'nan') THEN 'no_blocking_key' END AS reason
+c AS (SELECT m.matnr AS key, {NORM_SQL} AS norm, concat_ws('/', mtart, meins) AS block, maktx, matkl,
+      CASE WHEN {NORM_SQL} = '' THEN 'no_description' WHEN coalesce(mtart, '') IN ('', 'nan') OR coalesce(meins, '') IN ('', 'nan') THEN 'no_blocking_key' END AS reason
       FROM m LEFT JOIN t USING (matnr))"""
 _DIGITS = "list_sort(list_distinct(regexp_extract_all({x}, '\\d+')))"
 _DIFF = f"(len({_DIGITS.format(x='a.norm')}) > 0 AND len({_DIGITS.format(x='b.norm')}) > 0 AND {_DIGITS.format(x='a.norm')} <> {_DIGITS.format(x='b.norm')})"
@@ -152,16 +171,23 @@ PAIRS_SQL = f"""
 {CANDIDATES_SQL},
 p AS (SELECT a.key AS left_id, b.key AS right_id, jaro_winkler_similarity(a.norm, b.norm)::float::double AS raw, CASE WHEN {_DIFF} THEN 'digits' WHEN {_MDIFF} THEN 'material' ELSE '' END AS veto_by
       FROM c a JOIN c b ON a.block = b.block AND a.key < b.key WHERE a.reason IS NULL AND b.reason IS NULL),
+w AS (SELECT block, norm, min(key) AS rep, max(key) AS last, count(*) AS k FROM c WHERE reason IS NULL GROUP BY block, norm),
+n AS (SELECT rep AS left_id, last AS right_id, (k * (k - 1) // 2)::bigint AS n_pairs FROM w WHERE k > 1
+      UNION ALL SELECT least(a.rep, b.rep), greatest(a.rep, b.rep), a.k * b.k FROM w a JOIN w b ON a.block = b.block AND a.norm < b.norm),
 s AS (SELECT left_id, right_id, CASE WHEN veto_by <> '' AND raw > 0.75 THEN 0.75 ELSE raw END AS score, CASE WHEN veto_by <> '' AND raw > 0.75 THEN veto_by END AS veto FROM p)"""
 
 
-def _pairs(spark: SparkSession, folder: str, m: matching.Matching = SETTINGS, count_vetoes: bool = False) -> DataFrame:
-    return matching.banded(matching.score_pairs(_candidates(spark, folder, m), m, count_vetoes=count_vetoes), m)
+def _pairs(spark: SparkSession, folder: str, m: matching.Matching = SETTINGS, count_vetoes: bool = False, cands: DataFrame | None = None) -> DataFrame:
+    return matching.banded(matching.class_pairs(_candidates(spark, folder, m) if cands is None else cands, m, count_vetoes=count_vetoes), m)
 
 
-def _clusters(spark: SparkSession, folder: str) -> DataFrame:
-    cands = _candidates(spark, folder)
-    return matching.clusters(cands, matching.banded(matching.score_pairs(cands, SETTINGS), SETTINGS))
+def _clusters(spark: SparkSession, folder: str, cands: DataFrame | None = None) -> DataFrame:
+    cands = _candidates(spark, folder) if cands is None else cands
+    return matching.clusters(cands, _pairs(spark, folder, cands=cands), copies=True)
+
+
+def _completeness(spark: SparkSession, folder: str) -> DataFrame:
+    return matching.completeness(_subjects(spark, folder), "matnr", COUNTED, ["matnr", "mtart", "meins"])
 
 
 CLUSTER_SQL = f"""
@@ -172,17 +198,159 @@ g AS (SELECT m AS member, least(m, min(o)) AS root FROM r GROUP BY m)
 """
 
 
-def _survivors(spark: SparkSession, folder: str) -> DataFrame:
+COUNTED = ["matnr", "mtart", "meins", "matkl", "bismt", "raube", "tragr", "spart", "gewei", "voleh", "wrkst"]
+
+
+def _kept(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(candidates, members, kept, completeness)."""
     cands = _candidates(spark, folder)
-    members = matching.clusters(cands, matching.banded(matching.score_pairs(cands, SETTINGS), SETTINGS))
-    subjects = _subjects(spark, folder)
-    filled = matching.completeness(subjects, "matnr", ["matnr", "mtart", "meins", "matkl", "bismt", "raube", "tragr", "spart", "gewei", "voleh", "wrkst"], ["matnr", "mtart", "meins"])
-    kept = matching.survivors(members, filled, cands)
-    roots = members.groupBy("cluster_id").agg(F.first("root").alias("root"))
+    members = stage(_clusters(spark, folder, cands), "members")
+    filled = _completeness(spark, folder)
+    return cands, members, stage(matching.survivors(members, filled, cands), "kept"), filled
+
+
+def _survivors(spark: SparkSession, folder: str) -> DataFrame:
+    _, members, kept, _ = _kept(spark, folder)
+    roots = members.groupBy("cluster_id").agg(F.min("root").alias("root"))
     return kept.join(roots, "cluster_id").select("root", "survivor", "reason", "needs_steward")
 
 
-_FILLED = " + ".join(f"coalesce((trim({f}, ' ') <> '')::int, 0)" for f in ["matnr", "mtart", "meins", "matkl", "bismt", "raube", "tragr", "spart", "gewei", "voleh", "wrkst"])
+def _overview(spark: SparkSession, folder: str) -> DataFrame:
+    cands, members, kept, _ = _kept(spark, folder)
+    got = clusterview.overview(members, kept, matching.weakest_links(members, cands, SETTINGS), "mara", "fuzzy_only")
+    return got.withColumn("weakest_link", F.round("weakest_link", 4))
+
+
+def _members(spark: SparkSession, folder: str) -> DataFrame:
+    cands, members, kept, filled = _kept(spark, folder)
+    return clusterview.listing(members, kept, cands, filled, SETTINGS).withColumns({"score": F.round("score", 4), "place": F.round("place", 4)})
+
+
+def _uncertain(spark: SparkSession, folder: str) -> DataFrame:
+    cands = _candidates(spark, folder)
+    return clusterview.uncertain(_pairs(spark, folder, cands=cands), cands).withColumn("score", F.round("score", 4))
+
+
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Uncertain pairs with verdicts of a judge that goes by the material group."""
+    cands = _candidates(spark, folder)
+    groups = _subjects(spark, folder).select("matnr", "matkl")
+    open_ = _pairs(spark, folder, cands=cands).where("band = 'review'").select("left_id", "right_id", "score")
+    side = lambda p: groups.select(F.col("matnr").alias(f"{p}_id"), F.col("matkl").alias(f"{p}_group"))
+    rows = open_.join(side("left"), "left_id").join(side("right"), "right_id").withColumn("pair_key", F.concat_ws("|", "left_id", "right_id"))
+    decision = F.when(F.col("left_group") == F.col("right_group"), "duplicate").when(F.col("left_group").isNotNull() & F.col("right_group").isNotNull(), "not_duplicate")
+    verdicts = rows.select("pair_key", decision.alias("decision"), F.round("score", 4).alias("confidence"), F.lit("by group").alias("rationale"), F.lit(SETTINGS.fingerprint).alias("fingerprint")).where("decision is not null")
+    return stage(decisions.apply_verdicts(rows.select("pair_key", "left_id", "right_id", "score"), verdicts, SETTINGS.fingerprint), "judged")
+
+
+def _verdict_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return decisions.verdict_clusters(_judged(spark, folder), _completeness(spark, folder)).withColumn("score", F.round("score", 4))
+
+
+JUDGED_SQL = """
+j AS (SELECT s.left_id, s.right_id, round(score, 4) AS score, CASE WHEN a.matkl = b.matkl THEN 'duplicate' WHEN a.matkl IS NOT NULL AND b.matkl IS NOT NULL THEN 'not_duplicate' END AS decision
+      FROM s JOIN n ON n.left_id = s.left_id AND n.right_id = s.right_id JOIN c a ON a.key = s.left_id JOIN c b ON b.key = s.right_id WHERE score >= 0.80 AND score < 0.93)"""
+
+
+def _verdict_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The decisions of the earlier run against the groups that stewards confirmed, and against its own rejections turned round as decoys."""
+    p = table(spark, folder, "match_pairs").where("left_matnr <> right_matnr")
+    verdicts = p.select(F.col("left_matnr").alias("left_id"), F.col("right_matnr").alias("right_id"), F.when(F.col("verdict") == "rejected", "not_duplicate").otherwise(F.col("verdict")).alias("decision")).where("decision is not null")
+    g = table(spark, folder, "dup_groups").select("group_no", "matnr").distinct()
+    heads = g.groupBy("group_no").agg(F.min("matnr").alias("source"))
+    twins = g.join(heads, "group_no").where("matnr <> source").select(F.col("matnr").alias("twin"), "source")
+    decoys = p.where("verdict = 'rejected'").select(F.col("right_matnr").alias("left_id"), F.col("left_matnr").alias("right_id"))
+    return scorecard.verdict_quality(verdicts, twins, decoys)
+
+
+VERDICT_QUALITY_SQL = """
+WITH p AS (SELECT * FROM match_pairs WHERE left_matnr <> right_matnr),
+v AS (SELECT least(left_matnr, right_matnr) AS a, greatest(left_matnr, right_matnr) AS b, CASE verdict WHEN 'rejected' THEN 'not_duplicate' ELSE verdict END AS d FROM p WHERE verdict IS NOT NULL),
+g AS (SELECT DISTINCT group_no, matnr FROM dup_groups), h AS (SELECT group_no, min(matnr) AS m FROM g GROUP BY 1),
+t AS (SELECT DISTINCT least(g.matnr, h.m) AS a, greatest(g.matnr, h.m) AS b FROM g JOIN h USING (group_no) WHERE g.matnr <> h.m),
+x AS (SELECT DISTINCT least(left_matnr, right_matnr) AS a, greatest(left_matnr, right_matnr) AS b FROM p WHERE verdict = 'rejected'),
+k AS (SELECT v.d, t.a IS NOT NULL AS twin, t.a IS NULL AND x.a IS NOT NULL AS decoy FROM v LEFT JOIN t ON t.a = v.a AND t.b = v.b LEFT JOIN x ON x.a = v.a AND x.b = v.b)
+SELECT count(*) AS judged, count(*) FILTER (twin) AS twins_judged, count(*) FILTER (twin AND d = 'duplicate') AS twins_confirmed, count(*) FILTER (decoy) AS decoys_judged,
+  count(*) FILTER (decoy AND d = 'not_duplicate') AS decoys_rejected, count(*) FILTER (NOT twin AND NOT decoy) AS unlabelled_judged FROM k"""
+
+
+def _pair_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of the pairs of earlier decisions by numbers and normalised wordings."""
+    texts = matching.one_text(table(spark, folder, "makt"), "matnr", "maktx", F.col("spras") == "E").select("matnr", text.normalise(F.col("text")).alias("norm"))
+    side = lambda p: texts.select(F.col("matnr").alias(f"{p}_matnr"), F.coalesce("norm", F.lit("")).alias(f"{p}_norm"))
+    pairs = table(spark, folder, "match_pairs").select("left_matnr", "right_matnr").distinct().join(side("left"), "left_matnr").join(side("right"), "right_matnr")
+    return pairs.select("left_matnr", "right_matnr", matching.pair_key(*[F.col(c) for c in ("left_matnr", "right_matnr", "left_norm", "right_norm")]).alias("pair_key"))
+
+
+def _plan(spark: SparkSession, folder: str) -> DataFrame:
+    cands = _candidates(spark, folder)
+    assessed = cands.where("reason is null").count()
+    return decisions.plan(_findings(spark, folder), matching.held_back(cands), "mara", "fuzzy_only", assessed, ["mara.matkl", "mara.meins"])
+
+
+def _schema_fields(spark: SparkSession, folder: str) -> DataFrame:
+    return schema.catalogue(spark, schema.from_spec(table(spark, folder, "field_spec"), KEYS).values())
+
+
+def _built_schema(spark: SparkSession, folder: str) -> DataFrame:
+    """The declared fields of marc with the populated shares and domains that the table shows."""
+    declared = schema.from_spec(table(spark, folder, "field_spec"), KEYS)["marc"]
+    built = schema.build(table(spark, folder, "marc"), declared)
+    return spark.createDataFrame([(f.name, f.populated_pct, ",".join(f.domain)) for f in built.fields], "field_name string, populated_pct double, domain string")
+
+
+def _manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Lists by a manifest: units by dimension, sources, one that isn't extracted and one whose file is missing."""
+    lists = [
+        {"name": "UNITS", "file": "t006", "value_field": "msehi", "scope_field": "dimension", "status": "loaded", "as_of": "2026-01-01"}, {"name": "SOURCES", "file": "mix_targets", "value_field": "source", "status": "loaded"},
+        {"name": "GROUPS", "file": "t023", "value_field": "matkl", "status": "loaded", "as_of": "2026-01-01"}, {"name": "PLANTS", "value_field": "werks", "status": "pending_extract"},
+    ]
+    listed, manifest = reference.load_store(spark, lists, lambda name: table(spark, folder, name))
+    counts = listed.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_values"))
+    late = reference.pending(manifest).select("table_name", F.lit(True).alias("is_pending"))
+    return manifest.join(counts, "table_name", "left").join(late, "table_name", "left").select("table_name", "status", F.coalesce("n_values", F.lit(0)).alias("n_values"), F.coalesce("is_pending", F.lit(False)).alias("is_pending"))
+
+
+def _expressions(spark: SparkSession, folder: str) -> DataFrame:
+    """An expression around each declared field, of another kind for each type."""
+    p = F.concat(F.lit("$P_I_"), F.upper("field_name"))
+    kinds = {
+        "key": F.concat(p, F.lit(" IS NOT NULL")), "code": F.concat(p, F.lit(" IN ('A','B')")), "flag": F.concat(p, F.lit(" in ( 'X' )")), "quantity": F.concat(p, F.lit(" > 0")), "date": F.concat(F.lit("match_regex("), p, F.lit(", '[0-9/]+')")),
+        "lang": F.concat(F.lit("exists(select 1 from T002 where SPRAS = "), p, F.lit(")")), "integer": F.concat(p, F.lit(" <= $P_I_PLIFZ_MAX")), "text": F.lit(" "),
+    }
+    expression = F.coalesce(*[F.when(F.col("field_type") == k, e) for k, e in kinds.items()], F.concat(p, F.lit(" = '100'")))
+    return table(spark, folder, "field_spec").select("tab_name", "field_name", expression.alias("expression"), F.when(F.col("field_name") == "werks", "T001W").alias("lookup"))
+
+
+def _import_report(spark: SparkSession, folder: str) -> DataFrame:
+    rows = [{"name": r["field_name"], "table": r["tab_name"], "field": r["field_name"], "expression": r["expression"], "lookup": r["lookup"]} for r in _expressions(spark, folder).collect()]  # a row per field
+    got = ruleimport.import_rules(spark, rows, schema.from_spec(table(spark, folder, "field_spec"), KEYS))
+    deferred = spark.createDataFrame([(d["table"], "deferred", "", 1, 0, 0) for d in got.deferred], "table_name string, archetype string, dimension string, imported long, executable long, dormant long")
+    return ruleimport.import_report(spark, got).unionByName(deferred.groupBy("table_name", "archetype", "dimension").agg(*[F.sum(c).alias(c) for c in ("imported", "executable", "dormant")]))
+
+
+_KIND_SQL = """CASE WHEN field_name = 'werks' THEN 'reference_exists' WHEN field_type = 'key' THEN 'not_null' WHEN field_type IN ('code', 'flag') THEN 'domain_in' WHEN field_type = 'date' THEN 'format_regex'
+  WHEN field_type = 'lang' THEN 'reference_exists' WHEN field_type IN ('quantity', 'integer') THEN 'cross_field' WHEN field_type = 'text' THEN 'other' ELSE 'cross_field' END"""
+IMPORT_SQL = f"""
+WITH k AS (SELECT tab_name, mandatory, {_KIND_SQL} AS kind FROM field_spec),
+r AS (SELECT tab_name, CASE WHEN kind IN ('not_null', 'domain_in', 'reference_exists') THEN kind ELSE 'deferred' END AS kind FROM k)
+SELECT tab_name AS table_name, kind AS archetype, CASE kind WHEN 'not_null' THEN 'Completeness' WHEN 'deferred' THEN '' ELSE 'Validity' END AS dimension, count(*) AS imported,
+  count(*) FILTER (kind IN ('not_null', 'domain_in')) AS executable, count(*) FILTER (kind = 'reference_exists') AS dormant FROM r GROUP BY 1, 2"""
+
+
+def _evidence(spark: SparkSession, folder: str) -> DataFrame:
+    listed = reference.entries(table(spark, folder, "t006"), "T006", "msehi")
+    got = rulebank.reference_evidence(table(spark, folder, "mara"), listed, {"meins": "T006", "bstme": "T006", "gewei": "T006", "voleh": "T006", "mtart": "T134"})
+    return got.withColumn("reference_match_rate", F.round("reference_match_rate", 6))
+
+
+_EVIDENCE_SQL = " UNION ALL ".join(
+    f"SELECT '{f}' AS field_name, '{t}' AS list_name, count(*) AS n_values, count(*) FILTER (u IN (SELECT msehi FROM t006) AND '{t}' = 'T006') AS n_matched, CASE WHEN '{t}' = 'T006' THEN round(count(*) FILTER (u IN (SELECT msehi FROM t006)) / count(*), 6) END AS reference_match_rate FROM (SELECT upper(trim({f}, ' ')) AS u FROM mara) WHERE coalesce(u, '') <> '' HAVING count(*) > 0"
+    for f, t in (("meins", "T006"), ("bstme", "T006"), ("gewei", "T006"), ("voleh", "T006"), ("mtart", "T134"))
+)
+
+
+_FILLED = " + ".join(f"coalesce((trim({f}, ' ') <> '')::int, 0)" for f in COUNTED)
 SURVIVOR_SQL = f"""{CLUSTER_SQL},
 f AS (SELECT DISTINCT matnr, (trim(matnr, ' ') <> '')::int + coalesce((trim(mtart, ' ') <> '')::int, 0) + coalesce((trim(meins, ' ') <> '')::int, 0) AS a, {_FILLED} AS b FROM mara),
 x AS (SELECT g.root, g.member, c.norm, f.a, f.b, rank() OVER (PARTITION BY g.root ORDER BY f.a DESC, f.b DESC) AS k FROM g JOIN c ON c.key = g.member JOIN f ON f.matnr = g.member)
@@ -215,14 +383,41 @@ def _scoped(spark: SparkSession, folder: str) -> DataFrame:
 def _labels(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Findings of the dirtied materials and the labels of what was injected."""
     rs = [RULES[n][0] for n in ("rule_not_null", "rule_domain_in", "rule_reference_list")]
-    base = synthetic.conform(table(spark, folder, "mara").dropDuplicates(["matnr"]), rs, {"matkl": "G000", "meins": "EA", "raube": "01"})
+    base = synthetic.conform(matching.latest_delivery(table(spark, folder, "mara"), "matnr", "load_no", "loaded_at"), rs, {"matkl": "G000", "meins": "EA", "raube": "01"})
     dirty, labels = synthetic.inject(base, "mara", ["matnr"], rs, synthetic.RATES["degraded"], 42)
     return rules.run_rules(dirty, "mara", ["matnr"], rs), labels
 
 
 def _prf(spark: SparkSession, folder: str) -> DataFrame:
+    """Injected defects are found, and nothing else: the numbers depend on hashes, the ratios don't."""
     found, labels = _labels(spark, folder)
-    return scorecard.precision_recall(found, labels)
+    got = scorecard.precision_recall(found, labels)
+    return got.select("dimension", (F.col("tp") > 0).alias("some"), "fp", "fn", "precision", "recall", "f1")
+
+
+def _injection(spark: SparkSession, folder: str) -> DataFrame:
+    """What an injection into all materials must keep: as many twins as asked for, found by key in each table, decoys of one block, every label found."""
+    one = {t: matching.latest_delivery(table(spark, folder, t), KEYS[t][0], "load_no", "loaded_at") if len(KEYS[t]) == 1 else table(spark, folder, t).dropDuplicates(KEYS[t]) for t in KEYS}
+    one = {t: stage(df, t) for t, df in one.items()}
+    rs = [RULES[n][0] for n in ("rule_not_null", "rule_domain_in", "rule_implies_scoped", "rule_dnf")]
+    fills = {"matkl": "G000", "meins": "EA"}
+    got = synthetic.inject_all(one, KEYS, rs, "degraded", 42, fills)
+    found = rules.run_ruleset(got.tables, KEYS, rs)
+    pr = scorecard.precision_recall(found, got.labels)
+    blocks = got.tables["mara"].select(F.col("matnr").alias("id"), F.struct(F.trim("mtart"), F.trim("meins")).alias("b"))
+    pairs = got.decoys.join(blocks.select(F.col("id").alias("left_id"), F.col("b").alias("lb")), "left_id").join(blocks.select(F.col("id").alias("right_id"), F.col("b").alias("rb")), "right_id")
+    rows = [("twins", got.twins.count()), ("twin rows of mara", got.tables["mara"].count() - one["mara"].count())]
+    counted = spark.createDataFrame(rows, "what string, n long")
+    missed = pr.agg(F.sum(F.col("fp") + F.col("fn")).alias("n")).select(F.lit("findings or labels without the other").alias("what"), "n")
+    apart = pairs.agg(F.count_if(F.col("lb") != F.col("rb")).alias("n")).select(F.lit("decoys across blocks").alias("what"), "n")
+    few = got.decoys.agg((F.count(F.lit(1)) <= synthetic.DECOYS["degraded"]).cast("long").alias("n")).select(F.lit("no more decoys than asked").alias("what"), "n")
+    return counted.unionByName(missed).unionByName(apart).unionByName(few)
+
+
+INJECTION_SQL = """
+WITH m AS (SELECT count(DISTINCT matnr) AS n FROM mara)
+SELECT 'twins' AS what, round_even(n * 0.06, 0)::bigint AS n FROM m UNION ALL SELECT 'twin rows of mara', round_even(n * 0.06, 0)::bigint FROM m
+UNION ALL SELECT 'findings or labels without the other', 0 UNION ALL SELECT 'decoys across blocks', 0 UNION ALL SELECT 'no more decoys than asked', 1"""
 
 
 TEMPLATES = [
@@ -235,14 +430,13 @@ ROLES = [("meins", "unit_of_measure"), ("gewei", "unit_of_measure"), ("matkl", "
 
 
 def _retrieval(spark: SparkSession, folder: str) -> DataFrame:
-    fields = ["meins", "gewei", "matkl", "mtart", "raube"]
-    seen = rulebank.observe(profile.profile(table(spark, folder, "mara"), fields), "mara", spark.createDataFrame(ROLES, "field_name string, role string"))
+    seen = rulebank.observe(profile.profile(table(spark, folder, "mara"), FIELDS["mara"]), "mara", spark.createDataFrame(ROLES, "field_name string, role string"))
     rated, _ = rulebank.suggest(seen, spark.createDataFrame(TEMPLATES, rulebank.TEMPLATE))
     return rated.select("field_name", "template_id", "bound_by", F.round("match_score", 4).alias("match_score"), "place", "confidence")
 
 
 RETRIEVAL_SQL = f"""
-WITH p AS ({_profile_sql("mara", ["meins", "gewei", "matkl", "mtart", "raube"])}),
+WITH p AS ({_profile_sql("mara", FIELDS["mara"])}),
 o AS (SELECT field_name, populated_pct / 100 AS pop, distinct_count AS d, max_length AS len, populated_count AS n, CASE type_hint WHEN 'categorical' THEN 'categorical_string' WHEN 'constant' THEN 'categorical_string' WHEN 'key' THEN 'identifier' WHEN 'numeric_text' THEN 'numeric' ELSE 'free_text' END AS hint,
       CASE WHEN field_name IN ('meins', 'gewei') THEN 'unit_of_measure' WHEN field_name = 'matkl' THEN 'group' WHEN field_name = 'mtart' THEN 'type' ELSE 'unknown' END AS role FROM p),
 t(template_id, tab, field, role, prior, popmin, refmin, dmin, dmax, hint, len) AS (VALUES
@@ -284,7 +478,7 @@ def _nulls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _signatures(spark: SparkSession, folder: str) -> DataFrame:
-    n = table(spark, folder, "makt").select(text.normalise_plain(F.col("maktx")).alias("norm")).distinct()
+    n = table(spark, folder, "makt").select(text.normalise(F.col("maktx")).alias("norm")).distinct()
     return n.select("norm", F.array_join(text.digit_signature(F.col("norm")), ",").alias("digits"), F.array_join(text.material_signature(F.col("norm")), ",").alias("materials"))
 
 
@@ -327,20 +521,77 @@ def _sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, folder: str) -> DataFrame:
-    """Archetypes of format expressions written around each declared field."""
-    s = table(spark, folder, "field_spec").select(F.concat_ws(".", "tab_name", "field_name").alias("name"), F.concat(F.lit("$P_I_"), F.upper("field_name"), F.when(F.col("mandatory"), " IS NOT NULL").otherwise(" IN ('A','B')")).alias("expression"))
-    return s.select("name", rulebank.classify_expression(F.col("expression")).alias("archetype"), F.array_join(rulebank.listed_values(F.col("expression")), "|").alias("listed"))
+    s = _expressions(spark, folder)
+    return s.select(F.concat_ws(".", "tab_name", "field_name").alias("name"), rulebank.classify_expression(F.col("expression"), F.col("lookup")).alias("archetype"), F.array_join(rulebank.listed_values(F.col("expression")), "|").alias("listed"))
+
+
+def _issues_sql() -> str:
+    parts = []
+    for n, (r, assertion, scope) in RULES.items():
+        if n == "rule_missing_field":
+            continue
+        f, kind = r.fields[0], r.archetype
+        told = (
+            f"'mandatory field {f} is empty'" if kind == "not_null" else f"'{f}=' || coalesce(chr(39) || {f} || chr(39), 'None') || ' is outside the permitted domain'" if kind in ("domain_in", "reference_exists")
+            else f"'cross-field rule ''{r.name or r.rule_id}'' not satisfied'" if kind == "cross_field" else f"'rule ''{r.name or r.rule_id}'' violated'"
+        )
+        parts.append(f"SELECT '{r.rule_id}' AS rule_id, {told} AS issue FROM {r.table} WHERE ({scope}) AND NOT ({assertion})")
+    return f"SELECT rule_id, issue, count(*) AS n_findings FROM ({' UNION ALL '.join(parts)}) GROUP BY 1, 2"
 
 
 def _joined(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.array_join(column, ","))
 
 
+def _spread(spark: SparkSession, folder: str) -> DataFrame:
+    cands = _candidates(spark, folder)
+    return matching.score_spread(cands, _pairs(spark, folder, cands=cands))
+
+
+def _weakest(spark: SparkSession, folder: str) -> DataFrame:
+    cands = _candidates(spark, folder)
+    members = stage(_clusters(spark, folder, cands), "members")
+    links = matching.weakest_links(members, cands, SETTINGS)
+    return links.join(members.where("member = root").select("cluster_id", "root"), "cluster_id").select("root", F.round("weakest_link", 4).alias("weakest_link"))
+
+
+_HEAD_SQL = """,
+h AS (SELECT root, min(block) AS block FROM x GROUP BY root), i AS (SELECT root, 'CL-' || lpad(row_number() OVER (ORDER BY block, root)::varchar, 4, '0') AS cluster_id FROM h),
+z AS (SELECT root, CASE WHEN count(DISTINCT norm) = 1 THEN min(member) ELSE min(member) FILTER (k = 1) END AS survivor, CASE WHEN count(DISTINCT norm) = 1 THEN 'identical' WHEN count(*) FILTER (k = 1) > 1 THEN 'none' ELSE 'completeness' END AS reason, count(*) AS n FROM x GROUP BY root),
+l AS (SELECT x.root, round(min(s.score), 4) AS weakest FROM g x JOIN g y ON x.root = y.root AND x.member < y.member JOIN s ON s.left_id = x.member AND s.right_id = y.member GROUP BY 1)
+"""
+_RANKED_SQL = SURVIVOR_SQL[: SURVIVOR_SQL.rindex("SELECT root, CASE")].rstrip().replace("c.norm, f.a, f.b", "c.norm, c.block, c.maktx, f.a, f.b")
+OVERVIEW_SQL = _RANKED_SQL + _HEAD_SQL + """SELECT cluster_id, 'mara' AS table_name, n AS n_records, block, weakest AS weakest_link, survivor, reason, CASE WHEN reason = 'none' THEN 'needs_steward' ELSE 'automatic' END AS resolution, 'fuzzy_only' AS mode
+FROM z JOIN h USING (root) JOIN i USING (root) JOIN l USING (root)"""
+MEMBERS_SQL = _RANKED_SQL + _HEAD_SQL + """SELECT cluster_id, round(CASE WHEN member = survivor THEN 0.0 ELSE 2.0 - s.score END, 4) AS place, member, member = survivor AS is_survivor, round(CASE WHEN member = survivor THEN 1.0 ELSE s.score END, 4) AS score,
+  coalesce(member <> survivor AND s.score < 0.93, false) AS below_band, x.a AS n_mandatory, x.b AS n_total, maktx AS text
+FROM x JOIN z USING (root) JOIN i USING (root) LEFT JOIN s ON s.left_id = least(member, survivor) AND s.right_id = greatest(member, survivor)"""
+VERDICTS_SQL = f"""WITH {PAIRS_SQL}, {JUDGED_SQL},
+f AS (SELECT DISTINCT matnr, (trim(matnr, ' ') <> '')::int + coalesce((trim(mtart, ' ') <> '')::int, 0) + coalesce((trim(meins, ' ') <> '')::int, 0) AS a, {_FILLED} AS b FROM mara),
+v AS (SELECT row_number() OVER (ORDER BY left_id, right_id) AS n, CASE WHEN (r.a, r.b) > (l.a, l.b) THEN right_id ELSE left_id END AS survivor, CASE WHEN (r.a, r.b) > (l.a, l.b) THEN left_id ELSE right_id END AS other,
+  CASE WHEN (r.a, r.b) = (l.a, l.b) THEN 'none' ELSE 'completeness' END AS reason, score FROM j JOIN f l ON l.matnr = left_id JOIN f r ON r.matnr = right_id WHERE decision = 'duplicate')
+"""
+PAIR_KEYS_SQL = f"""
+WITH t AS (SELECT matnr, {NORM_SQL} AS norm FROM (SELECT matnr, max(maktx) AS maktx FROM makt WHERE spras = 'E' GROUP BY matnr)),
+p AS (SELECT DISTINCT left_matnr, right_matnr FROM match_pairs), q AS (SELECT left_matnr, right_matnr, least((left_matnr, a.norm), (right_matnr, b.norm)) AS x, greatest((left_matnr, a.norm), (right_matnr, b.norm)) AS y FROM p JOIN t a ON a.matnr = left_matnr JOIN t b ON b.matnr = right_matnr)
+SELECT left_matnr, right_matnr, substr(sha256(x[1] || '|' || x[2] || '|' || y[1] || '|' || y[2]), 1, 16) AS pair_key FROM q"""
+PLAN_SQL = f"""
+WITH {CANDIDATES_SQL}, a AS (SELECT * FROM ({ACTIONS_SQL})), u AS (
+SELECT dimension, table_name, field, rule_id, affected, severity, priority::double AS priority FROM a
+UNION ALL SELECT 'Uniqueness', 'mara', '', reason, count(*), 'High', 3.0 * count(*) FROM c WHERE reason IS NOT NULL GROUP BY reason
+UNION ALL SELECT 'Uniqueness', 'mara', '', 'fuzzy_only', count(*), 'Medium', 2.0 * greatest(1, count(*)) FROM c WHERE reason IS NULL)
+SELECT row_number() OVER (ORDER BY priority DESC, dimension, table_name, field, rule_id) AS place, dimension, table_name, field, rule_id, affected, severity, priority FROM u"""
+BUILT_SQL = " UNION ALL ".join(
+    f"SELECT '{f}' AS field_name, round(100.0 * count({f})::double / count(*), 2) AS populated_pct, CASE WHEN (SELECT field_type FROM field_spec WHERE tab_name = 'marc' AND field_name = '{f}') IN ('code', 'flag', 'lang') AND count(DISTINCT {f}) BETWEEN 1 AND 50 THEN array_to_string(list_sort(list(DISTINCT {f}) FILTER ({f} IS NOT NULL)), ',') ELSE '' END AS domain FROM marc"
+    for f in FIELDS["marc"]
+)
+
+
 QUERIES = {
     **{n: (_one_rule(n), _rule_sql(n)) for n in RULES if n != "rule_missing_field"},
     "rule_missing_field": (_one_rule("rule_missing_field"), f"{_rule_sql('rule_not_null')} AND false"),
     "findings_multi_rule": (lambda s, d: _findings(s, d).select(*SLIM), ALL_SQL),
-    "findings_issues": (lambda s, d: _findings(s, d).select("rule_id", "issue").distinct().groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_issues")), f"SELECT rule_id, count(DISTINCT CASE WHEN rule_id IN ('MARA_MEINS', 'MARA_RAUBE') THEN observed_value ELSE '' END) AS n_issues FROM ({ALL_SQL}) GROUP BY rule_id"),
+    "findings_issues": (lambda s, d: _findings(s, d).groupBy("rule_id", "issue").agg(F.count(F.lit(1)).alias("n_findings")), _issues_sql()),
     "findings_by_table": (lambda s, d: rules.by_table(_findings(s, d)), f"SELECT table_name, count(*) AS n_findings FROM ({ALL_SQL}) GROUP BY 1"),
     "findings_by_field": (lambda s, d: rules.by_field(_findings(s, d)), f"SELECT table_name, field, count(*) AS n_findings FROM ({ALL_SQL}) GROUP BY 1, 2"),
     "findings_by_severity": (lambda s, d: rules.by_severity(_findings(s, d)), f"SELECT severity, count(*) AS n_findings FROM ({ALL_SQL}) GROUP BY 1"),
@@ -354,10 +605,12 @@ QUERIES = {
     **{f"profile_fields_{t}": ((lambda t, fs: lambda s, d: profile.profile(table(s, d, t), fs))(t, fs), _profile_sql(t, fs)) for t, fs in PROFILED.items()},
     **{f"profile_top_values_{t}": ((lambda t, fs: lambda s, d: profile.top_values(table(s, d, t), fs))(t, fs), _top_sql(t, fs, 20)) for t, fs in PROFILED.items()},
     "profile_inferred_domain": (lambda s, d: _joined(profile.inferred_domains(table(s, d, "marc"), PROFILED["marc"]), "domain"), _domain_sql("marc", PROFILED["marc"])),
-    "profile_samples": (lambda s, d: _joined(profile.samples(table(s, d, "marc"), ["werks", "dismm"]), "samples"), " UNION ALL ".join(f"SELECT '{f}' AS field_name, array_to_string(list_sort(list(v)), ',') AS samples FROM (SELECT DISTINCT {f} AS v FROM marc WHERE {f} IS NOT NULL ORDER BY 1 LIMIT 5)" for f in ("werks", "dismm"))),
+    "profile_samples": (lambda s, d: _joined(profile.samples(table(s, d, "marc"), FIELDS["marc"]), "samples"), " UNION ALL ".join(f"SELECT '{f}' AS field_name, array_to_string(list_sort(list(v)), ',') AS samples FROM (SELECT DISTINCT {f} AS v FROM marc WHERE {f} IS NOT NULL ORDER BY 1 LIMIT 5) HAVING count(*) > 0" for f in FIELDS["marc"])),
     "key_uniqueness_lineitem": (lambda s, d: profile.key_uniqueness(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]).drop("examples"), "SELECT sum(n)::bigint AS n_rows, count(*) AS distinct_keys, coalesce(sum(n) FILTER (n > 1), 0)::bigint AS rows_sharing_a_key, count(*) FILTER (n > 1) = 0 AS is_unique, true AS assessable FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)"),
     "key_uniqueness_marc": (lambda s, d: profile.key_uniqueness(table(s, d, "marc"), ["matnr", "werks"]).drop("examples"), "SELECT sum(n)::bigint AS n_rows, count(*) AS distinct_keys, coalesce(sum(n) FILTER (n > 1), 0)::bigint AS rows_sharing_a_key, count(*) FILTER (n > 1) = 0 AS is_unique, true AS assessable FROM (SELECT count(*) AS n FROM marc GROUP BY matnr, werks)"),
-    "key_candidates": (_candidate_keys, "SELECT 'source' AS key_fields FROM mix_targets GROUP BY ALL HAVING count(DISTINCT source) = count(*) UNION ALL SELECT 'target_share' FROM mix_targets HAVING count(DISTINCT target_share) = count(*)"),
+    "key_candidates": (_candidate_keys("makt"), _keys_sql("makt", [*FIELDS["makt"], "load_no", "loaded_at"])),
+    "key_candidates_mara": (_candidate_keys("mara"), None),
+    "key_candidates_marc": (_candidate_keys("marc"), None),
     "reference_match_rate": (lambda s, d: reference.match_rate(table(s, d, "mara"), reference.entries(table(s, d, "t006"), "t006", "msehi"), "meins"), "SELECT count(*) FILTER (coalesce(trim(meins, ' '), '') <> '') AS n_values, count(*) FILTER (upper(trim(meins, ' ')) IN (SELECT msehi FROM t006)) AS n_matched, count(*) FILTER (upper(trim(meins, ' ')) IN (SELECT msehi FROM t006)) / count(*) FILTER (coalesce(trim(meins, ' '), '') <> '') AS match_rate FROM mara"),
     "reference_scoped": (_scoped, "WITH c AS (SELECT 'gewei' AS field, 'mass' AS dim, upper(trim(coalesce(gewei, ''), ' ')) AS unit FROM mara UNION ALL SELECT 'voleh', 'volume', upper(trim(coalesce(voleh, ''), ' ')) FROM mara) SELECT field, count(*) FILTER (t.msehi IS NOT NULL) AS n_members, count(*) FILTER (unit <> '' AND t.msehi IS NULL) AS n_strangers, count(*) FILTER (unit = '') AS n_empty FROM c LEFT JOIN t006 t ON t.msehi = unit AND t.dimension = dim GROUP BY field"),
     "reference_permitted": (lambda s, d: _joined(reference.permitted(reference.entries(table(s, d, "t006"), "t006", "msehi", "dimension"), True), "permitted"), "SELECT 't006' AS table_name, upper(dimension) AS scope_key, array_to_string(list_sort(list(DISTINCT msehi)), ',') AS permitted, count(DISTINCT msehi) AS n_permitted FROM t006 GROUP BY dimension"),
@@ -373,23 +626,42 @@ QUERIES = {
     "dedup_oversized": (
         lambda s, d: matching.held_back(_candidates(s, d, matching.Matching(block=BLOCK, most_block_pairs=300))),
         f"WITH {CANDIDATES_SQL}, b AS (SELECT block FROM c WHERE reason IS NULL GROUP BY 1 HAVING count(*) * (count(*) - 1) / 2 > 300) SELECT coalesce(reason, 'block_too_large') AS reason, count(*) AS n_records FROM c WHERE reason IS NOT NULL OR block IN (SELECT block FROM b) GROUP BY 1"),
-    "dedup_pairs_jw": (lambda s, d: _pairs(s, d).where("band <> 'below'").select("left_id", "right_id", F.round("score", 4).alias("score"), "band"), f"WITH {PAIRS_SQL} SELECT left_id, right_id, round(score, 4) AS score, CASE WHEN score >= 0.93 THEN 'duplicate' ELSE 'review' END AS band FROM s WHERE score >= 0.80"),
-    "dedup_vetoes": (lambda s, d: _pairs(s, d, count_vetoes=True).where("veto is not null").groupBy("veto").agg(F.count(F.lit(1)).alias("n_pairs")), f"WITH {PAIRS_SQL} SELECT veto, count(*) AS n_pairs FROM s WHERE veto IS NOT NULL GROUP BY 1"),
-    "dedup_score_spread": (lambda s, d: matching.score_spread(_candidates(s, d), _pairs(s, d)), f"WITH {PAIRS_SQL} SELECT CASE WHEN score >= 0.93 THEN 'duplicate' WHEN score >= 0.80 THEN 'review' ELSE 'below' END AS band, count(*) AS n_pairs FROM s GROUP BY 1"),
+    "dedup_pairs_jw": (
+        lambda s, d: _pairs(s, d).where("band <> 'below'").select("left_id", "right_id", "n_pairs", F.round("score", 4).alias("score"), "band"),
+        f"WITH {PAIRS_SQL} SELECT s.left_id, s.right_id, n_pairs, round(score, 4) AS score, CASE WHEN score >= 0.93 THEN 'duplicate' ELSE 'review' END AS band FROM s JOIN n ON n.left_id = s.left_id AND n.right_id = s.right_id WHERE score >= 0.80"),
+    "dedup_classes": (lambda s, d: matching.class_members(_candidates(s, d)), f"WITH {CANDIDATES_SQL} SELECT key, min(key) OVER (PARTITION BY block, norm) AS rep FROM c WHERE reason IS NULL"),
+    "dedup_vetoes": (lambda s, d: _pairs(s, d, count_vetoes=True).where("veto is not null").groupBy("veto").agg(F.sum("n_pairs").alias("n_pairs")), f"WITH {PAIRS_SQL} SELECT veto, count(*) AS n_pairs FROM s WHERE veto IS NOT NULL GROUP BY 1"),
+    "dedup_score_spread": (_spread, f"WITH {PAIRS_SQL} SELECT CASE WHEN score >= 0.93 THEN 'duplicate' WHEN score >= 0.80 THEN 'review' ELSE 'below' END AS band, count(*) AS n_pairs FROM s GROUP BY 1"),
     "dedup_pairs_token_sort": (lambda s, d: _pairs(s, d, SORTED).where("band <> 'below'").select("left_id", "right_id", F.round("score", 4).alias("score"), "band"), None),
     "dedup_semantic_pairs": (_semantic, "SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.3"),
     "dedup_clusters": (lambda s, d: _clusters(s, d).select("member", "root"), CLUSTER_SQL + "SELECT member, root FROM g"),
     "dedup_survivors": (_survivors, SURVIVOR_SQL),
     "dedup_weakest_link": (
-        lambda s, d: matching.weakest_links(_clusters(s, d), _candidates(s, d), SETTINGS).select(F.round("weakest_link", 4).alias("weakest_link")).groupBy("weakest_link").agg(F.count(F.lit(1)).alias("n_clusters")),
-        CLUSTER_SQL + "SELECT w AS weakest_link, count(*) AS n_clusters FROM (SELECT x.root, round(min(s.score), 4) AS w FROM g x JOIN g y ON x.root = y.root AND x.member < y.member JOIN s ON s.left_id = x.member AND s.right_id = y.member GROUP BY 1) GROUP BY 1"),
+        _weakest, CLUSTER_SQL + "SELECT x.root, round(min(s.score), 4) AS weakest_link FROM g x JOIN g y ON x.root = y.root AND x.member < y.member JOIN s ON s.left_id = x.member AND s.right_id = y.member GROUP BY 1"),
+    "cluster_overview": (_overview, OVERVIEW_SQL),
+    "cluster_members": (_members, MEMBERS_SQL),
+    "uncertain_pairs": (_uncertain, f"WITH {PAIRS_SQL} SELECT s.left_id, s.right_id, round(score, 4) AS score, a.block AS block, a.maktx AS left_text, b.maktx AS right_text FROM s JOIN n ON n.left_id = s.left_id AND n.right_id = s.right_id JOIN c a ON a.key = s.left_id JOIN c b ON b.key = s.right_id WHERE score >= 0.80 AND score < 0.93"),
+    "verdicts_applied": (lambda s, d: _judged(s, d).select("left_id", "right_id", "decision", "is_open"), f"WITH {PAIRS_SQL}, {JUDGED_SQL} SELECT left_id, right_id, decision, decision IS NULL AS is_open FROM j"),
+    "verdict_clusters": (lambda s, d: _verdict_clusters(s, d).select("cluster_id", "survivor", "other", "reason", "score", "confidence"), VERDICTS_SQL + "SELECT 'CL-LLM-' || lpad(n::varchar, greatest(4, length(n::varchar))::int, '0') AS cluster_id, survivor, other, reason, score, score AS confidence FROM v"),
+    "verdict_findings": (lambda s, d: decisions.verdict_findings(_verdict_clusters(s, d), "mara", "matnr").select("record_id", "rule_id", "issue", "severity", "confidence"), VERDICTS_SQL + "SELECT 'matnr=' || other AS record_id, NULL::varchar AS rule_id, 'judged a duplicate of ' || survivor || ': by group' AS issue, 'Medium' AS severity, score AS confidence FROM v"),
+    "verdict_quality": (_verdict_quality, VERDICT_QUALITY_SQL),
+    "pair_keys": (_pair_keys, PAIR_KEYS_SQL),
+    "similarity_ratio": (lambda s, d: _pairs(s, d, matching.Matching(block=BLOCK, metric="ratio", duplicate=0.92, review_low=0.80)).where("band <> 'below'").select("left_id", "right_id", F.round("score", 4).alias("score"), "band"), None),
+    "similarity_token_set": (lambda s, d: _pairs(s, d, matching.Matching(block=BLOCK, metric="token_set_ratio", duplicate=0.92, review_low=0.80)).where("band <> 'below'").select("left_id", "right_id", F.round("score", 4).alias("score"), "band"), None),
+    "actions_uniqueness": (_plan, PLAN_SQL),
+    "schema_fields": (_schema_fields, "SELECT tab_name AS table_name, field_name, field_type AS role, field_type AS type, (tab_name || '.' || field_name) IN ('mara.matnr', 'makt.matnr', 'makt.spras', 'marc.matnr', 'marc.werks') AS is_key, mandatory, 0 AS n_domain FROM field_spec"),
+    "schema_built": (_built_schema, BUILT_SQL),
+    "reference_manifest": (_manifest, "SELECT 'UNITS' AS table_name, 'loaded' AS status, count(*) AS n_values, false AS is_pending FROM t006 UNION ALL SELECT 'SOURCES', 'loaded', count(DISTINCT upper(trim(source, ' '))), true FROM mix_targets UNION ALL SELECT 'GROUPS', 'pending_extract', 0, true UNION ALL SELECT 'PLANTS', 'pending_extract', 0, true"),
+    "reference_evidence": (_evidence, _EVIDENCE_SQL),
+    "import_report": (_import_report, IMPORT_SQL),
+    "injection": (_injection, INJECTION_SQL),
     "dedup_exact_groups": (_exact_groups, r"WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\pL\pM\pN_\s\pZ]', ' ', 'g'), '[\s\pZ]+', ' ', 'g'), ' ') AS norm FROM documents WHERE lower(trim(text, ' ')) NOT IN ('', 'nan', 'none')) SELECT min(doc_id) AS first_doc, count(*) AS n_docs FROM d WHERE norm <> '' GROUP BY norm HAVING count(*) > 1"),
-    "eval_prf": (_prf, None),
+    "eval_prf": (_prf, "SELECT * FROM (VALUES ('Completeness', true, 0, 0, 1.0, 1.0, 1.0), ('Validity', true, 0, 0, 1.0, 1.0, 1.0)) t(dimension, \"some\", fp, fn, \"precision\", recall, f1)"),
     "eval_decoys": (_decoys, DECOYS_SQL),
     "eval_unlabelled_joins": (_unlabelled, UNLABELLED_SQL),
     "remediation_ranked": (_actions, ACTIONS_SQL),
-    "adjudication_queue": (_queue, f"WITH {PAIRS_SQL} SELECT left_id, right_id, round(score, 4) AS score FROM s WHERE score >= 0.80 AND score < 0.93 ORDER BY round(score, 4) DESC, left_id || '|' || right_id LIMIT 50"),
+    "adjudication_queue": (_queue, f"WITH {PAIRS_SQL} SELECT s.left_id, s.right_id, round(score, 4) AS score FROM s JOIN n ON n.left_id = s.left_id AND n.right_id = s.right_id WHERE score >= 0.80 AND score < 0.93 ORDER BY round(score, 4) DESC, s.left_id || '|' || s.right_id LIMIT 50"),
     "bank_retrieval": (_retrieval, RETRIEVAL_SQL),
-    "rule_classification": (_classified, "SELECT tab_name || '.' || field_name AS name, CASE WHEN mandatory THEN 'not_null' ELSE 'domain_in' END AS archetype, CASE WHEN mandatory THEN '' ELSE 'A|B' END AS listed FROM field_spec"),
+    "rule_classification": (_classified, f"SELECT tab_name || '.' || field_name AS name, {_KIND_SQL} AS archetype, CASE WHEN field_name = 'werks' AND field_type = 'code' OR field_type = 'code' THEN 'A|B' WHEN field_type = 'flag' THEN 'X' ELSE '' END AS listed FROM field_spec"),
     "assessment": (_assessment, None),
 }

@@ -12,8 +12,9 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", cores=min(4, os.cpu_count() or 4), shuffle_partitions=4)
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    session = local_session("tests", cores=min(4, os.cpu_count() or 4), shuffle_partitions=4, spark__checkpoint__dir=f"file://{shared}")
     yield session
     session.stop()
 
