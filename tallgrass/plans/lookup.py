@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 #: A key is heavy if it holds more than one in HEAVY_SHARE rows, so there are fewer than HEAVY_SHARE heavy keys.
@@ -23,15 +23,21 @@ def heavy_keys(df: DataFrame, key: str, total: int | None = None) -> DataFrame:
     return counts.where(F.col("__n") > total / HEAVY_SHARE).select(key)
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str, heavy: DataFrame | None = None, how: str = "inner") -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, key: str, heavy: DataFrame | list[Row] | None = None, how: str = "inner") -> DataFrame:
     """Join ``big`` to ``small`` (unique on ``key``), inner or left, without a task per hot key.
 
-    Rows of heavy keys meet a broadcast copy of the few rows of ``small`` they need (under
-    ``HEAVY_SHARE``, by construction); all other keys hold at most 1/HEAVY_SHARE of the rows each
-    and are joined by shuffle. Null keys match nothing.
+    Rows of heavy keys meet a broadcast copy of the few rows of ``small`` they need; all other keys hold at
+    most 1/HEAVY_SHARE of the rows each and are joined by shuffle. ``heavy``, if known, has the heavy keys, as a
+    frame or collected: fewer than ``2 * HEAVY_SHARE``, by construction, which is checked. Null keys match nothing.
     """
-    heavy = heavy_keys(big, key) if heavy is None else heavy
-    hot = F.broadcast(small.join(F.broadcast(heavy), key, "left_semi"))
-    cold = big.join(F.broadcast(heavy), key, "left_anti")
-    warm = big if how == "inner" else big.join(F.broadcast(heavy), key, "left_semi")
-    return cold.join(small, key, how).unionByName(warm.join(hot, key, how))
+    if heavy is None:
+        heavy = heavy_keys(big, key)
+    keys = heavy.select(key).limit(2 * HEAVY_SHARE).collect() if isinstance(heavy, DataFrame) else heavy
+    if len(keys) >= 2 * HEAVY_SHARE:
+        raise ValueError(f"more than {2 * HEAVY_SHARE} heavy keys")
+    if not keys:
+        return big.join(small, key, how)
+    few = F.broadcast(big.sparkSession.createDataFrame(keys, big.select(key).schema))
+    hot = F.broadcast(small.join(few, key, "left_semi"))
+    cold = big.join(few, key, "left_anti")
+    return cold.join(small, key, how).unionByName(big.join(few, key, "left_semi").join(hot, key, how))
