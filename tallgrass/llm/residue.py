@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +37,16 @@ SLOTS = [
 SLOT = re.compile("|".join(f"(?:{s})" for s in SLOTS))
 QUOTES_BEFORE, QUOTES_AFTER = "\"'“”„‘’‚`", "\"'“”‘’`"
 
-# A quick test that a passage may hold an open place at all.
-SLOT_SIGN = r"[{}<>\[\]$%#@&~«‹]|__|[Xx]{2}|null_|\((?:enter|insert|fill|your)"
+# What a passage must hold for an open place to be possible at all.
+SIGN_CLASS, SIGN_WORDS = r"[{}<>\[\]$%#@&~«‹_(]", ["xx"]
+SLOT_SIGN = re.compile("|".join([SIGN_CLASS, *map(re.escape, SIGN_WORDS)]), re.I)
 
-# Unmistakable openings of error lines, and names of scripting in a browser.
-ERROR_LINE = r"(?iU)^\W*(?:(?:error|fehler|erreur|http status)\s*\d{3}\s*[:–-]|oops!|sorry, |\d{3}\s+[-–]\s+\w)"
-SCRIPT = r"(?i)\b(?:java ?script|noscript|(?:active |client-side )scripting|script support)\b"
-SPLIT = r"(?U)(?<=[.!?…])\s+|\n+"
-BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0  　"
+# Unmistakable openings of error lines with their first words, and names of scripting in a browser.
+ERROR_WORDS = ["error", "fehler", "erreur", "http", "oops", "sorry"]
+ERROR_LINE = re.compile(r"\W*(?:(?:error|fehler|erreur|http status)\s*\d{3}\s*[:–-]|oops!|sorry, |\d{3}\s+[-–]\s+\w)", re.I)
+SCRIPT = re.compile(r"\b(?:java ?script|noscript|(?:active |client-side )scripting|script support)\b", re.I)
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
+SPLIT = "(?<=[.!?…])[ \\t\\n\\r\\x0b\\f\\x85\\xa0]+|\\n+"
 WORD = r"[\p{L}\p{Nl}\p{No}]+"
 PYTHON_WORD = re.compile(r"[^\W\d_]+")
 MARKS = ["§slot", "§quoted", "§rare", "§number", "§run", "§short", "§long"]
@@ -53,6 +55,8 @@ LONGEST_PERIOD = 6
 
 def slots_of(passage: str) -> tuple[int, int, str]:
     """Open places not in quotes, places in quotes, and the passage without both."""
+    if not SLOT_SIGN.search(passage):
+        return 0, 0, passage
     bare = quoted = 0
     rest, at = [], 0
     for m in SLOT.finditer(passage):
@@ -92,46 +96,106 @@ LEAST_NOISE, NOISE_SHARE = 5, 0.5
 #: Passages with open places from which a record is trusted to be an unfilled form.
 UNFILLED_PASSAGES = 3
 
-READ = "id bigint, line string, words array<bigint>, letters int, digits boolean, trusted boolean, thrice boolean, first boolean"
-ENCODED = "id bigint, bare int, letters int, label int, features array<int>"
 
 
-def hashes(text: Column) -> Column:
-    """Hashes of the words of a text in lower case, in their order."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def passages(slim: DataFrame) -> DataFrame:
-    """A row per passage of ``slim`` (id, text), as in READ; a record's passages follow each other.
+    """(id, line, words, size, digits, thrice, first): a row per passage of ``slim`` (id, text), those of a record one after another.
 
-    ``line`` is there only where an open place is possible: the rest of the work is done on hashed words.
+    ``words`` are hashed. ``line`` is there only where Python has to read the passage: where an open place is
+    possible, or an error line or script notice, which begin with certain words or with no word at all.
     """
-    lines = F.filter(F.transform(F.split("text", SPLIT), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", SPLIT), lambda x: F.trim(x)), lambda x: x != "")
     at = lambda i: F.get("lines", i)
     same = lambda i: F.coalesce((at(i) == at(i + 1)) & (at(i) == at(i + 2)), F.lit(False))
     # One of three equal passages in a row; looked into only next to an equal one.
     thrice = lambda x, i: F.when((at(i - 1) == x) | (at(i + 1) == x), same(i) | same(i - 1) | same(i - 2)).otherwise(False)
     told = F.transform("lines", lambda x, i: F.struct(x.alias("line"), thrice(x, i).alias("thrice")))
     rows = slim.select("id", lines.alias("lines")).select("id", F.posexplode(told).alias("n", "p")).select("id", "n", "p.line", "p.thrice")
-    n, line = F.col("n"), F.col("line")
-    digits = line.rlike(r"\d")
-    script = F.contains(F.lower(line), F.lit("script")) & ~digits & line.rlike(SCRIPT)
+    rows = rows.select("*", F.lower("line").alias("lower"), _words(F.col("line")).alias("found"))
+    line, lower, first = F.col("line"), F.col("lower"), F.get("found", F.lit(0))
+    sign = line.rlike(SIGN_CLASS)
+    for w in [*SIGN_WORDS, "script"]:
+        sign = sign | F.contains(lower, F.lit(w))
+    opening = first.isNull() | first.isin(*ERROR_WORDS) | ~F.startswith(lower, first)
     return rows.select(
-        "id", F.when(line.rlike(SLOT_SIGN), line).alias("line"), hashes(line).alias("words"), F.length(F.regexp_replace(line, r"[^\p{L}\p{Nl}\p{No}]+", "")).alias("letters"),
-        digits.alias("digits"), (line.rlike(ERROR_LINE) | script).alias("trusted"), "thrice", (n == 0).alias("first"),
+        "id", F.when(sign | opening, line).alias("line"), _hashed(F.col("found")).alias("words"), F.length("line").alias("size"),
+        line.rlike("[0-9]").alias("digits"), "thrice", (F.col("n") == 0).alias("first"),
     )
 
 
-def _lists(flat, sizes, kind) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, kind))
-
-
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(values, row of each value) of a list column."""
     sizes = np.diff(column.offsets.to_numpy())
     return column.flatten().to_numpy(), np.repeat(np.arange(len(column)), sizes)
 
 
+class Packed:
+    """Arrays of some thousand passages; in a table they are one row of binary values, which pass through Spark untouched."""
+
+    @classmethod
+    def kinds(cls) -> dict[str, type]:
+        return {f.name: f.metadata["kind"] for f in fields(cls)}
+
+    @classmethod
+    def columns(cls) -> str:
+        return ", ".join(f"{n} binary" for n in cls.kinds())
+
+    @classmethod
+    def read(cls, batches: Iterator[pa.RecordBatch]) -> Iterator:
+        for b in batches:
+            for i in range(len(b)):
+                yield cls(*[np.frombuffer(b.column(k)[i].as_py(), t) for k, t in enumerate(cls.kinds().values())])
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([getattr(self, n).astype(t).tobytes()], pa.binary()) for n, t in self.kinds().items()], names=list(self.kinds()))
+
+
+def _kind(t: type):
+    return field(metadata={"kind": t})
+
+
+@dataclass
+class Words(Packed):
+    """Passages as read: ``record`` numbers the records, ``mark`` has a bit per mark, ``word`` the hashes of the ``n_words`` different words."""
+
+    id: np.ndarray = _kind(np.int64)
+    record: np.ndarray = _kind(np.int32)
+    bare: np.ndarray = _kind(np.int32)
+    size: np.ndarray = _kind(np.int32)
+    label: np.ndarray = _kind(np.int32)
+    mark: np.ndarray = _kind(np.int32)
+    n_words: np.ndarray = _kind(np.int32)
+    word: np.ndarray = _kind(np.int64)
+
+
+@dataclass
+class Block(Packed):
+    """Passages by the features of the vocabulary."""
+
+    id: np.ndarray = _kind(np.int64)
+    bare: np.ndarray = _kind(np.int32)
+    size: np.ndarray = _kind(np.int32)
+    label: np.ndarray = _kind(np.int32)
+    n_features: np.ndarray = _kind(np.int32)
+    feature: np.ndarray = _kind(np.int32)
+
+    @property
+    def row(self) -> np.ndarray:
+        """The passage of each feature."""
+        return np.repeat(np.arange(len(self.id)), self.n_features)
+
+    def keep(self, mask: np.ndarray) -> Block:
+        return Block(self.id[mask], self.bare[mask], self.size[mask], self.label[mask], self.n_features[mask], self.feature[np.repeat(mask, self.n_features)])
+
+
 def _whole_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches that end with a record's last passage."""
     held: list[pa.RecordBatch] = []
@@ -147,61 +211,80 @@ def _whole_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages (see :func:`passages`) as :class:`Words`: open places taken out, marks set, trusted ones labelled."""
+    for b in _whole_records(batches):
+        n = len(b)
+        record = np.cumsum(b.column("first").to_numpy(zero_copy_only=False)) - 1
+        flat, row = _flat(b.column("words"))
+        size_, digits = b.column("size").to_numpy().copy(), b.column("digits").to_numpy(zero_copy_only=False).copy()
+        trusted, run = np.zeros(n, dtype=bool), b.column("thrice").to_numpy(zero_copy_only=False).copy()
+        bare, quoted = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+        # Passages that may hold open places are read again without them; these are few.
+        again: list[np.ndarray] = []
+        replaced = np.zeros(n, dtype=bool)
+        lines = b.column("line")
+        at = np.flatnonzero(lines.is_valid().to_numpy(zero_copy_only=False))
+        for i, line in zip(at, lines.take(pa.array(at)).to_pylist()):
+            bare[i], quoted[i], rest = slots_of(line)
+            if bare[i] or quoted[i]:
+                found = PYTHON_WORD.findall(rest.lower())
+                replaced[i], size_[i], digits[i] = True, len(rest), re.search(r"\d", rest) is not None
+                again.append(np.array([[i, hash_word(w)] for w in found], dtype=np.int64).reshape(-1, 2))
+            trusted[i] = ERROR_LINE.match(line) is not None or (not digits[i] and SCRIPT.search(line) is not None)
+        if again:
+            more = np.concatenate(again)
+            kept = ~replaced[row]
+            flat, row = np.concatenate([flat[kept], more[:, 1]]), np.concatenate([row[kept], more[:, 0]])
+            order = np.argsort(row, kind="stable")
+            flat, row = flat[order], row[order]
+        n_found = np.bincount(row, minlength=n)
+        # One row per different word of a passage.
+        order = np.lexsort((flat, row))
+        first = np.ones(len(flat), dtype=bool)
+        first[1:] = (np.diff(row[order]) != 0) | (np.diff(flat[order]) != 0)
+        word, at_row = flat[order][first], row[order][first]
+        n_words = np.bincount(at_row, minlength=n)
+        starts = np.concatenate([[0], np.cumsum(n_found)])
+        for i in np.flatnonzero((n_found > 2) & (3 * n_words <= 2 * n_found)):
+            run[i] |= has_run(flat[starts[i] : starts[i + 1]].tolist())
+        marks = [bare > 0, quoted > 0, np.zeros(n, bool), digits, run, n_found <= 3, n_found > 40]
+        # Labels of trusted passages and records.
+        trusted |= run
+        form = (np.bincount(record, bare > 0) >= UNFILLED_PASSAGES)[record]
+        page = (np.bincount(record, trusted) >= np.maximum(TRUSTED_SHARE * np.bincount(record), 1e-9))[record]
+        label = np.where(form & (bare > 0), UNFILLED, np.where(trusted | (page & (bare == 0)), JUNK, -1))
+        yield Words(b.column("id").to_numpy(), record, bare, np.where(n_found > 0, size_, 0), label, sum(m.astype(np.int32) << k for k, m in enumerate(marks)), n_words, word).batch()
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, k): how many records of a block have each word."""
+    for b in Words.read(batches):
+        record, word = np.repeat(b.record, b.n_words), b.word
+        order = np.lexsort((record, word))
+        record, word = record[order], word[order]
+        new_word = np.ones(len(word), dtype=bool)
+        new_word[1:] = word[1:] != word[:-1]
+        new = new_word.copy()
+        new[1:] |= record[1:] != record[:-1]
+        at = np.flatnonzero(new_word)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(np.add.reduceat(new.astype(np.int64), at))], names=["w", "k"])
+
+
 def _encoder(vocabulary: np.ndarray):
     """Features of passages: the marks, then the words of the (sorted, hashed) vocabulary; all other words are one feature."""
     size, rare = len(MARKS) + len(vocabulary), MARKS.index("§rare")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _whole_records(batches):
-            n = len(b)
-            record = np.cumsum(b.column("first").to_numpy(zero_copy_only=False)) - 1
-            flat, row = _flat(b.column("words"))
-            letters, digits = b.column("letters").to_numpy().copy(), b.column("digits").to_numpy(zero_copy_only=False).copy()
-            trusted, run = b.column("trusted").to_numpy(zero_copy_only=False).copy(), b.column("thrice").to_numpy(zero_copy_only=False).copy()
-            bare, quoted = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
-            # Passages that may hold open places are read again without them; these are few.
-            again: list[np.ndarray] = []
-            replaced = np.zeros(n, dtype=bool)
-            lines = b.column("line")
-            for i in np.flatnonzero(lines.is_valid().to_numpy(zero_copy_only=False)):
-                bare[i], quoted[i], rest = slots_of(lines[i].as_py())
-                if bare[i] or quoted[i]:
-                    found = PYTHON_WORD.findall(rest.lower())
-                    replaced[i], letters[i], digits[i] = True, sum(map(len, found)), re.search(r"\d", rest) is not None
-                    again.append(np.array([[i, hash_word(w)] for w in found], dtype=np.int64).reshape(-1, 2))
-            if again:
-                more = np.concatenate(again)
-                kept = ~replaced[row]
-                flat, row = np.concatenate([flat[kept], more[:, 1]]), np.concatenate([row[kept], more[:, 0]])
-                order = np.argsort(row, kind="stable")
-                flat, row = flat[order], row[order]
-            n_found = np.bincount(row, minlength=n)
-            # One row per different word of a passage.
-            order = np.lexsort((flat, row))
-            first = np.ones(len(flat), dtype=bool)
-            first[1:] = (np.diff(row[order]) != 0) | (np.diff(flat[order]) != 0)
-            word, at_row = flat[order][first], row[order][first]
-            n_words = np.bincount(at_row, minlength=n)
-            starts = np.concatenate([[0], np.cumsum(n_found)])
-            for i in np.flatnonzero((n_found > 2) & (3 * n_words <= 2 * n_found)):
-                run[i] |= has_run(flat[starts[i] : starts[i + 1]].tolist())
-            at = np.minimum(np.searchsorted(vocabulary, word), max(0, len(vocabulary) - 1))
-            known = vocabulary[at] == word if len(vocabulary) else np.zeros(len(word), bool)
-            marks = [bare > 0, quoted > 0, np.zeros(n, bool), digits, run, n_found <= 3, n_found > 40]
-            parts = [at_row * size + np.where(known, at + len(MARKS), rare), *[np.flatnonzero(m) * size + k for k, m in enumerate(marks)]]
+        for b in Words.read(batches):
+            n, row = len(b.id), np.repeat(np.arange(len(b.id)), b.n_words)
+            at = np.minimum(np.searchsorted(vocabulary, b.word), max(0, len(vocabulary) - 1))
+            known = vocabulary[at] == b.word if len(vocabulary) else np.zeros(len(b.word), bool)
+            parts = [row * size + np.where(known, at + len(MARKS), rare), *[np.flatnonzero(b.mark >> k & 1) * size + k for k in range(len(MARKS))]]
             keys = np.unique(np.concatenate(parts).astype(np.int64))
-            unknown = np.bincount(at_row, ~known, n)
-            # Labels of trusted passages and records.
-            trusted |= run
-            per = np.bincount(record)
-            form = (np.bincount(record, bare > 0) >= UNFILLED_PASSAGES)[record]
-            page = (np.bincount(record, trusted) >= np.maximum(TRUSTED_SHARE * per, 1e-9))[record]
-            noise = (n_words >= LEAST_NOISE) & (unknown >= NOISE_SHARE * n_words)
-            label = np.where(form & (bare > 0), UNFILLED, np.where(trusted | ((page | noise) & (bare == 0)), JUNK, -1))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(bare, pa.int32()), pa.array(letters, pa.int32()), pa.array(label, pa.int32()), _lists(keys % size, np.bincount(keys // size, minlength=n), pa.int32())],
-                names=[c.split()[0] for c in ENCODED.split(", ")],
-            )
+            noise = (b.n_words >= LEAST_NOISE) & (np.bincount(row, ~known, n) >= NOISE_SHARE * b.n_words) & (b.bare == 0)
+            yield Block(b.id, b.bare, b.size, np.where(noise, JUNK, b.label), np.bincount(keys // size, minlength=n), keys % size).batch()
 
     return encode
 
@@ -213,9 +296,8 @@ class Model:
     weight: np.ndarray
     constant: float
 
-    def odds(self, features: pa.Array) -> np.ndarray:
-        flat, row = _flat(features)
-        return self.constant + np.bincount(row, self.weight[flat], len(features))
+    def odds(self, b: Block) -> np.ndarray:
+        return self.constant + np.bincount(b.row, self.weight[b.feature], len(b.id))
 
 
 @dataclass
@@ -226,26 +308,29 @@ class Counts:
     number: np.ndarray
 
 
-def _expected(rows: DataFrame, size: int, model: Model | None, temper: bool = False) -> Counts:
-    """Expected counts per class; trusted passages are positives. Summed in the tasks first."""
+def _expected(blocks: DataFrame, size: int, model: Model | None, open_: bool = False) -> Counts:
+    """Expected counts per class of the passages with (``open_``) or without open places; trusted ones are positives. Summed in the tasks first.
+
+    Passages with open places are judged by the mean log-odds of their features.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, number = np.zeros((2, size)), np.zeros(2)
-        for b in batches:
-            flat, row = _flat(b.column("features"))
-            p = np.zeros(len(b))
+        for b in Block.read(batches):
+            b = b.keep((b.bare > 0) == open_)
+            p = np.zeros(len(b.id))
             if model is not None:
-                odds = model.odds(b.column("features")) / (np.maximum(1, np.bincount(row, minlength=len(b))) if temper else 1)
-                p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-            p[b.column("label").to_numpy() > 0] = 1.0
-            table[1] += np.bincount(flat, p[row], size)
-            table[0] += np.bincount(flat, 1 - p[row], size)
+                p = 1 / (1 + np.exp(-np.clip(model.odds(b) / (np.maximum(1, b.n_features) if open_ else 1), -500, 500)))
+            p[b.label > 0] = 1.0
+            row = b.row
+            table[1] += np.bincount(b.feature, p[row], size)
+            table[0] += np.bincount(b.feature, 1 - p[row], size)
             number += [(1 - p).sum(), p.sum()]
         f = np.flatnonzero(table.sum(axis=0))
         columns = [pa.array(np.concatenate([[-1], f]), pa.int32()), *[pa.array(np.concatenate([[number[c]], table[c, f]])) for c in (0, 1)]]
         yield pa.RecordBatch.from_arrays(columns, names=["f", "c0", "c1"])
 
-    partial = rows.select("features", "label").mapInArrow(count, "f int, c0 double, c1 double")
+    partial = blocks.mapInArrow(count, "f int, c0 double, c1 double")
     got = Counts(np.zeros((2, size)), np.zeros(2))
     for f, c0, c1 in partial.groupBy("f").agg(F.sum("c0"), F.sum("c1")).collect():  # a row per word of the bounded vocabulary
         if f < 0:
@@ -298,17 +383,17 @@ def learn_unfilled(opened: DataFrame, usual: np.ndarray, rounds: int, common: fl
     """
     prior = model = familiar(usual, common, level)
     for _ in range(rounds + 1):
-        model = fit(_expected(opened, len(usual), model, temper=True), usual, 1.0, common, prior)
+        model = fit(_expected(opened, len(usual), model, open_=True), usual, 1.0, common, prior)
         if model is None:
             return None
     return model
 
 
-def learn_junk(closed: DataFrame, everything: Counts, usual: np.ndarray, rounds: int) -> Model | None:
+def learn_junk(blocks: DataFrame, everything: Counts, usual: np.ndarray, rounds: int) -> Model | None:
     """Which passages without open places are junk. All unlabelled ones start as real; each round re-estimates all of them."""
     model = fit(everything, usual)
     for _ in range(rounds if model is not None else 0):
-        model = fit(_expected(closed, len(usual), model), usual)
+        model = fit(_expected(blocks, len(usual), model), usual)
     return model
 
 
@@ -329,7 +414,7 @@ def find_residue(
     Two models are learned: which passages with open places are unfilled rather than about such places, and
     which other passages are junk rather than real. A record is unfilled if a passage of it is, and junk if
     the log-odds of its passages without open places sum to more than 0; odds is the largest or the sum,
-    share the part of the record's letters in passages found to be residue. A place in quotes is never open,
+    share the part of the record's characters in passages found to be residue. A place in quotes is never open,
     and passages without words decide nothing.
 
     ``id`` is a bigint. Words of fewer than ``least_share`` of all records count as one feature, as do those
@@ -337,40 +422,46 @@ def find_residue(
     repeated rows give one result row; an empty table gives none; columns not named are not read.
     """
     slim = records.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.btrim("text", F.lit(BLANKS)) != ""))
+    read = stage(passages(slim).mapInArrow(_read_words, Words.columns()), "words")
     least = max(2.0, least_share * slim.count())
-    frequent = slim.select(F.explode(F.array_distinct(hashes(F.col("text")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least)
+    frequent = read.mapInArrow(_word_counts, "w bigint, k bigint").groupBy("w").agg(F.sum("k").alias("k")).where(F.col("k") >= least)
     words = sorted(r[0] for r in frequent.orderBy(F.desc("k"), "w").limit(max_words).collect())
-    encoded = stage(passages(slim).mapInArrow(_encoder(np.array(words, dtype=np.int64)), ENCODED), "features")
+    blocks = stage(read.mapInArrow(_encoder(np.array(words, dtype=np.int64)), Block.columns()), "passages")
+    release(read)
     size = len(MARKS) + len(words)
-    closed, opened = encoded.where("bare = 0"), stage(encoded.where("bare > 0"), "open-places")
-    everything = _expected(closed, size, None)
+
+    def with_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in Block.read(batches):
+            yield b.keep(b.bare > 0).batch()
+
+    opened = stage(blocks.mapInArrow(with_places, Block.columns()), "open-places")
+    everything = _expected(blocks, size, None)
     usual = everything.table.sum(axis=0) / max(1.0, everything.number.sum())
     unfilled = learn_unfilled(opened, usual, open_rounds, common, level)
-    junk = learn_junk(closed, everything, usual, rounds)
+    junk = learn_junk(blocks, everything, usual, rounds)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums per record and batch; a record at a batch's edge gives two rows."""
-        for b in batches:
-            bare, letters = b.column("bare").to_numpy() > 0, b.column("letters").to_numpy()
-            of_open = unfilled.odds(b.column("features")) if unfilled is not None else np.full(len(b), -np.inf)
-            of_closed = junk.odds(b.column("features")) if junk is not None else np.full(len(b), -1.0)
-            ids, at = np.unique(b.column("id").to_numpy(), return_inverse=True)
+        """Sums per record and block; a block ends with a record, but rows of one id may stand apart."""
+        for b in Block.read(batches):
+            bare = b.bare > 0
+            of_open = unfilled.odds(b) if unfilled is not None else np.full(len(b.id), -np.inf)
+            of_closed = junk.odds(b) if junk is not None else np.full(len(b.id), -1.0)
+            ids, at = np.unique(b.id, return_inverse=True)
             most = np.full(len(ids), -np.inf)
             np.maximum.at(most, at[bare], of_open[bare])
-            counted = ~bare & (letters > 0)
+            counted = ~bare & (b.size > 0)
             hit = np.where(bare, of_open, of_closed) > 0
-            total = lambda x: pa.array(np.bincount(at, x, len(ids)))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(most), total(np.where(counted, of_closed, 0.0)), total(np.where(hit, letters, 0)), total(letters)], names=["id", "most", "closed", "residue", "letters"]
-            )
-
-    scored = encoded.select("id", "bare", "letters", "features").mapInArrow(score, "id bigint, most double, closed double, residue double, letters double")
-    by_record = scored.groupBy("id").agg(F.max("most").alias("most"), F.sum("closed").alias("closed"), F.sum("residue").alias("residue"), F.sum("letters").alias("letters"))
+            total = lambda x: np.bincount(at, x, len(ids))  # noqa: E731, B023
+            closed = total(np.where(counted, of_closed, 0.0))
+            found = (closed > 0) | (most > 0)
+            columns = [ids, most, closed, total(np.where(hit, b.size, 0)), total(b.size)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[found]) for c in columns], names=["id", "most", "closed", "residue", "size"])
+
+    scored = blocks.mapInArrow(score, "id bigint, most double, closed double, residue double, size double")
+    # A record delivered several times has the same sums each time.
+    by_record = scored.groupBy("id").agg(F.max("most").alias("most"), F.max("closed").alias("closed"), F.max(F.col("residue") / F.greatest("size", F.lit(1.0))).alias("share"))
     is_junk = F.col("closed") > 0
-    found = by_record.where(is_junk | (F.col("most") > 0)).select(
-        F.col("id").alias(id), F.when(is_junk, "junk").otherwise("unfilled").alias("kind"), F.when(is_junk, F.col("closed")).otherwise(F.col("most")).alias("odds"),
-        (F.col("residue") / F.greatest("letters", F.lit(1.0))).alias("share"),
-    )
+    found = by_record.select(F.col("id").alias(id), F.when(is_junk, "junk").otherwise("unfilled").alias("kind"), F.when(is_junk, F.col("closed")).otherwise(F.col("most")).alias("odds"), "share")
     out = stage(found, "residue")
-    release(encoded, opened)
+    release(blocks, opened)
     return out

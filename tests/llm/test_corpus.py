@@ -232,7 +232,7 @@ def test_passages_and_marks(spark):
     rows = residue.passages(spark.createDataFrame([(1, text)], "id long, text string")).collect()
     assert [r["thrice"] for r in rows] == [True, True, True, False, False] and [r["first"] for r in rows] == [True] + [False] * 4
     assert [r["digits"] for r in rows] == [False] * 3 + [True, False] and [r["line"] is not None for r in rows] == [False] * 4 + [True]
-    assert [r["letters"] for r in rows] == [4, 4, 4, 7, 9]
+    assert [r["size"] for r in rows] == [5, 5, 5, 11, 17]
 
 
 def test_open_places():
