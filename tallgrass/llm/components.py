@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.plans.lookup import heavy_keys, lookup
+from tallgrass.plans.lookup import HEAVY_SHARE, lookup
 from tallgrass.plans.staging import release, stage
 
 
@@ -53,7 +53,7 @@ def contract(pairs: DataFrame, left: str, right: str, max_rounds: int = 100) ->
             "hooks",
         )
         mapping = hooks.select("u", "r")
-        heavy = hooks.where(F.col("degree") > 2 * n / 2_000).select("u")
+        heavy = hooks.where(F.col("degree") > 2 * n / HEAVY_SHARE).select("u").collect()  # under HEAVY_SHARE vertices
         once = lookup(edges, mapping, "u", heavy).select(F.col("r").alias("a"), F.col("v").alias("u"))
         twice = lookup(once, mapping, "u", heavy).select("a", F.col("r").alias("b"))
         relabelled = twice.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
@@ -67,12 +67,7 @@ def contract(pairs: DataFrame, left: str, right: str, max_rounds: int = 100) ->
     root = mappings[-1].select("u", "r")
     for earlier in reversed(mappings[:-1]):
         step = earlier.select(F.col("u").alias("x"), F.col("r").alias("u"))
-        heavy = heavy_keys(step, "u")
-        later = root
-        hot = F.broadcast(later.join(F.broadcast(heavy), "u", "left_semi"))
-        cold = step.join(F.broadcast(heavy), "u", "left_anti").join(later, "u", "left")
-        joined = cold.unionByName(step.join(F.broadcast(heavy), "u", "left_semi").join(hot, "u", "left"))
-        expanded = stage(joined.select(F.col("x").alias("u"), F.coalesce("r", "u").alias("r")), "roots")
+        expanded = stage(lookup(step, root, "u", how="left").select(F.col("x").alias("u"), F.coalesce("r", "u").alias("r")), "roots")
         release(root)
         root = expanded
     smallest = root.groupBy("r").agg(F.min("u").alias("component"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgrass.functions.values import calendar_day
+
 # What people enter where nothing is known, in lower case.
 STAND_INS = ["?", "-", "--", ".", "#", "n.a.", "na", "n/a", "n.a", "tbd", "null", "none", "nil", "unknown", "k.a.", "xxx"]
 
@@ -20,26 +22,6 @@ def known(value: Column, stand_ins: Sequence[str] = STAND_INS) -> Column:
     return F.coalesce((text != "") & ~text.isin(*stand_ins), F.lit(False))
 
 
-# The notations of dates (shape, parse pattern); slashes put the month first, dots the day.
-DATE_NOTATIONS = [
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{8}$", "yyyyMMdd"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-]
-
-
-def calendar_day(text: Column, not_after: Column) -> Column:
-    """The day a text names in any unambiguous notation; null if it is no real day or lies after ``not_after``."""
-    trimmed = F.trim(text)
-    day = None
-    for shape, pattern in DATE_NOTATIONS:
-        parsed = F.try_to_timestamp(trimmed, F.lit(pattern)).cast("date")
-        day = F.when(trimmed.rlike(shape), parsed) if day is None else day.when(trimmed.rlike(shape), parsed)
-    return F.when(day <= not_after.cast("date"), day)
-
-
 def rank_members(
     members: DataFrame,
     records: DataFrame,
