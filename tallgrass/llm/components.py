@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.plans.lookup import HEAVY_SHARE, lookup
+from tallgrass.plans.lookup import BROADCAST_ROWS, HEAVY_SHARE, lookup
 from tallgrass.plans.staging import release, stage
 
 
@@ -41,6 +41,7 @@ def contract(pairs: DataFrame, left: str, right: str, max_rounds: int = 100) ->
     """
     edges = stage(_edges(pairs, left, right).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     mappings: list[DataFrame] = []
+    numbers: list[int] = []  # edges of each round
     n = edges.count()
     while n:
         if len(mappings) >= max_rounds:
@@ -53,23 +54,33 @@ def contract(pairs: DataFrame, left: str, right: str, max_rounds: int = 100) ->
             "hooks",
         )
         mapping = hooks.select("u", "r")
-        heavy = hooks.where(F.col("degree") > 2 * n / HEAVY_SHARE).select("u").collect()  # under HEAVY_SHARE vertices
-        once = lookup(edges, mapping, "u", heavy).select(F.col("r").alias("a"), F.col("v").alias("u"))
-        twice = lookup(once, mapping, "u", heavy).select("a", F.col("r").alias("b"))
+        if n <= BROADCAST_ROWS:  # so the mapping has at most twice as many rows
+            mapped = lambda df: df.join(F.broadcast(mapping), "u")  # noqa: E731, B023
+        else:
+            heavy = hooks.where(F.col("degree") > 2 * n / HEAVY_SHARE).select("u").collect()  # under HEAVY_SHARE vertices
+            mapped = lambda df: lookup(df, mapping, "u", heavy)  # noqa: E731, B023
+        once = mapped(edges).select(F.col("r").alias("a"), F.col("v").alias("u"))
+        twice = mapped(once).select("a", F.col("r").alias("b"))
         relabelled = twice.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
         smaller = stage(relabelled, "edges")
         release(edges)
-        edges, n = smaller, smaller.count()
         mappings.append(hooks)
+        numbers.append(n)
+        edges, n = smaller, smaller.count()
     if not mappings:
         return edges.select(F.col("u").alias("member"), F.col("v").alias("component"))
     # Expansion from the last round to the first; a vertex that left the graph is its own root.
     root = mappings[-1].select("u", "r")
-    for earlier in reversed(mappings[:-1]):
+    for earlier, later_edges in zip(reversed(mappings[:-1]), reversed(numbers[1:])):
         step = earlier.select(F.col("u").alias("x"), F.col("r").alias("u"))
-        expanded = stage(lookup(step, root, "u", how="left").select(F.col("x").alias("u"), F.coalesce("r", "u").alias("r")), "roots")
-        release(root)
-        root = expanded
+        known = lambda df: df.select(F.col("x").alias("u"), F.coalesce("r", "u").alias("r"))
+        if later_edges <= BROADCAST_ROWS:  # the roots found so far are at most twice as many
+            root = known(step.join(F.broadcast(root), "u", "left"))
+        else:
+            expanded = stage(known(lookup(step, root, "u", how="left")), "roots")
+            release(root)
+            root = expanded
+    root = stage(root, "roots")
     smallest = root.groupBy("r").agg(F.min("u").alias("component"))
     out = stage(lookup(root.withColumnRenamed("r", "k"), smallest.withColumnRenamed("r", "k"), "k").select(F.col("u").alias("member"), "component"), "components")
     release(edges, root, *mappings)

@@ -47,6 +47,13 @@ def test_chain_star_clique_and_noise(spark, way):
     assert got == union_find(pairs) and "x" not in got and "y" not in got
 
 
+def test_large_rounds_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(cc, "BROADCAST_ROWS", 3)
+    rnd = random.Random(2)
+    pairs = [(f"s{i % 7}", f"v{rnd.randint(0, 400)}") for i in range(300)] + [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(40)]
+    assert run(spark, "contract", pairs) == union_find(pairs)
+
+
 @pytest.mark.parametrize("way", WAYS)
 def test_nothing(spark, way):
     assert run(spark, way, []) == {} and run(spark, way, [("a", "a"), (None, "b")]) == {}
