@@ -29,6 +29,21 @@ class Advisory:
             raise ValueError("raise_threshold needs a shift")
 
 
+@dataclass(frozen=True)
+class Verdict:
+    """What a judge of uncertain pairs returns."""
+
+    decision: str
+    confidence: float
+    rationale: str = ""
+
+    def __post_init__(self):
+        if self.decision not in ("duplicate", "not_duplicate", "uncertain"):
+            raise ValueError(f"unknown decision {self.decision!r}")
+        if not 0 <= self.confidence <= 1:
+            raise ValueError("a confidence lies between 0 and 1")
+
+
 def sparse_fields(df: DataFrame, table: str, fields: Sequence[str], below: float = SPARSE_BELOW) -> DataFrame:
     """(target, populated_pct): fields filled (not null) in less than ``below`` percent; none for an empty table."""
     cells = F.array(*[F.struct(F.lit(f"{table}.{f}").alias("target"), F.col(f).isNotNull().cast("int").alias("x")) for f in fields])
@@ -58,10 +73,14 @@ def queue(pairs: DataFrame, judged: DataFrame, cap: int = 500) -> DataFrame:
     return pairs.join(judged.select("pair_key"), "pair_key", "left_anti").orderBy(F.desc("score"), "pair_key").limit(cap)
 
 
-def judge(pairs: DataFrame, judged: DataFrame, program: Callable[[dict], tuple[str, float, str]], fingerprint: str, cap: int = 500) -> DataFrame:
+def judge(pairs: DataFrame, judged: DataFrame, program: Callable[[dict], Verdict | tuple[str, float, str]], fingerprint: str, cap: int = 500) -> DataFrame:
     """(pair_key, decision, confidence, rationale, fingerprint): earlier verdicts and those of ``program`` on the queue's head."""
     rows = [r.asDict() for r in queue(pairs, judged, cap).collect()]  # at most `cap` rows
-    fresh = [(r["pair_key"], *program(r), fingerprint) for r in rows]
+    fresh = []
+    for r in rows:
+        said = program(r)
+        v = said if isinstance(said, Verdict) else Verdict(*said)
+        fresh.append((r["pair_key"], v.decision, float(v.confidence), v.rationale, fingerprint))
     schema = "pair_key string, decision string, confidence double, rationale string, fingerprint string"
     return judged.unionByName(pairs.sparkSession.createDataFrame(fresh, schema))
 

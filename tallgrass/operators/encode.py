@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallgrass.functions.similarity import cosine
 from tallgrass.functions.text import normalise
 from tallgrass.operators.matching import content_code
 from tallgrass.sources.datasets import load_vectors
@@ -89,3 +90,17 @@ def verified_vectors(artefacts: Sequence[tuple[str, DataFrame]], identity: str,
             return [], f"the vectors at {folder} are out of date"
         got.append(vectors)
     return got, ""
+
+
+def benchmark(texts: DataFrame, key: str, text: str, twins: DataFrame, decoys: DataFrame, encoders: Mapping[str, Encoder]) -> DataFrame:
+    """(encoder, kind, n_pairs, mean_cosine, least_cosine, most_cosine): how encoders tell near copies (twin, source) from decoys (left_id, right_id)."""
+    pairs = twins.select(F.lit("twin").alias("kind"), F.col("twin").alias("l"), F.col("source").alias("r")).unionByName(decoys.select(F.lit("decoy").alias("kind"), F.col("left_id").alias("l"), F.col("right_id").alias("r")))
+    out = None
+    for name, encoder in encoders.items():
+        v = encode_texts(texts, key, text, encoder)
+        both = pairs.join(v.select(F.col("key").alias("l"), F.col("vector").alias("p")), "l").join(v.select(F.col("key").alias("r"), F.col("vector").alias("q")), "r").withColumn("c", cosine(F.col("p"), F.col("q")))
+        part = both.groupBy("kind").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("c").alias("mean_cosine"), F.min("c").alias("least_cosine"), F.max("c").alias("most_cosine")).select(F.lit(name).alias("encoder"), "*")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no encoder to compare")
+    return out

@@ -115,8 +115,8 @@ def block_sizes(found: DataFrame) -> DataFrame:
 
 #: Distinct texts of a block that meet in one task, on either side.
 CHUNK = 512
-#: Pairs that a task compares, and tasks at most.
-PAIRS_A_TASK, MOST_PARTS = 200_000, 20_000
+#: Pairs that a task compares; where there are more than MOST_PARTS times as many, tasks compare more pairs each.
+PAIRS_A_TASK, MOST_PARTS = 200_000, 100_000
 
 
 def _block_pairs(texts: DataFrame) -> DataFrame:
@@ -143,6 +143,22 @@ def _block_pairs(texts: DataFrame) -> DataFrame:
     )
 
 
+def vector_pairs(df: DataFrame, block: str, id: str, vector: str, least: float) -> DataFrame:
+    """(block, left_id, right_id, cosine): pairs of one block whose vectors' cosine is at least ``least``.
+
+    Blocks are cut into chunks by hash, and pairs of chunks are the join key, so one that holds most rows is
+    spread over tasks. Null blocks and null vectors match nothing.
+    """
+    rows = df.select(F.col(block).alias("b"), F.col(id).alias("id"), F.col(vector).alias("v")).dropna(subset=["b", "id", "v"])
+    sizes = rows.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    cut = rows.join(broadcast_if_small(sizes), "b").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    a = cut.select("b", F.col("chunk").alias("i"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("j"), F.col("id").alias("x"), F.col("v").alias("p"))
+    b = cut.select("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunk"))).alias("i"), F.col("chunk").alias("j"), F.col("id").alias("y"), F.col("v").alias("q"))
+    pairs = a.join(b, ["b", "i", "j"]).where((F.col("x") < F.col("y")) | ((F.col("i") != F.col("j")) & (F.col("x") != F.col("y"))))
+    scored = pairs.select(F.col("b").alias(block), F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), cosine(F.col("p"), F.col("q")).alias("cosine"))
+    return scored.where(F.col("cosine") >= least)
+
+
 def _signed(texts: DataFrame, m: Matching) -> DataFrame:
     n = F.col("norm")
     return texts.withColumns({"size": F.length(n), "d": digit_signature(n), "m": material_signature(n, m.materials)})

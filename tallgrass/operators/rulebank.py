@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.operators.ir import Comparison, Rule
 from tallgrass.operators.reference import plain
+from tallgrass.plans.lookup import broadcast_if_small
 
 TEMPLATE = (
     "template_id string, target_table string, target_field string, field_role string, strength string, population_min double, reference_match_min double, "
@@ -61,7 +62,7 @@ def retrieve(observations: DataFrame, templates: DataFrame, floor: float = RATE_
     observed below ``floor`` excludes it; what wasn't observed never does. Equal scores rank by descending id.
     Observations and templates are lists of fields and rules, not data.
     """
-    o, t = observations.alias("o"), F.broadcast(templates.alias("t"))
+    o, t = observations.alias("o"), broadcast_if_small(templates).alias("t")
     c = F.col
     bound = (
         F.when(c("t.target_field").isNotNull(), F.when(c("t.target_field") == c("o.field_name"), "field"))

@@ -66,6 +66,11 @@ def run_rules(df: DataFrame, table: str, keys: Sequence[str], rules: Iterable[Ru
     )
 
 
+def select_rules(rules: Iterable[Rule], dimension: str) -> list[Rule]:
+    """The executable rules of one dimension: what the agent of that dimension runs."""
+    return [r for r in rules if r.executable and r.dimension == dimension]
+
+
 def run_ruleset(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], rules: Iterable[Rule]) -> DataFrame:
     """Findings over all tables that have rules; a table without frame or key is passed over."""
     rules = list(rules)
@@ -91,6 +96,8 @@ def by_severity(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n_findings"))
 
 
+
+
 def examples(findings: DataFrame, each: int = 3) -> DataFrame:
     """The first findings of each dimension, by rule and record."""
     from pyspark.sql import Window

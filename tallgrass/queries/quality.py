@@ -360,11 +360,7 @@ SELECT root, CASE WHEN count(DISTINCT norm) = 1 THEN min(member) ELSE min(member
 
 
 def _semantic(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "embeddings")
-    a = e.select("label", F.col("vec_id").alias("left_id"), F.col("embedding").alias("x"))
-    b = e.select("label", F.col("vec_id").alias("right_id"), F.col("embedding").alias("y"))
-    scored = a.join(b, "label").where("left_id < right_id").select("left_id", "right_id", similarity.cosine(F.col("x"), F.col("y")).alias("c"))
-    return scored.where("c >= 0.3").select("left_id", "right_id", F.round("c", 4).alias("cosine"))
+    return matching.vector_pairs(table(spark, folder, "embeddings"), "label", "vec_id", "embedding", 0.3).select("left_id", "right_id", F.round("cosine", 4).alias("cosine"))
 
 
 def _exact_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -596,6 +592,7 @@ QUERIES = {
     "findings_by_field": (lambda s, d: rules.by_field(_findings(s, d)), f"SELECT table_name, field, count(*) AS n_findings FROM ({ALL_SQL}) GROUP BY 1, 2"),
     "findings_by_severity": (lambda s, d: rules.by_severity(_findings(s, d)), f"SELECT severity, count(*) AS n_findings FROM ({ALL_SQL}) GROUP BY 1"),
     "findings_examples": (lambda s, d: rules.examples(_findings(s, d)).select("dimension", "rule_id", "record_id", "place"), f"SELECT * FROM (SELECT dimension, rule_id, record_id, row_number() OVER (PARTITION BY dimension ORDER BY rule_id, record_id) AS place FROM ({ALL_SQL})) WHERE place <= 3"),
+    "findings_validity": (lambda s, d: rules.run_ruleset({t: table(s, d, t) for t in KEYS}, KEYS, rules.select_rules([r for r, _, _ in RULES.values()], "Validity")).select(*SLIM), f"SELECT * FROM ({ALL_SQL}) WHERE dimension = 'Validity'"),
     "scorecard_by_dimension": (_scores, SCORES_SQL),
     "scorecard_overall": (lambda s, d: scorecard.overall(_scores(s, d)).select(F.round("overall_score", 6).alias("overall_score")), f"SELECT round(avg(score), 6) AS overall_score FROM ({SCORES_SQL})"),
     "scorecard_own_denominator": (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 from pathlib import Path
 
@@ -26,9 +27,11 @@ def load(spark: SparkSession, folder: str, tables: Iterable[str], kind: str = "p
     return {t: readers[kind](f"{folder}/{t}.{kind}") for t in tables}
 
 
-def discover(root: str, marker: str = "mara.parquet") -> list[str]:
-    """Folders below ``root`` that hold ``marker``, sorted."""
-    return sorted(str(p.parent) for p in Path(root).glob(f"*/{marker}"))
+def discover(spark: SparkSession, root: str, marker: str = "mara.parquet") -> list[str]:
+    """Folders below ``root``, on any file system Spark reads, that hold ``marker``, sorted."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/{marker}")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(str(x.getPath().getParent().toString()).removeprefix("file:") for x in found)
 
 
 def save(tables: Mapping[str, DataFrame], folder: str, mode: str = "errorifexists") -> None:
@@ -67,3 +70,11 @@ def load_vectors(spark: SparkSession, folder: str, identity: str, content: str)
     df = spark.read.parquet(folder)
     codes = df.select("identity_code", "content_code").limit(1).collect()
     return df.drop("identity_code", "content_code") if [tuple(c) for c in codes] == [(identity, content)] else None
+
+
+def save_json(df: DataFrame, path: str, most_rows: int = 10_000) -> None:
+    """A short table (decoys, a manifest, a report) as one JSON list; more than ``most_rows`` rows are an error."""
+    rows = [r.asDict(recursive=True) for r in df.limit(most_rows + 1).collect()]
+    if len(rows) > most_rows:
+        raise ValueError(f"more than {most_rows} rows; write a table instead")
+    Path(path).write_text(json.dumps(rows, indent=2, default=str))

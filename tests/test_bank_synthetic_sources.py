@@ -210,7 +210,11 @@ def test_sheets(spark, tmp_path):
 def test_datasets_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("1", "a"), ("2", None)], "k string, v string")
     datasets.save({"mara": df}, str(tmp_path / "one"))
-    assert datasets.discover(str(tmp_path)) == [str(tmp_path / "one")]
+    assert datasets.discover(spark, str(tmp_path)) == [str(tmp_path / "one")]
+    datasets.save_json(df, str(tmp_path / "rows.json"))
+    assert '"k": "1"' in (tmp_path / "rows.json").read_text()
+    with pytest.raises(ValueError):
+        datasets.save_json(df, str(tmp_path / "rows.json"), most_rows=1)
     assert datasets.load(spark, str(tmp_path / "one"), ["mara"])["mara"].exceptAll(df).count() == 0
     found = rules.run_rules(df, "mara", ["k"], [Rule("N", "mara", "not_null", C("v", "is_not_null"))])
     datasets.save_findings(found, str(tmp_path / "f.csv"), "csv")

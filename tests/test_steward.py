@@ -235,3 +235,32 @@ def test_numbers_follow_the_order(spark):
     df = spark.range(500).select((F.col("id") * 7919 % 500).alias("x"), F.lit("y").alias("number2"))
     got = {r["x"]: r["number"] for r in numbered(df.repartition(5), "x").collect()}
     assert got == {i: i + 1 for i in range(500)} and numbered(df.limit(0), "x").count() == 0
+
+
+def test_encoders_are_compared(spark):
+    df = spark.createDataFrame([("1", "hex bolt steel"), ("2", "bolt hex steel"), ("3", "rubber seal")], "k string, t string")
+    got = encode.benchmark(df, "k", "t", spark.createDataFrame([("2", "1")], "twin string, source string"), spark.createDataFrame([("1", "3")], "left_id string, right_id string"), {"w8": encode.hashing_encoder(8), "w64": encode.hashing_encoder(64)})
+    rows = {(r["encoder"], r["kind"]): r["mean_cosine"] for r in got.collect()}
+    assert len(rows) == 4 and rows["w64", "twin"] > rows["w64", "decoy"]
+
+
+def test_vector_pairs_of_a_hot_block(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i, "a" if i % 5 else "b", rng.normal(size=3).tolist()) for i in range(60)] + [(99, None, [1.0, 0.0, 0.0]), (98, "a", None)]
+    df = spark.createDataFrame(rows, "id long, b string, v array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, b, v in rows if b and v}
+    want = {(i, j) for i, b, v in rows for j, c, w in rows if i < j and b and b == c and v and w and unit[i] @ unit[j] >= 0.5}
+    monkeypatch.setattr(matching, "CHUNK", 4)
+    got = [(r["left_id"], r["right_id"]) for r in matching.vector_pairs(df, "b", "id", "v", 0.5).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_judge_is_held_to_its_contract(spark):
+    pairs = spark.createDataFrame([("p", "A", "B", 0.9)], "pair_key string, left_id string, right_id string, score double")
+    none = spark.createDataFrame([], "pair_key string, decision string, confidence double, rationale string, fingerprint string")
+    assert decisions.judge(pairs, none, lambda p: decisions.Verdict("duplicate", 0.9, "x"), "f").first()["decision"] == "duplicate"
+    for bad in (("maybe", 0.5, ""), ("duplicate", 1.5, "")):
+        with pytest.raises(ValueError):
+            decisions.judge(pairs, none, lambda p, bad=bad: bad, "f")
+    rs = [Rule("a", "t", "not_null", Comparison("x", "is_not_null")), Rule("b", "t", "not_null", Comparison("x", "is_not_null"), executable=False), Rule("c", "t", "domain_in", Comparison("x", "in", ["1"]))]
+    assert [r.rule_id for r in rules.select_rules(rs, "Completeness")] == ["a"]
