@@ -1,4 +1,4 @@
-"""Signatures of universal hash minima, banded into bucket keys."""
+"""Signatures of universal hash minima, and the bucket keys of their bands."""
 
 from __future__ import annotations
 
@@ -11,25 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PRIME = (1 << 31) - 1
-SIGNATURE = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("minima", T.BinaryType())])
 
 
-def signer(bands: int = 16, rows: int = 8, seed: int = 20_24) -> Callable[[Column], Column]:
-    """A column function from an array of token hashes to (bands, minima).
+def signer(k: int, seed: int = 20_24) -> Callable[[Column], Column]:
+    """A column function from an array of token hashes to their ``k`` minima.
 
-    Token hashes are reduced to the field of PRIME; each of the ``bands * rows`` functions is
-    a * x + b mod PRIME with a and b drawn once from ``seed``. ``minima`` packs the lowest 16 bits of each
-    minimum; ``bands`` has one 64-bit key of whole minima per band. An empty array gives null.
+    Token hashes are reduced to the field of PRIME; each of the ``k`` functions is a * x + b mod PRIME with a
+    and b drawn once from ``seed``. The lowest 16 bits of each minimum are kept, in order, as binary. An
+    empty array gives null.
     """
     rng = np.random.default_rng(seed)
-    k = bands * rows
     a = rng.integers(1, PRIME, k, dtype=np.uint64)
     b = rng.integers(0, PRIME, k, dtype=np.uint64)
-    mix = rng.integers(1, 1 << 62, k, dtype=np.uint64) | np.uint64(1)
 
-    @F.pandas_udf(SIGNATURE)
-    def sign(tokens: pd.Series) -> pd.DataFrame:
-        out_bands, out_minima = [None] * len(tokens), [None] * len(tokens)
+    @F.pandas_udf(T.BinaryType())
+    def sign(tokens: pd.Series) -> pd.Series:
+        out: list = [None] * len(tokens)
         step = 4_096
         for start in range(0, len(tokens), step):
             chunk = tokens.iloc[start : start + step]
@@ -37,24 +34,24 @@ def signer(bands: int = 16, rows: int = 8, seed: int = 20_24) -> Callable[[Colum
             full = np.flatnonzero(sizes)
             if not len(full):
                 continue
-            flat = np.concatenate([np.asarray(chunk.iloc[i], dtype=np.int64) for i in full])
-            x = flat.view(np.uint64) % np.uint64(PRIME)
+            x = np.concatenate([np.asarray(chunk.iloc[i], dtype=np.int64) for i in full]).view(np.uint64) % np.uint64(PRIME)
             at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-            minima = np.empty((len(full), k), dtype=np.uint64)
+            minima = np.empty((len(full), k), dtype=np.uint16)
             for j in range(k):
-                minima[:, j] = np.minimum.reduceat((a[j] * x + b[j]) % np.uint64(PRIME), at)
-            with np.errstate(over="ignore"):
-                keys = (minima * mix).reshape(len(full), bands, rows)
-                keys = np.bitwise_xor.reduce(keys ^ (keys >> np.uint64(29)), axis=2).view(np.int64)
-            packed = minima.astype(np.uint16)
+                minima[:, j] = np.minimum.reduceat((a[j] * x + b[j]) % np.uint64(PRIME), at).astype(np.uint16)
             for r, i in enumerate(full):
-                out_bands[start + i] = keys[r]
-                out_minima[start + i] = packed[r].tobytes()
-        return pd.DataFrame({"bands": out_bands, "minima": out_minima})
+                out[start + i] = minima[r].tobytes()
+        return pd.Series(out, dtype=object)
 
     return sign
 
 
+def band_keys(minima: Column, bands: int, rows: int, place: Column) -> Column:
+    """The bucket keys of a signature: hashes of ``place``, the band's number and its ``rows`` minima."""
+    part = lambda i: F.substring(minima, i * (2 * rows) + 1, F.lit(2 * rows))
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(place, i, part(i)))
+
+
 @F.pandas_udf(T.DoubleType())
 def agreement(left: pd.Series, right: pd.Series) -> pd.Series:
     """Share of equal packed minima of two signatures: the estimate of the sets' Jaccard similarity."""

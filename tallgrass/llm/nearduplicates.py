@@ -10,15 +10,15 @@ and small-star.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallgrass.llm.components import stars
-from tallgrass.llm.minhash import agreement, signer
+from tallgrass.llm.minhash import agreement, band_keys, signer
 from tallgrass.llm.spelling import surplus_words, usual_number, writings
 from tallgrass.plans.lookup import BROADCAST_ROWS, HEAVY_SHARE, broadcast_if_small, lookup
 from tallgrass.plans.staging import release, stage
@@ -87,8 +87,8 @@ def replacements(texts: DataFrame, empty_words: Sequence[str] = EMPTY_WORDS, lea
     return out
 
 
-def _placed(wordings: DataFrame, table: DataFrame) -> DataFrame:
-    """``wordings`` with ``item``: the sorted set of its tokens, each written as ``table`` says.
+def _placed(texts: DataFrame, table: DataFrame) -> DataFrame:
+    """``texts`` with their tokens as ``table`` says: ``item``, the different words in order and then the sizes, and ``n_words``.
 
     A table of up to BROADCAST_ROWS words (read no further than that to tell) goes to the tasks as it is;
     a larger one meets the words of the texts in a join. Both give the same.
@@ -96,18 +96,26 @@ def _placed(wordings: DataFrame, table: DataFrame) -> DataFrame:
     few = table.limit(BROADCAST_ROWS + 1).collect()
     if len(few) <= BROADCAST_ROWS:
         swap = {r["word"]: r["target"] for r in few}
-
-        @F.pandas_udf(T.ArrayType(T.StringType()))
-        def write(raw: pd.Series) -> pd.Series:
-            return raw.map(lambda xs: sorted({swap.get(x, x) for x in xs} - {""}))
-
-        return wordings.withColumn("item", write("raw"))
+        has_digit = re.compile("[0-9]").search
+
+        @F.pandas_udf("item array<string>, n_words int")
+        def write(raw: pd.Series) -> pd.DataFrame:
+            items, n_words = [], []
+            for xs in raw:
+                placed = {swap.get(x, x) for x in xs} - {""}
+                words = sorted(x for x in placed if not has_digit(x))
+                items.append([*words, *sorted(placed.difference(words))])
+                n_words.append(len(words))
+            return pd.DataFrame({"item": items, "n_words": n_words})
+
+        return texts.withColumn("t", write("raw")).select(*texts.columns, "t.*")
     key = F.struct("id", "raw").alias("w")
-    pairs = wordings.select(key, F.explode(F.filter("raw", _is_word)).alias("word"))
+    pairs = texts.select(key, F.explode(F.filter("raw", _is_word)).alias("word"))
     maps = lookup(pairs, table, "word").groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("word", "target"))).alias("swap"))  # one text's words
     written = F.transform("raw", lambda x: F.coalesce(F.when(F.col("swap").isNull(), x).otherwise(F.try_element_at("swap", x)), x))
-    joined = wordings.withColumn("w", key).join(maps, "w", "left")
-    return joined.withColumn("item", F.array_sort(F.array_distinct(F.filter(written, lambda x: x != "")))).drop("swap", "w")
+    placed = texts.withColumn("w", key).join(maps, "w", "left").withColumn("placed", F.array_sort(F.array_distinct(F.filter(written, lambda x: x != ""))))
+    words, sizes = F.filter("placed", _is_word), F.filter("placed", lambda x: ~_is_word(x))
+    return placed.select(*texts.columns, F.concat(words, sizes).alias("item"), F.size(words).alias("n_words"))
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -156,26 +164,41 @@ def group_items(
     read = slim.select("id", *names, F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("raw")).where(F.size("raw") > 0)
     texts = stage(read, "tokens")
     table = replacements(texts, empty_words=empty_words)
-    signed = _signed(_placed(texts, table), names, bands, rows, least_words)
-    links = _links(signed, names, least_similarity)
+    signed = _signed(_placed(texts, table), names, bands * rows, least_words)
+    links = _links(signed, names, bands, rows, least_similarity)
     joined = stars(links, "left", "right").select(F.col("member").alias("v"), F.col("component.rep").alias("component"))
     result = stage(signed.join(joined, "v", "left").select(F.col("v.rep").alias("id"), *names, F.coalesce("component", "v.rep").alias("item_id")).distinct(), "items")
     release(texts, table, signed, links)
     return result.select(F.col("id").alias(id), *[F.col(n).alias(c) for c, n in zip(block, names)], "item_id")
 
 
-def _signed(texts: DataFrame, names: list[str], bands: int, rows: int, least_words: int) -> DataFrame:
-    """(v, *names, item, whole, minima, bands): the texts (id, *names, raw, item) that name an item, with their signatures.
+def _signed(texts: DataFrame, names: list[str], k: int, least_words: int) -> DataFrame:
+    """(v, *names, item, n_words, place, whole, minima): the texts (id, *names, raw, item, n_words) that name an item, with their signatures of ``k`` minima.
+
+    ``v`` tells texts apart, also those of one record; ``place`` is a hash of what must be equal in every
+    bucket, block and sizes, and ``whole`` one of that and the signature.
+    """
+    n, size = F.col("n_words"), F.size("item")
+    named = texts.where((n >= least_words) & (size > n))
+    minima = signer(k)(F.transform(F.slice("item", F.lit(1), n), lambda x: F.xxhash64(x)))
+    place = F.xxhash64(*names, F.slice("item", n + 1, size - n))
+    made = named.select(F.struct(F.col("id").alias("rep"), F.xxhash64("raw").alias("h")).alias("v"), *names, "item", "n_words", place.alias("place"), minima.alias("minima"))
+    return stage(made.withColumn("whole", F.xxhash64("place", "minima")), "signatures")
+
+
+def _large_groups(df: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, n): the groups of more than CHUNK rows.
 
-    ``v`` tells texts apart, also those of one record; ``whole`` is a hash of what must be equal in every
-    bucket, block and sizes, and of the signature.
+    Groups are first counted by a coarse hash, which costs little where none is large: only groups of cells of
+    more than CHUNK rows are then counted one by one.
     """
-    sizes, words = F.filter("item", lambda x: ~_is_word(x)), F.filter("item", _is_word)
-    named = texts.where((F.size(sizes) > 0) & (F.size(words) >= least_words))
-    made = named.select(F.struct(F.col("id").alias("rep"), F.xxhash64("raw").alias("h")).alias("v"), *names, "item", signer(bands, rows)(F.transform(words, lambda x: F.xxhash64(x))).alias("s"))
-    place = F.xxhash64(*names, sizes)
-    keys = F.transform("s.bands", lambda k, i: F.xxhash64(place, i, k))
-    return stage(made.select("v", *names, "item", F.xxhash64(place, "s.bands").alias("whole"), "s.minima", keys.alias("bands")), "signatures")
+    cells = df.count() // 64 + 1024
+    cell = F.pmod(F.xxhash64(*by), F.lit(cells)).alias("__cell")
+    full = stage(df.groupBy(cell).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > CHUNK).select("__cell"), "full-cells")
+    if full.isEmpty():
+        return full.select(*[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in by], F.lit(0).alias("n")).limit(0)
+    suspects = df.withColumn("__cell", cell).join(broadcast_if_small(full), "__cell", "left_semi")
+    return suspects.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
 
 
 def pairs_within(df: DataFrame, by: Sequence[str], id: str) -> DataFrame:
@@ -185,7 +208,7 @@ def pairs_within(df: DataFrame, by: Sequence[str], id: str) -> DataFrame:
     group that holds most rows is spread over tasks.
     """
     by = list(by)
-    large = stage(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select(*by, F.ceil(F.col("n") / CHUNK).alias("chunks")), "large-groups")
+    large = stage(_large_groups(df, by).select(*by, F.ceil(F.col("n") / CHUNK).alias("chunks")), "large-groups")
     a, b = df.select(*by, F.col(id).alias("a")), df.select(*by, F.col(id).alias("b"))
     if large.isEmpty():
         return a.join(b, by).where("a < b")
@@ -199,27 +222,27 @@ def pairs_within(df: DataFrame, by: Sequence[str], id: str) -> DataFrame:
     return pairs.unionByName(across.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
-def _links(signed: DataFrame, names: list[str], least_similarity: float) -> DataFrame:
+def _links(signed: DataFrame, names: list[str], bands: int, rows: int, least_similarity: float) -> DataFrame:
     """(left, right): texts that name the same item, as found by signatures and bands."""
     # Equal whole signatures and tokens: all of a bucket meet its first one, never each other.
-    first = ["whole", *names, "item"]
-    firsts = stage(signed.groupBy(*first).agg(F.min("v").alias("v"), F.first("minima").alias("minima"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "firsts")
+    first = ["whole", "place", *names, "item", "n_words"]
+    firsts = stage(signed.groupBy(*first).agg(F.min("v").alias("v"), F.first("minima").alias("minima"), F.count(F.lit(1)).alias("n")), "firsts")
     several, total = firsts.where("n > 1"), signed.count()
     heavy = several.where(F.col("n") > total / HEAVY_SHARE).select("whole").distinct()
     met_first = lookup(signed.select("whole", *names, "item", "v"), several.select("whole", F.struct(*names, "item").alias("r"), F.col("v").alias("right")), "whole", heavy)
     same = met_first.where((F.struct(*names, "item") == F.col("r")) & (F.col("v") != F.col("right"))).select(F.col("v").alias("left"), "right")
     # The first ones enter the buckets of their bands. A bucket's rows are two hashes; ids that collide are told apart below.
     id = F.xxhash64("v", *names)
-    banded = stage(firsts.select(id.alias("id"), F.explode("bands").alias("key")), "banded")
+    banded = stage(firsts.select(id.alias("id"), F.explode(band_keys(F.col("minima"), bands, rows, F.col("place"))).alias("key")), "banded")
     met = stage(pairs_within(banded, ["key"], "id").select("a", "b").distinct(), "met")
-    side = lambda c: firsts.select(id.alias(c), F.struct("v", *names, "item", "minima").alias(f"r{c}"))
+    side = lambda c: firsts.select(id.alias(c), F.struct("v", *names, "item", "n_words", "minima").alias(f"r{c}"))
     full = met.join(side("a"), "a").join(side("b"), "b")
     for n in names:
         full = full.where(F.col(f"ra.{n}") == F.col(f"rb.{n}"))
     # The part of the smaller set that is shared, by the estimate of the Jaccard similarity.
-    words = lambda c: F.size(F.filter(F.col(c)["item"], _is_word))
+    k = F.col("ra.n_words"), F.col("rb.n_words")
     full = full.withColumn("likeness", agreement(F.col("ra.minima"), F.col("rb.minima")))
-    shared = F.col("likeness") * (words("ra") + words("rb")) / (1 + F.col("likeness")) / F.least(words("ra"), words("rb"))
+    shared = F.col("likeness") * (k[0] + k[1]) / (1 + F.col("likeness")) / F.least(*k)
     alike = full.where(shared >= least_similarity).where(_same(F.col("ra.item"), F.col("rb.item"))).select(F.col("ra.v").alias("left"), F.col("rb.v").alias("right"))
     links = stage(same.unionByName(alike), "links")
     release(firsts, banded, met)

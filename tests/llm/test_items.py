@@ -78,7 +78,7 @@ def test_swapped_and_added_words_are_all_found(spark):
 def signed(spark, df):
     """The texts of a corpus as the operator signs them."""
     texts = df.select("id", F.col("mt").alias("b0"), F.col("me").alias("b1"), F.array_sort(F.array_distinct(nd.tokens(F.col("text")))).alias("raw"))
-    return nd._signed(nd._placed(texts, nd.replacements(texts)), ["b0", "b1"], 24, 2, 2)
+    return nd._signed(nd._placed(texts, nd.replacements(texts)), ["b0", "b1"], 48, 2)
 
 
 def test_links_of_bands_against_brute_force(spark):
@@ -99,7 +99,7 @@ def test_links_of_bands_against_brute_force(spark):
     near = left.join(right, (F.col("l.b0") == F.col("r.b0")) & (F.col("l.b1") == F.col("r.b1")) & (F.col("l.v") < F.col("r.v"))).where(nd._same(F.col("l.item"), F.col("r.item")) | (F.col("l.item") == F.col("r.item")))
     want = {(r[0], r[1]) for r in near.select("l.v.rep", "r.v.rep").collect()}
     differ = {(r[0], r[1]) for r in near.where("l.item <> r.item").select("l.v.rep", "r.v.rep").collect()}
-    links = {tuple(sorted((r[0]["rep"], r[1]["rep"]))) for r in nd._links(got, ["b0", "b1"], 0.3).collect()}
+    links = {tuple(sorted((r[0]["rep"], r[1]["rep"]))) for r in nd._links(got, ["b0", "b1"], 24, 2, 0.3).collect()}
     # Equal token sets meet their first one only, so they are compared as groups.
     group = union_of(links)
     together = lambda pairs: sum(group.get(a, a) == group.get(b, b) for a, b in pairs)
@@ -159,11 +159,14 @@ def test_signatures_estimate_similarity(spark):
     base = rng.integers(-(2**62), 2**62, 40).tolist()
     other = base[:32] + rng.integers(-(2**62), 2**62, 8).tolist()
     df = spark.createDataFrame([(1, base), (2, other), (3, list(reversed(base))), (4, []), (5, None)], "i int, t array<long>")
-    signed = {r["i"]: r["s"] for r in df.select("i", minhash.signer(16, 8)("t").alias("s")).collect()}
-    assert signed[4]["bands"] is None and signed[5]["minima"] is None
-    assert signed[1]["minima"] == signed[3]["minima"] and len(signed[1]["bands"]) == 16 and len(signed[1]["minima"]) == 256
-    both = spark.createDataFrame([(bytes(signed[1]["minima"]), bytes(signed[2]["minima"]))], "a binary, b binary")
+    signed = {r["i"]: r["s"] for r in df.select("i", minhash.signer(128)("t").alias("s")).collect()}
+    assert signed[4] is None and signed[5] is None and signed[1] == signed[3] and len(signed[1]) == 256
+    both = spark.createDataFrame([(bytes(signed[1]), bytes(signed[2]))], "a binary, b binary")
     assert abs(both.select(minhash.agreement("a", "b")).first()[0] - 32 / 48) < 0.15
+    keys = both.select(*[minhash.band_keys(F.col(c), 16, 8, F.lit(p)) for c in "ab" for p in (1, 2)]).first()
+    assert all(len(set(k)) == 16 for k in keys) and not set(keys[0]) & set(keys[1])
+    minima = [np.frombuffer(bytes(signed[i]), np.uint16).reshape(16, 8) for i in (1, 2)]
+    assert [x == y for x, y in zip(keys[0], keys[2])] == (minima[0] == minima[1]).all(axis=1).tolist()
 
 
 def test_found_pairs_contain_the_confirmed_groups(spark, small):
