@@ -463,6 +463,16 @@ def _assessment(spark: SparkSession, folder: str) -> DataFrame:
     return assess(tables, KEYS, [r for r, _, _ in RULES.values()], subject, SETTINGS).scores
 
 
+_MEINS_FAILED = f"SELECT matnr FROM mara WHERE NOT meins IN ({_in(UNITS)})"
+ASSESSED_SQL = CLUSTER_SQL.replace(f"CASE WHEN {NORM_SQL} = '' THEN 'no_description'", f"CASE WHEN m.matnr IN ({_MEINS_FAILED}) THEN 'validity_failed' WHEN {NORM_SQL} = '' THEN 'no_description'").replace(
+    "score >= 0.93", "score >= (SELECT CASE WHEN avg((maktx IS NOT NULL)::int) < 0.9 THEN 0.98 ELSE 0.93 END FROM makt)"
+)
+ASSESSMENT_SQL = ASSESSED_SQL + f""",
+q AS (SELECT (SELECT count(*) FROM g) - (SELECT count(DISTINCT root) FROM g) AS n, count(*) FILTER (reason IS NULL) AS assessed, count(*) FILTER (reason IS NOT NULL) AS excluded FROM c)
+SELECT dimension, n_findings, affected, assessed, excluded, score FROM ({SCORES_SQL}) WHERE dimension <> 'Uniqueness'
+UNION ALL SELECT 'Uniqueness', n, n, assessed, excluded, CASE WHEN assessed > 0 THEN 100 * (1 - n / assessed) ELSE 100.0 END FROM q"""
+
+
 def _parsed(spark: SparkSession, folder: str) -> DataFrame:
     m = table(spark, folder, "mara").select("ntgew", "ersda").distinct()
     return m.select("ntgew", "ersda", values.quantity(F.col("ntgew")).alias("number"), values.day_text(values.day(F.col("ersda"))).alias("day"))
@@ -660,5 +670,5 @@ QUERIES = {
     "adjudication_queue": (_queue, f"WITH {PAIRS_SQL} SELECT s.left_id, s.right_id, round(score, 4) AS score FROM s JOIN n ON n.left_id = s.left_id AND n.right_id = s.right_id WHERE score >= 0.80 AND score < 0.93 ORDER BY round(score, 4) DESC, s.left_id || '|' || s.right_id LIMIT 50"),
     "bank_retrieval": (_retrieval, RETRIEVAL_SQL),
     "rule_classification": (_classified, f"SELECT tab_name || '.' || field_name AS name, {_KIND_SQL} AS archetype, CASE WHEN field_name = 'werks' AND field_type = 'code' OR field_type = 'code' THEN 'A|B' WHEN field_type = 'flag' THEN 'X' ELSE '' END AS listed FROM field_spec"),
-    "assessment": (_assessment, None),
+    "assessment": (_assessment, ASSESSMENT_SQL),
 }
