@@ -1,8 +1,8 @@
 """Similarities of texts and vectors.
 
 ``ratio`` is the normalised indel similarity, 2 * LCS / (length a + length b), with the longest common
-subsequence found bit-parallel. The Arrow functions score a whole batch of pairs at a time where texts
-have up to 64 letters: one machine word of bits a pair, one step a letter. Longer texts are scored one by one.
+subsequence found bit-parallel. The Arrow functions score a whole batch of pairs at a time: as many machine
+words of bits a pair as its left text needs, one step a letter of its right one.
 """
 
 from __future__ import annotations
@@ -108,27 +108,33 @@ class Batch:
         self.n_letters = len(letters)
 
     def lcs(self) -> np.ndarray:
-        """Lengths of the longest common subsequences; the left texts must fit a machine word."""
-        where = np.zeros((len(self.texts), self.n_letters + 1), dtype=np.uint64)
+        """Lengths of the longest common subsequences."""
+        words = max(1, -(-int(self.sizes[self.left].max(initial=0)) // WORD_BITS))
+        where = np.zeros((len(self.texts), self.n_letters + 1, words), dtype=np.uint64)
         row, at = np.nonzero(self.codes >= 0)
-        fits = at < WORD_BITS
-        np.bitwise_or.at(where, (row[fits], self.codes[row[fits], at[fits]]), np.uint64(1) << at[fits].astype(np.uint64))
-        out = np.empty(len(self.left), dtype=np.int64)
-        for s in range(0, len(out), CHUNK):
-            l, r = self.left[s : s + CHUNK], self.right[s : s + CHUNK]  # noqa: E741
-            state = np.full(len(l), np.iinfo(np.uint64).max, dtype=np.uint64)
-            for k in range(int(self.sizes[r].max(initial=0))):
-                hit = state & where[l, self.codes[r, k]]  # the code of padding is the last, empty column
-                state = (state + hit) | (state - hit)
-            kept = np.where(self.sizes[l] >= WORD_BITS, np.iinfo(np.uint64).max, (np.uint64(1) << np.minimum(self.sizes[l], 63).astype(np.uint64)) - np.uint64(1))
-            out[s : s + CHUNK] = np.bitwise_count(~state & kept)
+        fits = at < words * WORD_BITS
+        row, at = row[fits], at[fits]
+        np.bitwise_or.at(where, (row, self.codes[row, at], at // WORD_BITS), np.uint64(1) << (at % WORD_BITS).astype(np.uint64))
+        l, r = self.left, self.right  # noqa: E741
+        state = np.full((words, len(l)), np.iinfo(np.uint64).max, dtype=np.uint64)
+        for k in range(int(self.sizes[r].max(initial=0))):
+            hits = where[l, self.codes[r, k]]  # the code of padding is the last, empty column
+            carry = np.zeros(len(l), dtype=np.uint64)
+            for w in range(words):
+                hit = state[w] & hits[:, w]
+                low = state[w] + hit
+                full = low + carry
+                carry = ((low < hit) | (full < low)).astype(np.uint64)
+                state[w] = full | (state[w] - hit)
+        out = np.zeros(len(l), dtype=np.int64)
+        for w in range(words):
+            bits = np.clip(self.sizes[l] - w * WORD_BITS, 0, WORD_BITS)
+            kept = np.where(bits >= WORD_BITS, np.iinfo(np.uint64).max, (np.uint64(1) << np.minimum(bits, 63).astype(np.uint64)) - np.uint64(1))
+            out += np.bitwise_count(~state[w] & kept)
         return out
 
     def jaro_winkler(self) -> np.ndarray:
-        out = np.empty(len(self.left))
-        for s in range(0, len(out), CHUNK):
-            out[s : s + CHUNK] = self._jaro_winkler(self.left[s : s + CHUNK], self.right[s : s + CHUNK])
-        return out
+        return self._jaro_winkler(self.left, self.right)
 
     def _jaro_winkler(self, l: np.ndarray, r: np.ndarray) -> np.ndarray:  # noqa: E741
         la, lb = self.sizes[l], self.sizes[r]
@@ -159,26 +165,60 @@ class Batch:
         return np.where(l == r, 1.0, score)
 
 
+def _batches(left: list[str], right: list[str]):
+    """(places, batch): pairs of like size together, in batches whose arrays stay small however long texts are."""
+    longest = np.array([max(len(a), len(b)) for a, b in zip(left, right)])
+    order = np.argsort(longest, kind="stable")
+    start = 0
+    while start < len(order):
+        step = CHUNK
+        while step > 1 and step * longest[order[min(start + step, len(order)) - 1]] > CHUNK * WORD_BITS:
+            step //= 2
+        at = order[start : start + step]
+        yield at, Batch([left[i] for i in at], [right[i] for i in at])
+        start += step
+
+
+def _ratios(left: list[str], right: list[str]) -> np.ndarray:
+    out = np.empty(len(left))
+    for at, batch in _batches(left, right):
+        total = batch.sizes[batch.left] + batch.sizes[batch.right]
+        out[at] = np.where(total == 0, 1.0, 2.0 * batch.lcs() / np.maximum(total, 1))
+    return out
+
+
+def _token_sets(left: list[str], right: list[str]) -> np.ndarray:
+    words = {t: set(t.split()) for t in {*left, *right}}
+    shared, with_a, with_b = [], [], []
+    for a, b in zip(left, right):
+        x, y = words[a], words[b]
+        both = " ".join(sorted(x & y))
+        shared.append(both)
+        with_a.append(" ".join(p for p in (both, " ".join(sorted(x - y))) if p))
+        with_b.append(" ".join(p for p in (both, " ".join(sorted(y - x))) if p))
+    has = np.array([bool(x) for x in shared])
+    some = np.maximum(_ratios(shared, with_a), _ratios(shared, with_b))
+    best = np.maximum(_ratios(with_a, with_b), np.where(has, some, 0.0))
+    within = np.array([words[a] <= words[b] or words[b] <= words[a] for a, b in zip(left, right)])
+    none = np.array([not words[a] or not words[b] for a, b in zip(left, right)])
+    return np.where(none, 0.0, np.where(has & within, 1.0, best))
+
+
 def scores(name: str, left: list[str], right: list[str]) -> np.ndarray:
     """Similarities of pairs of texts; as METRICS[name] of each pair."""
-    out = np.empty(len(left))
+    if not left:
+        return np.empty(0)
+    if name == "token_set_ratio":
+        return _token_sets(left, right)
+    if name == "jaro_winkler":
+        out = np.empty(len(left))
+        for at, batch in _batches(left, right):
+            out[at] = batch.jaro_winkler()
+        return out
     if name == "token_sort_ratio":
         sort = {t: sorted_words(t) for t in {*left, *right}}
         left, right = [sort[t] for t in left], [sort[t] for t in right]
-    short = np.array([len(a) <= WORD_BITS and len(b) <= WORD_BITS for a, b in zip(left, right)], dtype=bool)
-    if name == "token_set_ratio":
-        short[:] = False
-    at = np.flatnonzero(short)
-    if len(at):
-        batch = Batch([left[i] for i in at], [right[i] for i in at])
-        if name == "jaro_winkler":
-            out[at] = batch.jaro_winkler()
-        else:
-            total = batch.sizes[batch.left] + batch.sizes[batch.right]
-            out[at] = np.where(total == 0, 1.0, 2.0 * batch.lcs() / np.maximum(total, 1))
-    for i in np.flatnonzero(~short):
-        out[i] = METRICS["ratio" if name == "token_sort_ratio" else name](left[i], right[i])
-    return out
+    return _ratios(left, right)
 
 
 def metric(name: str) -> Callable[[Column, Column], Column]:

@@ -78,3 +78,15 @@ def test_arrow_metric_and_cosine(spark):
         similarity.metric("soundex")
     similarity.register(spark)
     assert spark.sql("select token_sort_ratio('b a', 'a b')").first()[0] == 1.0
+
+
+def test_batches_of_any_length_equal_single_pairs():
+    import random
+
+    rnd = random.Random(1)
+    text = lambda: "".join(rnd.choice("abc dé") for _ in range(rnd.choice([0, 1, 5, 63, 64, 65, 127, 128, 129, 400])))
+    left = [text() for _ in range(200)]
+    right = [x[:-2] + "x" if i % 3 else text() for i, x in enumerate(left)]
+    for name, one in similarity.METRICS.items():
+        assert similarity.scores(name, left, right).tolist() == [one(a, b) for a, b in zip(left, right)]
+        assert len(similarity.scores(name, [], [])) == 0
