@@ -30,8 +30,15 @@ def test_plan_places_everything(histogram):
         for n, k in pattern.slots:
             used[n] = used.get(n, 0) + k * pattern.count
     assert used == histogram and len(p.patterns) <= 2 * len(histogram) + 1
-    least = -(-sum(n * c for n, c in histogram.items()) // 32)
-    assert p.containers <= max(least * 11 / 9 + 1, sum(c for n, c in histogram.items() if n > 16) + least)
+    # As many containers as if every text were put, the longest first, into the first that has room.
+    gaps = []
+    for n in sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True):
+        at = next((i for i, g in enumerate(gaps) if g >= n), None)
+        if at is None:
+            gaps.append(32 - n)
+        else:
+            gaps[at] -= n
+    assert p.containers == len(gaps) <= 2 * -(-sum(n * c for n, c in histogram.items()) // 32)
 
 
 def test_tiers_are_packed_one_by_one():
