@@ -99,3 +99,36 @@ def advisory_note(shift: float, excluded: Iterable[str]) -> str:
     if named := sorted(set(excluded)):
         parts.append(f"Records that failed {', '.join(named)} were held back.")
     return " ".join(parts) or "No advisory changed the run."
+
+
+def oversized(found: DataFrame) -> DataFrame:
+    """(block, n_records, n_pairs) of the blocks that were held back for their size."""
+    large = found.where("reason = 'block_too_large'").groupBy(F.translate("block", "\u001f", "/").alias("block")).agg(F.count(F.lit(1)).alias("n_records"))
+    return large.withColumn("n_pairs", (F.col("n_records") * (F.col("n_records") - 1) / 2).cast("bigint"))
+
+
+def verdicts(judged: DataFrame) -> DataFrame:
+    """(left_id, right_id, score, decision, confidence, rationale) of the pairs that were judged."""
+    return judged.where("decision is not null").select("left_id", "right_id", F.round("score", 4).alias("score"), "decision", "confidence", "rationale")
+
+
+# What to do about the findings of a dimension.
+TO_DO = {
+    "Completeness": "Fill %2$s in the %1$s affected records.", "Validity": "Correct %2$s in the %1$s affected records.",
+    "Consistency": "Bring the fields %2$s of the %1$s affected records into line.", "Uniqueness": "Review the %1$s affected records for duplicates.",
+}
+
+
+def worded(plan: DataFrame) -> DataFrame:
+    """``plan`` with ``action``, what to do, and ``rationale``, why it stands where it does."""
+    field = F.when(F.col("field") == "", "the record").otherwise(F.col("field"))
+    told = F.coalesce(*[F.when(F.col("dimension") == d, F.format_string(t, F.col("affected").cast("string"), field)) for d, t in TO_DO.items()], F.format_string("Review the %s affected records.", F.col("affected").cast("string")))
+    why = F.concat_ws("; ", F.format_string("%s records", F.col("affected").cast("string")), F.concat(F.lit("worst severity "), F.col("severity")), F.when(F.col("rule_id") != "", F.concat(F.lit("rule "), F.col("rule_id"))))
+    return plan.withColumns({"action": told, "rationale": why})
+
+
+def no_checks_warning(tables: Iterable[str], rules: Iterable[Rule]) -> str:
+    """A warning that names the tables no executable rule reads; empty if there are none."""
+    checked = {r.table for r in rules if r.executable}
+    named = sorted(set(tables) - checked)
+    return f"No rule was run on {', '.join(named)}: that nothing was found there says nothing." if named else ""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallgrass.functions.values import quantity
+from tallgrass.operators import ir
 from tallgrass.operators.ir import Comparison, Predicate
 
 UNKNOWN = lambda: F.lit(None).cast("boolean")
@@ -31,7 +32,7 @@ def _equal(column: Column, kind: T.DataType, value) -> Column:
 
 
 def _compare(p: Comparison, schema: T.StructType) -> Column:
-    if p.field not in schema.names:
+    if p.field not in schema.names or p.op == ir.UNKNOWN:
         return UNKNOWN()
     c, kind = F.col(f"`{p.field}`"), schema[p.field].dataType
     if p.op == "is_null":

@@ -8,6 +8,7 @@ from pathlib import Path
 from typing import Any
 
 COMPARISONS = ("is_null", "is_not_null", "in", "not_in", "eq", "ne", "matches", "gt", "ge", "lt", "le")
+UNKNOWN = "unknown"
 BOOLEANS = ("and", "or", "not", "implies")
 ARCHETYPES = {"not_null": "Completeness", "domain_in": "Validity", "reference_exists": "Validity", "format_regex": "Validity", "cross_field": "Consistency"}
 LABELS = {"Completeness": "Completeness", "Consistency": "Validity", "Conformity": "Validity", "Accuracy": "Validity"}
@@ -21,7 +22,7 @@ class Comparison:
     value: Any = None
 
     def __post_init__(self):
-        if self.op not in COMPARISONS:
+        if self.op not in (*COMPARISONS, UNKNOWN):
             raise ValueError(f"unknown comparison {self.op!r}")
         if self.op in ("in", "not_in"):
             object.__setattr__(self, "value", tuple(self.value or ()))
@@ -53,10 +54,16 @@ def fields_of(p: Predicate | None) -> list[str]:
     return list(dict.fromkeys(f for a in p.args for f in fields_of(a)))
 
 
-def predicate(raw: Mapping[str, Any]) -> Predicate:
-    """A predicate from nested mappings with ``field``/``op``/``value`` or ``op``/``args``."""
+def predicate(raw: Mapping[str, Any], strict: bool = True) -> Predicate:
+    """A predicate from nested mappings with ``field``/``op``/``value`` or ``op``/``args``.
+
+    A comparison that isn't known is an error; where rules of others are read that needn't be, ``strict`` off
+    makes it unknown for every row, so that it breaks no record.
+    """
     if "args" in raw:
-        return Bool(raw["op"], tuple(predicate(a) for a in raw["args"]))
+        return Bool(raw["op"], tuple(predicate(a, strict) for a in raw["args"]))
+    if not strict and raw["op"] not in COMPARISONS:
+        return Comparison(raw["field"], UNKNOWN)
     return Comparison(raw["field"], raw["op"], raw.get("value"))
 
 
@@ -90,21 +97,21 @@ class Rule:
         return ",".join(self.fields)
 
 
-def rule(raw: Mapping[str, Any]) -> Rule:
+def rule(raw: Mapping[str, Any], strict: bool = True) -> Rule:
     return Rule(
-        rule_id=raw["rule_id"], table=raw["table"], archetype=raw.get("archetype", "other"), assertion=predicate(raw["assertion"]),
-        scope=predicate(raw["scope"]) if raw.get("scope") else None, name=raw.get("name", ""), severity=raw.get("severity", "Medium"),
+        rule_id=raw["rule_id"], table=raw["table"], archetype=raw.get("archetype", "other"), assertion=predicate(raw["assertion"], strict),
+        scope=predicate(raw["scope"], strict) if raw.get("scope") else None, name=raw.get("name", ""), severity=raw.get("severity", "Medium"),
         label=raw.get("label"), domain=tuple(raw.get("domain") or ()), executable=bool(raw.get("executable", True)), fields=tuple(raw.get("fields") or ()),
     )
 
 
-def load_rules(folder: str | Path) -> list[Rule]:
+def load_rules(folder: str | Path, strict: bool = True) -> list[Rule]:
     """Rules of all YAML files of a folder that have a list ``rules``, by file name."""
     import yaml
 
     out = []
     for path in sorted(Path(folder).glob("*.yaml")):
-        out += [rule(r) for r in (yaml.safe_load(path.read_text()) or {}).get("rules", [])]
+        out += [rule(r, strict) for r in (yaml.safe_load(path.read_text()) or {}).get("rules", [])]
     return out
 
 

@@ -24,6 +24,12 @@ def record_id(keys: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("None"))) for k in keys])
 
 
+def subject_key(record: Column, keys: Sequence[str]) -> Column:
+    """The parts of a business key that belong to ``keys``; the key as it is if none does."""
+    parts = F.filter(F.split(record, r"\|"), lambda x: F.substring_index(x, "=", 1).isin(*keys))
+    return F.when(F.size(parts) > 0, F.array_join(parts, "|")).otherwise(record)
+
+
 def _expected(r: Rule) -> list[str]:
     return list(r.domain) if r.archetype in ("domain_in", "reference_exists") else ["non-null"] if r.archetype == "not_null" else []
 

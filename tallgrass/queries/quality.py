@@ -593,11 +593,36 @@ BUILT_SQL = " UNION ALL ".join(
 )
 
 
+ACTIONS_WORDED_SQL = f"""
+SELECT place, CASE dimension WHEN 'Completeness' THEN 'Fill ' || field || ' in the ' || affected || ' affected records.' WHEN 'Validity' THEN 'Correct ' || field || ' in the ' || affected || ' affected records.'
+  ELSE 'Bring the fields ' || field || ' of the ' || affected || ' affected records into line.' END AS action, affected || ' records; worst severity ' || severity || '; rule ' || rule_id AS rationale FROM ({ACTIONS_SQL})"""
+
+
+def _detail(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings with what was seen, what was expected, and which fields were looked at."""
+    return _findings(spark, folder).select(
+        "rule_id", "record_id", "field", "observed_value", F.array_join("expected", "|").alias("expected"), F.array_join(F.map_keys("metadata"), ",").alias("fields"), F.array_join(F.map_values("metadata"), "|", "None").alias("values"), "confidence"
+    )
+
+
+def _detail_sql() -> str:
+    parts = []
+    for n, (r, assertion, scope) in RULES.items():
+        if n == "rule_missing_field":
+            continue
+        key = " || '|' || ".join(f"'{k}=' || coalesce({k}, 'None')" for k in KEYS[r.table])
+        expected = "'" + "|".join(r.domain if r.archetype in ("domain_in", "reference_exists") else ("non-null",)) + "'" if r.archetype in ("domain_in", "reference_exists", "not_null") else "NULL"
+        shown = " || '|' || ".join(f"coalesce({f}, 'None')" for f in r.fields)
+        parts.append(f"SELECT '{r.rule_id}' AS rule_id, {key} AS record_id, '{','.join(r.fields)}' AS field, {r.fields[0] if len(r.fields) == 1 else 'NULL'} AS observed_value, {expected} AS expected, '{','.join(r.fields)}' AS fields, {shown} AS \"values\", 1.0 AS confidence FROM {r.table} WHERE ({scope}) AND NOT ({assertion})")
+    return " UNION ALL ".join(parts)
+
+
 QUERIES = {
     **{n: (_one_rule(n), _rule_sql(n)) for n in RULES if n != "rule_missing_field"},
     "rule_missing_field": (_one_rule("rule_missing_field"), f"{_rule_sql('rule_not_null')} AND false"),
     "findings_multi_rule": (lambda s, d: _findings(s, d).select(*SLIM), ALL_SQL),
     "findings_issues": (lambda s, d: _findings(s, d).groupBy("rule_id", "issue").agg(F.count(F.lit(1)).alias("n_findings")), _issues_sql()),
+    "findings_detail": (_detail, _detail_sql()),
     "findings_by_table": (lambda s, d: rules.by_table(_findings(s, d)), f"SELECT table_name, count(*) AS n_findings FROM ({ALL_SQL}) GROUP BY 1"),
     "findings_by_field": (lambda s, d: rules.by_field(_findings(s, d)), f"SELECT table_name, field, count(*) AS n_findings FROM ({ALL_SQL}) GROUP BY 1, 2"),
     "findings_by_severity": (lambda s, d: rules.by_severity(_findings(s, d)), f"SELECT severity, count(*) AS n_findings FROM ({ALL_SQL}) GROUP BY 1"),
@@ -651,6 +676,10 @@ QUERIES = {
     "verdicts_applied": (lambda s, d: _judged(s, d).select("left_id", "right_id", "decision", "is_open"), f"WITH {PAIRS_SQL}, {JUDGED_SQL} SELECT left_id, right_id, decision, decision IS NULL AS is_open FROM j"),
     "verdict_clusters": (lambda s, d: _verdict_clusters(s, d).select("cluster_id", "survivor", "other", "reason", "score", "confidence"), VERDICTS_SQL + "SELECT 'CL-LLM-' || lpad(n::varchar, greatest(4, length(n::varchar))::int, '0') AS cluster_id, survivor, other, reason, score, score AS confidence FROM v"),
     "verdict_findings": (lambda s, d: decisions.verdict_findings(_verdict_clusters(s, d), "mara", "matnr").select("record_id", "rule_id", "issue", "severity", "confidence"), VERDICTS_SQL + "SELECT 'matnr=' || other AS record_id, NULL::varchar AS rule_id, 'judged a duplicate of ' || survivor || ': by group' AS issue, 'Medium' AS severity, score AS confidence FROM v"),
+    "oversized_blocks": (
+        lambda s, d: clusterview.oversized(_candidates(s, d, matching.Matching(block=BLOCK, most_block_pairs=300))),
+        f"WITH {CANDIDATES_SQL} SELECT block, count(*) AS n_records, (count(*) * (count(*) - 1) // 2)::bigint AS n_pairs FROM c WHERE reason IS NULL GROUP BY 1 HAVING count(*) * (count(*) - 1) / 2 > 300"),
+    "actions_worded": (lambda s, d: clusterview.worded(_actions(s, d)).select("place", "action", "rationale"), ACTIONS_WORDED_SQL),
     "verdict_quality": (_verdict_quality, VERDICT_QUALITY_SQL),
     "pair_keys": (_pair_keys, PAIR_KEYS_SQL),
     "similarity_ratio": (lambda s, d: _pairs(s, d, matching.Matching(block=BLOCK, metric="ratio", duplicate=0.92, review_low=0.80)).where("band <> 'below'").select("left_id", "right_id", F.round("score", 4).alias("score"), "band"), None),

@@ -182,3 +182,20 @@ def test_departures_against_brute_force(spark):
                     want.add((f.field_name, load, "range"))
     want.add(("primary_key", 3, "dup_key"))
     assert got == want and len({i for _, _, i in got}) == 5
+
+
+def test_conversion_by_unit_and_target(spark):
+    e = units.Edge
+    g = units.UnitGraph([e("c", "k", Fraction(1), Fraction(27315, 100)), e("f", "c", Fraction(5, 9), Fraction(-160, 9)), e("g", "kg", Fraction(1, 1000)), e("lb", "kg", Fraction(45359237, 100000000))])
+    rows = [(1, "212", "F", "K"), (2, "1500", " g. ", "KG"), (3, "1", "LB", "g"), (4, "3", "kg", "k"), (5, None, "g", "kg"), (6, "7", None, "kg"), (7, "7", "g", None), (8, "7", "?", "kg"), (9, "0", "c", "f"), (2, "1500", " g. ", "KG")]
+    df = spark.createDataFrame(rows, "id int, n string, u string, t string").withColumns({"n": F.col("n").cast("decimal(15,6)"), "factor": F.lit("x"), "shift": F.lit("y"), "source_unit": F.lit("z")})
+    got = units.convert(df, g, "n", "u", "t")
+    assert {r["id"]: r["converted"] and round(float(r["converted"]), 6) for r in got.collect()} == {1: 373.15, 2: 1.5, 3: 453.59237, 4: None, 5: None, 6: None, 7: None, 8: None, 9: 32.0}
+    assert got.count() == 10 and got.columns == [*df.columns, "converted"]
+    assert units.convert(df.limit(0), g, "n", "u", "t").count() == 0
+
+
+def test_combined_rows_count_as_many_but_weigh_once(spark):
+    df = spark.createDataFrame([("A", "1", 2.0, None, 3), ("A", "2", None, None, 1), ("A", "3", 5.0, None, None), (None, "1", 1.0, None, 6)], "k string, m string, v double, d timestamp, n long")
+    got = {r["k"]: (r["n_rows"], r["n_items"], r["value_sum"], r["n_valued"], r["row_share"]) for r in skewgroups.figures_by_key(df, ["k"], "m", "v", "d", rows="n").collect()}
+    assert got == {"A": (4, 3, 7.0, 2, 0.4), None: (6, 1, 1.0, 1, 0.6)}

@@ -264,3 +264,26 @@ def test_a_judge_is_held_to_its_contract(spark):
             decisions.judge(pairs, none, lambda p, bad=bad: bad, "f")
     rs = [Rule("a", "t", "not_null", Comparison("x", "is_not_null")), Rule("b", "t", "not_null", Comparison("x", "is_not_null"), executable=False), Rule("c", "t", "domain_in", Comparison("x", "in", ["1"]))]
     assert [r.rule_id for r in rules.select_rules(rs, "Completeness")] == ["a"]
+
+
+def test_unknown_comparisons_and_subject_keys(spark):
+    from tallgrass.operators.ir import predicate
+    from tallgrass.operators.ir import rule as read
+
+    with pytest.raises(ValueError):
+        predicate({"field": "x", "op": "sounds_like", "value": 1})
+    odd = read({"rule_id": "O", "table": "t", "assertion": {"op": "or", "args": [{"field": "x", "op": "sounds_like"}, {"field": "x", "op": "eq", "value": "1"}]}}, strict=False)
+    df = spark.createDataFrame([("1", "a"), ("2", "b")], "x string, k string")
+    assert rules.run_rules(df, "t", ["k"], [odd]).count() == 0
+    keys = spark.createDataFrame([("MATNR=1|WERKS=A",), ("WERKS=A",)], "r string").select(rules.subject_key(F.col("r"), ["MATNR"])).collect()
+    assert [r[0] for r in keys] == ["MATNR=1", "WERKS=A"]
+
+
+def test_wordings_of_a_plan(spark):
+    plan = spark.createDataFrame([("Completeness", "t", "f", "R", 3, "High"), ("Uniqueness", "t", "", "", 2, "High")], "dimension string, table_name string, field string, rule_id string, affected long, severity string")
+    got = clusterview.worded(plan).collect()
+    assert got[0]["action"] == "Fill f in the 3 affected records." and got[0]["rationale"] == "3 records; worst severity High; rule R" and "duplicates" in got[1]["action"] and "rule" not in got[1]["rationale"]
+    rs = [Rule("a", "mara", "other", Comparison("x", "is_null")), Rule("b", "makt", "other", Comparison("x", "is_null"), executable=False)]
+    assert "makt" in clusterview.no_checks_warning(["mara", "makt"], rs) and clusterview.no_checks_warning(["mara"], rs) == ""
+    found, _ = matched(spark, "a", "b", "c", m=Matching(block=("t", "u"), most_block_pairs=2))
+    assert [tuple(r) for r in clusterview.oversized(found).collect()] == [("HALB/EA", 3, 3)]
