@@ -57,8 +57,9 @@ def count_values(df: DataFrame, tab_name: str, fields: Sequence[str], key: Seque
 class ValueCounts:
     """A store of signed deltas below ``path``: a folder per delta, in it one per table and load.
 
-    A delta counts once it is written whole. Counts of a load that has one delta are read as they are; only
-    where a load was delivered again its deltas are summed.
+    A delta counts once it is written whole: it is written aside and then gets the next number of its table, so
+    of two writers that saw the same state only one succeeds. Counts of a load that has one delta are read as
+    they are; only where a load was delivered again its deltas are summed.
     """
 
     spark: SparkSession
@@ -74,11 +75,27 @@ class ValueCounts:
         """The store of tables at the paths ``sources`` as they are now, kept in the shared folder from query to query."""
         return cls(spark, f"{shared_dir(spark)}/tallgrass/kept-value-counts-{fingerprint(spark, *sources)}")
 
+    def _files(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _deltas_of(self, tab_name: str) -> int:
+        path, fs = self._files()
+        return len(fs.globStatus(path(f"{self.path}/delta-{tab_name}-*")) or [])
+
+    def _commit(self, counts: DataFrame, tab_name: str, number: int) -> bool:
+        """Write a delta as number ``number`` of its table; False, and nothing written, if there is one."""
+        path, fs = self._files()
+        aside, target = path(f"{self.path}/writing-{uuid.uuid4().hex}"), path(f"{self.path}/delta-{tab_name}-{number:06d}")
+        counts.select("tab_name", "load_no", "field_name", "value", "n").write.partitionBy("tab_name", "load_no").parquet(aside.toString())
+        if fs.exists(target):
+            fs.delete(aside, True)
+            return False
+        return bool(fs.rename(aside, target))
+
     def _folders(self) -> list[tuple[str, str, int | None]]:
         """(delta folder, table, load) of what was written whole."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        root = path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        path, fs = self._files()
         whole = {str(x.getPath().getParent().toString()) for x in fs.globStatus(path(f"{self.path}/delta-*/_SUCCESS")) or []}
         out = []
         for x in fs.globStatus(path(f"{self.path}/delta-*/tab_name=*/load_no=*")) or []:
@@ -115,12 +132,13 @@ class ValueCounts:
         summed = deltas.where(name.isin(*again)).groupBy("tab_name", "field_name", "load_no", "value").agg(F.sum("n").alias("n")).where("n <> 0")
         return deltas.where(~name.isin(*again)).unionByName(summed)
 
-    def apply(self, counts: DataFrame, tab_name: str, loads: Sequence[int | None] | None = None) -> None:
+    def apply(self, counts: DataFrame, tab_name: str, loads: Sequence[int | None] | None = None) -> bool:
         """Bring ``loads`` of a table (None: all) to ``counts``, as delivered now.
 
         What the store doesn't hold is added; of loads it holds, the difference to the earlier delivery is
-        written, with a minus for what is gone. Nothing is written where nothing changed.
+        written, with a minus for what is gone. False, and nothing changed, if another writer came first.
         """
+        number = self._deltas_of(tab_name)
         mine = counts.where(F.col("tab_name") == tab_name)
         held = self.loads(tab_name)
         if loads is not None:
@@ -130,13 +148,13 @@ class ValueCounts:
             before = self.state().where(F.col("tab_name") == tab_name)
             before = before if loads is None else before.where(wanted)
             mine = mine.unionByName(before.withColumn("n", -F.col("n"))).groupBy("tab_name", "field_name", "load_no", "value").agg(F.sum("n").alias("n")).where("n <> 0")
-        mine.select("tab_name", "load_no", "field_name", "value", "n").write.partitionBy("tab_name", "load_no").parquet(f"{self.path}/delta-{uuid.uuid4().hex}")
+        return self._commit(mine, tab_name, number)
 
     def compact(self) -> ValueCounts:
-        """The same state in a new folder, a single delta without counts that cancel out."""
-        smaller = ValueCounts.create(self.spark)
-        state = self.state()
-        state.select("tab_name", "load_no", "field_name", "value", "n").write.partitionBy("tab_name", "load_no").parquet(f"{smaller.path}/delta-{uuid.uuid4().hex}")
+        """The same state in a new folder, a single delta of each table without counts that cancel out."""
+        smaller, state = ValueCounts.create(self.spark), self.state()
+        for tab in sorted({tab for _, tab, _ in self._folders()}):
+            smaller._commit(state.where(F.col("tab_name") == tab), tab, 0)
         return smaller
 
 
@@ -328,10 +346,12 @@ def bring_up_to_date(store: ValueCounts, tables: Mapping[str, DataFrame], fields
     """``store`` with all loads of ``tables`` that have declared fields; each table is scanned once, if at all.
 
     A table of which the store holds loads is left alone, unless it is delivered ``again``: then its loads
-    get what has changed.
+    get what has changed. If another writer counts the same files at the same time, its counts serve as well.
     """
     for tab, df in tables.items():
         declared = [f.field_name for f in fields if f.tab_name == tab and f.field_name in df.columns]
         if declared and (again or not store.loads(tab)):
-            store.apply(count_values(df, tab, declared, keys.get(tab, ())), tab)
+            done = store.apply(count_values(df, tab, declared, keys.get(tab, ())), tab)
+            if again and not done:
+                raise RuntimeError(f"{tab} was changed by another writer meanwhile")
     return store

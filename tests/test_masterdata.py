@@ -128,6 +128,18 @@ def test_an_unfinished_delta_does_not_count(spark):
     assert store.loads("t") == {1} and equal(store.state(), counted(spark, [("1", "A", "1,000", 1)]))
 
 
+def test_of_two_writers_one_succeeds(spark, monkeypatch):
+    store = vc.ValueCounts.create(spark)
+    counts = counted(spark, [("1", "A", "1,000", 1)])
+    late = vc.ValueCounts.create(spark, store.path)
+    monkeypatch.setattr(late, "_deltas_of", lambda tab: 0)  # it looked before the other wrote
+    monkeypatch.setattr(late, "loads", lambda tab: set())
+    assert store.apply(counts, "t") and not late.apply(counts, "t") and equal(store.state(), counts)
+    fields = [vc.Field("t", "c", "code", "[AB]", True)]
+    with pytest.raises(RuntimeError):
+        vc.bring_up_to_date(late, {"t": spark.createDataFrame([("1", "A", 1)], "k string, c string, load_no int")}, fields, {"t": ["k"]}, again=True)
+
+
 def test_a_kept_store_is_only_read(spark, tmp_path, monkeypatch):
     fields = [vc.Field("t", "c", "code", "[AB]", True)]
     df = spark.createDataFrame([("1", "A", 1), ("2", "B", 2)], "k string, c string, load_no int")
