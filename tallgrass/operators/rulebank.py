@@ -22,7 +22,7 @@ OBSERVATION = "table_name string, field_name string, role_candidates array<strin
 RATE_FLOOR = 0.80
 WEIGHTS = (0.4, 0.4, 0.2)
 
-# How the profiler's hints are called in templates, and how strong a prior is.
+# How the profiler's hints are called in templates, how strong a prior is, and how well so many values cover a field.
 HINTS = {"categorical": "categorical_string", "constant": "categorical_string", "key": "identifier", "numeric_text": "numeric", "free_text": "free_text"}
 STRENGTHS = {"strong": 1.0, "moderate": 0.6, "weak": 0.3}
 COVERAGE = [(1000, 1.0), (200, 0.8), (50, 0.6), (10, 0.4)]
@@ -154,6 +154,7 @@ def assemble_rule(template: Mapping[str, Any], table: str, field: str, domain: S
 def derive_templates(catalogue: DataFrame) -> DataFrame:
     """Templates from a rule list (rule_id, table_name, field_name, archetype, n_domain): what each rule asks of a field."""
     n, kind = F.col("n_domain"), F.col("archetype")
+    # The shares and the most values that rules of each kind ask for.
     listed = kind.isin("domain_in", "reference_exists")
     return catalogue.select(
         F.col("rule_id").alias("template_id"), F.col("table_name").alias("target_table"), F.col("field_name").alias("target_field"), F.lit(None).cast("string").alias("field_role"),

@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StringType, StructField, StructType
 
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+# What a technical field name looks like, and in how many rows the header is looked for.
 FIELD = re.compile(r"^[A-Z][A-Z0-9_]{1,29}$")
 HEADER_ROWS = 25
 
