@@ -46,7 +46,9 @@ ERROR_WORDS = ["error", "fehler", "erreur", "http", "oops", "sorry"]
 ERROR_LINE = re.compile(r"\W*(?:(?:error|fehler|erreur|http status)\s*\d{3}\s*[:–-]|oops!|sorry, |\d{3}\s+[-–]\s+\w)", re.I)
 SCRIPT = re.compile(r"\b(?:java ?script|noscript|(?:active |client-side )scripting|script support)\b", re.I)
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
-SPLIT = "(?<=[.!?…])[ \\t\\n\\r\\x0b\\f\\x85\\xa0]+|\\n+"
+INLINE = r" \t\r\x0b\f\x85\xa0"
+#: Passages end behind the end of a sentence, and with a line.
+SPLIT = rf"(?<=[.!?…])[{INLINE}\n]+|[{INLINE}]*\n[{INLINE}\n]*"
 WORD = r"[\p{L}\p{Nl}\p{No}]+"
 PYTHON_WORD = re.compile(r"[^\W\d_]+")
 MARKS = ["§slot", "§quoted", "§rare", "§number", "§run", "§short", "§long"]
@@ -107,18 +109,12 @@ def _hashed(words: Column) -> Column:
 
 
 def passages(slim: DataFrame) -> DataFrame:
-    """(id, line, words, size, digits, thrice, first): a row per passage of ``slim`` (id, text), those of a record one after another.
+    """(id, line, hash, words, size, digits, first): a row per passage of ``slim`` (id, text), those of a record one after another.
 
     ``words`` are hashed. ``line`` is there only where Python has to read the passage: where an open place is
     possible, or an error line or script notice, which begin with certain words or with no word at all.
     """
-    lines = F.filter(F.transform(F.split("text", SPLIT), lambda x: F.trim(x)), lambda x: x != "")
-    at = lambda i: F.get("lines", i)
-    same = lambda i: F.coalesce((at(i) == at(i + 1)) & (at(i) == at(i + 2)), F.lit(False))
-    # One of three equal passages in a row; looked into only next to an equal one.
-    thrice = lambda x, i: F.when((at(i - 1) == x) | (at(i + 1) == x), same(i) | same(i - 1) | same(i - 2)).otherwise(False)
-    told = F.transform("lines", lambda x, i: F.struct(x.alias("line"), thrice(x, i).alias("thrice")))
-    rows = slim.select("id", lines.alias("lines")).select("id", F.posexplode(told).alias("n", "p")).select("id", "n", "p.line", "p.thrice")
+    rows = slim.select("id", F.posexplode(F.split(F.btrim("text", F.lit(BLANKS)), SPLIT)).alias("n", "line")).where("line <> ''")
     rows = rows.select("*", F.lower("line").alias("lower"), _words(F.col("line")).alias("found"))
     line, lower, first = F.col("line"), F.col("lower"), F.get("found", F.lit(0))
     sign = line.rlike(SIGN_CLASS)
@@ -127,7 +123,7 @@ def passages(slim: DataFrame) -> DataFrame:
     opening = first.isNull() | first.isin(*ERROR_WORDS) | ~F.startswith(lower, first)
     return rows.select(
         "id", F.when(sign | opening, line).alias("line"), _hashed(F.col("found")).alias("words"), F.length("line").alias("size"),
-        line.rlike("[0-9]").alias("digits"), "thrice", (F.col("n") == 0).alias("first"),
+        line.rlike("[0-9]").alias("digits"), F.xxhash64("line").alias("hash"), (F.col("n") == 0).alias("first"),
     )
 
 
@@ -211,6 +207,27 @@ def _whole_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _together(group: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """An order in which equal hashes of a group (a number below 2^20) stand together: by group and the upper 44 bits of the hash.
+
+    Different hashes of a group that share those bits, one pair in 10^13, may stand mixed; a word then counts twice.
+    """
+    if len(group) and group.max() >= 1 << 20:
+        return np.lexsort((hashes, group))
+    return np.argsort(group.astype(np.uint64) << np.uint64(44) | hashes.view(np.uint64) >> np.uint64(20))
+
+
+def _thrice(hashes: np.ndarray, record: np.ndarray) -> np.ndarray:
+    """Which passages are one of three equal ones in a row of a record."""
+    out = np.zeros(len(hashes), dtype=bool)
+    if len(hashes) > 2:
+        same = (hashes[:-1] == hashes[1:]) & (record[:-1] == record[1:])
+        first = np.flatnonzero(same[:-1] & same[1:])
+        for k in (0, 1, 2):
+            out[first + k] = True
+    return out
+
+
 def _read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passages (see :func:`passages`) as :class:`Words`: open places taken out, marks set, trusted ones labelled."""
     for b in _whole_records(batches):
@@ -218,7 +235,7 @@ def _read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         record = np.cumsum(b.column("first").to_numpy(zero_copy_only=False)) - 1
         flat, row = _flat(b.column("words"))
         size_, digits = b.column("size").to_numpy().copy(), b.column("digits").to_numpy(zero_copy_only=False).copy()
-        trusted, run = np.zeros(n, dtype=bool), b.column("thrice").to_numpy(zero_copy_only=False).copy()
+        trusted, run = np.zeros(n, dtype=bool), _thrice(b.column("hash").to_numpy(), record)
         bare, quoted = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
         # Passages that may hold open places are read again without them; these are few.
         again: list[np.ndarray] = []
@@ -240,10 +257,11 @@ def _read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat, row = flat[order], row[order]
         n_found = np.bincount(row, minlength=n)
         # One row per different word of a passage.
-        order = np.lexsort((flat, row))
+        order = _together(row, flat)
+        word, at_row = flat[order], row[order]
         first = np.ones(len(flat), dtype=bool)
-        first[1:] = (np.diff(row[order]) != 0) | (np.diff(flat[order]) != 0)
-        word, at_row = flat[order][first], row[order][first]
+        first[1:] = (at_row[1:] != at_row[:-1]) | (word[1:] != word[:-1])
+        word, at_row = word[first], at_row[first]
         n_words = np.bincount(at_row, minlength=n)
         starts = np.concatenate([[0], np.cumsum(n_found)])
         for i in np.flatnonzero((n_found > 2) & (3 * n_words <= 2 * n_found)):
@@ -261,15 +279,13 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(w, k): how many records of a block have each word."""
     for b in Words.read(batches):
         record, word = np.repeat(b.record, b.n_words), b.word
-        order = np.lexsort((record, word))
+        order = _together(record, word)
         record, word = record[order], word[order]
-        new_word = np.ones(len(word), dtype=bool)
-        new_word[1:] = word[1:] != word[:-1]
-        new = new_word.copy()
-        new[1:] |= record[1:] != record[:-1]
-        at = np.flatnonzero(new_word)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(np.add.reduceat(new.astype(np.int64), at))], names=["w", "k"])
+        new = np.ones(len(word), dtype=bool)
+        new[1:] = (record[1:] != record[:-1]) | (word[1:] != word[:-1])
+        words, k = np.unique(word[new], return_counts=True)
+        if len(words):
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(k.astype(np.int64))], names=["w", "k"])
 
 
 def _encoder(vocabulary: np.ndarray):
@@ -323,8 +339,9 @@ def _expected(blocks: DataFrame, size: int, model: Model | None, open_: bool = F
                 p = 1 / (1 + np.exp(-np.clip(model.odds(b) / (np.maximum(1, b.n_features) if open_ else 1), -500, 500)))
             p[b.label > 0] = 1.0
             row = b.row
-            table[1] += np.bincount(b.feature, p[row], size)
-            table[0] += np.bincount(b.feature, 1 - p[row], size)
+            positive = np.bincount(b.feature, p[row], size)
+            table[1] += positive
+            table[0] += np.maximum(0.0, np.bincount(b.feature, minlength=size) - positive)
             number += [(1 - p).sum(), p.sum()]
         f = np.flatnonzero(table.sum(axis=0))
         columns = [pa.array(np.concatenate([[-1], f]), pa.int32()), *[pa.array(np.concatenate([[number[c]], table[c, f]])) for c in (0, 1)]]
