@@ -150,7 +150,7 @@ P8_SHARES_SQL = f"""
 WITH d AS (SELECT lower(trim(source, ' ')) AS source, {_TOKENS} AS n FROM documents WHERE text IS NOT NULL),
 s AS (SELECT source, sum(n) AS s, count(*) AS k FROM d WHERE n > 0 AND source IN (SELECT lower(trim(source, ' ')) FROM mix_targets) GROUP BY source),
 q AS (SELECT lower(trim(m.source, ' ')) AS source, target_share, max_repeat, s, k, target_share * (SELECT sum(s) FROM s)::double / s AS need FROM mix_targets m LEFT JOIN s ON s.source = lower(trim(m.source, ' ')))
-SELECT source, coalesce(k, 0) AS n_texts, coalesce(s, 0)::bigint AS source_tokens, round(target_share, 9) AS target_share, round(need, 6) AS need, max_repeat, coalesce(least(ceil(need), max_repeat), 0)::int AS passes, true AS reached FROM q"""
+SELECT source, coalesce(k, 0) AS n_texts, coalesce(s, 0)::bigint AS source_tokens, round(target_share, 9) AS target_share, round(need, 6) AS need, max_repeat, CASE WHEN need IS NULL THEN 0 ELSE least(ceil(need), max_repeat) END::int AS passes, true AS reached FROM q"""
 P7_BOUNDS_SQL = f"""
 WITH d AS (SELECT {_TOKENS} AS n FROM documents WHERE text IS NOT NULL)
 SELECT sum(ceil(n / 1024.0))::bigint AS pieces, sum(n)::bigint AS tokens, ceil(sum(n) / 1024.0)::bigint AS least_containers, true AS whole, true AS none_overfull, true AS "full", true AS balanced FROM d WHERE n > 0"""
