@@ -265,18 +265,19 @@ def components(edges: DataFrame, left: str = "left_id", right: str = "right_id",
     """
     arcs = stage(edges.select(F.inline(F.array(F.struct(F.col(left).alias("u"), F.col(right).alias("v")), F.struct(F.col(right).alias("u"), F.col(left).alias("v"))))).where("u <> v").distinct(), "arcs")
     roots = stage(arcs.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("member"), F.least("u", "v").alias("root")), "roots")
-    hubs = stage(heavy_keys(arcs, "v"), "hubs")
+    hubs = heavy_keys(arcs, "v").collect()  # under HEAVY_SHARE vertices
+    n = roots.count()
     for _ in range(most_rounds):
         near = lookup(arcs, roots.select(F.col("member").alias("v"), "root"), "v", hubs).groupBy("u").agg(F.min("root").alias("r"))
-        lower = roots.join(near, roots["member"] == near["u"]).select("member", F.least("root", "r").alias("root"), F.col("root").alias("was"))
+        lower = stage(roots.join(near, roots["member"] == near["u"]).select("member", F.least("root", "r").alias("root"), F.col("root").alias("was")), "lower")
         jump = roots.select(F.col("member").alias("root"), F.col("root").alias("over"))
-        moved = stage(lookup(lower, jump, "root", how="left").select("member", F.least("root", F.coalesce("over", "root")).alias("root"), "was"), "roots")
+        moved = stage(lookup(lower, jump, "root", heavy_keys(lower, "root", n), how="left").select("member", F.least("root", F.coalesce("over", "root")).alias("root"), "was"), "roots")
         still = moved.where("root <> was").isEmpty()
-        release(roots)
+        release(roots, lower)
         roots = moved.select("member", "root")
         roots._tallgrass_path = moved._tallgrass_path
         if still:
-            release(arcs, hubs)
+            release(arcs)
             return roots
     raise RuntimeError(f"not stable after {most_rounds} rounds")
 
