@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,21 @@ def test_a_block_cut_into_chunks_keeps_every_pair(spark, monkeypatch):
     want = {(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[1] == b[1] and similarity.indel_ratio(a[2], b[2]) >= 0.5}
     pairs = [(r["left_id"], r["right_id"]) for r in got.collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_only_pairs_whose_digits_agree_are_met_where_the_veto_bars_the_rest(spark, monkeypatch):
+    monkeypatch.setattr(matching, "CHUNK", 3)
+    monkeypatch.setattr(matching, "PAIRS_A_TASK", 40)
+    texts = [*[f"bolt {i} x" for i in range(20)], *[f"bolt {i % 2} y{i % 2} z" + "z" * i for i in range(20)], *[f"bolt {'v' * i}" for i in range(1, 9)]]
+    rows = [(f"{i:03d}", "b", t) for i, t in enumerate([*texts, texts[0], texts[45]])] + [("900", "c", "bolt 1 x"), ("901", "c", "bolt 2 x")]
+    m = Matching(block=("t",), metric="ratio", duplicate=0.99, review_low=0.5, veto_cap=0.4)
+    found = matching.candidates(spark.createDataFrame(rows, "k string, t string, text string"), "k", "text", m)
+    signed = matching._signed(found.groupBy("block", "norm").agg(F.count(F.lit(1)).alias("k")), m)
+    digits = lambda t: set(re.findall(r"\d+", t))
+    agree = lambda x, y: not digits(x) or not digits(y) or digits(x) == digits(y)
+    met = [(r["left_norm"], r["right_norm"]) for r in matching._block_pairs(signed, alike=True).where("block = 'b'").collect()]
+    want = {(x, y) for x in texts for y in texts if x < y and agree(x, y)} | {(texts[0], texts[0]), (texts[45], texts[45])}
+    assert len(met) == len(set(met)) and set(met) == want
+    got = [(r["left_id"], r["right_id"]) for r in matching.score_pairs(found, m).collect()]
+    kept = {(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[1] == b[1] and agree(a[2], b[2]) and similarity.indel_ratio(a[2], b[2]) >= 0.4}
+    assert len(got) == len(set(got)) and set(got) == kept
