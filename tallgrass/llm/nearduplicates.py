@@ -11,14 +11,16 @@ and small-star.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.llm.components import stars
-from tallgrass.llm.minhash import agreement, band_keys, signer
+from tallgrass.llm.minhash import agreement, band_keys, banded_pairs, signer, universal
 from tallgrass.llm.spelling import surplus_words, usual_number, writings
 from tallgrass.plans.lookup import BROADCAST_ROWS, HEAVY_SHARE, broadcast_if_small, lookup
 from tallgrass.plans.staging import release, stage
@@ -33,6 +35,8 @@ MARK = "~"
 
 #: Records of one bucket that meet in one task, on either side.
 CHUNK = 512
+#: Different texts of one block and one set of sizes that are signed and banded within one task; more are spread by bucket.
+MOST_LOCAL = 100_000
 
 
 def code(column: Column) -> Column:
@@ -165,40 +169,44 @@ def group_items(
     texts = stage(read, "tokens")
     table = replacements(texts, empty_words=empty_words)
     signed = _signed(_placed(texts, table), names, bands * rows, least_words)
+    release(texts, table)
     links = _links(signed, names, bands, rows, least_similarity)
     joined = stars(links, "left", "right").select(F.col("member").alias("v"), F.col("component.rep").alias("component"))
     result = stage(signed.join(joined, "v", "left").select(F.col("v.rep").alias("id"), *names, F.coalesce("component", "v.rep").alias("item_id")).distinct(), "items")
-    release(texts, table, signed, links)
+    release(signed, links)
     return result.select(F.col("id").alias(id), *[F.col(n).alias(c) for c, n in zip(block, names)], "item_id")
 
 
 def _signed(texts: DataFrame, names: list[str], k: int, least_words: int) -> DataFrame:
-    """(v, *names, item, n_words, place, whole, minima): the texts (id, *names, raw, item, n_words) that name an item, with their signatures of ``k`` minima.
+    """(v, *names, item, n_words, place, whole): the texts (id, *names, raw, item, n_words) that name an item.
 
     ``v`` tells texts apart, also those of one record; ``place`` is a hash of what must be equal in every
-    bucket, block and sizes, and ``whole`` one of that and the signature.
+    bucket, block and sizes, and ``whole`` one of that and all tokens. The ``k`` minima are taken where they are compared.
     """
     n, size = F.col("n_words"), F.size("item")
     named = texts.where((n >= least_words) & (size > n))
-    minima = signer(k)(F.transform(F.slice("item", F.lit(1), n), lambda x: F.xxhash64(x)))
     place = F.xxhash64(*names, F.slice("item", n + 1, size - n))
-    made = named.select(F.struct(F.col("id").alias("rep"), F.xxhash64("raw").alias("h")).alias("v"), *names, "item", "n_words", place.alias("place"), minima.alias("minima"))
-    return stage(made.withColumn("whole", F.xxhash64("place", "minima")), "signatures")
+    made = named.select(F.struct(F.col("id").alias("rep"), F.xxhash64("raw").alias("h")).alias("v"), *names, "item", "n_words", place.alias("place"))
+    return stage(made.withColumn("whole", F.xxhash64("place", "item")), "signatures")
 
 
-def _large_groups(df: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, n): the groups of more than CHUNK rows.
+def _hashes() -> Column:
+    return F.transform(F.slice("item", F.lit(1), F.col("n_words")), lambda x: F.xxhash64(x))
+
+
+def _large_groups(df: DataFrame, by: list[str], most: int | None = None) -> DataFrame:
+    """(*by, n): the groups of more than ``most`` (CHUNK) rows.
 
     Groups are first counted by a coarse hash, which costs little where none is large: only groups of cells of
     more than CHUNK rows are then counted one by one.
     """
     cells = df.count() // 64 + 1024
     cell = F.pmod(F.xxhash64(*by), F.lit(cells)).alias("__cell")
-    full = stage(df.groupBy(cell).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > CHUNK).select("__cell"), "full-cells")
+    full = stage(df.groupBy(cell).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most).select("__cell"), "full-cells")
     if full.isEmpty():
         return full.select(*[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in by], F.lit(0).alias("n")).limit(0)
     suspects = df.withColumn("__cell", cell).join(broadcast_if_small(full), "__cell", "left_semi")
-    return suspects.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
+    return suspects.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
 
 
 def pairs_within(df: DataFrame, by: Sequence[str], id: str) -> DataFrame:
@@ -222,30 +230,82 @@ def pairs_within(df: DataFrame, by: Sequence[str], id: str) -> DataFrame:
     return pairs.unionByName(across.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
+def _whole_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows in tables that end with a place's last row."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        place = batch.column("place").to_numpy()
+        if not len(place):
+            continue
+        cut = int(np.flatnonzero(place != place[-1])[-1]) + 1 if place[0] != place[-1] else 0
+        if held and held[-1].column("place")[-1].as_py() != place[0] and not cut:
+            yield pa.Table.from_batches(held)
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _met_locally(firsts: DataFrame, bands: int, rows: int, least_similarity: float) -> DataFrame:
+    """(ra, rb): the texts ``r`` of one place that agree in a band and by their signatures, one at least with an unplaced word, as others can't be the same."""
+    made = firsts.select("place", "r", F.col("r.n_words").alias("n"), F.exists("r.item", lambda x: x.startswith(MARK)).alias("odd"), _hashes().alias("hashes"))
+    kind = made.schema["r"].dataType.simpleString()
+    sign = universal(bands * rows)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_places(batches):
+            t = t.combine_chunks()
+            place, n, odd = t["place"].to_numpy(), t["n"].to_numpy(), t["odd"].to_numpy()
+            hashes = t["hashes"].combine_chunks()
+            minima = sign(hashes.flatten().to_numpy(), np.diff(hashes.offsets.to_numpy()))
+            for i, j, likeness in banded_pairs(place, minima, bands, rows, odd):
+                # The part of the smaller set that is shared, by the estimate of the Jaccard similarity.
+                kept = likeness * (n[i] + n[j]) / (1 + likeness) / np.minimum(n[i], n[j]) >= least_similarity
+                r = t["r"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([r.take(pa.array(i[kept])), r.take(pa.array(j[kept]))], names=["ra", "rb"])
+
+    return made.repartition("place").sortWithinPartitions("place").mapInArrow(meet, f"ra {kind}, rb {kind}")
+
+
+def _met_spread(firsts: DataFrame, bands: int, rows: int, least_similarity: float) -> DataFrame:
+    """:func:`_met_locally` for places of many texts: a row a bucket, and full buckets cut into chunks."""
+    firsts = stage(firsts.select(F.xxhash64("r.v", "r").alias("id"), "r", "place", signer(bands * rows)(_hashes()).alias("minima")), "crowded")
+    banded = stage(firsts.select("id", F.explode(band_keys(F.col("minima"), bands, rows, F.col("place"))).alias("key")), "banded")
+    met = stage(pairs_within(banded, ["key"], "id").select("a", "b").distinct(), "met")
+    release(banded)
+    side = lambda c: firsts.select(F.col("id").alias(c), F.col("r").alias(f"r{c}"), F.col("minima").alias(f"m{c}"))
+    full = met.join(side("a"), "a").join(side("b"), "b").withColumn("likeness", agreement(F.col("ma"), F.col("mb")))
+    k = F.col("ra.n_words"), F.col("rb.n_words")
+    shared = F.col("likeness") * (k[0] + k[1]) / (1 + F.col("likeness")) / F.least(*k)
+    return full.where(shared >= least_similarity).select("ra", "rb")
+
+
 def _links(signed: DataFrame, names: list[str], bands: int, rows: int, least_similarity: float) -> DataFrame:
     """(left, right): texts that name the same item, as found by signatures and bands."""
-    # Equal whole signatures and tokens: all of a bucket meet its first one, never each other.
+    # Equal tokens: all of them meet their first one, never each other.
     first = ["whole", "place", *names, "item", "n_words"]
-    firsts = stage(signed.groupBy(*first).agg(F.min("v").alias("v"), F.first("minima").alias("minima"), F.count(F.lit(1)).alias("n")), "firsts")
+    firsts = stage(signed.groupBy(*first).agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n")), "firsts")
     several, total = firsts.where("n > 1"), signed.count()
     heavy = several.where(F.col("n") > total / HEAVY_SHARE).select("whole").distinct()
     met_first = lookup(signed.select("whole", *names, "item", "v"), several.select("whole", F.struct(*names, "item").alias("r"), F.col("v").alias("right")), "whole", heavy)
     same = met_first.where((F.struct(*names, "item") == F.col("r")) & (F.col("v") != F.col("right"))).select(F.col("v").alias("left"), "right")
-    # The first ones enter the buckets of their bands. A bucket's rows are two hashes; ids that collide are told apart below.
-    id = F.xxhash64("v", *names)
-    banded = stage(firsts.select(id.alias("id"), F.explode(band_keys(F.col("minima"), bands, rows, F.col("place"))).alias("key")), "banded")
-    met = stage(pairs_within(banded, ["key"], "id").select("a", "b").distinct(), "met")
-    side = lambda c: firsts.select(id.alias(c), F.struct("v", *names, "item", "n_words", "minima").alias(f"r{c}"))
-    full = met.join(side("a"), "a").join(side("b"), "b")
-    for n in names:
-        full = full.where(F.col(f"ra.{n}") == F.col(f"rb.{n}"))
-    # The part of the smaller set that is shared, by the estimate of the Jaccard similarity.
-    k = F.col("ra.n_words"), F.col("rb.n_words")
-    full = full.withColumn("likeness", agreement(F.col("ra.minima"), F.col("rb.minima")))
-    shared = F.col("likeness") * (k[0] + k[1]) / (1 + F.col("likeness")) / F.least(*k)
-    alike = full.where(shared >= least_similarity).where(_same(F.col("ra.item"), F.col("rb.item"))).select(F.col("ra.v").alias("left"), F.col("rb.v").alias("right"))
+    # The first ones enter the buckets of their bands.
+    kept = firsts.where("n_words > 0").select("place", "item", "n_words", F.struct("v", *names, "item", "n_words").alias("r"))
+    crowded = stage(_large_groups(kept, ["place"], MOST_LOCAL).select("place"), "crowded-places")
+    if crowded.isEmpty():
+        met = _met_locally(kept, bands, rows, least_similarity)
+    else:
+        crowded = broadcast_if_small(crowded)
+        met = _met_locally(kept.join(crowded, "place", "left_anti"), bands, rows, least_similarity)
+        met = met.unionByName(_met_spread(kept.join(crowded, "place", "left_semi"), bands, rows, least_similarity))
+    for n in names:  # places are hashes
+        met = met.where(F.col(f"ra.{n}") == F.col(f"rb.{n}"))
+    alike = met.where(_same(F.col("ra.item"), F.col("rb.item"))).select(F.col("ra.v").alias("left"), F.col("rb.v").alias("right"))
     links = stage(same.unionByName(alike), "links")
-    release(firsts, banded, met)
+    release(firsts)
     return links
 
 

@@ -179,3 +179,22 @@ def test_found_pairs_contain_the_confirmed_groups(spark, small):
     full = m.join(t, "matnr").select("matnr", "a", "b", F.array_sort("t").alias("t"))
     same = full.alias("x").join(full.alias("y"), ["a", "b", "t"]).where("x.matnr < y.matnr and size(t) >= 4").select("x.matnr", "y.matnr")
     assert {tuple(r) for r in same.collect()} <= pairs
+
+
+def test_bands_are_not_written_and_crowded_places_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    slip = lambda: "".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 9))
+    extra = [(f"p{i:03d}", "HALB", "ST", f"Washer 10x{i % 3} Copper ET {slip()}") for i in range(90)]
+    df = corpus(spark, extra + [(f"q{i:03d}", "HALB", "ST", t[3].replace(t[3][-9:-7], "qq")) for i, t in enumerate(extra)])
+    staged, stage = [], nd.stage
+
+    def seen(rows, label="step"):
+        out = stage(rows, label)
+        staged.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(nd, "stage", seen)
+    local = sorted(map(sorted, groups(df)))
+    assert len(local) >= 85 and max(n for label, n in staged if label != "word-counts") <= df.count()
+    monkeypatch.setattr(nd, "MOST_LOCAL", 20)
+    assert sorted(map(sorted, groups(df))) == local and "banded" in dict(staged)
