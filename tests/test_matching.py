@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -160,3 +161,30 @@ def test_only_pairs_whose_digits_agree_are_met_where_the_veto_bars_the_rest(spar
     got = [(r["left_id"], r["right_id"]) for r in matching.score_pairs(found, m).collect()]
     kept = {(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[1] == b[1] and agree(a[2], b[2]) and similarity.indel_ratio(a[2], b[2]) >= 0.4}
     assert len(got) == len(set(got)) and set(got) == kept
+
+
+def test_near_pairs_are_those_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["bolt", "nut", "washer", "hex", "copper", "brass", "12", "m8", "40x3", "é", "flange"]
+    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 4, 20]))) for _ in range(160)})
+    first, second = texts[::2], texts[1::2]
+    for least in (0.55, 0.7, 0.75, 0.9):
+        got = {(first[i], second[j]): s for i, j, s in zip(*similarity.jaro_winkler_near(first, second, least))}
+        every = {(a, b): similarity.jaro_winkler(a, b) for a in first for b in second if a < b}
+        assert got == pytest.approx({p: s for p, s in every.items() if s >= least}, abs=1e-12)
+    assert [len(x) for x in similarity.jaro_winkler_near([], texts, 0.8)] == [0, 0, 0] == [len(x) for x in similarity.jaro_winkler_near(texts, [], 0.8)]
+    # Counted vetoes: chunks meet in tasks, and no pair below the cap is written out.
+    monkeypatch.setattr(matching, "WIDE_CHUNK", 16)
+    monkeypatch.setattr(matching, "_block_pairs", lambda *a, **k: pytest.fail("all pairs were written out"))
+    rows = [(f"{i:03d}", "b", t) for i, t in enumerate([*texts, texts[3], texts[3]])] + [("900", "c", texts[0]), ("901", "c", texts[1])]
+    m = Matching(block=("t",))
+    found = matching.candidates(spark.createDataFrame(rows, "k string, t string, text string"), "k", "text", m)
+    got = {(r["left_id"], r["right_id"]): (round(r["raw"], 6), r["n_pairs"]) for r in matching.class_pairs(found, m, count_vetoes=True).where("block = 'b'").collect()}
+    norm = {r["key"]: r["norm"] for r in found.collect()}
+    heads = {norm[r[0]]: r[0] for r in reversed(rows[:-2])}
+    k = {n: sum(norm[r[0]] == n for r in rows[:-2]) for n in heads}
+    want = {(min(heads[x], heads[y]), max(heads[x], heads[y])): (round(s, 6), k[x] * k[y]) for x in heads for y in heads if x < y and (s := similarity.jaro_winkler(x, y)) >= 0.75}
+    n = norm["003"]
+    want[heads[n], max(r[0] for r in rows[:-2] if norm[r[0]] == n)] = (1.0, k[n] * (k[n] - 1) // 2)
+    want |= {(heads[x], max(r[0] for r in rows[:-2] if norm[r[0]] == x)): (1.0, k[x] * (k[x] - 1) // 2) for x in heads if k[x] > 1}
+    assert {p: n for p, (_, n) in got.items()} == {p: n for p, (_, n) in want.items()} and all(abs(got[p][0] - want[p][0]) < 1e-5 for p in want)
