@@ -188,3 +188,11 @@ def test_near_pairs_are_those_of_all_pairs(spark, monkeypatch):
     want[heads[n], max(r[0] for r in rows[:-2] if norm[r[0]] == n)] = (1.0, k[n] * (k[n] - 1) // 2)
     want |= {(heads[x], max(r[0] for r in rows[:-2] if norm[r[0]] == x)): (1.0, k[x] * (k[x] - 1) // 2) for x in heads if k[x] > 1}
     assert {p: n for p, (_, n) in got.items()} == {p: n for p, (_, n) in want.items()} and all(abs(got[p][0] - want[p][0]) < 1e-5 for p in want)
+
+
+def test_components_of_a_long_chain_in_no_order_take_few_rounds(spark):
+    ids = list(range(400))
+    random.Random(2).shuffle(ids)
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (1001, 1000)], "left_id long, right_id long")
+    got = matching.components(edges, most_rounds=12)
+    assert sorted(tuple(r) for r in got.collect()) == [*[(i, 0) for i in range(400)], (1000, 1000), (1001, 1000)]
