@@ -133,6 +133,10 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), np.repeat(np.arange(len(column)), sizes)
 
 
+#: Rows of packed passages, each a megabyte or more, that are written and read together.
+GROUP_ROWS = 4
+
+
 class Packed:
     """Arrays of some thousand passages; in a table they are one row of binary values, which pass through Spark untouched."""
 
@@ -439,11 +443,11 @@ def find_residue(
     repeated rows give one result row; an empty table gives none; columns not named are not read.
     """
     slim = records.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.btrim("text", F.lit(BLANKS)) != ""))
-    read = stage(passages(slim).mapInArrow(_read_words, Words.columns()), "words")
+    read = stage(passages(slim).mapInArrow(_read_words, Words.columns()), "words", GROUP_ROWS)
     least = max(2.0, least_share * slim.count())
     frequent = read.mapInArrow(_word_counts, "w bigint, k bigint").groupBy("w").agg(F.sum("k").alias("k")).where(F.col("k") >= least)
     words = sorted(r[0] for r in frequent.orderBy(F.desc("k"), "w").limit(max_words).collect())
-    blocks = stage(read.mapInArrow(_encoder(np.array(words, dtype=np.int64)), Block.columns()), "passages")
+    blocks = stage(read.mapInArrow(_encoder(np.array(words, dtype=np.int64)), Block.columns()), "passages", GROUP_ROWS)
     release(read)
     size = len(MARKS) + len(words)
 
@@ -451,7 +455,7 @@ def find_residue(
         for b in Block.read(batches):
             yield b.keep(b.bare > 0).batch()
 
-    opened = stage(blocks.mapInArrow(with_places, Block.columns()), "open-places")
+    opened = stage(blocks.mapInArrow(with_places, Block.columns()), "open-places", GROUP_ROWS)
     everything = _expected(blocks, size, None)
     usual = everything.table.sum(axis=0) / max(1.0, everything.number.sum())
     unfilled = learn_unfilled(opened, usual, open_rounds, common, level)

@@ -251,3 +251,17 @@ def test_open_places():
     for text in ('it said "{{ date }}" on', "„%DATE%“ als", "5 % to 7 %", "a < 5 and b > 3", "f(x) and x_y", "a & b"):
         assert residue.slots_of(text)[0] == 0, text
     assert residue.has_run("a b a b a b".split()) and not residue.has_run("a b c d e f".split())
+
+
+def test_rows_of_megabytes_are_read_a_few_at_a_time(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from tallgrass.llm import residue
+    from tallgrass.plans.staging import release, stage
+
+    rows = stage(spark.range(0, 10, 1, 1), "wide", residue.GROUP_ROWS)
+    groups = [pq.ParquetFile(f).metadata.row_group(i).num_rows for f in glob.glob(f"{rows._tallgrass_path.removeprefix('file://')}/*.parquet") for i in range(pq.ParquetFile(f).num_row_groups)]
+    assert sum(groups) == rows.count() == 10 and max(groups) <= residue.GROUP_ROWS
+    release(rows)
