@@ -19,7 +19,7 @@ def made_up(n, seed=4):
     return texts
 
 
-@pytest.mark.parametrize("name", ["jaro_winkler"])
+@pytest.mark.parametrize("name", ["jaro_winkler", "token_set_ratio"])
 @pytest.mark.parametrize("least", [0.4, 0.55, 0.7, 0.8, 0.93])
 def test_near_is_all_pairs_scored(name, least, monkeypatch):
     monkeypatch.setattr(nearpairs, "SLAB", 500)
@@ -45,7 +45,7 @@ def test_near_of_nothing():
         nearpairs.near("ratio", ["a"], [], 0.8)
 
 
-@pytest.mark.parametrize("metric", ["jaro_winkler"])
+@pytest.mark.parametrize("metric", ["jaro_winkler", "token_set_ratio"])
 @pytest.mark.parametrize("group", [2_048, 3])
 def test_classes_meet_within_tasks(spark, monkeypatch, metric, group):
     # Large groups, texts without digits, copies and both vetoes; groups go on over the batches of a task.
