@@ -3,7 +3,7 @@ import pytest
 import __spark_entry__ as entry_module
 from tallgrass.operators import matching
 
-QUERIES = ["verdict_clusters", "dedup_clusters", "dedup_score_spread", "dedup_weakest_link", "verdict_findings", "cluster_members"]
+QUERIES = ["verdict_clusters", "dedup_clusters", "dedup_score_spread", "dedup_weakest_link", "verdict_findings", "cluster_members", "assessment"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
