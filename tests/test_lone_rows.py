@@ -10,6 +10,24 @@ from tallgrass.operators import matching
 from tallgrass.operators.matching import Matching
 
 
+@pytest.mark.parametrize("rows", [50_000, 1])
+def test_keys_of_one_row_are_not_shuffled(spark, monkeypatch, rows):
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", rows)
+    data = [("a", 1, "x", "p"), ("a", 2, "w", "q"), ("b", 1, None, "p"), ("c", 3, "u", "p"), ("c", 3, "u", "q"), ("c", None, "z", "z"), (None, 9, "n", "n"), (None, 8, "o", "o"), ("d", None, None, None)]
+    df = spark.createDataFrame(data, "k string, n int, v string, w string")
+    got = matching.latest_delivery(df, "k", "n", "absent")
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [("a", 2, "w", "q"), ("b", 1, None, "p"), ("c", 3, "u", "q"), ("d", None, None, None)]
+    texts = matching.one_text(df, "k", "v", F.col("k").isNull() | (F.col("k") != "b")).collect()
+    assert sorted(map(tuple, texts), key=str) == sorted([("a", "x"), ("c", "z"), ("d", None), (None, "o")], key=str)
+    once, several = matching._apart(df, "k")
+    if rows == 1:
+        assert once is None and several.count() == len(data)
+    else:
+        assert "Exchange hashpartitioning" not in once._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["k"] for r in once.collect()) == ["b", "d"] and several.count() == len(data) - 2
+
+
 def test_near_scores_what_is_moved_and_far_off(monkeypatch):
     # Pairs go as soon as too many of their letters have moved: whole words change places, in texts of up to 64 letters.
     monkeypatch.setattr(nearpairs, "STEP", 100)
