@@ -10,6 +10,31 @@ from tallgrass.operators import matching
 from tallgrass.operators.matching import Matching
 
 
+def counted(monkeypatch, name):
+    calls, real = [], getattr(matching, name)
+    monkeypatch.setattr(matching, name, lambda *a, **k: calls.append(a) or real(*a, **k))
+    return calls
+
+
+@pytest.mark.parametrize("name", ["dedup_clusters", "dedup_weakest_link"])
+def test_records_of_one_text_are_sought_once(spark, small, monkeypatch, name):
+    classes, members = counted(monkeypatch, "classes"), counted(monkeypatch, "class_members")
+    entry_module.queries()[name](spark, small)
+    assert (len(classes), len(members)) == (1, 0)
+
+
+@pytest.mark.parametrize("rows", [50_000, 0])
+def test_copies_are_the_records_of_a_class_but_its_smallest(spark, monkeypatch, rows):
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", rows)
+    m = Matching(block=("t",))
+    data = [(f"{i:02d}", "ab"[i % 2], t) for i, t in enumerate(["hex bolt", "hex bolt", "hex bolt", "nut", "hex  Bolt", None, "nut", "nut", ""])]
+    found = matching.candidates(spark.createDataFrame(data, "k string, t string, text string"), "k", "text", m)
+    want = {("00", "02"), ("00", "04"), ("03", "07")}
+    assert {tuple(r) for r in matching._copies(found).collect()} == want
+    matching.class_pairs(found, m)
+    assert {tuple(r) for r in matching._copies(found).collect()} == want
+
+
 @pytest.mark.parametrize("rows", [50_000, 1])
 def test_keys_of_one_row_are_not_shuffled(spark, monkeypatch, rows):
     monkeypatch.setattr(matching, "BROADCAST_ROWS", rows)
