@@ -16,6 +16,14 @@ def counted(monkeypatch, name):
     return calls
 
 
+@pytest.mark.parametrize("name", ["verdict_clusters"])
+def test_deliveries_and_texts_are_sought_once(spark, small, monkeypatch, name):
+    latest, texts, filled = (counted(monkeypatch, x) for x in ("latest_delivery", "one_text", "completeness"))
+    entry_module.queries()[name](spark, small)
+    assert (len(latest), len(texts)) == (1, 1)
+    assert "text" not in filled[0][0].columns  # else the texts are joined again to count filled fields
+
+
 @pytest.mark.parametrize("name", ["dedup_clusters", "dedup_weakest_link"])
 def test_records_of_one_text_are_sought_once(spark, small, monkeypatch, name):
     classes, members = counted(monkeypatch, "classes"), counted(monkeypatch, "class_members")
