@@ -62,12 +62,13 @@ def assess(
         shift, targets = decisions.resolve(advisories)
         language = F.col(subject.language[0]) == subject.language[1] if subject.language else None
         texts = matching.one_text(tables[subject.text_table], subject.key, subject.text, language)
-        subjects = matching.latest_delivery(tables[subject.table], subject.key, "load_no", "loaded_at").join(texts, subject.key, "left")
+        latest = matching.latest_delivery(tables[subject.table], subject.key, "load_no", "loaded_at")
+        subjects = latest.join(texts, subject.key, "left")
         out = decisions.excluded_records(found, targets).select(F.regexp_replace(rules.subject_key(F.col("record_id"), [subject.key]), f"^{subject.key}=", "").alias("key")).distinct() if targets else None
         cands = stage(matching.candidates(subjects, subject.key, "text", settings, out), "candidates")
         pairs = stage(matching.banded(matching.class_pairs(cands, settings), settings, shift), "pairs")
         members = stage(matching.clusters(cands, pairs, copies=True), "members")
-        filled = matching.completeness(subjects, subject.key, subject.fields or tuple(tables[subject.table].columns), subject.mandatory)
+        filled = matching.completeness(latest, subject.key, subject.fields or tuple(tables[subject.table].columns), subject.mandatory)
         kept = stage(matching.survivors(members, filled, cands), "kept")
         held = matching.held_back(cands)
         numbers = cands.agg(F.count_if(F.col("reason").isNull()), F.count_if(F.col("reason").isNotNull())).first()

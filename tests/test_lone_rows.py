@@ -16,7 +16,7 @@ def counted(monkeypatch, name):
     return calls
 
 
-@pytest.mark.parametrize("name", ["verdict_clusters", "verdict_findings", "cluster_members"])
+@pytest.mark.parametrize("name", ["verdict_clusters", "verdict_findings", "cluster_members", "assessment"])
 def test_deliveries_and_texts_are_sought_once(spark, small, monkeypatch, name):
     latest, texts, filled = (counted(monkeypatch, x) for x in ("latest_delivery", "one_text", "completeness"))
     entry_module.queries()[name](spark, small)
