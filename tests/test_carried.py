@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from tallgrass.functions import text
-from tallgrass.operators import decisions, matching
+from tallgrass.operators import clusterview, decisions, matching
 from tallgrass.operators.matching import Matching
 
 
@@ -54,3 +54,28 @@ def test_plain_texts_read_as_others(spark):
     assert {r[0]: r[1] for r in plain.select("i", text.normalise(F.col("x"))).collect()} == want
     got = {r[0]: r[1] for r in mixed.select("i", text.normalise(F.col("x"))).collect()}
     assert got == want | {1000: "ecrou ø1 2", 1001: "fin iv e", 1002: "e"}
+
+
+def test_cluster_members_seeks_members_once(spark, small, monkeypatch):
+    sought, real = [], matching.clusters
+    monkeypatch.setattr(matching, "clusters", lambda found, *a, **k: sought.append((found, k)) or real(found, *a, **k))
+    df = entry_module.queries()["cluster_members"](spark, small)
+    found, how = sought[0]
+    assert {"norm", "text", "n_mandatory", "n_total"} <= set(how["keep"])
+    assert found._tallgrass_path.rpartition("/")[2] not in "".join(df.inputFiles())  # else members are sought among all records again
+
+
+def test_members_that_carry_tell_the_same_as_members_that_are_sought(spark, rows):
+    m = Matching(block=("t",))
+    data = [(f"k{i}", "ab"[i % 2], t, i % 3, i % 4) for i, t in enumerate(["hex bolt", "hex bolts", "Hex bolt", "hex bolt", "hex bolts x", None, "nut", "hex bolts", "nut"])]
+    records = spark.createDataFrame(data, "k string, t string, text string, n_mandatory int, n_total int")
+    found = matching.candidates(records, "k", "text", m, keep=("n_mandatory", "n_total"))
+    bands = matching.banded(matching.class_pairs(found, m), m)
+    plain = matching.clusters(found, bands, copies=True)
+    full = matching.clusters(found, bands, copies=True, keep=("norm", "text", "n_mandatory", "n_total"))
+    assert rows(full.select(plain.columns)) == rows(plain) and plain.count() > 4
+    filled = records.select(F.col("k").alias("member"), "n_mandatory", "n_total")
+    kept = matching.survivors(plain, filled, found)
+    assert rows(matching.survivors(full)) == rows(kept)
+    assert rows(clusterview.listing(full, kept, None, None, m)) == rows(clusterview.listing(plain, kept, found, filled, m))
+    assert rows(matching.weakest_links(full, None, m)) == rows(matching.weakest_links(plain, found, m))
